@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, packing
+from pyspark.sql import functions as F
+
+from . import langid, licenses, media, mixing, ngramjoin, packing, quality, urlfilter, vptree, warc
 from .common import table
 
 
@@ -10,6 +12,19 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_normaliser(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op3_vantage_point_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.search(vectors, vectors.where(F.col("vec_id") % vptree.EVERY == 0))
+
+
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -18,9 +33,24 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_media_container(spark, sf_dir):
     return media.describe(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_source_mixing, op6_best_fit_packing, op8_media_container)}
+def op9_ngram_jaccard_join(spark, sf_dir):
+    return ngramjoin.components(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_warc_normaliser, op3_vantage_point_search, op4_license_scan, op5_source_mixing, op6_best_fit_packing, op7_url_filter, op8_media_container, op9_ngram_jaccard_join, op10_quality_classifier)
+}
 ORACLES: dict[str, str] = {}
