@@ -39,7 +39,10 @@ BROADCAST_IDS = 2_000_000
 #: The sketch has as many counters as documents, within these powers of two.
 LEAST_BITS, MOST_BITS, CHUNK = 16, 23, 1024
 #: Pairs that are compared at once, per remaining block row, rather than in another hub round.
-DIRECT = 2
+DIRECT = 8
+#: Buckets of a set's histogram.
+BUCKETS = 128
+_TOP = np.uint64(64 - 7)
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -108,7 +111,10 @@ def frequency_levels(rows: DataFrame, bits: int) -> bytes:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, levels: bytes) -> DataFrame:
-    """rid, n, gid (names the prefix and size), prefix of every non-empty row."""
+    """rid, n, gid (names the prefix and size), prefix, histogram of every non-empty row.
+
+    The histogram counts the set's hashes by bucket; the sum of differences of two is at most the sets' symmetric difference.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # at most 2 ** MOST_BITS bytes
 
     def run(batches):
@@ -124,11 +130,12 @@ def prefixes(docs: DataFrame, k: int, percent: int, levels: bytes) -> DataFrame:
                 order = np.lexsort((found, level[(found & mask).astype(np.int64)]))[:first]
                 head = found[order]
                 gid = np.uint64(xxhash.xxh3_64_intdigest(head.tobytes() + len(found).to_bytes(8, "little"))).astype(np.int64)
-                rows.append((doc, len(found), int(gid), head.view(np.int64)))
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["rid", "n", "gid", "prefix"])
+                counts = np.minimum(np.bincount((found >> _TOP).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+                rows.append((doc, len(found), int(gid), head.view(np.int64), counts.tobytes()))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["rid", "n", "gid", "prefix", "histogram"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "rid long, n long, gid long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "rid long, n long, gid long, prefix array<long>, histogram binary")
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
@@ -148,19 +155,38 @@ def size_bin(n: Column, percent: int) -> Column:
 
 def blocks(heads: DataFrame, percent: int) -> DataFrame:
     """key, rid, n, low of every member of every block; ``low`` rows are the smaller neighbours of a block's size bin."""
-    groups = heads.groupBy("gid", "n").agg(F.min("rid").alias("g"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix"))
-    postings = groups.select("gid", F.explode("prefix").alias("token"))
+    groups = heads.groupBy("gid", "n").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix"))
+    groups = staged(groups, "groups")
+    postings = groups.select("gid", "rid", "n", "members", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    by_token = postings.join(shared, "token")
-    many = groups.where("members > 1").select("gid", F.col("gid").alias("token"))
-    members = by_token.unionByName(many.select("gid", "token")).join(heads.select("gid", "rid", "n"), "gid")
+    by_token = postings.join(shared, "token").select("gid", "rid", "n", "members", "token")
+    alone = by_token.where("members = 1").select("token", "rid", "n")
+    many = groups.where("members > 1")
+    expanded = by_token.where("members > 1").select("gid", "token").unionByName(many.select("gid", F.col("gid").alias("token"))).join(heads.select("gid", "rid", "n"), "gid")
+    members = alone.unionByName(expanded.select("token", "rid", "n"))
     at = size_bin(F.col("n"), percent)
-    both = members.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.xxhash64("token", at + F.col("step")).alias("key"), "rid", "n", (F.col("step") == 1).alias("low"))
-    return both.distinct()
+    return members.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.xxhash64("token", at + F.col("step")).alias("key"), "rid", "n", (F.col("step") == 1).alias("low"))
+
+
+def screened(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and histograms leave: all that link, and few others."""
+    left, right = (heads.select(F.col("rid").alias(k), F.col("n").alias("n" + k), F.col("histogram").alias("h" + k)) for k in "ab")
+
+    def run(batches):
+        for b in slices(batches, 5000):
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for k in (2, 3))
+            apart, both = np.abs(x - y).sum(1, dtype=np.int64), b.column(4).to_numpy()
+            keep = pa.array(apart * (100 + percent) <= (100 - percent) * both)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. Sets are made again from the texts of pairs that pass the screen."""
+    pairs = staged(screened(pairs, heads, percent), "screened")
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near")
+    sets = staged(set_table(only(texts, ids, "left_semi"), k), "sets")
     left = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
 
@@ -191,9 +217,8 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def resolve(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def resolve(rows: DataFrame, heads: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Links found among the members of blocks, enough of them to connect all that is linked; None where there is none."""
-    spark = rows.sparkSession
     rows = rows.withColumn("comp", F.col("rid"))
     links, allowed = None, DIRECT
     while True:
@@ -213,7 +238,7 @@ def resolve(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
             hubs = per.groupBy("key").agg(F.min(F.struct("weight", "h", "comp")).alias("x")).select("key", F.col("x.h.rid").alias("hub"), F.col("x.h.n").alias("m"), F.col("x.comp").alias("other_comp"))
             hubs = staged(hubs, "hubs")
         pairs = rows.join(hubs, "key").where(fits & (F.col("rid") != F.col("hub"))).select(*sides("rid", "hub")).distinct()
-        new = staged(verified(pairs, sets, percent), "verified")
+        new = staged(verified(pairs, heads, texts, k, percent), "verified")
         if not new.isEmpty():
             links = new if links is None else staged(links.union(new), "verified")
         if last:
@@ -224,7 +249,7 @@ def resolve(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
         else:
             rows = rows.withColumn("comp", F.col("rid"))
         rows = rows.select("key", "rid", "n", "low", "comp")
-        allowed *= 2
+        allowed *= 4
     return links
 
 
@@ -244,9 +269,7 @@ def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     texts = only(docs, named.where("doc_id is not null and doc_id != rid").select("doc_id").distinct().join(kept, "doc_id", "left_anti"), "left_anti")
     heads = staged(prefixes(texts, k, percent, frequency_levels(found, bits)), "prefixes")
     held = staged(blocks(heads, percent), "members")
-    near = staged(held.select(F.col("rid").alias("doc_id")).distinct(), "near")
-    sets = staged(set_table(only(texts, near, "left_semi"), k), "sets")
-    links = resolve(held, sets, percent)
+    links = resolve(held, heads, texts, k, percent)
     if links is None:
         return named.select("doc_id", "n_shingles", F.col("rid").alias("component_id")).unionByName(alone)
     labels = connected(links).toDF("rid", "label")
