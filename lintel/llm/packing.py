@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import array
 import os
+import unicodedata
 import zlib
 
 import public_tokenizers
@@ -25,36 +26,62 @@ CAPACITY = 2048
 #: Pieces that one task packs, in expectation. What shards leave open is at most a sequence or so each.
 SHARD_PIECES = 40_000
 #: Encoded words that a worker remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 END = array.array("I", [0]).tobytes()
 
 
+#: The characters that byte-level vocabularies write bytes as: printable ones as themselves, others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+
+
 class WordMemo:
     """Token ids, as little-endian unsigned 32-bit integers, of whole texts.
 
-    The tokenizer cuts at white space first, so a text's ids are those of its stretches between spaces and line ends; these
-    are remembered.
+    The tokenizer cuts at white space first and ignores case, so a text's ids are those of its stretches between spaces and
+    line ends with A-Z lower-cased; these are remembered. Only text that may spell a special token keeps its case.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.memo = Tokenizer.from_file(path), {b"": b""}
+        self.marks = {m: self.whole([m])[0] for m in (".", ",")}
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remembers words. Lower-case letters, maybe with a point or comma behind, are one word to the tokenizer's model."""
+        hard, merge = [], self.tokenizer.model.tokenize
+        for w in words:
+            text = w.decode()
+            mark = self.marks.get(text[-1], b"")
+            letters = text[:-1] if mark else text
+            if letters.isalpha() and (letters.isascii() or (unicodedata.is_normalized("NFC", letters) and letters.lower() == letters)):
+                spelled = letters if letters.isascii() else "".join(map(_BYTE.__getitem__, letters.encode()))
+                self.memo[w] = array.array("I", [t.id for t in merge(spelled)]).tobytes() + mark
+            else:
+                hard.append(w)
+        for k in range(0, len(hard), 20_000):
+            part = hard[k : k + 20_000]
+            self.memo.update(zip(part, self.whole([w.decode() for w in part])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = []
+        for t in texts:
+            b = t.encode("utf-8").replace(b"\n", b" ")
+            split.append((b if b"<|" in b else b.lower()).split(b" "))
         memo, new = self.memo, set()
         for words in split:
             new.update(words)
-        new = [w for w in new if w not in memo]
-        if len(memo) + len(new) > MEMO_WORDS:
+        fresh = [w for w in new if w not in memo]
+        if len(memo) + len(fresh) > MEMO_WORDS:
             memo.clear()
-            new = list({w for words in split for w in words})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[w] = array.array("I", e.ids).tobytes()
+            memo[b""] = b""
+            fresh = [w for w in new if w]
+        self.learn(fresh)
         get = memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
