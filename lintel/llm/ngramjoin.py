@@ -8,9 +8,11 @@ How it works, on all rows and exactly:
 
 1. Equal sets become one class, named by its smallest doc_id; only classes go on.
 2. Shingles are ordered from rare to frequent by a counting sketch of fixed size, ties by hash. Linked classes share a shingle
-   among the first n - ceil(t n) + 1 of that order (prefix filter). Classes with identical prefix and size form a group, and a
-   prefix shingle stands once per group.
-3. Shingles of two groups or more, and groups of two classes or more, are blocks. Members are expanded per block and size bin.
+   among the first n - ceil(t n) + 1 of that order (prefix filter), and l among the first n - ceil(t n) + l; l is 1 and EXTRA
+   percent of n. Classes with identical prefix and size form a group, and a prefix shingle stands once per group.
+3. Of a group's prefix, the shingles that other groups' prefixes have too are counted exactly. A group with fewer than it must
+   share with a partner has none; of the others, all but so many of the rarest are left out (prefix filter again).
+   These shingles, and groups of two classes or more, are blocks. Members are expanded per block and size bin.
 4. Blocks are resolved round by round. In a round each block compares one hub with its other members and drops the hub; what
    links is merged into components, and a block whose members are all in one component is done. So a block of thousands of
    near copies takes about as many comparisons as it has members. Once few pairs are left, all of them are compared.
@@ -28,7 +30,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, staged
@@ -39,7 +41,9 @@ BROADCAST_IDS = 2_000_000
 #: The sketch has as many counters as documents, within these powers of two.
 LEAST_BITS, MOST_BITS, CHUNK = 16, 23, 1024
 #: Pairs that are compared at once, per remaining block row, rather than in another hub round.
-DIRECT = 8
+DIRECT = 4
+#: Percent of a set that prefixes are longer by.
+EXTRA = 4
 #: Buckets of a set's histogram.
 BUCKETS = 128
 _TOP = np.uint64(64 - 7)
@@ -126,7 +130,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, levels: bytes) -> DataFrame:
                 found = shingles(text, k)
                 if doc is None or not len(found):
                     continue
-                first = len(found) - needed(len(found), percent) + 1
+                first = len(found) - needed(len(found), percent) + 1 + EXTRA * len(found) // 100
                 order = np.lexsort((found, level[(found & mask).astype(np.int64)]))[:first]
                 head = found[order]
                 gid = np.uint64(xxhash.xxh3_64_intdigest(head.tobytes() + len(found).to_bytes(8, "little"))).astype(np.int64)
@@ -157,9 +161,13 @@ def blocks(heads: DataFrame, percent: int) -> DataFrame:
     """key, rid, n, low of every member of every block; ``low`` rows are the smaller neighbours of a block's size bin."""
     groups = heads.groupBy("gid", "n").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix"))
     groups = staged(groups, "groups")
-    postings = groups.select("gid", "rid", "n", "members", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    by_token = postings.join(shared, "token").select("gid", "rid", "n", "members", "token")
+    postings = groups.select("gid", F.explode("prefix").alias("token"))
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = Window.partitionBy("gid")
+    partner = F.floor((F.col("n") * percent + 99) / 100)  # the smallest size that can link
+    live = postings.join(shared, "token").join(groups.select("gid", "rid", "n", "members"), "gid").withColumn("must", (1 + F.floor(partner * EXTRA / 100)).cast("long"))
+    ranked = live.withColumn("has", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("c", "token")))
+    by_token = staged(ranked.where("rank <= has - must + 1").select("gid", "rid", "n", "members", "token"), "rare")
     alone = by_token.where("members = 1").select("token", "rid", "n")
     many = groups.where("members > 1")
     expanded = by_token.where("members > 1").select("gid", "token").unionByName(many.select("gid", F.col("gid").alias("token"))).join(heads.select("gid", "rid", "n"), "gid")
