@@ -1,6 +1,281 @@
-"""Registered queries of the engine and their SQL counterparts."""
+"""Registered queries of the engine and their SQL counterparts.
+
+Statements are made from the rows of ``events`` by one expression that both engines read; catalogs are small VALUES relations.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import lex, names
+from ..operators import catalog, diff, dupes, fixes, impact, rules, timeline
+from ..streaming import stream
+
+SYN = """SELECT event_id AS doc_id, user_id, CASE event_type
+ WHEN 'error' THEN 'DELETE FROM users'
+ WHEN 'click' THEN 'SELECT * FROM orders WHERE id = ' || CAST(user_id AS STRING)
+ WHEN 'view' THEN CASE user_id % 3 WHEN 0 THEN 'TRUNCATE TABLE sessions' WHEN 1 THEN 'DROP TABLE audit_log' ELSE 'DROP INDEX idx_users' END
+ WHEN 'purchase' THEN CASE user_id % 2 WHEN 0 THEN 'UPDATE products SET price = 1' ELSE 'UPDATE products SET price = 2 WHERE id = 7' END
+ ELSE CASE user_id % 5 WHEN 0 THEN 'ALTER TABLE users ADD COLUMN age INT NOT NULL' WHEN 1 THEN 'ALTER TABLE users DROP COLUMN phone'
+  WHEN 2 THEN 'ALTER TABLE users RENAME COLUMN mail TO email' WHEN 3 THEN 'ALTER TABLE users ADD COLUMN note INT NOT NULL DEFAULT 0'
+  ELSE 'INSERT INTO invoices (id, total) VALUES (1, 2)' END END AS sql FROM events"""
+CAT_A = "('a','users','id',0,'INTEGER',false,true,false,NULL,NULL),('a','users','phone',1,'VARCHAR(20)',true,false,false,NULL,NULL),('a','users','email',2,'VARCHAR(50)',true,false,false,NULL,NULL),('a','orders','id',0,'INTEGER',false,true,false,NULL,NULL),('a','orders','user_id',1,'INTEGER',false,false,true,'users','id'),('a','orders','total',2,'DECIMAL(10,2)',true,false,false,NULL,NULL),('a','products','id',0,'INTEGER',false,true,false,NULL,NULL),('a','products','price',1,'INTEGER',true,false,false,NULL,NULL),('a','sessions','id',0,'UUID',false,true,false,NULL,NULL),('a','contacts','phone_ref',0,'VARCHAR(20)',true,false,true,'users','phone')"
+CAT_B = "('b','users','id',0,'BIGINT',false,true,false,NULL,NULL),('b','users','mobile',1,'TEXT',true,false,false,NULL,NULL),('b','users','email',2,'TEXT',false,false,false,NULL,NULL),('b','orders','id',0,'INTEGER',false,true,false,NULL,NULL),('b','orders','user_id',1,'TEXT',false,false,true,'users','id'),('b','orders','total',2,'DOUBLE',true,false,false,NULL,NULL),('b','inventory','id',0,'INTEGER',false,true,false,NULL,NULL)"
+CAT_COLS = "schema_id, table_name, column_name, ordinal, data_type, nullable, is_pk, is_fk, ref_table, ref_column"
+SIZES = "('users',50000),('orders',2000000),('products',200000),('sessions',50),('audit_log',0)"
+TYPES = "('varchar(10)','text'),('integer','float'),('integer','json'),('uuid','text'),('bigint','smallint'),('blob','bytea'),('timestamp','date'),('money','xml'),('text','integer'),('DECIMAL(10,2)','numeric')"
+
+
+def vals(body: str, cols: str) -> str:
+    return f"(SELECT * FROM (VALUES {body}) AS v({cols}))"
+
+
+A, B, S, TY = vals(CAT_A, CAT_COLS), vals(CAT_B, CAT_COLS), vals(SIZES, "table_name, row_count"), vals(TYPES, "a, b")
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rows(spark: SparkSession, sql: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {sql}")
+
+
+def syn(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    return spark.sql(SYN.replace("FROM events", "FROM {e}"), e=e)
+
+
+def stm(spark: SparkSession, d: str) -> DataFrame:
+    return lex.split_statements(syn(spark, d))
+
+
+def rule_query(code: str, name: str, sql_test: str):
+    k = next(i for i, r in enumerate(rules.PATTERN_RULES) if r[0] == code)
+
+    def run(spark, d):
+        r = rules.PATTERN_RULES[k]
+        return syn(spark, d).where(rules.fires(lex.clause_mask(F.col("sql")), r[1], r[5])).select("doc_id", F.lit(code).alias("code"))
+
+    run.__name__ = name
+    query(f"SELECT doc_id, '{code}' AS code FROM ({SYN}) WHERE {sql_test}")(run)
+
+
+hit = lambda p: f"regexp_matches(sql, '{p}', 'i')"
+TESTS = {
+    "DBS-DESTRUCT-001": ("drop_rule", hit(r"\bDROP\s+(TABLE|DATABASE)\b")),
+    "DBS-DESTRUCT-001b": ("drop_column_rule", hit(r"\bDROP\s+COLUMN\b")),
+    "DBS-DESTRUCT-002": ("truncate_rule", hit(r"\bTRUNCATE\b")),
+    "DBS-DESTRUCT-003": ("delete_without_where", hit(r"\bDELETE\s+FROM\b") + " AND NOT " + hit(r"\bWHERE\b") + " AND NOT " + hit(r"\bLIMIT\b")),
+    "DBS-DESTRUCT-004": ("update_without_where", hit(r"\bUPDATE\s+\w+\s+SET\b") + " AND NOT " + hit(r"\bWHERE\b") + " AND NOT " + hit(r"\bLIMIT\b")),
+    "DBS-SCHEMA-005": ("not_null_no_default", hit(r"\bALTER\s+TABLE\s+\w+\s+ADD\s+(COLUMN\s+)?\w+\s+\w+\s+NOT\s+NULL") + " AND NOT " + hit("DEFAULT")),
+    "DBS-PERF-001": ("drop_index_rule", hit(r"\bDROP\s+INDEX\b")),
+    "DBS-PERF-002": ("select_star_rule", hit(r"\bSELECT\s+\*")),
+    "DBS-BREAK-001": ("rename_rule", hit(r"\bALTER\s+TABLE\s+\w+\s+RENAME\b")),
+}
+for _code, (_name, _test) in TESTS.items():
+    rule_query(_code, _name, _test)
+
+
+@query("SELECT doc_id, code, start_offset FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS code, CASE WHEN '{c}' = 'DBS-DESTRUCT-001b' THEN strpos(sql, 'DROP') - 1 ELSE 0 END AS start_offset FROM ({SYN}) WHERE {t}" for c, (_, t) in TESTS.items()) + ")")
+def diagnostics_dedup(spark, d):
+    return rules.first_per_place(rules.pattern_findings(stm(spark, d))).select("doc_id", "code", "start_offset")
+
+
+@query(f"SELECT doc_id, upper(split_part(sql, ' ', 1)) AS operation, upper(split_part(sql, ' ', 1)) IN ('DELETE','DROP','TRUNCATE','ALTER') AS is_destructive FROM ({SYN})")
+def statement_operation(spark, d):
+    return syn(spark, d).select("doc_id", lex.operation(F.col("sql")).alias("operation"), lex.is_destructive(F.col("sql")).alias("is_destructive"))
+
+
+@query(f"SELECT doc_id, regexp_extract(sql, '(FROM|INTO|UPDATE|TABLE)\\s+(\\w+)', 2) AS table_name FROM ({SYN}) WHERE sql NOT LIKE 'DROP INDEX%'")
+def statement_tables(spark, d):
+    return syn(spark, d).select("doc_id", F.explode(lex.parsed_tables(F.col("sql"))).alias("table_name"))
+
+
+@query(f"SELECT doc_id, 0 AS stmt_idx, sql || '      x' AS clause_mask, 0 AS start_offset FROM ({SYN}) UNION ALL SELECT doc_id, 1, 'SELECT        FROM t', length(sql) + 8 FROM ({SYN})")
+def split_and_mask(spark, d):
+    two = syn(spark, d).select("doc_id", F.concat("sql", F.lit("/*;*/ x;SELECT 'a;-b' FROM t")).alias("sql"))
+    return lex.split_statements(two).select("doc_id", "stmt_idx", "clause_mask", "start_offset")
+
+
+@query(f"SELECT DISTINCT doc_id, t AS table_name FROM (SELECT doc_id, sql, lower(regexp_extract(sql, '(FROM|INTO|UPDATE|ALTER TABLE|DROP TABLE|TRUNCATE TABLE)\\s+(\\w+)', 2)) AS t FROM ({SYN})) WHERE t <> '' AND t NOT IN (SELECT table_name FROM {A})")
+def unknown_table(spark, d):
+    return rules.unknown_tables(stm(spark, d), rows(spark, A)).select("doc_id", "table_name")
+
+
+@query(f"SELECT doc_id, 'products' AS table_name, 'cost' AS column_name FROM ({SYN}) WHERE sql LIKE 'UPDATE%'")
+def unknown_column(spark, d):
+    changed = stm(spark, d).withColumn("parse_mask", F.regexp_replace("parse_mask", "SET price", "SET cost"))
+    return rules.unknown_columns(changed, rows(spark, A)).select("doc_id", "table_name", "column_name")
+
+
+@query(f"SELECT doc_id, 'users' AS table_name, 'phone' AS column_name, 'contacts.phone_ref' AS dependents FROM ({SYN}) WHERE sql LIKE '%DROP COLUMN phone'")
+def fk_dependents(spark, d):
+    return rules.fk_dependents(stm(spark, d), rows(spark, A)).select("doc_id", "table_name", "column_name", "dependents")
+
+
+@query(f"SELECT doc_id, 'users' AS table_name, 'age' AS column_name FROM ({SYN}) WHERE sql LIKE '%ADD COLUMN age%'")
+def duplicate_add_column(spark, d):
+    known = rows(spark, A).unionByName(rows(spark, A).where("column_name = 'email'").withColumn("column_name", F.lit("age")))
+    return rules.duplicate_columns(stm(spark, d), known).select("doc_id", "table_name", "column_name")
+
+
+@query(f"SELECT doc_id, 'users' AS table_name, 'warning' AS severity FROM ({SYN}) WHERE sql LIKE '%age INT NOT NULL'")
+def not_null_by_rows(spark, d):
+    return rules.not_null_without_default(stm(spark, d), rows(spark, S)).select("doc_id", "table_name", "severity")
+
+
+_FULL = f"(SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, a.data_type AS ta, b.data_type AS tb, a.nullable AS na, b.nullable AS nb FROM {A} a FULL OUTER JOIN {B} b ON a.table_name = b.table_name AND a.column_name = b.column_name WHERE coalesce(a.table_name, b.table_name) IN (SELECT table_name FROM {A}) AND coalesce(a.table_name, b.table_name) IN (SELECT table_name FROM {B}))"
+_BASE = "trim(regexp_replace(lower({}), '\\([^)]*\\)', ''))"
+_GROUP = lambda c: "CASE WHEN " + " WHEN ".join(f"{_BASE.format(c)} IN ({', '.join(repr(t) for t in g)}) THEN '{k}'" for k, g in enumerate(names.MERGE_GROUPS)) + f" ELSE {_BASE.format(c)} END"
+_DIFF = f"SELECT table_name, NULL AS column_name, 'missing_table' AS conflict_type FROM (SELECT DISTINCT table_name FROM {A} WHERE table_name NOT IN (SELECT table_name FROM {B}) UNION ALL SELECT DISTINCT table_name FROM {B} WHERE table_name NOT IN (SELECT table_name FROM {A})) UNION ALL SELECT table_name, column_name, 'missing_column' FROM {_FULL} WHERE ta IS NULL OR tb IS NULL UNION ALL SELECT table_name, column_name, 'type_mismatch' FROM {_FULL} WHERE {_GROUP('ta')} <> {_GROUP('tb')} UNION ALL SELECT table_name, column_name, 'nullable_difference' FROM {_FULL} WHERE na <> nb"
+
+
+@query(_DIFF)
+def schema_diff(spark, d):
+    return diff.conflicts(rows(spark, A), rows(spark, B)).select("table_name", "column_name", "conflict_type")
+
+
+@query(f"SELECT conflict_type, count(*) AS n FROM ({_DIFF}) GROUP BY 1")
+def conflict_counts(spark, d):
+    return schema_diff(spark, d).groupBy("conflict_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RANK = lambda c: f"list_position([{', '.join(repr(t) for t in names.GENERALITY)}], {_BASE.format(c)})"
+_PREF = lambda a, b: f"CASE WHEN {_RANK(a)} IS NULL OR {_RANK(a)} = 0 THEN {a} WHEN {_RANK(b)} IS NULL OR {_RANK(b)} = 0 THEN {b} WHEN {_RANK(a)} <= {_RANK(b)} THEN {a} ELSE {b} END"
+
+
+@query(f"SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, CASE WHEN a.data_type IS NULL THEN b.data_type WHEN b.data_type IS NULL THEN a.data_type ELSE {_PREF('a.data_type', 'b.data_type')} END AS data_type, coalesce(a.nullable, false) OR coalesce(b.nullable, false) AS nullable FROM {A} a FULL OUTER JOIN {B} b ON a.table_name = b.table_name AND a.column_name = b.column_name")
+def unified_schema(spark, d):
+    return diff.unified(rows(spark, A), rows(spark, B))
+
+
+_FAM = lambda c: "CASE WHEN " + " WHEN ".join(f"{_BASE.format(c)} IN ({', '.join(repr(t) for t in g)}) THEN '{k}'" for k, g in names.FAMILIES.items()) + " ELSE 'unknown' END"
+
+
+@query(f"SELECT a, b, {_FAM('a')} AS family, {_PREF('a', 'b')} AS preferred, CASE WHEN lower(a) = lower(b) OR {_FAM('a')} = {_FAM('b')} THEN 'compatible' WHEN ({_FAM('a')}) || '>' || ({_FAM('b')}) IN ({', '.join(repr(x + '>' + y) for x, y in names.CASTABLE)}) THEN 'castable' ELSE 'incompatible' END AS level FROM {TY}")
+def type_rules(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return rows(spark, TY).select("a", "b", names.type_family(a).alias("family"), names.preferred_type(a, b).alias("preferred"), names.type_compatibility(a, b).alias("level"))
+
+
+@query("SELECT o_orderkey, coalesce(a_price, b_price) AS price, coalesce(a_status, b_status) AS status FROM (SELECT o_orderkey, o_totalprice AS a_price, o_orderstatus AS a_status FROM orders WHERE o_orderkey % 3 <> 0) FULL OUTER JOIN (SELECT o_orderkey, -o_totalprice AS b_price, 'B' AS b_status FROM orders WHERE o_orderkey % 2 = 0) USING (o_orderkey)")
+def existing_wins_merge(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    return catalog.existing_wins(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").select("o_orderkey", (-F.col("price")).alias("price"), F.lit("B").alias("status")), ["o_orderkey"])
+
+
+@query(f"SELECT table_name, column_name FROM {A} WHERE table_name IN ('orders', 'users')")
+def pruned_catalog(spark, d):
+    return catalog.pruned(rows(spark, A), spark.createDataFrame([("Orders",)], "table_name string")).select("table_name", "column_name")
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || '--' || p_brand || '!'), '[^a-z0-9]+', '_', 'g'), '_') AS norm, CASE WHEN lower(p_type) LIKE '%s' AND lower(p_type) NOT LIKE '%ss' THEN p_type WHEN regexp_matches(lower(p_type), '[^aeiou]y$') THEN p_type[:-2] || 'ies' WHEN regexp_matches(lower(p_type), '(s|sh|ch|x|z)$') THEN p_type || 'es' ELSE p_type || 's' END AS plural, lower(regexp_replace(regexp_replace('My' || p_type, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z\\d])([A-Z])', '\\1_\\2', 'g')) AS snake FROM part")
+def name_forms(spark, d):
+    return read(spark, d, "part").select("p_partkey", names.normal(F.concat("p_name", F.lit("--"), "p_brand", F.lit("!"))).alias("norm"), names.pluralize(F.col("p_type")).alias("plural"), names.snake_case(F.concat(F.lit("My"), "p_type")).alias("snake"))
+
+
+_LEV = "1 - levenshtein(a, b)::double / greatest(length(a), length(b))"
+
+
+@query(f"SELECT a, b, {_LEV} AS sim FROM (SELECT DISTINCT lower(p_name) AS a FROM part) CROSS JOIN (SELECT DISTINCT lower(p_name) AS b FROM part) WHERE a < b AND {_LEV} >= 0.75")
+def fuzzy_pairs(spark, d):
+    return dupes.fuzzy_pairs(read(spark, d, "part"), "p_name")
+
+
+@query("WITH s AS (SELECT DISTINCT p_brand AS g, p_name AS i FROM part), n AS (SELECT g, count(*) AS c FROM s GROUP BY 1) SELECT x.g AS a, y.g AS b, count(*)::double / (any_value(p.c) + any_value(q.c) - count(*)) AS jaccard FROM s x JOIN s y ON x.i = y.i AND x.g < y.g JOIN n p ON p.g = x.g JOIN n q ON q.g = y.g GROUP BY 1, 2")
+def jaccard_groups(spark, d):
+    return dupes.jaccard_pairs(read(spark, d, "part"), "p_brand", "p_name")
+
+
+@query(f"SELECT schema_id, m AS meaning, table_name, column_name FROM (SELECT *, count(*) OVER (PARTITION BY schema_id, m) AS n FROM (SELECT *, CASE WHEN column_name IN ('phone', 'mobile') THEN 'phone' WHEN column_name = 'email' THEN 'email' WHEN column_name IN ('total', 'price') THEN 'amount' END AS m FROM (SELECT * FROM {A} UNION ALL SELECT * FROM {B})) WHERE m IS NOT NULL) WHERE n >= 2")
+def synonym_groups(spark, d):
+    return dupes.synonym_groups(rows(spark, A).unionByName(rows(spark, B))).select("schema_id", "meaning", "table_name", "column_name")
+
+
+@query("""SELECT 'amount' AS meaning, 'ALTER TABLE "orders" RENAME COLUMN "total" TO "amount";' || chr(10) || 'ALTER TABLE "products" RENAME COLUMN "price" TO "amount";' AS up_sql, 'high' AS risk_level""")
+def migration_sql(spark, d):
+    return dupes.consolidation_sql(dupes.synonym_groups(rows(spark, A))).select("meaning", "up_sql", "risk_level")
+
+
+_SCORE = "(least(2.0::double * (CASE WHEN sql LIKE 'DROP %' THEN 1 WHEN sql LIKE '%DROP COLUMN%' THEN 1 WHEN sql LIKE '%RENAME COLUMN%' THEN 1 WHEN sql LIKE '%NOT NULL' THEN 1 WHEN sql LIKE 'DELETE%' THEN 1 WHEN sql LIKE 'TRUNCATE%' THEN 1 ELSE 0 END), 4) + CASE WHEN sql LIKE '% orders %' THEN 0.5::double ELSE 0 END + CASE WHEN (sql LIKE 'DELETE%' OR sql LIKE 'UPDATE%') AND sql NOT LIKE '%WHERE%' THEN 2 ELSE 0 END + CASE WHEN sql LIKE '%DROP COLUMN%' THEN 1 ELSE 0 END) * CASE WHEN sql LIKE '% orders %' THEN 1.5::double WHEN sql LIKE '%products%' THEN 1.25 WHEN sql LIKE '% users%' THEN 1.1 ELSE 1 END"
+_LEVEL = "CASE WHEN score >= 8 THEN 'critical' WHEN score >= 6 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END"
+
+
+@query(f"SELECT doc_id, score, {_LEVEL} AS level FROM (SELECT doc_id, least(greatest(floor({_SCORE} + 0.5)::int, 1), 10) AS score FROM ({SYN}))")
+def risk_score(spark, d):
+    done = impact.analyze(syn(spark, d).select(F.col("doc_id").alias("stmt_id"), "sql"), rows(spark, A), rows(spark, S))
+    return done.select(F.col("stmt_id").alias("doc_id"), "score", "level")
+
+
+@query(f"SELECT doc_id, CASE WHEN sql LIKE 'DROP %' THEN '-- take a backup first' WHEN sql LIKE '%DROP COLUMN%' THEN 'ALTER TABLE users ADD COLUMN phone TEXT;' WHEN sql LIKE '%ADD COLUMN age%' THEN 'ALTER TABLE users DROP COLUMN age;' WHEN sql LIKE '%ADD COLUMN note%' THEN 'ALTER TABLE users DROP COLUMN note;' WHEN sql LIKE '%RENAME%' THEN 'ALTER TABLE users RENAME COLUMN email TO mail;' WHEN sql LIKE 'DELETE%' OR sql LIKE 'TRUNC%' THEN '-- take a backup first' END AS undo FROM ({SYN})")
+def rollback_sql(spark, d):
+    return syn(spark, d).select("doc_id", impact.rollback(F.col("sql"))["sql"].alias("undo"))
+
+
+@query(f"SELECT doc_id, CASE WHEN (sql LIKE 'DELETE%' OR sql LIKE 'UPDATE%') AND sql NOT LIKE '%WHERE%' THEN sql || ' WHERE 1 = 0 /* TODO: add real predicate */' WHEN sql LIKE 'DROP TABLE%' THEN 'ALTER TABLE audit_log ADD COLUMN deleted_at TIMESTAMP NULL' WHEN sql LIKE '% NOT NULL%' THEN replace(sql, ' NOT NULL', '') END AS fix FROM ({SYN})")
+def quick_fixes(spark, d):
+    return syn(spark, d).select("doc_id", fixes.quick_fix(F.col("sql")).alias("fix"))
+
+
+@query("WITH t AS (SELECT n_name AS term FROM nation UNION ALL SELECT unnest(['the', 'von', 'elle', 'mente'])), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), h AS (SELECT term, CAST(doc_id AS STRING) AS path, line_no FROM l, t WHERE list_contains(regexp_extract_all(lower(line), '([a-z0-9_]+)'), lower(term))) SELECT term, path, min(line_no) AS line_no FROM h GROUP BY 1, 2")
+def dep_scan(spark, d):
+    lines = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("k", "line")).select("path", (F.col("k") + 1).cast("long").alias("line_no"), "line")
+    terms = read(spark, d, "nation").select(F.col("n_name").alias("term")).union(spark.createDataFrame([(t,) for t in ("the", "von", "elle", "mente")], "term string"))
+    return impact.dependency_scan(lines, terms).select("term", "path", "line_no")
+
+
+@query("SELECT CAST(doc_id AS STRING) AS path, term FROM documents, (SELECT unnest(['users', 'that', 'und']) AS term) WHERE NOT contains(lower(text), term)")
+def doc_drift(spark, d):
+    return impact.doc_drift(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), ["users", "that", "und"])
+
+
+@query("SELECT day, event_type, n, n - coalesce(lag(n) OVER (PARTITION BY event_type ORDER BY day), 0) AS change FROM (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2)")
+def timeline_changes(spark, d):
+    per = read(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return timeline.versus_previous(per, ["event_type"], "day", "n").select("day", "event_type", "n", "change")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 50")
+def history_keep_50(spark, d):
+    return timeline.keep_latest(read(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id")
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, s")
+def debounce_sessions(spark, d):
+    return stream.debounced(read(spark, d, "events"), "user_id", "ts", "30 minutes").select("user_id", "n")
+
+
+@query("SELECT event_id, coalesce(event_type = lag(event_type) OVER w AND ts < lag(ts) OVER w + INTERVAL 1 HOUR, false) AS hit FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
+def cache_hits(spark, d):
+    return stream.cache_hits(read(spark, d, "events"), "user_id", "event_type", "ts", 3600).select("event_id", "hit")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def alert_once(spark, d):
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    return read(spark, d, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_type", "event_id")
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
+def html_escape(spark, d):
+    return read(spark, d, "pages").select("page_id", lex.html_escape(F.col("html")).alias("escaped"))
+
+
+@query("SELECT event_id, 'SELECT a FROM t WHERE u = ?' AS sql FROM events")
+def embedded_sql(spark, d):
+    line = F.concat(F.lit("db.run(`SELECT a FROM t WHERE u = ${u"), F.col("user_id"), F.lit("}`, \"DROP TABLE x\")"))
+    return read(spark, d, "events").select("event_id", lex.embedded_sql(line).alias("sql"))
