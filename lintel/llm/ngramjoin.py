@@ -40,8 +40,8 @@ K, PERCENT = 3, 90
 BROADCAST_IDS = 2_000_000
 #: The sketch has as many counters as documents, within these powers of two.
 LEAST_BITS, MOST_BITS, CHUNK = 16, 23, 1024
-#: Pairs that are compared at once, per remaining block row, rather than in another hub round.
-DIRECT = 4
+#: Pairs that are compared at once, per remaining block row and at least, rather than in another hub round.
+DIRECT, AT_LEAST = 4, 50_000
 #: Percent of a set that prefixes are longer by.
 EXTRA = 4
 #: Buckets of a set's histogram.
@@ -235,7 +235,7 @@ def resolve(rows: DataFrame, heads: DataFrame, texts: DataFrame, k: int, percent
         left = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("pairs")).first()
         if not left["n"]:
             break
-        last = left["pairs"] <= allowed * left["n"] + 50_000
+        last = left["pairs"] <= allowed * left["n"] + AT_LEAST
         fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("comp") != F.col("other_comp"))
         sides = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         if last:
