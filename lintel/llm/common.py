@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +14,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a batch that Python handles at a time; texts of some 100 kB each still fit in memory.
-SLICE_ROWS = 500
+SLICE_ROWS = 250
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,10 +51,20 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed, earlier tasks' included, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc: nothing to trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    give_back()
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
