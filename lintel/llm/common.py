@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a batch that Python handles at a time; texts of some 100 kB each still fit in memory.
 SLICE_ROWS = 250
+#: Rows of an Arrow batch between the JVM and Python.
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,8 +32,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lintel-{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that executors and their workers hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
+    small_batches(df.sparkSession)
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -68,4 +76,5 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
