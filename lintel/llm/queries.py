@@ -53,4 +53,26 @@ QUERIES = {
     f.__name__: f
     for f in (op1_language_id, op2_warc_normaliser, op3_vantage_point_search, op4_license_scan, op5_source_mixing, op6_best_fit_packing, op7_url_filter, op8_media_container, op9_ngram_jaccard_join, op10_quality_classifier)
 }
-ORACLES: dict[str, str] = {}
+
+#: DuckDB SQL of the whole results. The other operators' results hang on learned models, hashes of Spark or packing order.
+ORACLES: dict[str, str] = {
+    "op2_warc_normaliser": r"""
+        WITH p AS (SELECT page_id::BIGINT AS page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        r AS (SELECT *, row_number() OVER w AS k, min(page_id) OVER w AS first_id FROM p WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id))
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN k > 1 AND payload_bytes >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN k > 1 AND payload_bytes >= 100 THEN first_id END AS refers_to
+        FROM r""",
+    "op9_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id::BIGINT AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g FROM d),
+        c AS (SELECT g, min(doc_id) AS rid, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+        t AS (SELECT rid, n, unnest(g) AS shingle FROM c),
+        links AS (SELECT x.rid AS a, y.rid AS b FROM t x JOIN t y ON x.shingle = y.shingle AND x.rid < y.rid AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+            GROUP BY x.rid, y.rid, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT rid, rid AS other FROM c UNION SELECT reach.rid, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.other),
+        named AS (SELECT rid, min(other) AS component_id FROM reach GROUP BY rid)
+        SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(named.component_id, s.doc_id) AS component_id
+        FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN named ON named.rid = c.rid""",
+}
