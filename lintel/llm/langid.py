@@ -56,12 +56,44 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def lattice(words: list[bytes], vocab: dict[bytes, int]) -> np.ndarray:
+class Trie:
+    """A vocabulary's pieces by their first bytes: a sorted array of (node, byte) edges, and each node's piece id or 0."""
+
+    def __init__(self, vocab: dict[bytes, int]):
+        nodes, edges = {b"": 0}, []
+        for p in sorted(vocab):
+            for k in range(1, len(p) + 1):
+                if p[:k] not in nodes:
+                    nodes[p[:k]] = len(nodes)
+                    edges.append((nodes[p[: k - 1]] << 8 | p[k - 1], nodes[p[:k]]))
+        edges.sort()
+        self.edge, self.child = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
+        self.piece = np.zeros(len(nodes), np.int32)
+        self.piece[[nodes[p] for p in vocab]] = list(vocab.values())
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes that bytes lead to; -1 where no piece goes on so."""
+        key = node << 8 | byte
+        at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+        return np.where(self.edge[at] == key, self.child[at], -1)
+
+
+def lattice(words: list[bytes], vocab: dict[bytes, int] | Trie) -> np.ndarray:
     """ids[w, start, size - 1] of the pieces in words of one length; 0 where there is none."""
-    n, k = len(words[0]), min(len(words[0]), LONGEST_PIECE)
-    get = vocab.get
-    spans = [(i, i + s if i + s <= n else i) for i in range(n) for s in range(1, k + 1)]
-    return np.array([[get(w[i:j], 0) for i, j in spans] for w in words], np.int32).reshape(len(words), n, k)
+    trie = vocab if isinstance(vocab, Trie) else Trie(vocab)
+    count, n = len(words), len(words[0])
+    text = np.frombuffer(b"".join(words), np.uint8).reshape(count, n).astype(np.int64)
+    ids = np.zeros((count, n, min(n, LONGEST_PIECE)), np.int32)
+    w, start = (at.ravel() for at in np.indices((count, n)))
+    node = np.zeros(count * n, np.int64)
+    for size in range(1, ids.shape[2] + 1):
+        inside = start + size <= n
+        w, start = w[inside], start[inside]
+        node = trie.step(node[inside], text[w, start + size - 1])
+        on = node >= 0
+        w, start, node = w[on], start[on], node[on]
+        ids[w, start, size - 1] = trie.piece[node]
+    return ids
 
 
 def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
@@ -118,7 +150,8 @@ def fit(samples: list[tuple[str, str]], vocab: dict[bytes, int], rounds: int = E
     prob = np.zeros((len(vocab) + 1, len(langs)))
     lengths = np.array([0, *(len(p) for p in sorted(vocab, key=vocab.get))], float)
     prob[1:] = (0.02 ** (1 / lengths[1:]))[:, None] / len(vocab)  # a start that prefers long pieces
-    groups = [(lattice(ws[i : i + 4000], vocab), np.array([counts[w] for w in ws[i : i + 4000]])) for ws in by_length(sorted(counts)).values() for i in range(0, len(ws), 4000)]
+    trie = Trie(vocab)
+    groups = [(lattice(ws[i : i + 4000], trie), np.array([counts[w] for w in ws[i : i + 4000]])) for ws in by_length(sorted(counts)).values() for i in range(0, len(ws), 4000)]
     for _ in range(rounds):
         found = sum(expected_counts(ids, prob, weight) for ids, weight in groups) if groups else np.zeros_like(prob)
         prob[1:] = found[1:] + SMOOTHING
@@ -128,35 +161,45 @@ def fit(samples: list[tuple[str, str]], vocab: dict[bytes, int], rounds: int = E
 
 
 class Scorer:
-    """Scores texts under every language; remembers common words."""
+    """Scores texts under every language; remembers the rows of common words in a table."""
 
-    def __init__(self, vocab: dict[bytes, int], prob: np.ndarray):
-        self.vocab, self.prob, self.memo = vocab, prob, {}
+    def __init__(self, vocab: dict[bytes, int] | Trie, prob: np.ndarray):
+        self.trie, self.prob = vocab if isinstance(vocab, Trie) else Trie(vocab), prob
+        self.at: dict[bytes, int] = {}
+        self.table, self.used = np.empty((0, prob.shape[1])), 0
 
-    def learn_words(self, words: set[bytes]) -> dict[bytes, list[float]]:
-        """Log-probabilities of words by language."""
-        parts: dict[bytes, list[bytes]] = {w: windows(w) for w in words}
+    def learn_words(self, words: list[bytes]) -> None:
+        """Adds the log-probabilities of words by language to the table."""
         score: dict[bytes, np.ndarray] = {}
-        for group in by_length({p for ps in parts.values() for p in ps}).values():
+        for group in by_length({p for w in words for p in windows(w)}).values():
             for i in range(0, len(group), 2000):
                 chunk = group[i : i + 2000]
-                total = np.log(np.maximum(forward(lattice(chunk, self.vocab), self.prob)[-1], 1e-300))
+                total = np.log(np.maximum(forward(lattice(chunk, self.trie), self.prob)[-1], 1e-300))
                 score.update(zip(chunk, total))
-        return {w: score[ps[0]] if len(ps) == 1 else sum(score[p] for p in ps) for w, ps in parts.items()}
+        if self.used + len(words) > len(self.table):
+            grown = np.empty((max(self.used + len(words), min(2 * self.used, MEMO_WORDS)), self.prob.shape[1]))
+            grown[: self.used] = self.table[: self.used]
+            self.table = grown
+        for w in words:
+            self.table[self.used] = sum(score[p] for p in windows(w))
+            self.at[w] = self.used
+            self.used += 1
 
     def totals(self, texts: list[str]) -> list[np.ndarray]:
         """Log-likelihood of each text by language."""
         bags = [Counter(words_of(t)) for t in texts]
-        memo = self.memo
-        new = {w for bag in bags for w in bag if w not in memo}
-        found = self.learn_words(new) if new else {}
-        out = []
-        for bag in bags:
-            rows = [memo[w] if w in memo else found[w] for w in bag]
-            out.append(np.array(list(bag.values()), float) @ np.array(rows) if rows else np.zeros(self.prob.shape[1]))
-        if len(memo) + len(found) > MEMO_WORDS:
-            memo.clear()
-        memo.update((w, v) for w, v in found.items() if len(w) <= MEMO_BYTES)
+        words = {w for bag in bags for w in bag}
+        new = [w for w in words if w not in self.at]
+        if self.used + len(new) > MEMO_WORDS:
+            self.at.clear()
+            self.table, self.used, new = np.empty((0, self.prob.shape[1])), 0, [*words]
+        if new:
+            self.learn_words(new)
+        get = self.at.__getitem__
+        out = [np.fromiter(bag.values(), float, len(bag)) @ self.table[np.fromiter(map(get, bag), np.int64, len(bag))] for bag in bags]
+        for w in new:
+            if len(w) > MEMO_BYTES:
+                del self.at[w]
         return out
 
 
@@ -188,11 +231,11 @@ def fit_model(docs: DataFrame, fit_docs: int = FIT_DOCS, vocab_path: str | None
 def identify(docs: DataFrame, fit_docs: int = FIT_DOCS, vocab_path: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (posterior of lang_pred, 0 to 1), loglik_per_byte of every row of docs."""
     langs, vocab, prob = fit_model(docs, fit_docs, vocab_path)
-    model = docs.sparkSession.sparkContext.broadcast((langs, vocab, prob))  # its size is the vocabulary's
+    model = docs.sparkSession.sparkContext.broadcast((langs, Trie(vocab), prob))  # its size is the vocabulary's
 
     def predict(batches):
-        langs, vocab, prob = model.value
-        scorer = Scorer(vocab, prob)
+        langs, trie, prob = model.value
+        scorer = Scorer(trie, prob)
         for b in slices(batches):
             ids, held, texts = (b.column(k).to_pylist() for k in range(3))
             judge = [bool(langs) and t is not None and has_letter(t) for t in texts]
