@@ -53,14 +53,14 @@ class WordMemo:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
-        """Remembers words. Lower-case letters, maybe with a point or comma behind, are one word to the tokenizer's model."""
+        """Remembers words. Letters, maybe with a point or comma behind, are one word to the tokenizer's model, which knows no capitals."""
         hard, merge = [], self.tokenizer.model.tokenize
         for w in words:
             text = w.decode()
             mark = self.marks.get(text[-1], b"")
             letters = text[:-1] if mark else text
             if letters.isalpha() and (letters.isascii() or (unicodedata.is_normalized("NFC", letters) and letters.lower() == letters)):
-                spelled = letters if letters.isascii() else "".join(map(_BYTE.__getitem__, letters.encode()))
+                spelled = letters.lower() if letters.isascii() else "".join(map(_BYTE.__getitem__, letters.encode()))
                 self.memo[w] = array.array("I", [t.id for t in merge(spelled)]).tobytes() + mark
             else:
                 hard.append(w)

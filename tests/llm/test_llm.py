@@ -222,6 +222,16 @@ def test_packing(spark, documents, odd):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_texts_that_keep_their_case():
+    memo = packing.WordMemo(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    texts = ["<|im_start|>User\nHello The HELLO, World.<|im_end|>", "<|startoftext|>Hello The HELLO", "A<|endoftext|>B <|endoftext|> C  D", "<|ENDOFTEXT|> Straße GROSS. ÀB I\u0307K", "x <| END The's DON'T\tI'LL"]
+    rng = random.Random(6)
+    parts = ["<|", "<|endoftext|>", "<|startoftext|>", "The", "HELLO", "word", "É", "ß", "ΟΔΟΣ", "'S", ".", ",", "7", " ", "\n", "\t"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(500)]
+    want = [np.array(memo.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert memo.encode(texts) == want
+
+
 # 7
 
 
