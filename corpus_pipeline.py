@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def graded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the quality classifier selects."""
-    found = staged(quality.classify(docs, table(spark, sf_dir, "labels")).where(~F.col("selected")).select("doc_id"), "rejected")
+    """Keeps documents that the quality classifier selects as good and not toxic."""
+    found = staged(quality.classify(docs, table(spark, sf_dir, "labels")).where(~F.col("top_selected")).select("doc_id"), "rejected")
     return without(docs, found)
 
 

@@ -1,8 +1,10 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text features.
 
 A text has one score, the sum of shared weights of its hashed words and word shapes; ordered thresholds turn the score into
-P(grade >= k) = sigmoid(score - threshold[k]). That gives the expected grade and the tail probability that documents are
-selected by. Weights and thresholds are learned by gradient descent from a bounded sample of rated documents.
+P(grade >= k) = sigmoid(score - threshold[k]). That gives the expected grade and the tail probabilities that documents are
+selected by: ``selected`` asks for good quality, toxic or not; ``top_selected`` for the top grade besides, good and not toxic,
+with a least probability that keeps KEEP_CLEAN of the held-out documents of that grade. Weights and thresholds are learned by
+gradient descent from a bounded sample of rated documents.
 
 Null or empty text has no features: score 0, so it gets the thresholds' own probabilities, and is not selected. Unrated
 documents are judged alike. Rows of labels with a null rating or unknown document are ignored; of several ratings of a
@@ -27,6 +29,9 @@ FIT_DOCS, BITS, GRADES, EPOCHS = 8000, 17, 3, 12
 RATE, L2, SEED = 0.35, 1e-6, 5
 #: Least tail probability P(grade >= TAIL_GRADE) of a selected document.
 TAIL_GRADE, SELECT = 1, 0.5
+#: Share of held-out documents of the top grade that stay, the parts held out in turn, and the documents of that grade that
+#: choosing the least probability takes; with fewer it is SELECT.
+KEEP_CLEAN, PARTS, LEAST_CLEAN = 0.995, 5, 200
 
 _SHAPE = bytes(0x61 if 0x61 <= c <= 0x7A or c >= 0x80 else 0x41 if 0x41 <= c <= 0x5A else 0x30 if 0x30 <= c <= 0x39 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -132,8 +137,19 @@ def rated(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> list:
     return known.join(marks, "doc_id")
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, bits: int = BITS) -> CumulativeLink | None:
-    """Learns on the driver from the hashed features of the sample; its size is bounded by fit_docs."""
+def least_top(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, part: np.ndarray, bits: int = BITS) -> float:
+    """The least P(top grade) that keeps KEEP_CLEAN of the rows of that grade, each under a model of the other parts' rows."""
+    if (grades == GRADES - 1).sum() < LEAST_CLEAN:
+        return SELECT
+    found = []
+    for k in np.unique(part):
+        link = fit([r for r, own in zip(rows, part) if own != k], grades[part != k], bits=bits)
+        found += [link.score(*rows[i]) - link.thresholds[-1] for i in np.flatnonzero((part == k) & (grades == GRADES - 1))]
+    return float(1 / (1 + np.exp(-np.quantile(found, 1 - KEEP_CLEAN))))
+
+
+def fit_model(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, bits: int = BITS) -> tuple[CumulativeLink, float] | None:
+    """The model and the least P(top grade), learned on the driver from the hashed features of a sample bounded by fit_docs."""
 
     def featured(batches):
         make = Features(bits)
@@ -146,15 +162,16 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, bits
     if not rows:
         return None
     pairs = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in rows]
-    return fit(pairs, np.array([r["grade"] for r in rows]), bits=bits)
+    grades, part = np.array([r["grade"] for r in rows]), np.array([zlib.crc32(b"%d" % r["doc_id"]) % PARTS for r in rows])
+    return fit(pairs, grades, bits=bits), least_top(pairs, grades, part, bits)
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, bits: int = BITS, select: float = SELECT) -> DataFrame:
-    """doc_id, score, expected_grade, tail_1, tail_2 (P(grade >= 1 and 2)), selected of every row of docs."""
+    """doc_id, score, expected_grade, tail_1, tail_2 (P(grade >= 1 and 2)), selected, top_selected of every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, fit_docs, bits))  # 2 ** bits weights
 
     def judge(batches):
-        link, make = model.value, Features(bits)
+        (link, top), make = model.value or (None, 0.0), Features(bits)
         for b in slices(batches):
             texts = b.column(1).to_pylist()
             found = [make(t) for t in texts]
@@ -162,6 +179,6 @@ def classify(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, bits:
             scores = np.array([link.score(*f) if link else 0.0 for f in found])
             tails = link.tails(scores) if link else np.ones((len(texts), GRADES - 1))
             chosen = (tails[:, TAIL_GRADE - 1] >= select) & full
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(chosen)], ["doc_id", "score", "expected_grade", "tail_1", "tail_2", "selected"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(chosen), pa.array(chosen & (tails[:, -1] >= top))], ["doc_id", "score", "expected_grade", "tail_1", "tail_2", "selected", "top_selected"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, "doc_id long, score double, expected_grade double, tail_1 double, tail_2 double, selected boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, "doc_id long, score double, expected_grade double, tail_1 double, tail_2 double, selected boolean, top_selected boolean")

@@ -371,6 +371,18 @@ def test_quality_held_out_accuracy(spark):
     assert got[got.quality == 1].selected.mean() > 0.98
 
 
+def test_toxic_documents_are_not_top(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = quality.classify(docs, labels.where("doc_id % 3 != 0")).join(labels.where("doc_id % 3 = 0"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    good = got[got.quality == 1]
+    clean, toxic = good[good.toxic == 0], good[good.toxic == 1]
+    assert clean.top_selected.mean() > 0.98 and toxic.top_selected.mean() < 0.5
+    assert got[got.quality == 0].top_selected.mean() < 0.03 and not (got.top_selected & ~got.selected).any()
+    told = toxic[toxic.text.str.contains(r"(?i)\b(?:trash|pathetic|idiot|disgusting|worthless|clown|loser|scum|stupid|moron)\b")]
+    assert len(told) > 50 and told.top_selected.mean() < 0.1
+
+
 def test_quality_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(9003, 1, 0), (9004, 0, 0), (99, 1, 1), (None, 1, 0), (9006, None, 1), (9003, 0, None)], none.schema)
