@@ -1,14 +1,16 @@
 """ISO media containers: writing a track of fixed-size samples, and reading the container's tables without the payload.
 
 ``probe`` walks nested boxes (32- and 64-bit sizes, boxes that run to the end), decodes the sample tables (sizes, chunks,
-times, sync samples) and gives codec, duration and the byte ranges of keyframes. ``describe`` does so for texts stored as
+times, sync samples) and gives codec, duration and the byte ranges of all keyframes. ``describe`` does so for texts stored as
 samples. Null text is the empty text, whose payload is 64 zero bytes. Equal texts give equal rows; a null doc_id is carried;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -101,12 +103,13 @@ def walk(data, start: int = 0, end: int | None = None, above: tuple[bytes, ...]
 
 
 def probe(data) -> list[dict]:
-    """Of each track: codec, timescale, duration, samples as (offset, size), and keyframes as sample numbers from 0."""
+    """Of each track: codec, timescale, duration (the samples' times added up, or the head's where no table gives times), times
+    as (sample, start, time of each) of runs of samples, samples as (offset, size), and keyframes as sample numbers from 0."""
     tracks: list[dict] = []
     for path, at, stop in walk(data):
         kind = path[-1]
         if kind == b"trak":
-            tracks.append({"codec": "", "timescale": 0, "duration": 0, "sizes": [], "chunks": [], "runs": [], "keys": None})
+            tracks.append({"codec": "", "timescale": 0, "duration": 0, "sizes": [], "chunks": [], "runs": [], "times": [], "keys": None})
             continue
         if not tracks or b"trak" not in path:
             continue
@@ -125,10 +128,19 @@ def probe(data) -> list[dict]:
                 t["keys"] = [k - 1 for k in numbers]
             else:
                 t["chunks"] = list(numbers)
+        elif kind == b"stts":
+            (n,) = struct.unpack_from(">I", data, at + 4)
+            first = start = 0
+            for count, each in struct.iter_unpack(">II", data[at + 8 : at + 8 + 8 * n]):
+                t["times"].append((first, start, each))
+                first, start = first + count, start + count * each
+            if n:
+                t["ticks"] = start
         elif kind == b"stsc":
             (n,) = struct.unpack_from(">I", data, at + 4)
             t["runs"] = [struct.unpack_from(">III", data, at + 8 + 12 * k)[:2] for k in range(n)]
     for t in tracks:
+        t["duration"] = t.pop("ticks", t["duration"])
         t["samples"] = list(placed(t["sizes"], t["chunks"], t["runs"]))
         if t["keys"] is None:  # no table: every sample is a keyframe
             t["keys"] = range(len(t["sizes"]))
@@ -147,6 +159,18 @@ def placed(sizes: list[int], chunks: list[int], runs: list[tuple[int, int]]) ->
             k += 1
 
 
+def time_of(track: dict, sample: int) -> int:
+    """When a sample starts, in ticks."""
+    first, start, each = track["times"][bisect.bisect_right(track["times"], sample, key=lambda r: r[0]) - 1]
+    return start + (sample - first) * each
+
+
+def keyframes(track: dict) -> list[tuple[int, int, float]]:
+    """(offset, size, start in seconds) of every keyframe; without a table of times the start is NaN."""
+    scale = track["timescale"] or 1
+    return [(*track["samples"][k], time_of(track, k) / scale if track["times"] else math.nan) for k in track["keys"]]
+
+
 def payload_of(data, track: dict) -> bytes:
     """The samples' bytes in order; neighbouring samples are read as one range."""
     ranges: list[list[int]] = []
@@ -166,7 +190,10 @@ def feature(track: dict) -> str:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every row."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, keyframes of every row.
+
+    keyframes has (offset, size, seconds) of every keyframe, in order.
+    """
 
     def rows(batches):
         for b in slices(batches, 200):
@@ -176,8 +203,9 @@ def describe(docs: DataFrame) -> DataFrame:
                 stored = write(padded(data))
                 (track,) = probe(stored)
                 back = payload_of(memoryview(stored), track)
-                out.append((doc, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(track)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                out.append((doc, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(track), [dict(zip(("offset", "size", "seconds"), f)) for f in keyframes(track)]))
+            frames = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("seconds", pa.float64())]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), frames)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "keyframes"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes array<struct<offset: bigint, size: bigint, seconds: double>>")

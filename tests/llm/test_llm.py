@@ -286,6 +286,29 @@ def test_probe_tables():
         list(media.walk(struct.pack(">I4s", 3, b"free")))
 
 
+def test_every_keyframe_is_kept(spark):
+    text = "".join(chr(97 + k // 64 % 26) for k in range(100_000)) + "ü"
+    rows = media.describe(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    data = media.padded(text.encode())
+    stored, n = media.write(data), len(data) // 64
+    at = stored.index(b"mdat") + 4
+    assert [tuple(f) for f in rows[0]["keyframes"]] == [(at + 64 * k, 64, k / 100) for k in range(0, n, 32)]
+    assert b"".join(stored[f["offset"] : f["offset"] + f["size"]] for f in rows[0]["keyframes"]) == b"".join(data[64 * k : 64 * k + 64] for k in range(0, n, 32))
+    assert len(rows[1]["keyframes"]) == 1
+
+
+def test_times_come_from_their_table():
+    whole = media.write(bytes(64) * 10)
+    times = media.table(b"stts", ">II", [(4, 3), (6, 5)])
+    at = whole.index(b"stts") - 4
+    kept = bytearray(whole[:at] + times + whole[at + 24 :])
+    for kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+        k = kept.index(kind) - 4
+        kept[k : k + 4] = struct.pack(">I", struct.unpack_from(">I", kept, k)[0] + 8)
+    (t,) = media.probe(bytes(kept))
+    assert t["duration"] == 4 * 3 + 6 * 5 and [media.time_of(t, k) for k in (0, 3, 4, 9)] == [0, 9, 12, 37]
+
+
 # 9
 
 
