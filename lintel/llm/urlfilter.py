@@ -1,8 +1,10 @@
 """URL filters: host word segmentation and multinomial naive Bayes, under block and allow rules.
 
 Concatenated host names are split into words by unigram Viterbi. Word counts come from the text of all pages and the seed
-words below. Naive Bayes learns from the url's own words, labelled by the seeds: urls whose host has a blocking seed word
-against all others, over all distinct (label, word) counts. A rule that fits decides; else the classifier does.
+words below; each distinct name is joined to the counts of all its substrings. Naive Bayes learns from the url's own words,
+labelled by the seeds: urls whose host has a blocking seed word against all others, over all distinct (label, word) counts.
+Every token has its weight, in a written table that urls' tokens are joined to. A rule that fits decides; else the classifier
+does.
 
 A null url, or one without ``://``, has empty host and path and is allowed: it has no words to judge. A null page_id is
 carried; repeated rows are judged alike; other columns are ignored; with no pages the result is empty.
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, staged
 
 #: (verdict, host and path prefix). A rule holds for the host and its subdomains.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -28,8 +30,8 @@ SEED_BLOCK = ["adult", "ads", "bets", "bet", "casino", "cheap", "farm", "free",
 #: Common words of names that mark nothing.
 SEED_NAMES = ["blog", "com", "de", "docs", "en", "es", "example", "fr", "html", "index", "m", "mail", "net", "news", "org", "page", "shop", "wiki", "www"]
 
-#: Most frequent words kept for segmentation, the longest of them, what a seed word counts for, and the prior odds of a block.
-LEXICON_WORDS, LONGEST_WORD, SEED_COUNT, ALPHA = 20_000, 20, 50, 0.5
+#: The longest word of a segmentation in characters, what a seed word counts for at least, and what is added to token counts.
+LONGEST_WORD, SEED_COUNT, ALPHA = 20, 50, 0.5
 
 _LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _TAG = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.S | re.I)
@@ -57,17 +59,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Unigram Viterbi over lower-case letters; unknown stretches cost by length."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(total) + 2
-        self.memo: dict[str, list[str]] = {}
 
     def split(self, name: str) -> list[str]:
         """The cheapest split of a name; ties go to the longer last word."""
-        known = self.memo.get(name)
-        if known is not None:
-            return known
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             options = []
@@ -84,17 +82,13 @@ class Segmenter:
             out.append(name[back[end] : end])
             end = back[end]
         out.reverse()
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        if len(name) <= 64:
-            self.memo[name] = out
         return out
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of a host's segmented labels, its last label aside, and of its path, each marked by where it stands."""
-        labels = host.split(".")
-        names = [n for label in (labels[:-1] or labels) for n in re.findall(r"[^\W\d_]+", label)]
-        return ["h:" + w for n in names for w in self.split(n)] + ["p:" + w for n in re.findall(r"[^\W\d_]+", path.lower()) for w in self.split(n)]
+
+def names_of(host: str, path: str) -> list[tuple[str, str]]:
+    """(mark, name) of the stretches of letters of a host's labels, its last one aside, and of its path, in order."""
+    labels = host.split(".")
+    return [("h:", n) for label in (labels[:-1] or labels) for n in re.findall(r"[^\W\d_]+", label)] + [("p:", n) for n in re.findall(r"[^\W\d_]+", path.lower())]
 
 
 def page_words(pages: DataFrame) -> DataFrame:
@@ -105,7 +99,7 @@ def page_words(pages: DataFrame) -> DataFrame:
         kept = lambda: pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "ignore") for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
         for b in slices(batches):
             for html in b.column(0).to_pylist():
-                seen.update(w for w in _TAG.sub(" ", html or "").lower().encode("utf-8", "ignore").translate(_LETTERS).split() if len(w) <= LONGEST_WORD)
+                seen.update(w for w in _TAG.sub(" ", html or "").lower().encode("utf-8", "ignore").translate(_LETTERS).split() if len(w) <= 4 * LONGEST_WORD)
             if len(seen) > 200_000:
                 yield kept()
                 seen.clear()
@@ -114,77 +108,80 @@ def page_words(pages: DataFrame) -> DataFrame:
     return pages.select("html").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(pages: DataFrame, size: int = LEXICON_WORDS) -> dict[str, int]:
-    """The ``size`` most frequent words of two letters or more, and the seeds."""
-    top = page_words(pages).where(F.length("word") > 1).orderBy(F.desc("n"), "word").limit(size).collect()
-    counts = {r["word"]: r["n"] for r in top}
-    floor = max([SEED_COUNT, *(sorted(counts.values(), reverse=True)[50:51])])
-    for w in SEED_BLOCK + SEED_NAMES:
-        counts[w] = max(counts.get(w, 0), floor)
-    return counts
+def lexicon(pages: DataFrame) -> tuple[DataFrame, int, dict[str, int]]:
+    """(word, n) of all words of two letters to LONGEST_WORD, what all count for together, and the seeds' own counts."""
+    words = staged(page_words(pages).where(F.length("word").between(2, LONGEST_WORD)), "words")
+    top = [r["n"] for r in words.orderBy(F.desc("n")).limit(51).select("n").collect()]
+    floor = max([SEED_COUNT, *top[50:]])
+    own = {r["word"]: r["n"] for r in words.where(F.col("word").isin(SEED_BLOCK + SEED_NAMES)).collect()}
+    seeds = {w: max(own.get(w, 0), floor) for w in SEED_BLOCK + SEED_NAMES}
+    return words, (words.agg(F.sum("n")).first()[0] or 0) + sum(seeds.values()) - sum(own.values()), seeds
 
 
-class Bayes:
-    """Multinomial naive Bayes over tokens; log-odds of block against allow."""
+def splits(names: DataFrame, words: DataFrame, total: int, seeds: dict[str, int]) -> DataFrame:
+    """name, words: the cheapest split of every distinct name, from the counts of all its substrings."""
 
-    def __init__(self, counts: dict[str, tuple[float, float]], docs: tuple[float, float], alpha: float = ALPHA):
-        block, allow = (sum(c[k] for c in counts.values()) + alpha * (len(counts) + 1) for k in (0, 1))
-        self.weight = {t: math.log((b + alpha) / block) - math.log((a + alpha) / allow) for t, (b, a) in counts.items()}
-        self.prior = math.log((docs[0] + 1) / (docs[1] + 1))
+    def pieces(batches):
+        for b in slices(batches):
+            for name in b.column(0).to_pylist():
+                found = sorted({name[i:j] for i in range(len(name)) for j in range(i + 2, min(len(name), i + LONGEST_WORD) + 1)})
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], ["name", "word"])
 
-    def odds(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.weight.get(t, 0.0) for t in tokens)
+    def cut(batches):
+        for b in slices(batches):
+            out = []
+            for name, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts = {k["word"]: k["n"] for k in known or ()}
+                out.append(Segmenter(counts | {w: n for w, n in seeds.items() if w in name}, total).split(name))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["name", "words"])
 
+    known = names.mapInArrow(pieces, "name string, word string").join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return names.join(known, "name", "left").select("name", "known").mapInArrow(cut, "name string, words array<string>")
 
-def token_counts(pages: DataFrame, words: dict[str, int]) -> DataFrame:
-    """token, block, allow: in how many distinct-token urls of each seed label a token stands; the token '' counts urls."""
-    model = pages.sparkSession.sparkContext.broadcast(words)  # at most LEXICON_WORDS words and the seeds
-    host, path = host_and_path(F.col("url"))
 
-    def count(batches):
-        cut, seen, bad = Segmenter(model.value), Counter(), {"h:" + w for w in SEED_BLOCK}
-        kept = lambda: pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([int(b) for _, b in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["token", "bad", "n"])
+def tokenised(urls: DataFrame, pages: DataFrame) -> DataFrame:
+    """row, tokens: the marked words of every url with a host that has names, in order."""
+
+    def named(batches):
         for b in slices(batches):
-            for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tokens = {*cut.tokens(h, p)}
-                label = not bad.isdisjoint(tokens)
-                seen.update((t, label) for t in tokens)
-                seen["", label] += 1
-            if len(seen) > 200_000:
-                yield kept()
-                seen.clear()
-        yield kept()
+            rows = [(r, k, *m) for r, h, p in zip(*(b.column(c).to_pylist() for c in range(3))) for k, m in enumerate(names_of(h, p))]
+            cols = [*zip(*rows)] or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["row", "at", "mark", "name"])
 
-    counted = pages.select(host.alias("h"), path.alias("p")).where("h != ''").mapInArrow(count, "token string, bad int, n long")
-    return counted.groupBy("token").agg(F.sum(F.when(F.col("bad") == 1, F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("bad") == 0, F.col("n")).otherwise(0)).alias("allow"))
+    found = staged(urls.where("host != ''").select("row", "host", "path").mapInArrow(named, "row long, at int, mark string, name string"), "names")
+    cut = staged(splits(found.select("name").distinct(), *lexicon(pages)), "splits")
+    parts = found.join(cut, "name").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "mark", "words"))).alias("parts"))
+    return parts.select("row", F.flatten(F.transform("parts", lambda p: F.transform(p["words"], lambda w: F.concat(p["mark"], w)))).alias("tokens"))
 
 
-def judge(pages: DataFrame, rules=RULES, lexicon_words: int = LEXICON_WORDS, most_tokens: int = LEXICON_WORDS) -> DataFrame:
-    """page_id, host, path, rule, verdict, words (the host's, segmented), block_score of every row.
+def weights(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """(token, weight) of all tokens, weight the log-odds of block against allow, and how many urls the seeds block.
 
-    The classifier keeps the ``most_tokens`` most frequent tokens; rarer ones weigh nothing.
+    Counts are of the urls with a token, those whose host has a blocking seed word against the others.
     """
-    words = lexicon(pages, lexicon_words)
-    counted = token_counts(pages, words)
-    urls = counted.where("token = ''").select("block", "allow").collect()
-    top = counted.where("token != ''").orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(most_tokens).collect()
-    bayes = Bayes({r["token"]: (r["block"], r["allow"]) for r in top}, (urls[0]["block"], urls[0]["allow"]) if urls else (0, 0))
-    model = pages.sparkSession.sparkContext.broadcast((words, bayes))
+    bad = F.arrays_overlap("tokens", F.array(*(F.lit("h:" + w) for w in SEED_BLOCK)))
+    counts = tokens.select(F.explode(F.array_distinct("tokens")).alias("token"), bad.alias("bad")).groupBy("token").agg(F.count_if("bad").alias("block"), F.count_if(~F.col("bad")).alias("allow"))
+    counts = staged(counts, "counts")
+    all_ = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("n")).first()
+    share = lambda c: F.log((F.col(c) + ALPHA) / ((all_[c] or 0) + ALPHA * (all_["n"] + 1)))
+    return staged(counts.select("token", (share("block") - share("allow")).alias("weight")), "weights"), tokens.where(bad).count()
+
+
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, words (the host's, segmented), block_score of every row."""
     host, path = host_and_path(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-
-    def decide(batches):
-        words, bayes = model.value
-        cut = Segmenter(words)
-        for b in slices(batches):
-            split, odds = [], []
-            for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                tokens = cut.tokens(h, p) if h else []
-                split.append(" ".join(t[2:] for t in tokens if t[0] == "h"))
-                odds.append(1 / (1 + math.exp(-max(-500, min(500, bayes.odds(tokens))))) if tokens else 0.0)
-            ruled = b.column(4).to_pylist()
-            final = [r or ("block" if o > 0.5 else "allow") for r, o in zip(ruled, odds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(final, pa.string()), pa.array(split, pa.string()), pa.array(odds, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "words", "block_score"])
-
-    cut = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
-    return cut.select("*", rule.alias("rule"), verdict.alias("v")).mapInArrow(decide, "page_id long, host string, path string, rule string, verdict string, words string, block_score double")
+    urls = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
+    urls = staged(urls.select("*", rule.alias("rule"), verdict.alias("ruled"), F.monotonically_increasing_id().alias("row")), "urls")
+    tokens = staged(tokenised(urls, pages), "tokens")
+    weight, block = weights(tokens)
+    prior = math.log((block + 1) / (urls.where("host != ''").count() - block + 1))
+    odds = tokens.select("row", F.explode("tokens").alias("token")).join(weight, "token").groupBy("row").agg(F.sort_array(F.collect_list("weight")).alias("weights"))
+    odds = odds.select("row", F.aggregate("weights", F.lit(prior), lambda a, w: a + w).alias("odds"))
+    score = F.when(F.col("odds").isNull(), 0.0).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col("odds"))))))
+    host_words = F.transform(F.filter("tokens", lambda t: t.startswith("h:")), lambda t: F.substring(t, 3, 1 << 30))
+    out = urls.join(tokens, "row", "left").join(odds, "row", "left").withColumn("block_score", score)
+    words = F.coalesce(F.array_join(host_words, " "), F.lit("")).alias("words")
+    final = F.coalesce("ruled", F.when(F.col("block_score") > 0.5, "block").otherwise("allow")).alias("verdict")
+    return out.select("page_id", "host", "path", "rule", final, words, "block_score")

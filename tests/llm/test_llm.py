@@ -260,6 +260,20 @@ def test_seed_hosts_are_blocked(spark):
     assert bad.sum() > 0 and (got[bad].verdict == "block").all() and (got[~bad].verdict == "allow").mean() > 0.99
 
 
+def test_rare_tokens_keep_their_weight(spark):
+    """More tokens that are frequent, and more words on pages, than any fixed list of 20,000 would hold."""
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    many = " ".join(f"q{letters(k)} q{letters(k)}" for k in range(21_000))
+    rows = [(k, f"http://q{letters(21 * j + k % 21)}.org/x", "") for j in range(1000) for k in range(42)]
+    rows = [(i, u, h) for i, (_, u, h) in enumerate(rows)] + [(-1, "http://warez.org/x", ""), (-2, "http://zzkitzzdog.org/x", many), (-3, "http://москваонлайн.org/", "<p>zzkit zzdog онлайн москва длинноесловоздесь</p>")]
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)).where("page_id < 0").collect()}
+    n = 21_000 + 1 + 1 + 2 + 2  # tokens: q's, x, warez, and two of each other host
+    block, allow = 2 + 0.5 * (n + 1), 42_000 * 2 + 3 + 2 + 0.5 * (n + 1)
+    odds = math.log(2 / (42_002 + 1)) + math.log(1.5 / block) - math.log(0.5 / allow) + math.log(1.5 / block) - math.log((42_001 + 0.5) / allow)
+    assert math.isclose(got[-1]["block_score"], 1 / (1 + math.exp(-odds)), rel_tol=1e-9) and got[-1]["words"] == "warez"
+    assert (got[-2]["verdict"], got[-2]["words"], got[-3]["words"]) == ("allow", "zzkit zzdog", "москва онлайн")
+
+
 # 8
 
 
