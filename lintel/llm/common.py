@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a batch that Python handles at a time; texts of some 100 kB each still fit in memory.
 SLICE_ROWS = 250
@@ -19,10 +20,16 @@ SLICE_ROWS = 250
 BATCH_ROWS = 500
 
 
+#: A key is hot when it has more than this part of all rows.
+HEAVY = 500
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lintel-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,6 +54,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def forget(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that staged() made, once nothing reads them any more."""
+    for df in frames:
+        remove(df.sparkSession, df.lintel_path)
+
+
+def heavy(table: DataFrame, weight: str) -> DataFrame:
+    """The rows of a table that hold over 1 / HEAVY of the weight of all: at most HEAVY of them, so they can be broadcast."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    return table.where(F.col(weight) * HEAVY > total)
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of rows with a table of one row a key that says (weight) how many rows have it. No task gets all rows of a
+    hot key: the keys over 1 / HEAVY of all rows are broadcast, the others joined as Spark sees fit."""
+    hot = heavy(table, weight)
+    if hot.isEmpty():
+        return rows.join(table, key)
+    cold = table.join(F.broadcast(hot.select(key)), key, "left_anti")
+    few = rows.join(F.broadcast(hot), key)
+    return few.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder made by staged() or new_folder() once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

@@ -1,31 +1,37 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document is the set of its distinct k-word shingles (the whole word sequence where it is shorter). Two documents link when
-the Jaccard similarity of their sets is at least ``percent`` / 100. The result is one row per document with the smallest id
-reachable by links.
-
-How it works, on all rows and exactly:
-
-1. Equal sets become one class, named by its smallest doc_id; only classes go on.
-2. Shingles are ordered from rare to frequent by a counting sketch of fixed size, ties by hash. Linked classes share a shingle
-   among the first n - ceil(t n) + 1 of that order (prefix filter), and l among the first n - ceil(t n) + l; l is 1 and EXTRA
-   percent of n. Classes with identical prefix and size form a group, and a prefix shingle stands once per group.
-3. Of a group's prefix, the shingles that other groups' prefixes have too are counted exactly. A group with fewer than it must
-   share with a partner has none; of the others, all but so many of the rarest are left out (prefix filter again).
-   These shingles, and groups of two classes or more, are blocks. Members are expanded per block and size bin.
-4. Blocks are resolved round by round. In a round each block compares one hub with its other members and drops the hub; what
-   links is merged into components, and a block whose members are all in one component is done. So a block of thousands of
-   near copies takes about as many comparisons as it has members. Once few pairs are left, all of them are compared.
-
-Null and blank texts have an empty set and link with nothing. A null doc_id takes part under no name: its component is that of
-its class, else null. Rows that repeat a doc_id with another text count as one document that has both sets. Other columns are
-ignored by ``components``; an empty table gives an empty result.
+the Jaccard similarity of their sets is at least ``percent`` / 100. ``components`` gives one row per row of the input with the
+smallest id reachable by links; ``links`` gives links between sets, enough of them to connect all that is linked.
+
+How it works, on all rows and exactly (up to collisions of 64-bit hashes of shingles and 128-bit hashes of sets):
+
+1. Rows with equal sets are one node, named by the set's hash. All that follows has one row per node, however often a text or
+   an id is repeated.
+2. Shingles are ordered from rare to frequent by a counting sketch of fixed size, ties by hash. Linked nodes share l shingles
+   among the first n - ceil(t n) + l of that order (prefix filter); l is 1 and EXTRA percent of n. Nodes with identical prefix
+   and size form a group, and a prefix shingle stands once per group.
+3. Prefix shingles that several groups have are counted exactly; a group with fewer of them than it must share has no partner,
+   of the others all but so many of the rarest are left out (prefix filter again). What is left are blocks of groups.
+4. In blocks of at most DIRECT members, pairs of groups are formed and filtered by size and shared prefix; those that stay are
+   expanded into pairs of members, screened by histograms and verified on the sets.
+5. In a larger block, one member is the hub, and all others are compared with it alone: who links is linked by that star. For
+   the rest, let R(x) be the shingles in which x and the hub differ. If x doesn't link with the hub but does with y, then R(x)
+   and R(y) overlap, by a least number that follows from their sizes. So the block parts into smaller ones by the rarest
+   shingles of the R's (prefix filter on the differences), which go back to 4 or 5. Each step is linear in a block's members:
+   near copies of one text differ from it by few shingles, which few of them share.
+
+Null and blank texts have an empty set and link with nothing; each is its own component. A null doc_id takes part like others,
+but gives a component no name: the component of rows without any id is null. Rows that repeat a doc_id are each judged by
+their own text. Very long texts are sets like others. Of equal ids any is the smallest, which changes no result. Other columns
+are ignored by ``components`` and carried by ``one_of_each``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +39,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import forget, heavy, joined, slices, staged
 
 K, PERCENT = 3, 90
-#: Id lists up to this many rows are broadcast (16 MB at most), longer ones are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Lists of row keys up to this long are broadcast (some 50 MB), longer ones are joined by shuffle.
+BROADCAST_KEYS = 500_000
 #: The sketch has as many counters as documents, within these powers of two.
-LEAST_BITS, MOST_BITS, CHUNK = 16, 23, 1024
-#: Pairs that are compared at once, per remaining block row and at least, rather than in another hub round.
-DIRECT, AT_LEAST = 4, 50_000
+LEAST_BITS, MOST_BITS, CHUNK = 16, 21, 1024
+#: Members of a block whose pairs are all formed; larger blocks are resolved by hubs.
+DIRECT = 32
+#: Parts that the members of a hub with many are dealt into.
+SALTS = 64
 #: Percent of a set that prefixes are longer by.
 EXTRA = 4
 #: Buckets of a set's histogram.
 BUCKETS = 128
+#: Digests that a task remembers in order to skip repeats.
+REPEATS = 200_000
 _TOP = np.uint64(64 - 7)
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -67,35 +77,39 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
+def name_of(found: np.ndarray) -> bytes:
+    """The node of a set."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def needed(n: int, percent: int) -> int:
     """Least overlap of a set of n with any set it links with."""
     return -(-percent * n // 100)
 
 
-def only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """df with (left_semi) or without (left_anti) the doc_id values of ids."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+def text_key() -> Column:
+    return F.xxhash64("text").alias("text_key")
 
 
 def digests(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Per row doc_id, n_shingles, digest; and per task chunks of a counting sketch of all shingles (rows with a chunk)."""
+    """Per row doc_id, text_key, n_shingles, node; and per task chunks of a counting sketch of all shingles (rows with a chunk)."""
 
     def run(batches):
         sketch, mask = np.zeros(1 << bits, np.uint32), np.uint64((1 << bits) - 1)
-        names = ["doc_id", "n_shingles", "digest", "chunk", "counts"]
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+        names = ["doc_id", "text_key", "n_shingles", "node", "chunk", "counts"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
         for b in slices(batches):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, key, text in zip(*(b.column(c).to_pylist() for c in range(3))):
                 found = shingles(text, k)
                 np.add.at(sketch, (found & mask).astype(np.int64), 1)
-                rows.append((doc, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), None, None))
+                rows.append((doc, key, len(found), name_of(found), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-        rows = [(None, None, None, c, part.tobytes()) for c, part in enumerate(sketch.reshape(-1, CHUNK)) if part.any()]
+        rows = [(None, None, None, None, c, part.tobytes()) for c, part in enumerate(sketch.reshape(-1, CHUNK)) if part.any()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, chunk int, counts binary")
+    return docs.select("doc_id", text_key(), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, node binary, chunk int, counts binary")
 
 
 def frequency_levels(rows: DataFrame, bits: int) -> bytes:
@@ -114,8 +128,8 @@ def frequency_levels(rows: DataFrame, bits: int) -> bytes:
     return np.floor(np.log2(np.maximum(counts / mean, 1.0))).astype(np.uint8).tobytes()
 
 
-def prefixes(docs: DataFrame, k: int, percent: int, levels: bytes) -> DataFrame:
-    """rid, n, gid (names the prefix and size), prefix, histogram of every non-empty row.
+def heads_of(docs: DataFrame, k: int, percent: int, levels: bytes) -> DataFrame:
+    """node, n, gid (names the prefix and size), prefix, histogram of every node.
 
     The histogram counts the set's hashes by bucket; the sum of differences of two is at most the sets' symmetric difference.
     """
@@ -123,33 +137,50 @@ def prefixes(docs: DataFrame, k: int, percent: int, levels: bytes) -> DataFrame:
 
     def run(batches):
         level = np.frombuffer(shared.value, np.uint8)
-        mask = np.uint64(len(level) - 1)
+        mask, seen = np.uint64(len(level) - 1), set()
         for b in slices(batches):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text in b.column(0).to_pylist():
                 found = shingles(text, k)
-                if doc is None or not len(found):
+                node = name_of(found)
+                if not len(found) or node in seen:
                     continue
+                if len(seen) >= REPEATS:
+                    seen.clear()
+                seen.add(node)
                 first = len(found) - needed(len(found), percent) + 1 + EXTRA * len(found) // 100
                 order = np.lexsort((found, level[(found & mask).astype(np.int64)]))[:first]
                 head = found[order]
                 gid = np.uint64(xxhash.xxh3_64_intdigest(head.tobytes() + len(found).to_bytes(8, "little"))).astype(np.int64)
                 counts = np.minimum(np.bincount((found >> _TOP).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
-                rows.append((doc, len(found), int(gid), head.view(np.int64), counts.tobytes()))
+                rows.append((node, len(found), int(gid), head.view(np.int64), counts.tobytes()))
             cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["rid", "n", "gid", "prefix", "histogram"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["node", "n", "gid", "prefix", "histogram"])
+
+    return docs.select("text").mapInArrow(run, "node binary, n long, gid long, prefix array<long>, histogram binary").dropDuplicates(["node"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "rid long, n long, gid long, prefix array<long>, histogram binary")
 
+def matching(docs: DataFrame, keys: DataFrame, how: str, *names: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the keys; nulls match nulls. text_key is made from the text."""
+    renamed = keys.select(*[F.col(c).alias(f"__key_{c}") for c in names])
+    own = {"text_key": F.xxhash64("text")}
+    same = F.lit(True)
+    for c in names:
+        same = same & own.get(c, F.col(c)).eqNullSafe(F.col(f"__key_{c}"))
+    return docs.join(F.broadcast(renamed) if keys.count() <= BROADCAST_KEYS else renamed, same, how)
 
-def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """rid, shingles (sorted hashes as bytes) of every row."""
+
+def sets_of(nodes: DataFrame, docs: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """node, shingles (sorted hashes as bytes) of nodes, made again from the text of one row of each."""
 
     def run(batches):
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rid", "shingles"])
+            found = [shingles(t, k) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(name_of, found), pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "rid long, shingles binary")
+    keys = staged(names.join(nodes, "node", "left_semi").select("doc_id", "text_key"), "keys")
+    rows = matching(docs, keys, "left_semi", "doc_id", "text_key")
+    return staged(rows.select("text").mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
 
 
 def size_bin(n: Column, percent: int) -> Column:
@@ -157,28 +188,64 @@ def size_bin(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent + 1e-9) + 1e-9).cast("long")
 
 
-def blocks(heads: DataFrame, percent: int) -> DataFrame:
-    """key, rid, n, low of every member of every block; ``low`` rows are the smaller neighbours of a block's size bin."""
-    groups = heads.groupBy("gid", "n").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix"))
-    groups = staged(groups, "groups")
-    postings = groups.select("gid", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+def fits(a: str, b: str, percent: int) -> Column:
+    """Sizes of two sets that can link."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def postings(groups: DataFrame, percent: int) -> DataFrame:
+    """token, gid, n, members, odd, c of the rarest prefix shingles of groups that may have a partner.
+
+    c: how many members have the shingle; odd: how much of the group's prefix no other has.
+    """
+    all_ = groups.select("gid", "n", "members", F.size("prefix").alias("first"), F.explode("prefix").alias("token"))
+    shared = all_.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("members").alias("c")).where("groups > 1")
     own = Window.partitionBy("gid")
-    partner = F.floor((F.col("n") * percent + 99) / 100)  # the smallest size that can link
-    live = postings.join(shared, "token").join(groups.select("gid", "rid", "n", "members"), "gid").withColumn("must", (1 + F.floor(partner * EXTRA / 100)).cast("long"))
+    smallest = F.floor((F.col("n") * percent + 99) / 100)  # the smallest size that can link
+    live = all_.join(shared, "token").withColumn("must", (1 + F.floor(smallest * EXTRA / 100)).cast("long"))
     ranked = live.withColumn("has", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("c", "token")))
-    by_token = staged(ranked.where("rank <= has - must + 1").select("gid", "rid", "n", "members", "token"), "rare")
-    alone = by_token.where("members = 1").select("token", "rid", "n")
-    many = groups.where("members > 1")
-    expanded = by_token.where("members > 1").select("gid", "token").unionByName(many.select("gid", F.col("gid").alias("token"))).join(heads.select("gid", "rid", "n"), "gid")
-    members = alone.unionByName(expanded.select("token", "rid", "n"))
-    at = size_bin(F.col("n"), percent)
-    return members.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.xxhash64("token", at + F.col("step")).alias("key"), "rid", "n", (F.col("step") == 1).alias("low"))
+    return ranked.where("rank <= has - must + 1").select("token", "gid", "n", "members", "c", (F.col("first") - F.col("has")).alias("odd"))
+
+
+def level_blocks(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(small, large): key, gid, n, low of the rows of small blocks; hub_gid, gid of those of large ones, by number of members.
+
+    Shingles of many members are parted by size first; ``low`` rows are the smaller neighbours of a block's size bin.
+    """
+    rows = staged(postings(groups, percent), "postings")
+    one = rows.where(F.col("c") <= DIRECT).select(F.col("token").alias("key"), "gid", "n", F.lit(False).alias("low"))
+    step = rows.where(F.col("c") > DIRECT).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
+    many = step.select(F.xxhash64("token", size_bin(F.col("n"), percent) + F.col("step")).alias("key"), "gid", "n", "odd", "members", (F.col("step") == 1).alias("low"))
+    whole = groups.where(F.col("members") > DIRECT).select(F.xxhash64("gid", F.lit(-1)).alias("key"), "gid", "n", F.lit(0).alias("odd"), "members", F.lit(False).alias("low"))
+    many = staged(many.unionByName(whole), "many")
+    hub = F.min(F.when(~F.col("low"), F.struct("odd", "gid")))
+    sizes = staged(many.groupBy("key").agg(F.sum("members").alias("size"), F.count(F.lit(1)).alias("rows"), hub.alias("hub")).where("hub is not null and size > 1"), "sizes")
+    found = joined(many.drop("members", "odd"), sizes.select("key", "size", "rows", F.col("hub.gid").alias("hub_gid")), "key", "rows")
+    small = one.unionByName(found.where(F.col("size") <= DIRECT).select("key", "gid", "n", "low"))
+    return small, staged(found.where(F.col("size") > DIRECT).select("hub_gid", "gid").distinct(), "large")
+
+
+def group_pairs(small: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """ga, gb of the pairs of groups in small blocks that sizes and shared prefix shingles leave; each small group with itself."""
+    left, right = (small.select("key", F.col("gid").alias("g" + k), F.col("n").alias("n" + k), F.col("low").alias("l" + k)) for k in "ab")
+    met = left.join(right, "key").where((F.col("ga") < F.col("gb")) & ~(F.col("la") & F.col("lb")) & fits("na", "nb", percent)).select("ga", "gb").distinct()
+    a, b = (groups.select(F.col("gid").alias("g" + k), F.col("n").alias("n" + k), F.col("prefix").alias("p" + k)) for k in "ab")
+    least = 1 + F.floor(F.least("na", "nb") * EXTRA / 100)
+    kept = met.join(a, "ga").join(b, "gb").where(F.size(F.array_intersect("pa", "pb")) >= least).select("ga", "gb")
+    return kept.unionByName(groups.where(F.col("members").between(2, DIRECT)).select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
+
+
+def member_pairs(pairs: DataFrame, groups: DataFrame, heads: DataFrame) -> DataFrame:
+    """a, b: pairs of groups expanded into pairs of their members."""
+    alone = groups.where("members = 1").select("gid", "node")
+    members = alone.unionByName(heads.join(groups.where("members > 1").select("gid"), "gid").select("gid", "node"))
+    a, b = (members.select(F.col("gid").alias("g" + k), F.col("node").alias(k)) for k in "ab")
+    return pairs.join(a, "ga").join(b, "gb").where((F.col("ga") != F.col("gb")) | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def screened(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and histograms leave: all that link, and few others."""
-    left, right = (heads.select(F.col("rid").alias(k), F.col("n").alias("n" + k), F.col("histogram").alias("h" + k)) for k in "ab")
+    left, right = (heads.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("histogram").alias("h" + k)) for k in "ab")
 
     def run(batches):
         for b in slices(batches, 5000):
@@ -187,16 +254,12 @@ def screened(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(apart * (100 + percent) <= (100 - percent) * both)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long")
+    return pairs.distinct().join(left, "a").join(right, "b").where(fits("na", "nb", percent)).select("a", "b", "ha", "hb", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Sets are made again from the texts of pairs that pass the screen."""
-    pairs = staged(screened(pairs, heads, percent), "screened")
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near")
-    sets = staged(set_table(only(texts, ids, "left_semi"), k), "sets")
-    left = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
     def run(batches):
         for b in slices(batches):
@@ -208,7 +271,81 @@ def verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, k: int, perce
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def least_shared(nx: int, nh: int, rx: int, linked: bool, percent: int) -> int:
+    """Least overlap of R(x) with R(y) over all y that link with x where one of the two doesn't link with the hub.
+
+    nx, nh: sizes of x and the hub; rx: size of R(x). Sets link when their symmetric difference is at most c times the sum of
+    their sizes, c = (100 - percent) / (100 + percent), and that of x and y is the one of R(x) and R(y).
+    """
+    c, d = 100 - percent, 100 + percent
+    if linked:  # then |R(y)| > c (ny + nh)
+        return max(1, (d * rx + c * (nh - nx)) // (2 * d) + 1)
+    ny = np.arange(needed(nx, percent), 100 * nx // percent + 1)
+    least = np.maximum(np.maximum(1, np.abs(ny - nh)), rx - c * (nx + ny) // d)  # of |R(y)|
+    return max(1, int((-(-(d * (rx + least) - c * (nx + ny)) // (2 * d))).min()))
+
+
+def differences(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """hub, node, linked, least, r of met (hub, node): the shingles r that one of both has, and least_shared of them.
+
+    Members of the few hubs that have many are dealt out by a salt, and those hubs' sets repeated for each.
+    """
+    hot = F.broadcast(heavy(met.groupBy("hub").agg(F.count(F.lit(1)).alias("rows")), "rows").select("hub", F.lit(SALTS).alias("salts")))
+    dealt = met.join(hot, "hub", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1)).cast("long")))
+    own = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h")).join(met.select("hub").distinct(), "hub", "left_semi").join(hot, "hub", "left")
+    right = own.select("hub", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt"))
+
+    def run(batches):
+        for b in slices(batches, 100):
+            rows = []
+            for hub, node, x, h in zip(*(b.column(c).to_pylist() for c in range(4))):
+                x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
+                r = np.setxor1d(x, h, assume_unique=True)
+                linked = (100 + percent) * len(r) <= (100 - percent) * (len(x) + len(h))
+                rows.append((hub, node, linked, least_shared(len(x), len(h), len(r), linked, percent), r.view(np.int64)))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.list_(pa.int64())))], ["hub", "node", "linked", "least", "r"])
+
+    both = dealt.join(sets.select("node", F.col("shingles").alias("x")), "node").join(right, ["hub", "salt"])
+    return both.select("hub", "node", "x", "h").mapInArrow(run, "hub binary, node binary, linked boolean, least long, r array<long>")
+
+
+def parted(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, met) of the smaller blocks that differences leave, each with a member not linked to the hub: pairs (a, b) of
+    blocks of at most DIRECT members, and the members of larger ones with their new hub."""
+    tokens = apart.select("hub", "node", "linked", "least", F.size("r").alias("odd"), F.explode("r").alias("token"))
+    live = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("linked")).alias("loose")).where("c > 1 and loose > 0").drop("loose")
+    own = Window.partitionBy("hub", "node")
+    ranked = tokens.join(live, ["hub", "token"]).withColumn("has", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("c", "token")))
+    rows = staged(ranked.where("rank <= has - least + 1").select(F.xxhash64("hub", "token").alias("key"), "node", "linked", "odd"), "parted")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("loose"), F.min(F.struct("odd", "node")).alias("hub")).where("size > 1 and loose > 0")
+    blocks = staged(joined(rows.drop("odd"), staged(sizes.select("key", "size", F.col("hub.node").alias("hub")), "sizes"), "key", "size"), "blocks")
+    x, y = (blocks.where(F.col("size") <= DIRECT).select("key", F.col("node").alias(c), F.col("linked").alias("l" + c)) for c in "ab")
+    pairs = staged(x.join(y, "key").where((F.col("a") < F.col("b")) & ~(F.col("la") & F.col("lb"))).select("a", "b").distinct(), "pairs")
+    met = staged(blocks.where((F.col("size") > DIRECT) & (F.col("node") != F.col("hub"))).select("hub", "node").distinct(), "met")
+    forget(rows, blocks)
+    return pairs, met
+
+
+def starred(large: DataFrame, groups: DataFrame, heads: DataFrame, docs: DataFrame, names: DataFrame, k: int, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(links, pairs) of large blocks: links (a, b) of members with hubs, and pairs (a, b) of small blocks still to be verified."""
+    links, pairs = [], []
+    hubs = groups.select(F.col("gid").alias("hub_gid"), F.col("node").alias("hub"))
+    met = staged(large.join(hubs, "hub_gid").join(heads.select("gid", "node"), "gid").where("node != hub").select("hub", "node"), "met")
+    if met.isEmpty():
+        return links, pairs
+    sets = sets_of(met.select("node").union(met.select("hub")).distinct(), docs, names, k)
+    while not met.isEmpty():
+        apart = staged(differences(met, sets, percent), "apart")
+        links.append(staged(apart.where("linked").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")), "stars"))
+        more, met = parted(apart)
+        pairs.append(more)
+        forget(apart)
+    forget(sets)
+    return links, pairs
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -216,81 +353,74 @@ def connected(edges: DataFrame) -> DataFrame:
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").where("node != other").distinct(), "links")
     labels = staged(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels")
     while True:
-        near = both.join(labels.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("lower"), F.col("label").alias("was"))
-        jumped = lower.join(labels.toDF("lower", "beyond"), "lower", "left").select("node", F.least("lower", F.coalesce("beyond", "lower")).alias("label"), "was")
-        jumped = staged(jumped, "labels")
-        labels = jumped.select("node", "label")
-        if jumped.where("label != was").isEmpty():
-            return labels
-
-
-def resolve(rows: DataFrame, heads: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Links found among the members of blocks, enough of them to connect all that is linked; None where there is none."""
-    rows = rows.withColumn("comp", F.col("rid"))
-    links, allowed = None, DIRECT
-    while True:
-        state = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("low")).alias("own"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("own > 0 and lo < hi").select("key", "c", "own")
-        rows = staged(rows.join(state, "key"), "blocks")
-        left = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("pairs")).first()
-        if not left["n"]:
-            break
-        last = left["pairs"] <= allowed * left["n"] + AT_LEAST
-        fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("comp") != F.col("other_comp"))
-        sides = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        if last:
-            hubs = rows.where(~F.col("low")).select("key", F.col("rid").alias("hub"), F.col("n").alias("m"), F.col("comp").alias("other_comp"))
-            fits &= F.col("low") | (F.col("hub") < F.col("rid"))
-        else:
-            per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("weight"), F.min(F.when(~F.col("low"), F.struct("rid", "n"))).alias("h")).where("h is not null")
-            hubs = per.groupBy("key").agg(F.min(F.struct("weight", "h", "comp")).alias("x")).select("key", F.col("x.h.rid").alias("hub"), F.col("x.h.n").alias("m"), F.col("x.comp").alias("other_comp"))
-            hubs = staged(hubs, "hubs")
-        pairs = rows.join(hubs, "key").where(fits & (F.col("rid") != F.col("hub"))).select(*sides("rid", "hub")).distinct()
-        new = staged(verified(pairs, heads, texts, k, percent), "verified")
-        if not new.isEmpty():
-            links = new if links is None else staged(links.union(new), "verified")
-        if last:
-            break
-        rows = rows.join(hubs.select("key", "hub"), "key").where(F.col("low") | (F.col("rid") != F.col("hub"))).select("key", "rid", "n", "low")
-        if links is not None:
-            rows = rows.join(connected(links).toDF("rid", "label"), "rid", "left").select("key", "rid", "n", "low", F.coalesce("label", "rid").alias("comp"))
-        else:
-            rows = rows.withColumn("comp", F.col("rid"))
-        rows = rows.select("key", "rid", "n", "low", "comp")
-        allowed *= 4
-    return links
+        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        lower = labels.select("node", "label").join(near, "node").select("node", F.least("label", "near").alias("lower"), F.col("label").alias("was"))
+        jumped = lower.join(labels.select(F.col("node").alias("lower"), F.col("label").alias("beyond")), "lower", "left")
+        jumped = staged(jumped.select("node", F.least("lower", F.coalesce("beyond", "lower")).alias("label"), "was"), "labels")
+        forget(labels)
+        labels = jumped
+        if labels.where("label != was").isEmpty():
+            forget(both)
+            return labels.select("node", "label")
+
+
+def named(docs: DataFrame, k: int) -> tuple[DataFrame, bytes]:
+    """(doc_id, text_key, n_shingles, node of every row; the frequency levels of shingles)."""
+    bits = min(MOST_BITS, max(LEAST_BITS, docs.select("doc_id").count().bit_length()))
+    found = staged(digests(docs, k, bits), "digests")
+    return found.where("chunk is null").select("doc_id", "text_key", "n_shingles", "node"), frequency_levels(found, bits)
+
+
+def links(docs: DataFrame, rows: DataFrame, levels: bytes, k: int, percent: int) -> DataFrame:
+    """a, b: links between nodes of docs (rows and levels as named() gives them); enough to connect all that is linked."""
+    first = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+    names = staged(first.select("node", "x.doc_id", "x.text_key"), "names")
+    heads = staged(heads_of(docs, k, percent, levels), "heads")
+    groups = staged(heads.groupBy("gid", "n").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix")), "groups")
+    small, large = level_blocks(groups, percent)
+    found, pairs = starred(large, groups, heads, docs, names, k, percent)
+    pairs.append(member_pairs(group_pairs(small, groups, percent), groups, heads))
+    left = staged(screened(reduce(DataFrame.unionByName, pairs), heads, percent), "screened")
+    sets = sets_of(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, names, k)
+    found.append(staged(verified(left, sets, percent), "verified"))
+    forget(sets, left, heads, groups, names)
+    return reduce(DataFrame.unionByName, found)
+
+
+def labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_shingles, node of every row; node, label, rows of nodes that have several rows or links).
+
+    label names the nodes that are connected.
+    """
+    rows, levels = named(docs, k)
+    labels = connected(links(docs, rows, levels, k, percent))
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    several = nodes.join(labels, "node", "left").where("rows > 1 or label is not null")
+    return rows, staged(several.select("node", F.coalesce("label", "node").alias("label"), "rows"), "several")
 
 
 def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = min(MOST_BITS, max(LEAST_BITS, docs.select("doc_id").count().bit_length()))
-    found = staged(digests(docs, k, bits), "digests")
-    rows = found.where("chunk is null").select("doc_id", "n_shingles", "digest")
-    filled = rows.where("n_shingles > 0")
-    classes = staged(filled.groupBy("digest").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("copies")), "classes")
-    many = classes.where("copies > 1").select("digest", "rid")
-    named = staged(filled.join(many, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rid", "doc_id").alias("rid")), "named")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-
-    kept = named.where("doc_id = rid").select("doc_id")
-    texts = only(docs, named.where("doc_id is not null and doc_id != rid").select("doc_id").distinct().join(kept, "doc_id", "left_anti"), "left_anti")
-    heads = staged(prefixes(texts, k, percent, frequency_levels(found, bits)), "prefixes")
-    held = staged(blocks(heads, percent), "members")
-    links = resolve(held, heads, texts, k, percent)
-    if links is None:
-        return named.select("doc_id", "n_shingles", F.col("rid").alias("component_id")).unionByName(alone)
-    labels = connected(links).toDF("rid", "label")
-    return named.join(labels, "rid", "left").select("doc_id", "n_shingles", F.coalesce("label", "rid").alias("component_id")).unionByName(alone)
-
-
-def one_of_each(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """docs with one row of every group of linked documents: that with the smallest doc_id."""
-    found = staged(components(docs, k, percent), "components")
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dropped = found.where("doc_id != component_id").select("doc_id").distinct()
-    out = only(docs, dropped, "left_anti")
-    if again.isEmpty():
+    rows, several = labelled(docs, k, percent)
+    least = joined(rows.select("node", "doc_id"), several, "node", "rows").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.countDistinct("node").alias("nodes"))
+    known = staged(joined(several, staged(least, "least"), "label", "nodes").select("node", "component_id", "rows"), "known")
+    again = joined(rows, known, "node", "rows").select("doc_id", "n_shingles", "component_id")
+    alone = rows.join(known, "node", "left_anti").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return again.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of every group of linked documents: that with the smallest doc_id, a null one last."""
+    rows, several = labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent)
+    held = staged(joined(rows.select("doc_id", "text_key", "node"), several, "node", "rows").groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")), "held")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))
+    firsts = staged(held.groupBy("label").agg(first.alias("x"), F.count(F.lit(1)).alias("members")), "firsts")
+    marked = joined(held, firsts, "label", "members").withColumn("stays", F.col("x.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("x.text_key") == F.col("text_key")))
+    marked = staged(marked.select("doc_id", "text_key", "rows", "stays"), "marked")
+    out = matching(docs, marked.where(~F.col("stays")).select("doc_id", "text_key").distinct(), "left_anti", "doc_id", "text_key")
+    twice = marked.where("stays and rows > 1").select("doc_id", "text_key")
+    if twice.isEmpty():
         return out
-    twice = again.select("doc_id")
-    return only(out, twice, "left_anti").unionByName(only(out, twice, "left_semi").dropDuplicates(["doc_id"]))
+    repeats = matching(out, twice, "left_semi", "doc_id", "text_key").dropDuplicates(["doc_id", "text"])
+    return matching(out, twice, "left_anti", "doc_id", "text_key").unionByName(repeats)

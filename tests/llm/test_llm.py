@@ -365,27 +365,65 @@ def test_join_matches_brute_force(spark, k, percent):
     assert kept == {d for d, (_, c) in want.items() if c == d}
 
 
-def test_hub_rounds_match_brute_force(spark, monkeypatch):
-    """With no direct comparisons but in the last resort."""
-    rng = random.Random(4)
-    base = [f"w{i}" for i in range(80)]
-    rows = []
-    for i in range(60):
+@pytest.mark.parametrize("k,percent,direct", [(3, 90, 2), (5, 80, 5)])
+def test_hubs_match_brute_force(spark, monkeypatch, k, percent, direct):
+    """Blocks of more than a few members go to hubs: copies of a base with few to many words changed, chains of copies of copies,
+    and unlike texts that have one passage in common."""
+    rng = random.Random(k + direct)
+    base, rows = [f"w{i}" for i in range(80)], []
+    for i in range(70):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(80)] = f"y{rng.randint(0, 400)}"
+        rows.append(" ".join(words))
+    words = [f"c{i}" for i in range(60)]
+    for i in range(40):
+        words[rng.randrange(60)] = f"x{rng.randint(0, 30)}"
+        rows.append(" ".join(words))
+    passage = [f"p{i}" for i in range(12)]
+    rows += [" ".join([*passage, *(f"u{rng.randint(0, 10**6)}" for _ in range(rng.choice([0, 1, 2, 5, 40])))]) for _ in range(60)]
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(ngramjoin, "DIRECT", direct)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()}
+    assert got == brute_components(rows, k, percent)
+
+
+def test_repeated_ids_and_rows(spark):
+    """Two ids, 300 rows each, of two near copies; one id with unlike texts; rows without ids."""
+    one = " ".join(f"w{i}" for i in range(200))
+    rows = [(1 + k % 2, one + (" end" if k % 2 else "")) for k in range(600)] + [(7, "quite another text here"), (7, one), (None, one), (None, "alone without id"), (None, "alone without id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in ngramjoin.components(df).collect())
+    assert got == {(1, 1): 300, (2, 1): 300, (7, 7): 1, (7, 1): 1, (None, 1): 1, (None, None): 2}
+    kept = ngramjoin.one_of_each(df).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept) == sorted([(1, one), (7, "quite another text here"), (0, "alone without id")])
+
+
+def test_large_groups_are_linear(spark, monkeypatch):
+    """2,000 near copies and a line that all documents have: no step compares many more pairs than there are rows."""
+    rng, line = random.Random(9), " ".join(f"l{i}" for i in range(15))
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(2000):
         words = list(base)
-        for _ in range(rng.randint(0, 3)):
-            words[rng.randrange(80)] = f"y{rng.randint(0, 50)}"
-        rows.append((i, " ".join(words)))
-    monkeypatch.setattr(ngramjoin, "DIRECT", 0)
-    monkeypatch.setattr(ngramjoin, "AT_LEAST", 0)
-    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {d: c for d, (_, c) in brute_components(rows, 3, 90).items()}
+        for _ in range(rng.randint(0, 8) if i else 0):
+            words[rng.randrange(150)] = f"y{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(words) + "\n" + line))
+    rows += [(10_000 + i, " ".join(f"r{rng.randint(0, 10**6)}" for _ in range(rng.randint(2, 60))) + "\n" + line) for i in range(2000)]
+    seen, screened = [], ngramjoin.screened
+    monkeypatch.setattr(ngramjoin, "screened", lambda pairs, *rest: seen.append(pairs.distinct().count()) or screened(pairs, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    sets = {d: set(ngramjoin.shingles(t, 3).tolist()) for d, t in rows[:2000]}
+    star = {d for d, s in sets.items() if 100 * len(s & sets[0]) >= 90 * len(s | sets[0])}
+    assert len(star) > 500 and all(got[d] == 0 for d in star) and sum(seen) < 20 * len(rows)
 
 
 def test_join_edges(spark, odd):
     got = ngramjoin.components(odd).collect()
     assert len(got) == odd.count() and {r["n_shingles"] for r in got if r["doc_id"] in (9001, 9002, 9005)} == {0}
     assert ngramjoin.components(odd.limit(0)).count() == 0
-    assert ngramjoin.one_of_each(odd, 5, 80).where("doc_id = 9003").count() == 1
+    kept = ngramjoin.one_of_each(odd, 5, 80)
+    assert kept.columns == odd.columns and kept.where("doc_id = 9003").count() == 1 and kept.where("doc_id is null").count() == 1 and kept.count() == odd.count() - 1
+    assert ngramjoin.one_of_each(odd.limit(0)).count() == 0
 
 
 # 10
