@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -66,15 +66,15 @@ def heavy(table: DataFrame, weight: str) -> DataFrame:
     return table.where(F.col(weight) * HEAVY > total)
 
 
-def joined(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """Inner join of rows with a table of one row a key that says (weight) how many rows have it. No task gets all rows of a
-    hot key: the keys over 1 / HEAVY of all rows are broadcast, the others joined as Spark sees fit."""
+def joined(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with a table of one row a key that says (weight) how many rows have it. No task gets all
+    rows of a hot key: the keys over 1 / HEAVY of all rows are broadcast, the others joined as Spark sees fit."""
     hot = heavy(table, weight)
     if hot.isEmpty():
-        return rows.join(table, key)
-    cold = table.join(F.broadcast(hot.select(key)), key, "left_anti")
-    few = rows.join(F.broadcast(hot), key)
-    return few.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+        return rows.join(table, key, how)
+    keys = F.broadcast(hot.select(key))
+    rest = rows.join(keys, key, "left_anti").join(table.join(keys, key, "left_anti"), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -105,6 +105,26 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     give_back()
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't."""
+    own = {c.lower() for c in df.columns}
+    while name in own:
+        name += "_"
+    return name
+
+
+def chosen(docs: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of docs, all their columns with them, that a judge of a column's values takes; each task makes its own judge."""
+
+    def run(batches):
+        judge = make()
+        for b in slices(batches):
+            yield b.filter(pa.array(judge(b.column(at).to_pylist()), pa.bool_()))
+
+    at = docs.columns.index(column)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

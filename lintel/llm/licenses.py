@@ -4,8 +4,9 @@ A template is license wording with regions in markup: ``<<opt>> ... <</opt>>`` m
 that many words of any kind. Templates are compiled into token automata; a place in a text matches when the mandatory words
 stand there exactly and in order. Single phrases (the base ones) are templates without regions.
 
-Null text is empty: no words, no labels, score 0. A null doc_id is carried; repeated rows are scanned alike; other columns are
-ignored. The score is the share of a text's words that stand in a match.
+Null text is empty: no words, no labels, score 0. A null doc_id is carried; repeated rows are scanned alike; other columns,
+whatever their names, are ignored; very long texts are scanned whole; an empty table gives an empty result. Places where
+several templates match count for each. The score is the share of a text's words that stand in a match.
 """
 
 from __future__ import annotations
@@ -22,24 +23,97 @@ from .common import slices
 #: Phrases every scan counts, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates and their labels.
+#: Stretches that several licenses share.
+AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+    "merchantability fitness for a particular purpose and noninfringement in no event shall <<var:1-12>> be liable for any claim damages "
+    "or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the "
+    "use or other dealings in the software"
+)
+MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the "
+    "software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+    "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+)
+BSD_START = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions "
+    "are met <<opt>><<var:1-1>><</opt>> redistributions of source code must retain the above copyright notice this list of conditions and "
+    "the following disclaimer <<opt>><<var:1-1>><</opt>> redistributions in binary form must reproduce the above copyright notice this list "
+    "of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+BSD_END = (
+    "this software is provided by <<var:1-20>> as is and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:1-20>> be liable for any "
+    "direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or "
+    "services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict "
+    "liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+    "possibility of such damage"
+)
+
+
+def gnu(name: str, version: str) -> str:
+    """The notice of the GNU licenses."""
+    return (
+        f"is free software you can redistribute it and or modify it under the terms of the gnu {name} license as "
+        f"published by the free software foundation <<opt>>either<</opt>> version {version} of the license <<opt>>or at your option any later "
+        f"version<</opt>> <<var:1-4>> is distributed in the hope that it will be useful but without any warranty without even the implied "
+        f"warranty of merchantability or fitness for a particular purpose see the gnu {name} license for more details"
+    )
+
+
+#: Templates and their labels: the wording of licenses, and of the notices that name one. Only titles, names, numbers and what
+#: licenses themselves leave open are regions.
 TEMPLATES = [
-    ("mit", "<<opt>>this <<var:0-4>> is<</opt>> released under the <<opt>>terms of the<</opt>> mit license"),
-    ("mit", "licensed under the <<opt>>terms of the<</opt>> mit license"),
+    ("mit", f"{MIT_GRANT} subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software {AS_IS}"),
+    ("mit-0", f"{MIT_GRANT} {AS_IS}"),
+    ("bsd-2-clause", f"{BSD_START} {BSD_END}"),
+    ("bsd-3-clause", f"{BSD_START} <<opt>><<var:1-1>><</opt>> neither the name of <<var:1-20>> nor the names of <<opt>>its<</opt>> <<opt>>other<</opt>> contributors may be used to endorse or promote products derived from this software without specific prior written permission {BSD_END}"),
+    (
+        "isc",
+        "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and "
+        "<<var:1-12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in "
+        "no event shall <<var:1-12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting "
+        "from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in "
+        "connection with the use or performance of this software",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will <<var:1-12>> be held liable for any damages "
+        "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+        "applications and to alter it and redistribute it freely subject to the following restrictions <<opt>>1<</opt>> the origin of this "
+        "software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product "
+        "an acknowledgment in the product documentation would be appreciated but is not required <<opt>>2<</opt>> altered source versions "
+        "must be plainly marked as such and must not be misrepresented as being the original software <<opt>>3<</opt>> this notice may not "
+        "be removed or altered from any source distribution",
+    ),
     (
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
-        "<<opt>>the software<</opt>> to deal in the software without restriction including without limitation the rights to use copy modify "
-        "merge publish distribute sublicense and or sell copies of the software <<var:0-400>> the above copyright notice and this permission "
-        "notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software",
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any "
+        "means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest "
+        "in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our "
+        f"heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights "
+        f"to this software under copyright law {AS_IS}",
     ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+        "obtain a copy of the license at <<opt>>http<</opt>> <<opt>>https<</opt>> www apache org licenses license 2 0 <<opt>>txt<</opt>> unless "
+        "required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without "
+        "warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and "
+        "limitations under the license",
+    ),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<opt>>http<</opt>> <<opt>>https<</opt>> mozilla org mpl 2 0"),
+    *[(f"{label}-{v}.{minor}-notice", gnu(name, f"{v} 1" if minor == 1 else f"{v}")) for label, name, v, minor in (("gpl", "general public", 2, 0), ("gpl", "general public", 3, 0), ("lgpl", "lesser general public", 2, 1), ("lgpl", "lesser general public", 3, 0), ("agpl", "affero general public", 3, 0))],
+    ("mit", "released under the <<opt>>terms of the<</opt>> mit license"),
+    ("mit", "licensed under the <<opt>>terms of the<</opt>> mit license"),
     ("apache-2.0", "licensed under the apache license <<opt>>version<</opt>> 2 0 <<opt>>the license<</opt>>"),
     ("gpl-3.0", "licensed under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 3"),
     ("gpl-2.0", "licensed under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 2"),
     ("cc-by-nc-4.0", "licensed under <<opt>>the<</opt>> <<opt>>a<</opt>> cc by nc 4 0 <<opt>>international<</opt>> <<opt>>license<</opt>>"),
     ("cc-by-4.0", "licensed under <<opt>>the<</opt>> <<opt>>a<</opt>> cc by 4 0 <<opt>>international<</opt>> <<opt>>license<</opt>>"),
     ("cc-by-sa-4.0", "licensed under <<opt>>the<</opt>> <<opt>>a<</opt>> cc by sa 4 0 <<opt>>international<</opt>> <<opt>>license<</opt>>"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<var:0-150>> neither the name of <<var:1-20>> nor the names of <<opt>>its<</opt>> contributors may be used to endorse or promote products"),
     ("copyright-notice", "copyright <<opt>>c<</opt>> <<var:1-8>> all rights reserved"),
 ]
 

@@ -1,9 +1,12 @@
 """ISO media containers: writing a track of fixed-size samples, and reading the container's tables without the payload.
 
 ``probe`` walks nested boxes (32- and 64-bit sizes, boxes that run to the end), decodes the sample tables (sizes, chunks,
-times, sync samples) and gives codec, duration and the byte ranges of all keyframes. ``describe`` does so for texts stored as
-samples. Null text is the empty text, whose payload is 64 zero bytes. Equal texts give equal rows; a null doc_id is carried;
-other columns are ignored.
+times, sync samples) and gives codec, duration and the byte ranges of all keyframes. ``stored`` writes texts as containers in a
+table's column, ``described`` reads that column back; ``describe`` does both.
+
+Null text is the empty text, whose payload is 64 zero bytes. Equal texts give equal rows, repeated rows too; a null doc_id is
+carried; other columns are ignored; very long texts are stored whole, with a 64-bit box where 32 bits don't hold the size. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, staged
 
-#: Bytes of a sample, samples of a chunk, samples from one keyframe to the next, samples a second.
-SAMPLE, CHUNK, KEY_EVERY, TIMESCALE = 64, 256, 32, 100
+#: Bytes of a sample (one 8-bit value a tick of the clock), samples of a chunk, samples from one keyframe to the next, ticks a second.
+SAMPLE, CHUNK, KEY_EVERY, TIMESCALE = 64, 256, 32, 8000
 CODEC = b"raw "
 #: Boxes that hold boxes.
 CONTAINERS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"moof", b"traf", b"mvex"])
@@ -53,13 +56,13 @@ def write(payload: bytes) -> bytes:
     if chunks[-1] != CHUNK:
         runs.append((len(chunks), chunks[-1], 1))
     matrix = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
-    entry = box(CODEC, bytes(6), struct.pack(">H", 1), struct.pack(">HHIHHHHI", 0, 0, 0, 1, 8, 0, 0, 8000 << 16))
+    entry = box(CODEC, bytes(6), struct.pack(">H", 1), struct.pack(">HHIHHHHI", 0, 0, 0, 1, 8, 0, 0, TIMESCALE << 16))
 
     def movie(first: int) -> bytes:
         tables = box(
             b"stbl",
             full(b"stsd", struct.pack(">I", 1), entry),
-            table(b"stts", ">II", [(n, 1)]),
+            table(b"stts", ">II", [(n, SAMPLE)]),
             table(b"stss", ">I", [(k + 1,) for k in range(0, n, KEY_EVERY)]),
             table(b"stsc", ">III", runs),
             full(b"stsz", struct.pack(">II", SAMPLE, n)),
@@ -67,15 +70,15 @@ def write(payload: bytes) -> bytes:
         )
         track = box(
             b"trak",
-            full(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, n), bytes(8), struct.pack(">HHHH", 0, 0, 0x100, 0), matrix, bytes(8), flags=3),
+            full(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, n * SAMPLE), bytes(8), struct.pack(">HHHH", 0, 0, 0x100, 0), matrix, bytes(8), flags=3),
             box(
                 b"mdia",
-                full(b"mdhd", struct.pack(">IIIIHH", 0, 0, TIMESCALE, n, 0x55C4, 0)),
+                full(b"mdhd", struct.pack(">IIIIHH", 0, 0, TIMESCALE, n * SAMPLE, 0x55C4, 0)),
                 full(b"hdlr", bytes(4), b"soun", bytes(13)),
                 box(b"minf", full(b"smhd", bytes(4)), box(b"dinf", full(b"dref", struct.pack(">I", 1), full(b"url ", flags=1))), tables),
             ),
         )
-        head = full(b"mvhd", struct.pack(">IIII", 0, 0, TIMESCALE, n), struct.pack(">IH", 0x10000, 0x100), bytes(10), matrix, bytes(24), struct.pack(">I", 2))
+        head = full(b"mvhd", struct.pack(">IIII", 0, 0, TIMESCALE, n * SAMPLE), struct.pack(">IH", 0x10000, 0x100), bytes(10), matrix, bytes(24), struct.pack(">I", 2))
         return box(b"moov", head, track)
 
     brand = box(b"ftyp", b"isom", struct.pack(">I", 512), b"isomiso2mp41")
@@ -186,11 +189,22 @@ def feature(track: dict) -> str:
     """Codec, duration in seconds, number of keyframes, first and last keyframe's byte range."""
     keys = [track["samples"][k] for k in (track["keys"][0], track["keys"][-1])] if len(track["keys"]) else []
     ends = " ".join(f"{o}+{s}" for o, s in keys)
-    return f"codec={track['codec'].strip()} seconds={track['duration'] / (track['timescale'] or 1):.2f} samples={len(track['samples'])} keyframes={len(track['keys'])} ranges={ends}"
+    return f"codec={track['codec'].strip()} seconds={track['duration'] / (track['timescale'] or 1):.3f} samples={len(track['samples'])} keyframes={len(track['keys'])} ranges={ends}"
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, keyframes of every row.
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media (the container) of every row, written to the shared folder."""
+
+    def rows(batches):
+        for b in slices(batches, 200):
+            data = [(t or "").encode("utf-8") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, data), pa.int64()), pa.array([write(padded(d)) for d in data], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_bytes long, media binary"), "media")
+
+
+def described(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, keyframes of stored() rows.
 
     keyframes has (offset, size, seconds) of every keyframe, in order.
     """
@@ -198,14 +212,18 @@ def describe(docs: DataFrame) -> DataFrame:
     def rows(batches):
         for b in slices(batches, 200):
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = (text or "").encode("utf-8")
-                stored = write(padded(data))
-                (track,) = probe(stored)
-                back = payload_of(memoryview(stored), track)
-                out.append((doc, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(track), [dict(zip(("offset", "size", "seconds"), f)) for f in keyframes(track)]))
+            for doc, n_bytes, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                data = memoryview(media.as_buffer())
+                (track,) = probe(data)
+                back = payload_of(data, track)
+                out.append((doc, n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(track), [dict(zip(("offset", "size", "seconds"), f)) for f in keyframes(track)]))
             frames = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("seconds", pa.float64())]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), frames)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "keyframes"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes array<struct<offset: bigint, size: bigint, seconds: double>>")
+    return media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes array<struct<offset: bigint, size: bigint, seconds: double>>")
+
+
+def describe(docs: DataFrame) -> DataFrame:
+    """described() of docs as stored()."""
+    return described(stored(docs))

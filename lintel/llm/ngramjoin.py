@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, heavy, joined, slices, staged
+from .common import forget, free, heavy, joined, slices, staged
 
 K, PERCENT = 3, 90
 #: Lists of row keys up to this long are broadcast (some 50 MB), longer ones are joined by shuffle.
@@ -162,11 +162,9 @@ def heads_of(docs: DataFrame, k: int, percent: int, levels: bytes) -> DataFrame:
 
 def matching(docs: DataFrame, keys: DataFrame, how: str, *names: str) -> DataFrame:
     """docs with (left_semi) or without (left_anti) the keys; nulls match nulls. text_key is made from the text."""
-    renamed = keys.select(*[F.col(c).alias(f"__key_{c}") for c in names])
-    own = {"text_key": F.xxhash64("text")}
-    same = F.lit(True)
-    for c in names:
-        same = same & own.get(c, F.col(c)).eqNullSafe(F.col(f"__key_{c}"))
+    own = {c: free(docs, "key_" + c) for c in names}
+    renamed = keys.select(*[F.col(c).alias(own[c]) for c in names])
+    same = reduce(Column.__and__, [(F.xxhash64("text") if c == "text_key" else F.col(c)).eqNullSafe(F.col(own[c])) for c in names])
     return docs.join(F.broadcast(renamed) if keys.count() <= BROADCAST_KEYS else renamed, same, how)
 
 
@@ -405,9 +403,7 @@ def components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     rows, several = labelled(docs, k, percent)
     least = joined(rows.select("node", "doc_id"), several, "node", "rows").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.countDistinct("node").alias("nodes"))
     known = staged(joined(several, staged(least, "least"), "label", "nodes").select("node", "component_id", "rows"), "known")
-    again = joined(rows, known, "node", "rows").select("doc_id", "n_shingles", "component_id")
-    alone = rows.join(known, "node", "left_anti").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return again.unionByName(alone)
+    return joined(rows, known, "node", "rows", "left").select("doc_id", "n_shingles", F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:

@@ -8,8 +8,9 @@ gradient descent from a bounded sample of rated documents.
 
 Null or empty text has no features: score 0, so it gets the thresholds' own probabilities, and is not selected. Unrated
 documents are judged alike. Rows of labels with a null rating or unknown document are ignored; of several ratings of a
-document the lowest counts. With no ratings, every non-empty text is selected. A null doc_id is carried; repeated rows are
-judged alike; other columns are ignored.
+document the lowest counts, and of several texts of one id the smallest is learned from. With no ratings, every non-empty text
+is selected. A null doc_id is carried; repeated rows are judged alike; very long texts are judged whole. Other columns are
+ignored by ``classify`` and carried by ``good``, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import chosen, slices
 
-#: Rated documents fitted on, in expectation (chosen by a hash of doc_id); hashed weights; grades; passes over the sample.
-FIT_DOCS, BITS, GRADES, EPOCHS = 8000, 17, 3, 12
+#: Rated documents fitted on, in expectation (chosen by a hash of doc_id), and the longest text fitted on, which bound what
+#: comes to the driver; hashed weights; grades; passes over the sample.
+FIT_DOCS, FIT_CHARS, BITS, GRADES, EPOCHS = 8000, 100_000, 17, 3, 12
 RATE, L2, SEED = 0.35, 1e-6, 5
 #: Least tail probability P(grade >= TAIL_GRADE) of a selected document.
 TAIL_GRADE, SELECT = 1, 0.5
@@ -83,6 +85,19 @@ class CumulativeLink:
         return float(self.weights[at] @ values) if len(at) else 0.0
 
 
+def slopes(scores: np.ndarray, y: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the mean -log P(grade = y), P(grade >= k) = sigmoid(score - theta[k - 1]), in each score and in theta."""
+    count, n = len(scores), np.arange(len(scores))
+    tail = np.concatenate([np.ones((count, 1)), 1 / (1 + np.exp(-np.clip(scores[:, None] - theta, -40, 40))), np.zeros((count, 1))], 1)
+    slope = tail * (1 - tail)
+    p = np.maximum(tail[n, y] - tail[n, y + 1], 1e-9)
+    up, down = slope[n, y] / p, slope[n, y + 1] / p  # of log P in score - theta[y - 1], score - theta[y]
+    by_theta = np.zeros(len(theta))
+    np.add.at(by_theta, np.maximum(y - 1, 0), np.where(y > 0, up, 0.0) / count)
+    np.add.at(by_theta, np.minimum(y, len(theta) - 1), np.where(y < len(theta), -down, 0.0) / count)
+    return (down - up) / count, by_theta
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = GRADES, bits: int = BITS, epochs: int = EPOCHS) -> CumulativeLink:
     """Adagrad on the ordinal likelihood. The thresholds are the first one and positive gaps, so they stay ordered."""
     w, g2 = np.zeros(1 << bits), np.full(1 << bits, 1e-2)
@@ -100,21 +115,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
             at = np.concatenate([rows[i][0] for i in batch])
             values = np.concatenate([rows[i][1] for i in batch])
             who = np.repeat(np.arange(len(batch)), [len(rows[i][0]) for i in batch])
-            scores = np.bincount(who, w[at] * values, len(batch))
-            theta = cut()
-            tail = np.concatenate([np.ones((len(batch), 1)), 1 / (1 + np.exp(-np.clip(scores[:, None] - theta, -40, 40))), np.zeros((len(batch), 1))], 1)
-            slope = tail * (1 - tail)
-            y, n = grades[batch], np.arange(len(batch))
-            p = np.maximum(tail[n, y] - tail[n, y + 1], 1e-9)
-            up, down = slope[n, y] / p, slope[n, y + 1] / p  # of the likelihood in score - theta[y - 1], score - theta[y]
-            ds = (down - up) / len(batch)
+            ds, dt = slopes(np.bincount(who, w[at] * values, len(batch)), grades[batch], cut())
             grad = np.bincount(at, ds[who] * values, len(w)) if len(at) else np.zeros(len(w))
             grad += L2 * w
             g2 += grad * grad
             w -= RATE * grad / np.sqrt(g2)
-            dt = np.zeros(n_grades - 1)
-            np.add.at(dt, np.maximum(y - 1, 0), np.where(y > 0, up, 0.0) / len(batch))
-            np.add.at(dt, np.minimum(y, n_grades - 2), np.where(y < n_grades - 1, -down, 0.0) / len(batch))
             raw = np.concatenate([[dt.sum()], np.array([dt[j + 1 :].sum() for j in range(n_grades - 2)]) * np.exp(gaps)])
             t2 += raw * raw
             move = 0.1 * raw / np.sqrt(t2)
@@ -127,14 +132,13 @@ def grade(quality, toxic):
     return F.when(quality == 0, 0).when(toxic == 1, 1).otherwise(2)
 
 
-def rated(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> list:
-    """About fit_docs (doc_id, text, grade) rows, chosen by a hash of doc_id over the whole tables."""
+def rated(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """About fit_docs (doc_id, text, grade) rows, one an id, chosen by a hash of doc_id over the whole tables."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(grade(F.col("quality"), F.coalesce(F.col("toxic"), F.lit(0)))).alias("grade"))
-    draw = lambda c: F.pmod(F.xxhash64(c, F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     share = min(1.0, fit_docs / max(1, labels.select("doc_id").count()))
-    marks = marks.where(draw("doc_id") < share)
-    known = docs.where(F.col("text").isNotNull() & (draw("doc_id") < share)).select("doc_id", "text")
-    return known.join(marks, "doc_id")
+    known = docs.where(F.col("text").isNotNull() & (draw < share) & (F.length("text") <= FIT_CHARS)).groupBy("doc_id").agg(F.min("text").alias("text"))
+    return known.join(marks.where(draw < share), "doc_id")
 
 
 def least_top(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, part: np.ndarray, bits: int = BITS) -> float:
@@ -166,19 +170,42 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, bits
     return fit(pairs, grades, bits=bits), least_top(pairs, grades, part, bits)
 
 
+class Judge:
+    """Judges texts under a fitted model and its least P(top grade)."""
+
+    def __init__(self, model: tuple[CumulativeLink, float] | None, bits: int, select: float):
+        self.link, self.top = model or (None, 0.0)
+        self.make, self.select = Features(bits), select
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, tail probabilities, whether selected, whether selected by the top grade)."""
+        found = [self.make(t) for t in texts]
+        full = np.array([len(f[0]) > 0 for f in found], bool)
+        scores = np.array([self.link.score(*f) if self.link else 0.0 for f in found])
+        tails = self.link.tails(scores) if self.link else np.ones((len(texts), GRADES - 1))
+        taken = (tails[:, TAIL_GRADE - 1] >= self.select) & full
+        return scores, tails, taken, taken & (tails[:, -1] >= self.top)
+
+
 def classify(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, bits: int = BITS, select: float = SELECT) -> DataFrame:
     """doc_id, score, expected_grade, tail_1, tail_2 (P(grade >= 1 and 2)), selected, top_selected of every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, fit_docs, bits))  # 2 ** bits weights
 
     def judge(batches):
-        (link, top), make = model.value or (None, 0.0), Features(bits)
+        tell = Judge(model.value, bits, select)
         for b in slices(batches):
-            texts = b.column(1).to_pylist()
-            found = [make(t) for t in texts]
-            full = np.array([len(f[0]) > 0 for f in found])
-            scores = np.array([link.score(*f) if link else 0.0 for f in found])
-            tails = link.tails(scores) if link else np.ones((len(texts), GRADES - 1))
-            chosen = (tails[:, TAIL_GRADE - 1] >= select) & full
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(chosen), pa.array(chosen & (tails[:, -1] >= top))], ["doc_id", "score", "expected_grade", "tail_1", "tail_2", "selected", "top_selected"])
+            scores, tails, taken, top = tell(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(taken), pa.array(top)], ["doc_id", "score", "expected_grade", "tail_1", "tail_2", "selected", "top_selected"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, "doc_id long, score double, expected_grade double, tail_1 double, tail_2 double, selected boolean, top_selected boolean")
+
+
+def good(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, bits: int = BITS, select: float = SELECT) -> DataFrame:
+    """The rows of docs that classify() would mark as top_selected."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, fit_docs, bits))
+
+    def judge():
+        tell = Judge(model.value, bits, select)
+        return lambda texts: tell(texts)[3].tolist()
+
+    return chosen(docs, "text", judge)

@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by vantage-point trees over shards.
 
 Inner products become distances: with M the largest norm, vectors get one more component sqrt(M^2 - |x|^2) and queries 0, so
-|q - x|^2 = |q|^2 + M^2 - 2 q.x and the nearest is the one with the largest inner product. Each shard of vectors is a tree of
-vantage points; a branch is passed over when factor * (its least distance by the triangle inequality) exceeds the distance of
-the k-th neighbour found so far. Factor 1 gives exact search; larger factors pass over more.
-
-Vectors that are null, zero or hold null or non-finite components, that have no id, or whose length isn't the most common one
-take no part. Repeated rows are candidates each; a query's own id is never its neighbour, and of
-queries with one id the smallest vector is asked. Fewer than k candidates: all of
-them. Other columns are ignored; an empty table gives an empty result.
+|q - x|^2 = |q|^2 + M^2 - 2 q.x and the nearest is the one with the largest inner product. Vectors are dealt to the nearest of
+a bounded sample of vantage points; the cell of each is one shard, or several by hash where it is large, and each shard is a
+tree of vantage points. A query first searches its own cell. Other cells, and then branches of their trees, are passed over
+when factor * (their least distance by the triangle inequality) exceeds the distance of the k-th neighbour found so far; no
+task is made for a cell that all queries pass over. Factor 1 gives exact search; larger factors pass over more.
+
+Vectors that are null, zero or hold null or non-finite components, that have no id or no component take no part. A query meets
+only vectors of its own length, since no others have an inner product with it. Repeated rows are candidates each, so is every
+row but the query's own, of rows equal to it one; of queries with one id the smallest vector is asked. Ties go to the smaller
+vec_id. Fewer than k candidates: all of them. Other columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,9 +27,13 @@ from pyspark.sql import functions as F
 from .common import new_folder, open_store, staged
 
 #: Neighbours, queries' divisor, vectors of a shard and queries of a block in expectation, vectors of a leaf.
-NEAREST, EVERY, SHARD, BLOCK, LEAF = 20, 20, 8192, 512, 128
+NEAREST, EVERY, SHARD, BLOCK, LEAF = 20, 20, 4096, 512, 128
+#: Vectors for each cell's vantage point, and the most of these: a sample that each task holds.
+CELL, MOST_CELLS = 512, 4096
+#: Lists of tree files up to this length are broadcast.
+BROADCAST_SHARDS = 20_000
 #: Production factor; see the README for the recall measured.
-FACTOR = 5.0
+FACTOR = 7.0
 #: Scores this much below the k-th (relative to the norms) are still computed exactly.
 SLACK = 1e-9
 
@@ -39,21 +46,30 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
+def lifted(x: np.ndarray, top: float) -> np.ndarray:
+    """Vectors with the component that makes their norm the largest one's."""
+    return np.concatenate([x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))[:, None]], 1)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0))
+
+
 class Tree:
     """A vantage-point tree over rows kept in tree order.
 
-    Node arrays: first and end row, the vantage row, and per child its node (or -1) and least and largest distance from the
-    vantage point.
+    rows are the rows' own numbers, ids their vec_id. Node arrays: first and end row, the vantage row, and per child its node
+    (or -1) and least and largest distance from the vantage point.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float, nodes: np.ndarray, bounds: np.ndarray):
-        self.ids, self.vectors, self.top, self.nodes, self.bounds = ids, vectors, top, nodes, bounds
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, top: float, nodes: np.ndarray, bounds: np.ndarray):
+        self.rows, self.ids, self.vectors, self.top, self.nodes, self.bounds = rows, ids, vectors, top, nodes, bounds
 
     @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray, top: float, leaf: int = LEAF, seed: int = 1) -> Tree:
+    def build(cls, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, top: float, leaf: int = LEAF, seed: int = 1) -> Tree:
         x = vectors.astype(np.float64)
-        x = np.concatenate([x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))[:, None]], 1)
-        order, nodes, bounds, rng = np.argsort(ids, kind="stable"), [], [], np.random.default_rng(seed)
+        x = lifted(x, top)
+        order, nodes, bounds, rng = np.lexsort((rows, ids)), [], [], np.random.default_rng(seed)
 
         def grow(a: int, b: int) -> int:
             me = len(nodes)
@@ -79,37 +95,46 @@ class Tree:
         for n in nodes:
             if n[2] >= 0:
                 n[2] = place[n[2]]
-        return cls(ids[order], vectors[order], top, np.array(nodes, np.int64).reshape(-1, 5), np.array(bounds).reshape(-1, 4))
+        return cls(rows[order], ids[order], vectors[order], top, np.array(nodes, np.int64).reshape(-1, 5), np.array(bounds).reshape(-1, 4))
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, vectors=self.vectors, top=self.top, nodes=self.nodes, bounds=self.bounds)
+        np.savez(out, rows=self.rows, ids=self.ids, vectors=self.vectors, top=self.top, nodes=self.nodes, bounds=self.bounds)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Tree:
         z = np.load(io.BytesIO(data))
-        return cls(z["ids"], z["vectors"], float(z["top"]), z["nodes"], z["bounds"])
+        return cls(z["rows"], z["ids"], z["vectors"], float(z["top"]), z["nodes"], z["bounds"])
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int = NEAREST, factor: float = 1.0) -> Search:
-        return Search(self, ids, queries, k, factor)
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int = NEAREST, factor: float = 1.0, floor: np.ndarray | None = None) -> Search:
+        return Search(self, own, queries, k, factor, floor)
 
 
 class Search:
-    """A block of queries against one tree; ``score`` and ``near`` hold the k best, ``looked`` the pairs scored."""
+    """A block of queries against one tree; ``score`` and ``near`` hold the k best, ``looked`` the pairs scored.
+
+    own: each query's own row; floor: a score that k others are known to reach.
+    """
 
-    def __init__(self, tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
-        self.tree, self.own, self.q, self.k, self.factor = tree, ids, queries.astype(np.float64), k, factor
+    def __init__(self, tree: Tree, own: np.ndarray, queries: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None):
+        self.tree, self.own, self.q, self.k, self.factor = tree, own, queries.astype(np.float64), k, factor
+        self.floor = np.full(len(own), -np.inf) if floor is None else floor
         self.x = tree.vectors.astype(np.float64)
         self.square = (self.q * self.q).sum(1) + tree.top**2
-        self.slack = SLACK * np.maximum(1e-300, np.sqrt((self.q * self.q).sum(1)) * tree.top)
-        self.score, self.near, self.looked = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max), 0
-        if len(tree.nodes) and len(ids):
-            self.visit(0, np.arange(len(ids)))
+        largest = np.maximum(np.abs(self.q).max(1, initial=0), 1e-300)
+        self.slack = SLACK * np.maximum(1e-300, largest * np.sqrt(((self.q / largest[:, None]) ** 2).sum(1)) * tree.top)
+        self.score, self.near, self.looked = np.full((len(own), k), -np.inf), np.full((len(own), k), np.iinfo(np.int64).max), 0
+        if len(tree.nodes) and len(own):
+            self.visit(0, np.arange(len(own)))
+
+    def least(self, who: np.ndarray) -> np.ndarray:
+        """Score that k rows reach, as far as known."""
+        return np.maximum(self.score[who, -1], self.floor[who])
 
     def reach(self, who: np.ndarray) -> np.ndarray:
         """Distance of the k-th neighbour so far; infinite while there are fewer."""
-        return np.sqrt(np.maximum(self.square[who] - 2 * (self.score[who, -1] - self.slack[who]), 0))
+        return np.sqrt(np.maximum(self.square[who] - 2 * (self.least(who) - self.slack[who]), 0))
 
     def visit(self, node: int, who: np.ndarray) -> None:
         a, b, vantage, left, right = self.tree.nodes[node]
@@ -130,8 +155,8 @@ class Search:
     def score_leaf(self, a: int, b: int, who: np.ndarray) -> None:
         self.looked += len(who) * (b - a)
         rough = self.q[who] @ self.x[a:b].T
-        rough[self.own[who][:, None] == self.tree.ids[a:b][None, :]] = -np.inf
-        least = self.score[who, -1]
+        rough[self.own[who][:, None] == self.tree.rows[a:b][None, :]] = -np.inf
+        least = self.least(who)
         if b - a > self.k:
             least = np.maximum(least, np.partition(rough, b - a - self.k, axis=1)[:, b - a - self.k])
         i, j = np.nonzero((rough >= (least - 2 * self.slack[who])[:, None]) & (rough > -np.inf))
@@ -151,67 +176,146 @@ class Search:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (doubles), norm of the rows whose vector is neither null, zero nor partly null or non-finite."""
+    """vec_id, embedding (doubles) of the rows whose vector is neither null, empty, zero nor partly null or non-finite."""
     known = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     broken = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return known.where(~broken).withColumn("norm", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).where("norm > 0")
+    return known.where(~broken & F.exists("embedding", lambda x: x != 0))
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
-def saved(part: pa.Table, key: str, folder: str, data: bytes) -> pa.Table:
+def saved(folder: str, data: bytes) -> str:
     store, base = open_store(folder)
     store.create_dir(base)
     path = f"{base}/{uuid.uuid4().hex}.npz"
     with store.open_output_stream(path, compression=None) as out:
         out.write(data)
-    return pa.table({key: [part[key][0].as_py()], "path": [path]}, pa.schema([(key, pa.int64()), ("path", pa.string())]))
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, factor: float = FACTOR, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found of each query; queries are rows of vectors' form.
-
-    Trees and blocks of queries are files in the shared folder; a task searches one tree for one block.
-    """
-    spark = vectors.sparkSession
+    return path
+
+
+class Cells:
+    """The vantage points that vectors are dealt to, how far each one's vectors reach, and its shards."""
+
+    def __init__(self, points: np.ndarray, top: float):
+        self.points, self.top = lifted(points, top), top
+        self.radius, self.first, self.shards = np.zeros(len(points)), np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
+
+    def sized(self, found: list[tuple[int, int, float]], shard: int) -> Cells:
+        """With (cell, vectors, radius) of the cells that have vectors."""
+        for cell, n, radius in found:
+            self.radius[cell], self.shards[cell] = radius, -(-n // shard)
+        self.first = np.concatenate([[0], np.cumsum(self.shards)[:-1]])
+        return self
+
+    def of_vectors(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nearest cell, distance from its point) of vectors."""
+        d = distances(lifted(x, self.top), self.points)
+        own = d.argmin(1)
+        return own, d[np.arange(len(x)), own]
+
+    def of_queries(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(home cell, least distance of each cell's vectors) of queries. A cell's vectors are nearer to its point than to any
+        other, and within its radius."""
+        root = np.sqrt((q * q).sum(1) + self.top**2)[:, None]
+        d = np.sqrt(np.maximum(root**2 - 2 * (q @ self.points[:, :-1].T), 0))
+        home = np.where(self.shards > 0, d, np.inf).argmin(1)
+        return home, np.maximum((d - d.min(1)[:, None]) / 2, d - self.radius) - 1e-9 * (1 + d)
+
+    def others(self, q: np.ndarray, least_score: np.ndarray, factor: float) -> np.ndarray:
+        """[query, cell]: cells besides the home cell that a query can't pass over."""
+        home, least = self.of_queries(q)
+        slack = SLACK * np.sqrt((q * q).sum(1)) * self.top
+        reach = np.sqrt(np.maximum((q * q).sum(1) + self.top**2 - 2 * (least_score - slack), 0))
+        visit = ~(factor * least > reach[:, None]) & (self.shards > 0)
+        visit[np.arange(len(q)), home] = False
+        return visit
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, factor: float = FACTOR, shard: int = SHARD, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found of each query; queries are rows of vectors' form."""
+    part = staged(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    first = staged(usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    own = first.join(part.withColumnRenamed("embedding", "e"), "vec_id", "left").groupBy("vec_id", "embedding").agg(F.min(F.when(F.col("e") == F.col("embedding"), F.col("row"))).alias("own"))
+    asked = staged(own.select(F.col("vec_id").alias("query_id"), "embedding", F.coalesce("own", F.lit(-1)).alias("own")), "asked")
+    sizes = [r[0] for r in asked.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
+    found = None
+    for d in sizes:
+        same = F.size("embedding") == d
+        one = search_one(part.where(same), asked.where(same), k, factor, shard, block, cell)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = asked.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
+    return found
+
+
+def search_one(part: DataFrame, asked: DataFrame, k: int, factor: float, shard: int, block: int, cell: int) -> DataFrame:
+    """The search over vectors of one length: trees are files in the shared folder, a task searches one for a block of queries."""
+    spark = part.sparkSession
     folder = new_folder(spark, "vptree")
-    part, asked = usable(vectors), usable(queries)
-    sizes = part.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    common = F.size("embedding") == (sizes["d"] if sizes else 0)
-    part, asked = part.where(common), asked.where(common).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    known = part.agg(F.max("norm").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    top, shards = known["top"] or 0.0, -(-known["n"] // shard) or 1
-    blocks = -(-asked.count() // block) or 1
-
-    def index(rows: pa.Table) -> pa.Table:
-        return saved(rows, "shard", folder, Tree.build(rows["vec_id"].to_numpy(), matrix(rows["embedding"]), top).dump())
-
-    def gather(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("vec_id")
-        out = io.BytesIO()
-        np.savez(out, ids=rows["vec_id"].to_numpy(), vectors=matrix(rows["embedding"]))
-        return saved(rows, "block", folder, out.getvalue())
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    known = part.agg(F.max(norm).alias("top"), F.count(F.lit(1)).alias("n")).first()
+    top, n = known["top"] or 0.0, known["n"]
+    points = part.orderBy(F.xxhash64("row", F.lit("cells")), "row").limit(max(1, min(MOST_CELLS, n // cell))).select("embedding").collect()
+    cells = Cells(np.array([p["embedding"] for p in points]).reshape(len(points), -1), top) if points else None
+    if cells is None:
+        return asked.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
+
+    def deal(batches):
+        for b in batches:
+            own, d = cells.of_vectors(matrix(b.column(2)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own), pa.array(d)], ["row", "vec_id", "embedding", "cell", "d"])
 
-    dealt = lambda df, n, name: df.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("long").alias(name))
-    trees = staged(dealt(part, shards, "shard").groupBy("shard").applyInArrow(index, "shard long, path string"), "trees")
-    asks = staged(dealt(asked, blocks, "block").groupBy("block").applyInArrow(gather, "block long, path string"), "asks")
-    tasks = asks.select(F.col("path").alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")).join(trees, "shard").select("path", "ask")
-    tasks = tasks.repartition(max(1, min(shards * blocks, 100_000)), "path", "ask")
+    dealt = staged(part.select("row", "vec_id", "embedding").mapInArrow(deal, "row long, vec_id long, embedding array<double>, cell long, d double"), "dealt")
+    sized = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")).collect()  # at most MOST_CELLS rows
+    cells.sized([tuple(r) for r in sized], shard)
+    shared = spark.sparkContext.broadcast(cells)
 
-    def run(batches):
+    def index(rows: pa.Table) -> pa.Table:
+        tree = Tree.build(rows["row"].to_numpy(), rows["vec_id"].to_numpy(), matrix(rows["embedding"]), top)
+        return pa.table({"shard": [rows["shard"][0].as_py()], "path": [saved(folder, tree.dump())]}, pa.schema([("shard", pa.int64()), ("path", pa.string())]))
+
+    place = spark.createDataFrame([(int(c), int(cells.first[c]), int(cells.shards[c])) for c in np.flatnonzero(cells.shards)], "cell long, first long, shards long")
+    sharded = dealt.join(F.broadcast(place), "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("row"), "shards"))
+    trees = staged(sharded.select("shard", "row", "vec_id", "embedding").groupBy("shard").applyInArrow(index, "shard long, path string"), "trees")
+
+    def sent(first: bool):
+        def run(batches):
+            own = shared.value
+            for b in batches:
+                q, least = matrix(b.column(2)), b.column(3).to_numpy(zero_copy_only=False)
+                if first:
+                    visit = np.zeros((len(q), len(own.shards)), bool)
+                    visit[np.arange(len(q)), own.of_queries(q)[0]] = True
+                else:
+                    visit = own.others(q, least, factor)
+                for c in np.flatnonzero(visit.any(0)):
+                    who = b.take(pa.array(np.flatnonzero(visit[:, c])))
+                    for s in range(own.first[c], own.first[c] + own.shards[c]):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(who.num_rows, s)), *who.columns], ["shard", "query_id", "own", "embedding", "least"])
+
+        return run
+
+    def look(rows: pa.Table) -> pa.Table:
         store, _ = open_store(folder)
-        at, tree = None, None
-        for b in batches:
-            for path, ask in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                if path != at:
-                    at, tree = path, Tree.load(store.open_input_stream(path, compression=None).read())
-                z = np.load(io.BytesIO(store.open_input_stream(ask, compression=None).read()))
-                found = tree.search(z["ids"], z["vectors"], k, factor)
-                who, rank = np.nonzero(found.score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(z["ids"][who]), pa.array(found.near[who, rank]), pa.array(found.score[who, rank])], ["query_id", "vec_id", "score"])
-
+        tree = Tree.load(store.open_input_stream(rows["path"][0].as_py(), compression=None).read())
+        ids = rows["query_id"].to_numpy()
+        found = tree.search(rows["own"].to_numpy(), matrix(rows["embedding"]), k, factor, rows["least"].to_numpy())
+        who, rank = np.nonzero(found.score > -np.inf)
+        return pa.table({"query_id": ids[who], "vec_id": found.near[who, rank], "score": found.score[who, rank]}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+
+    def searched(queries: DataFrame, first: bool) -> DataFrame:
+        tasks = queries.select("query_id", "own", "embedding", "least").mapInArrow(sent(first), "shard long, query_id long, own long, embedding array<double>, least double")
+        blocks = max(1, -(-asked_n // block))
+        return tasks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).join(paths, "shard").groupBy("shard", "block").applyInArrow(look, "query_id long, vec_id long, score double")
+
+    asked_n = asked.count()
+    paths = F.broadcast(trees) if cells.shards.sum() <= BROADCAST_SHARDS else trees
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = tasks.mapInArrow(run, "query_id long, vec_id long, score double")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    none = F.lit(-float("inf"))
+    home = staged(ranked(searched(asked.withColumn("least", none), True)), "home")
+    kth = home.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    more = searched(asked.join(kth, "query_id", "left").withColumn("least", F.coalesce("least", none)), False)
+    return ranked(home.drop("rank").unionByName(more))

@@ -5,7 +5,8 @@ A monolithic archive is one gzip stream over many records, so no record can be r
 a sidecar index of offsets; ``read_back`` then reads records by offset.
 
 Null html is an empty payload. Rows with a null page_id are kept; they are responses unless a row with an id has the payload.
-Of repeated rows (same id and payload) the first written is the response. Null urls give an empty target. Other columns are
+Of repeated rows (same id and payload), and of rows without id where no row with an id has the payload, the first by file name
+is the response; file names are new in each run, but such rows are equal, so the result isn't. Null urls give an empty target. Other columns are
 ignored; an empty table gives an empty result. Files are written under unique names and count only once listed in a written
 table, so tasks can be run again.
 """
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_store, remove, slices, staged
+from .common import joined, new_folder, open_store, remove, slices, staged
 
 #: Payload bytes after which a new archive is begun; payloads under LEAST_REVISIT bytes are never revisits.
 ARCHIVE_BYTES, LEAST_REVISIT, READ = 64 << 20, 100, 1 << 18
@@ -143,15 +144,17 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def revisits(listed: DataFrame) -> DataFrame:
-    """listed with refers_to and is_revisit. The first record of each digest is found by a partial aggregate."""
+    """listed with refers_to and is_revisit. The first record of each digest is found by a partial aggregate; digests that much
+    of all records have are joined by broadcast."""
     order = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "path", "seq")
     large = listed.where(F.col("payload_bytes") >= LEAST_REVISIT)
-    firsts = large.groupBy(F.col("payload_digest").alias("d")).agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "f.page_id", "f.path", "f.seq").toDF("d", "first_id", "first_path", "first_seq")
-    joined = large.join(firsts, F.col("payload_digest") == F.col("d"), "left")
-    again = F.col("d").isNotNull() & ~((F.col("path") == F.col("first_path")) & (F.col("seq") == F.col("first_seq")))
+    firsts = large.groupBy("payload_digest").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = staged(firsts.select("payload_digest", F.col("f.page_id").alias("first_id"), F.col("f.path").alias("first_path"), F.col("f.seq").alias("first_seq"), "n"), "firsts")
+    both = joined(large, firsts, "payload_digest", "n", "left")
+    again = F.col("n").isNotNull() & ~((F.col("path") == F.col("first_path")) & (F.col("seq") == F.col("first_seq")))
     small = listed.where(F.col("payload_bytes") < LEAST_REVISIT)
     none = F.lit(None).cast("long")
-    return joined.select(*listed.columns, F.when(again, F.col("first_id")).alias("refers_to"), again.alias("is_revisit")).unionByName(small.select(*listed.columns, none.alias("refers_to"), F.lit(False).alias("is_revisit")))
+    return both.select(*listed.columns, F.when(again, F.col("first_id")).alias("refers_to"), again.alias("is_revisit")).unionByName(small.select(*listed.columns, none.alias("refers_to"), F.lit(False).alias("is_revisit")))
 
 
 def normalise_archives(decided: DataFrame, folder: str) -> DataFrame:
