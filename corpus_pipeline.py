@@ -1,39 +1,34 @@
 """The corpus pipeline: language, quality, near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's
-docs. All but the last return the columns of docs. Rows with a null or blank text are rejected by the first stage (they have
-no language). A null doc_id is kept: it is judged by its text, and joins on doc_id never drop it.
+docs. All but the last return the columns of docs, whatever else these hold. The first two stages judge each row by its own
+text and pass it on or not, so null and repeated doc_ids change nothing; rows with a null or blank text have no language and
+are rejected. Of each group of near duplicates the row with the smallest doc_id stays, one without id only where none has any;
+of equal rows one stays. Very long texts are judged whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lintel.llm import langid, mixing, ngramjoin, packing, quality
 from lintel.llm.common import staged, table
 
-#: Least posterior of a document's language; shingle words and percent of similarity of near duplicates.
-LEAST_SCORE, SHINGLE, PERCENT = 0.5, 5, 80
+#: Shingle words and percent of similarity of near duplicates.
+SHINGLE, PERCENT = 5, 80
 
 #: No SQL expresses the learned stages, the join's components or the packing.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told with a posterior of LEAST_SCORE or more."""
-    found = staged(langid.identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("doc_id"), "rejected")
-    return without(docs, found)
+    """Keeps documents whose language is told for sure, by its posterior and by how likely their words are in it."""
+    return langid.confident(docs)
 
 
 def graded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier selects as good and not toxic."""
-    found = staged(quality.classify(docs, table(spark, sf_dir, "labels")).where(~F.col("top_selected")).select("doc_id"), "rejected")
-    return without(docs, found)
-
-
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return ngramjoin.only(docs, rejected.where("doc_id is not null").distinct(), "left_anti")
+    return quality.good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
