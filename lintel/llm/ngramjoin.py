@@ -13,7 +13,7 @@ How it works, on all rows and exactly (up to collisions of 64-bit hashes of shin
    and size form a group, and a prefix shingle stands once per group.
 3. Prefix shingles that several groups have are counted exactly; a group with fewer of them than it must share has no partner,
    of the others all but so many of the rarest are left out (prefix filter again). What is left are blocks of groups.
-4. In blocks of at most DIRECT members, pairs of groups are formed and filtered by size and shared prefix; those that stay are
+4. In blocks of at most DIRECT members pairs of groups are formed and filtered by size and shared prefix; those that stay are
    expanded into pairs of members, screened by histograms and verified on the sets.
 5. In a larger block, one member is the hub, and all others are compared with it alone: who links is linked by that star. For
    the rest, let R(x) be the shingles in which x and the hub differ. If x doesn't link with the hub but does with y, then R(x)
@@ -46,8 +46,9 @@ K, PERCENT = 3, 90
 BROADCAST_KEYS = 500_000
 #: The sketch has as many counters as documents, within these powers of two.
 LEAST_BITS, MOST_BITS, CHUNK = 16, 21, 1024
-#: Members of a block whose pairs are all formed; larger blocks are resolved by hubs.
-DIRECT = 32
+#: Members of a block whose pairs are all looked at; larger blocks are resolved by hubs. And of a block of members that differ
+#: from a hub, where most pairs are told apart by their places.
+DIRECT, APART = 32, 256
 #: Parts that the members of a hub with many are dealt into.
 SALTS = 64
 #: Percent of a set that prefixes are longer by.
@@ -287,7 +288,7 @@ def least_shared(nx: int, nh: int, rx: int, linked: bool, percent: int) -> int:
 
 
 def differences(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """hub, node, linked, least, r of met (hub, node): the shingles r that one of both has, and least_shared of them.
+    """hub, node, n, linked, least, r of met (hub, node): the shingles r that one of both has, and least_shared of them.
 
     Members of the few hubs that have many are dealt out by a salt, and those hubs' sets repeated for each.
     """
@@ -303,27 +304,37 @@ def differences(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
                 r = np.setxor1d(x, h, assume_unique=True)
                 linked = (100 + percent) * len(r) <= (100 - percent) * (len(x) + len(h))
-                rows.append((hub, node, linked, least_shared(len(x), len(h), len(r), linked, percent), r.view(np.int64)))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.list_(pa.int64())))], ["hub", "node", "linked", "least", "r"])
+                rows.append((hub, node, len(x), linked, least_shared(len(x), len(h), len(r), linked, percent), r.view(np.int64)))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["hub", "node", "n", "linked", "least", "r"])
 
     both = dealt.join(sets.select("node", F.col("shingles").alias("x")), "node").join(right, ["hub", "salt"])
-    return both.select("hub", "node", "x", "h").mapInArrow(run, "hub binary, node binary, linked boolean, least long, r array<long>")
+    return both.select("hub", "node", "x", "h").mapInArrow(run, "hub binary, node binary, n long, linked boolean, least long, r array<long>")
 
 
-def parted(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parted(apart: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(pairs, met) of the smaller blocks that differences leave, each with a member not linked to the hub: pairs (a, b) of
-    blocks of at most DIRECT members, and the members of larger ones with their new hub."""
-    tokens = apart.select("hub", "node", "linked", "least", F.size("r").alias("odd"), F.explode("r").alias("token"))
+    blocks of at most APART members, and the members of larger ones with their new hub.
+
+    Of a linked pair the rarest shingle that both differences have stands so far from the end of each that enough may follow
+    (positional filter); pairs are formed only where that holds.
+    """
+    tokens = apart.select("hub", "node", "n", "linked", "least", F.size("r").alias("odd"), F.explode("r").alias("token"))
     live = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("linked")).alias("loose")).where("c > 1 and loose > 0").drop("loose")
     own = Window.partitionBy("hub", "node")
     ranked = tokens.join(live, ["hub", "token"]).withColumn("has", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("c", "token")))
-    rows = staged(ranked.where("rank <= has - least + 1").select(F.xxhash64("hub", "token").alias("key"), "node", "linked", "odd"), "parted")
+    rest = (F.col("has") - F.col("rank") + 1).alias("rest")
+    rows = staged(ranked.where("rank <= has - least + 1").select(F.xxhash64("hub", "token").alias("key"), "node", "n", "linked", "odd", rest), "parted")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("loose"), F.min(F.struct("odd", "node")).alias("hub")).where("size > 1 and loose > 0")
-    blocks = staged(joined(rows.drop("odd"), staged(sizes.select("key", "size", F.col("hub.node").alias("hub")), "sizes"), "key", "size"), "blocks")
-    x, y = (blocks.where(F.col("size") <= DIRECT).select("key", F.col("node").alias(c), F.col("linked").alias("l" + c)) for c in "ab")
-    pairs = staged(x.join(y, "key").where((F.col("a") < F.col("b")) & ~(F.col("la") & F.col("lb"))).select("a", "b").distinct(), "pairs")
-    met = staged(blocks.where((F.col("size") > DIRECT) & (F.col("node") != F.col("hub"))).select("hub", "node").distinct(), "met")
+    blocks = staged(joined(rows, staged(sizes.select("key", "size", F.col("hub.node").alias("hub")), "sizes"), "key", "size"), "blocks")
+    small = blocks.where(F.col("size") <= APART)
+    x, y = (small.select("key", *[F.col(c).alias(c + k) for c in ("node", "n", "linked", "odd", "rest")]) for k in "ab")
+    c, d = 100 - percent, 100 + percent
+    enough = 2 * d * F.least("resta", "restb") >= d * (F.col("odda") + F.col("oddb")) - c * (F.col("na") + F.col("nb"))
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("nodea") < F.col("nodeb")) & ~(F.col("linkeda") & F.col("linkedb")) & fits("na", "nb", percent) & enough)
+    pairs = staged(met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), "pairs")
+    met = staged(blocks.where((F.col("size") > APART) & (F.col("node") != F.col("hub"))).select("hub", "node").distinct(), "met")
     forget(rows, blocks)
     return pairs, met
 
@@ -339,7 +350,7 @@ def starred(large: DataFrame, groups: DataFrame, heads: DataFrame, docs: DataFra
     while not met.isEmpty():
         apart = staged(differences(met, sets, percent), "apart")
         links.append(staged(apart.where("linked").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")), "stars"))
-        more, met = parted(apart)
+        more, met = parted(apart, percent)
         pairs.append(more)
         forget(apart)
     forget(sets)

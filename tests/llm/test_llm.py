@@ -557,6 +557,7 @@ def test_hubs_match_brute_force(spark, monkeypatch, k, percent, direct):
     rows += [" ".join([*passage, *(f"u{rng.randint(0, 10**6)}" for _ in range(rng.choice([0, 1, 2, 5, 40])))]) for _ in range(60)]
     rows = list(enumerate(rows))
     monkeypatch.setattr(ngramjoin, "DIRECT", direct)
+    monkeypatch.setattr(ngramjoin, "APART", direct)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()}
     assert got == brute_components(rows, k, percent)
 
@@ -587,7 +588,7 @@ def test_large_groups_are_linear(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
     sets = {d: set(ngramjoin.shingles(t, 3).tolist()) for d, t in rows[:2000]}
     star = {d for d, s in sets.items() if 100 * len(s & sets[0]) >= 90 * len(s | sets[0])}
-    assert len(star) > 500 and all(got[d] == 0 for d in star) and sum(seen) < 20 * len(rows)
+    assert len(star) > 500 and all(got[d] == 0 for d in star) and sum(seen) < 2 * len(rows)
 
 
 def test_join_edges(spark, odd):
