@@ -4,14 +4,17 @@ Documents are tokenised, ended by id 0 and cut into pieces of at most ``capacity
 sequence each; the others are dealt by hash into shards of bounded size, and each shard is packed best-fit decreasing: a
 segment tree over the remaining capacities of open sequences finds the tightest one that fits in logarithmic time.
 
-Null and empty texts are one piece holding id 0 alone. Repeated rows are packed each on its own. A null doc_id is carried.
-Other columns are ignored. An empty table gives an empty result.
+Null and empty texts are one piece holding id 0 alone. Repeated rows are packed each on its own. Of pieces of one length the
+smaller doc_id goes first, and of bins with the same room any may be taken; how many there are doesn't hang on it. A null doc_id
+is carried. Very long texts are encoded whole. Other columns, whatever their names, are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import array
 import os
+import re
 import unicodedata
 import zlib
 
@@ -35,53 +38,66 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
 
 
+_PLAIN = re.compile(rb"([a-z]+)([.,]?)")
+
+
 class WordMemo:
     """Token ids, as little-endian unsigned 32-bit integers, of whole texts.
 
     The tokenizer cuts at white space first and ignores case, so a text's ids are those of its stretches between spaces and
-    line ends with A-Z lower-cased; these are remembered. Only text that may spell a special token keeps its case.
+    line ends with A-Z lower-cased; these are remembered: when half of MEMO_WORDS are, they become the old ones, of which those
+    seen again are kept. Only text that may spell a special token keeps its case.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {b"": b""}
-        self.marks = {m: self.whole([m])[0] for m in (".", ",")}
+        self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {b"": b""}, {}
+        self.marks = {b"": b""} | {m.encode(): self.whole([m])[0] for m in (".", ",")}
 
     def whole(self, words: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """Remembers words. Letters, maybe with a point or comma behind, are one word to the tokenizer's model, which knows no capitals."""
-        hard, merge = [], self.tokenizer.model.tokenize
+        hard, merge, memo, plain = [], self.tokenizer.model.tokenize, self.memo, _PLAIN.fullmatch
         for w in words:
+            if found := plain(w):
+                letters, mark = found.groups()
+                ids = memo.get(letters)
+                if ids is None:
+                    memo[letters] = ids = array.array("I", [t.id for t in merge(letters.decode())]).tobytes()
+                memo[w] = ids + self.marks[mark]
+                continue
             text = w.decode()
-            mark = self.marks.get(text[-1], b"")
+            mark = self.marks.get(w[-1:], b"")
             letters = text[:-1] if mark else text
             if letters.isalpha() and (letters.isascii() or (unicodedata.is_normalized("NFC", letters) and letters.lower() == letters)):
                 spelled = letters.lower() if letters.isascii() else "".join(map(_BYTE.__getitem__, letters.encode()))
-                self.memo[w] = array.array("I", [t.id for t in merge(spelled)]).tobytes() + mark
+                memo[w] = array.array("I", [t.id for t in merge(spelled)]).tobytes() + mark
             else:
                 hard.append(w)
         for k in range(0, len(hard), 20_000):
             part = hard[k : k + 20_000]
-            self.memo.update(zip(part, self.whole([w.decode() for w in part])))
+            memo.update(zip(part, self.whole([w.decode() for w in part])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
         for t in texts:
             b = t.encode("utf-8").replace(b"\n", b" ")
             split.append((b if b"<|" in b else b.lower()).split(b" "))
-        memo, new = self.memo, set()
+        new = set()
         for words in split:
             new.update(words)
-        fresh = [w for w in new if w not in memo]
-        if len(memo) + len(fresh) > MEMO_WORDS:
-            memo.clear()
-            memo[b""] = b""
-            fresh = [w for w in new if w]
-        self.learn(fresh)
+        fresh = new.difference(self.memo)
+        if len(self.memo) + len(fresh) > MEMO_WORDS // 2:
+            self.old, self.memo = self.memo, {b"": b""}
+            fresh = new - {b""}
+        memo = self.memo
+        again = {w: self.old[w] for w in fresh if w in self.old}
+        memo.update(again)
+        self.learn(fresh.difference(again))
         get = memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
