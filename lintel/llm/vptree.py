@@ -33,7 +33,7 @@ CELL, MOST_CELLS = 512, 4096
 #: Lists of tree files up to this length are broadcast.
 BROADCAST_SHARDS = 20_000
 #: Production factor; see the README for the recall measured.
-FACTOR = 7.0
+FACTOR = 6.0
 #: Scores this much below the k-th (relative to the norms) are still computed exactly.
 SLACK = 1e-9
 
