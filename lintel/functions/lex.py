@@ -33,46 +33,71 @@ def _blank(token: Column) -> Column:
     return F.regexp_replace(token, r"[^\r\n]", " ")
 
 
-def _mask(text: Column, names: bool) -> Column:
-    quoted = r"^(?:--|/\*|[EeNn]?'|\$(?:[A-Za-z_]\w*)?\$" + (r"|\"|`)" if names else ")")
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.when(t.rlike(quoted), _blank(t)).otherwise(t)), "")
+def _masks(text: Column) -> Column:
+    """(clause, parse) masks in one pass over the tokens; text without quotes or comments is its own mask."""
+    hidden = r"^(?:--|/\*|[EeNn]?'|\$(?:[A-Za-z_]\w*)?\$)"
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    masked = F.transform(tokens, lambda t: F.when(t.rlike(hidden), F.struct(_blank(t).alias("c"), _blank(t).alias("p"))).when(t.rlike(r'^["`]'), F.struct(_blank(t).alias("c"), t.alias("p"))).otherwise(F.struct(t.alias("c"), t.alias("p"))))
+    part = lambda f: F.array_join(F.transform(masked, lambda s: s[f]), "")
+    return F.when(text.rlike(r"['\"`$]|--|/\*"), F.struct(part("c").alias("clause"), part("p").alias("parse"))).otherwise(F.struct(text.alias("clause"), text.alias("parse")))
 
 
 def clause_mask(text: Column) -> Column:
     """Text of equal length whose comments, strings and quoted names are blank."""
-    return _mask(text, True)
+    return _masks(text)["clause"]
 
 
 def parse_mask(text: Column) -> Column:
     """Text of equal length whose comments and strings are blank."""
-    return _mask(text, False)
+    return _masks(text)["parse"]
 
 
 def statement_ends(mask: Column) -> Column:
-    """Positions (from 0) of the semicolons at parenthesis depth 0; depth never falls below 0."""
+    """Positions (from 0) of the semicolons at parenthesis depth 0; depth never falls below 0.
+
+    Only parentheses and semicolons are folded over; the gaps between them tell where they stand.
+    """
+    marks, gaps = F.regexp_extract_all(mask, F.lit("[();]"), F.lit(0)), F.split(mask, "[();]", -1)
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 
-    def step(s, c):
-        ends = F.when((c == ";") & (s["depth"] == 0), F.concat(s["ends"], F.array(s["at"]))).otherwise(s["ends"])
+    def step(s, m):
+        c, at = m["c"], s["at"] + F.length(m["gap"])
+        ends = F.when((c == ";") & (s["depth"] == 0), F.concat(s["ends"], F.array(at))).otherwise(s["ends"])
         depth = F.when(c == "(", s["depth"] + 1).when(c == ")", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
-        return F.struct(depth.alias("depth"), (s["at"] + 1).alias("at"), ends.alias("ends"))
+        return F.struct(depth.alias("depth"), (at + 1).alias("at"), ends.alias("ends"))
 
-    return F.aggregate(F.split(mask, ""), start, step, lambda s: s["ends"])
+    pairs = F.transform(marks, lambda c, i: F.struct(c.alias("c"), F.element_at(gaps, i + 1).alias("gap")))
+    return F.when(F.contains(mask, F.lit(";")), F.aggregate(pairs, start, step, lambda s: s["ends"])).otherwise(F.array().cast("array<int>"))
 
 
 def split_statements(docs: DataFrame, text: str = "sql", key: str = "doc_id") -> DataFrame:
-    """key, stmt_idx, sql, clause_mask, parse_mask, start_offset, end_offset of every statement that isn't blank."""
-    masked = docs.select(key, F.col(text).alias("t"), clause_mask(F.col(text)).alias("cm"), parse_mask(F.col(text)).alias("pm"))
-    cut = masked.withColumn("ends", F.concat(statement_ends(F.col("cm")), F.array(F.length("t"))))
-    parts = cut.select(key, "t", "cm", "pm", "ends", F.posexplode("ends").alias("k", "stop")).withColumn("from", F.when(F.col("k") == 0, 0).otherwise(F.element_at("ends", F.col("k").cast("int")) + 1))
-    piece = lambda c: F.substring(F.col(c), F.col("from") + 1, F.col("stop") - F.col("from"))
-    rows = parts.withColumn("raw", piece("t")).where(F.trim(F.regexp_replace("raw", r"\s+", " ")) != "")
-    lead = F.length(F.regexp_extract("raw", r"^(\s*)", 1))
-    tail = F.length(F.regexp_extract("raw", r"(\s*)$", 1))
-    inner = lambda c: F.substring(piece(c), lead + 1, F.length("raw") - lead - tail)
-    found = rows.select(key, "k", inner("t").alias("sql"), inner("cm").alias("clause_mask"), inner("pm").alias("parse_mask"), (F.col("from") + lead).alias("start_offset"), F.col("stop").alias("end_offset"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("k")) - 1
-    return found.select(key, number.alias("stmt_idx"), "sql", "clause_mask", "parse_mask", "start_offset", "end_offset")
+    """key, stmt_idx, sql, clause_mask, parse_mask, start_offset, end_offset of every statement that isn't blank.
+
+    Statements are numbered within their document's array, so nothing is shuffled.
+    """
+    masked = docs.select(key, F.col(text).alias("t"), _masks(F.col(text)).alias("m"))
+    cut = masked.select(key, "t", "m", F.concat(statement_ends(F.col("m.clause")), F.array(F.length("t"))).alias("ends"))
+    span = lambda stop, i: F.struct(F.when(i == 0, 0).otherwise(F.element_at("ends", i) + 1).alias("from"), stop.alias("stop"))
+    raw = lambda s: F.substr(F.col("t"), s["from"] + 1, s["stop"] - s["from"])
+    spans = F.filter(F.transform("ends", span), lambda s: raw(s).rlike(r"\S"))
+    rows = cut.select(key, "t", "m", F.posexplode(spans).alias("stmt_idx", "s")).withColumn("raw", raw(F.col("s")))
+    lead, inner = F.length(F.regexp_extract("raw", r"^(\s*)", 1)), F.length(F.regexp_replace("raw", r"^\s+|\s+$", ""))
+    rows = rows.withColumn("lead", lead).withColumn("size", inner)
+    piece = lambda c: F.substr(F.col(c), F.col("s.from") + F.col("lead") + 1, F.col("size"))
+    return rows.select(key, "stmt_idx", piece("t").alias("sql"), piece("m.clause").alias("clause_mask"), piece("m.parse").alias("parse_mask"), (F.col("s.from") + F.col("lead")).alias("start_offset"), F.col("s.stop").alias("end_offset"))
+
+
+def statement_at(docs: DataFrame, offset: str, text: str = "sql", key: str = "doc_id") -> DataFrame:
+    """key, sql: the piece between semicolons that holds an offset (from 0), trimmed; null where it is blank.
+
+    Every semicolon parts, those in strings too; an offset on a semicolon belongs to what stands before it.
+    """
+    before = F.substr(F.col(text), F.lit(1), F.col(offset))
+    number = F.length(before) - F.length(F.replace(before, F.lit(";"), F.lit(""))) + 1
+    found = F.regexp_replace(F.element_at(F.split(F.col(text), ";", -1), number), r"^\s+|\s+$", "")
+    inside = (F.col(offset) >= 0) & (F.col(offset) <= F.length(text))
+    whole = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
+    return docs.select(key, F.nullif(F.when(inside, found).otherwise(whole), F.lit("")).alias("sql"))
 
 
 def first_keyword(sql: Column) -> Column:
@@ -157,15 +182,38 @@ def insert_columns(mask: Column) -> Column:
 
 def embedded_sql(line: Column) -> Column:
     """The first string on a line that begins with a verb: backticks, then double, then single quotes; ${...} becomes ?."""
-    verbs = r"\s*(?:SELECT|INSERT|UPDATE|DELETE|ALTER|DROP|CREATE|TRUNCATE)\b"
-    tries = [F.nullif(F.regexp_extract(line, rf"(?is){q}({verbs}[^{q}]*){q}", 1), F.lit("")) for q in ("`", '"', "'")]
+    verbs = r"(?:SELECT|INSERT|UPDATE|DELETE|ALTER|DROP|CREATE|TRUNCATE)"
+    tries = [F.nullif(F.regexp_extract(line, rf"(?is){q}({space}{verbs}[^{q}]+){q}", 1), F.lit("")) for q, space in (("`", r"\s*"), ('"', ""), ("'", ""))]
     return F.trim(F.regexp_replace(F.coalesce(*tries), r"\$\{[^}]*\}", "?"))
 
 
-def json_block(text: Column) -> Column:
-    """JSON in a reply: the fenced block, else from the first brace to the last."""
-    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
-    return F.trim(F.coalesce(fenced, F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))))
+def embedded_near(lines: DataFrame, reach: int = 5) -> DataFrame:
+    """path, line_no, sql: the SQL in a string of each line, or else of the lines up to ``reach`` around it; null where none is."""
+    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(-reach, reach)
+    block = lines.withColumn("block", F.array_join(F.collect_list("line").over(w), "\n"))
+    return block.select("path", "line_no", F.coalesce(embedded_sql(F.col("line")), embedded_sql(F.col("block"))).alias("sql"))
+
+
+def json_block(text: Column, array: bool = False) -> Column:
+    """JSON in a reply: the fenced block, else from the first brace (or bracket) to the last; null where there is none.
+
+    A reply wrapped as {"last_message": ...} is unwrapped first.
+    """
+    inner = F.coalesce(F.get_json_object(F.when(text.rlike(r'^\s*\{\s*"'), F.when(F.try_parse_json(text).isNotNull(), text)), "$.last_message"), text)
+    fenced = F.nullif(F.regexp_extract(inner, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
+    plain = F.nullif(F.regexp_extract(inner, r"(?s)(\[.*\])" if array else r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.regexp_replace(F.coalesce(fenced, plain), r"^\s+|\s+$", "")
+
+
+def severity(word: Column) -> Column:
+    """low, medium, high or critical, in whatever case; anything else is low."""
+    low = F.lower(F.trim(word))
+    return F.when(low.isin("low", "medium", "high", "critical"), low).otherwise("low")
+
+
+def token_estimate(text: Column) -> Column:
+    """Tokens of a text, at four characters each."""
+    return F.ceil(F.length(text) / 4)
 
 
 def html_escape(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = "schema_id string, table_name string, column_name string, ordinal int, data_type string, nullable boolean, is_pk boolean, is_fk boolean, ref_table string, ref_column string, default_value string"
@@ -18,17 +18,49 @@ def pruned(columns: DataFrame, names: DataFrame) -> DataFrame:
     return low.join(named.union(targets).distinct(), "low", "left_semi").drop("low")
 
 
-def existing_wins(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both; where both have a key, the first's values, its nulls filled from the second."""
+def pruned_live(live: DataFrame, stored: DataFrame, names: DataFrame) -> DataFrame:
+    """Columns of the named tables, as live where a live catalog has the table, else as stored."""
+    named = names.select("table_name").distinct()
+    both = stored.join(live.select("table_name").distinct(), "table_name", "left_anti").unionByName(live)
+    return both.join(named, "table_name", "left_semi").select(stored.columns)
+
+
+def existing_wins(first: DataFrame, second: DataFrame, keys: list[str], fill: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of both; where both have a key the first's row as a whole, with nulls of the ``fill`` columns from the second."""
     rest = [c for c in first.columns if c not in keys]
-    mark = lambda df, p: df.select(*keys, F.lit(True).alias(f"__{p}"), *[F.col(c).alias(f"__{p}_{c}") for c in rest])
+    mark = lambda df, p: df.select(*keys, F.struct(F.lit(True).alias("here"), *rest).alias(f"__{p}"))
     both = mark(first, "a").join(mark(second, "b"), keys, "full_outer")
-    return both.select(*keys, *[F.coalesce(f"__a_{c}", f"__b_{c}").alias(c) for c in rest])
+    pick = lambda c: F.coalesce(f"__a.{c}", f"__b.{c}") if c in fill else F.when(F.col("__a").isNotNull(), F.col(f"__a.{c}")).otherwise(F.col(f"__b.{c}"))
+    return both.select(*keys, *[pick(c).alias(c) for c in rest])
+
+
+def live_wins(live: dict[str, DataFrame], code: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The catalog of a live database completed by that of its code: frames columns, tables (row_count), indexes (index_name) and
+    constraints (name, raw), each by table_name. A constraint of the code goes where the live table has its name or its text."""
+    out = {
+        "columns": existing_wins(live["columns"], code["columns"], ["table_name", "column_name"]),
+        "tables": existing_wins(live["tables"], code["tables"], ["table_name"], fill=("row_count",)),
+        "indexes": existing_wins(live["indexes"], code["indexes"], ["table_name", "index_name"]),
+    }
+    own = live["constraints"].select("table_name", F.col("name").alias("__name"), F.col("raw").alias("__raw"))
+    named = code["constraints"].join(own.select("table_name", "__name"), (code["constraints"]["table_name"] == own["table_name"]) & (F.col("name") == F.col("__name")), "left_anti")
+    new = named.join(own.select(F.col("table_name").alias("__t"), "__raw"), (F.col("table_name") == F.col("__t")) & (F.col("raw") == F.col("__raw")), "left_anti")
+    out["constraints"] = live["constraints"].unionByName(new.select(live["constraints"].columns))
+    return {k: df.withColumn("source", F.lit("merged")) for k, df in out.items()}
+
+
+def summary(columns: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """schema_id, tables, columns; with a history (schema_id, snapshot_ts) also last_updated, its latest time."""
+    counts = columns.groupBy("schema_id").agg(F.countDistinct("table_name").alias("tables"), F.count(F.lit(1)).alias("columns"))
+    if history is None:
+        return counts
+    return counts.join(history.groupBy("schema_id").agg(F.max("snapshot_ts").alias("last_updated")), "schema_id", "left")
 
 
-def summary(columns: DataFrame) -> DataFrame:
-    """schema_id, tables, columns."""
-    return columns.groupBy("schema_id").agg(F.countDistinct("table_name").alias("tables"), F.count(F.lit(1)).alias("columns"))
+def inventory(spark: SparkSession, tables: dict[str, DataFrame], schema_id: str) -> DataFrame:
+    """Columns frame of the schemas of DataFrames, with one name for each kind of type."""
+    rows = [(schema_id, t, f.name, k, f.dataType.simpleString().split("(")[0].replace("timestamp_ntz", "timestamp"), f.nullable) for t, df in tables.items() for k, f in enumerate(df.schema)]
+    return spark.createDataFrame(rows, "schema_id string, table_name string, column_name string, ordinal int, data_type string, nullable boolean")
 
 
 def context_text(columns: DataFrame, tables: DataFrame) -> DataFrame:

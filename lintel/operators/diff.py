@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -24,20 +24,24 @@ def joined(a: DataFrame, b: DataFrame) -> DataFrame:
     return side(a, "a").join(side(b, "b"), ["table_name", "column_name"], "full_outer")
 
 
-def column_conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Missing columns, type mismatches and nullability differences of shared tables."""
+def column_conflicts(a: DataFrame, b: DataFrame, strict_types: bool = False) -> DataFrame:
+    """Missing columns, type mismatches and nullability differences of shared tables.
+
+    Types of one group don't conflict, whatever their lengths; with strict_types all that are spelled differently do.
+    """
     t, c, ta, tb = F.col("table_name"), F.col("column_name"), F.col("type_a"), F.col("type_b")
     best = names.preferred_type(ta, tb)
     kind = F.coalesce(ta, tb)
     add = F.concat(F.lit("ALTER TABLE "), t, F.lit(" ADD COLUMN "), c, F.lit(" "), kind)
     none = F.lit(None).cast("string")
     row = lambda what, sa, sb, hint, sql, pos: F.struct(F.lit(what).alias("conflict_type"), sa.alias("source_a"), sb.alias("source_b"), hint.alias("suggestion"), sql.alias("reconciliation_sql"), pos.alias("emit_pos"))
+    same = F.lower(F.regexp_replace(ta, r"\s+", "")) == F.lower(F.regexp_replace(tb, r"\s+", "")) if strict_types else names.merge_compatible(ta, tb)
     missing = F.col("in_a").isNull() | F.col("in_b").isNull()
     null_word = lambda x: F.when(x, "NULLABLE").otherwise("NOT NULL")
     found = F.array_compact(
         F.array(
             F.when(missing, row("missing_column", F.coalesce(ta, none), F.coalesce(tb, none), add, F.concat(add, F.lit(";")), F.when(F.col("in_a"), F.col("ord_a") * 2).otherwise(1000000 + F.col("ord_b")))),
-            F.when(~missing & ~names.merge_compatible(ta, tb), row("type_mismatch", ta, tb, F.concat(F.lit("use "), best), F.concat(F.lit("ALTER TABLE "), t, F.lit(" ALTER COLUMN "), c, F.lit(" TYPE "), best, F.lit(" USING "), c, F.lit("::"), best, F.lit(";")), F.col("ord_a") * 2)),
+            F.when(~missing & ~same, row("type_mismatch", ta, tb, F.concat(F.lit("use "), best), F.concat(F.lit("ALTER TABLE "), t, F.lit(" ALTER COLUMN "), c, F.lit(" TYPE "), best, F.lit(" USING "), c, F.lit("::"), best, F.lit(";")), F.col("ord_a") * 2)),
             F.when(~missing & (F.col("nullable_a") != F.col("nullable_b")), row("nullable_difference", null_word(F.col("nullable_a")), null_word(F.col("nullable_b")), F.lit("use NULLABLE"), F.concat(F.lit("ALTER TABLE "), t, F.lit(" ALTER COLUMN "), c, F.lit(" DROP NOT NULL;")), F.col("ord_a") * 2 + 1)),
         )
     )
@@ -53,8 +57,8 @@ def table_conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
     return found.join(sql, "table_name").select("table_name", F.lit(None).cast("string").alias("column_name"), F.lit("missing_table").alias("conflict_type"), where("a").alias("source_a"), where("b").alias("source_b"), F.concat(F.lit("create "), F.col("table_name")).alias("suggestion"), F.col("sql").alias("reconciliation_sql"), F.when(F.col("in_a"), -2).otherwise(-1).alias("emit_pos"))
 
 
-def conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
-    return table_conflicts(a, b).select(CONFLICT).unionByName(column_conflicts(a, b).select(CONFLICT))
+def conflicts(a: DataFrame, b: DataFrame, strict_types: bool = False) -> DataFrame:
+    return table_conflicts(a, b).select(CONFLICT).unionByName(column_conflicts(a, b, strict_types).select(CONFLICT))
 
 
 def conflict_id() -> Column:
@@ -78,8 +82,30 @@ def reconciliation_script(found: DataFrame) -> DataFrame:
 
 
 def unified(a: DataFrame, b: DataFrame) -> DataFrame:
-    """table_name, column_name, data_type, nullable of both schemas: the preferred type, nullable where either is."""
-    side = lambda df, p: df.select("table_name", "column_name", F.col("data_type").alias(f"type_{p}"), F.col("nullable").alias(f"null_{p}"))
+    """table_name, column_name, data_type, nullable, ordinal of both schemas: the preferred type, nullable where either is; a
+    table's columns in the order of the first schema, those that only the second has behind them."""
+    side = lambda df, p: df.select("table_name", "column_name", F.col("data_type").alias(f"type_{p}"), F.col("nullable").alias(f"null_{p}"), F.col("ordinal").alias(f"ord_{p}"))
     both = side(a, "a").join(side(b, "b"), ["table_name", "column_name"], "full_outer")
     kind = F.when(F.col("type_a").isNull(), F.col("type_b")).when(F.col("type_b").isNull(), F.col("type_a")).otherwise(names.preferred_type(F.col("type_a"), F.col("type_b")))
-    return both.select("table_name", "column_name", kind.alias("data_type"), (F.coalesce("null_a", F.lit(False)) | F.coalesce("null_b", F.lit(False))).alias("nullable"))
+    own = Window.partitionBy("table_name").orderBy(F.col("ord_a").isNull(), "ord_a", "ord_b", "column_name")
+    return both.select("table_name", "column_name", kind.alias("data_type"), (F.coalesce("null_a", F.lit(False)) | F.coalesce("null_b", F.lit(False))).alias("nullable"), (F.row_number().over(own) - 1).alias("ordinal"))
+
+
+def merged_header(a: DataFrame, b: DataFrame) -> DataFrame:
+    """db_type, database_name of the unified schema from the headers (db_type, database_name) of both."""
+    one = lambda df, p: df.select(F.col("db_type").alias(f"kind_{p}"), F.col("database_name").alias(f"name_{p}")).limit(1)
+    return one(a, "a").join(one(b, "b"), F.lit(True)).select(F.col("kind_a").alias("db_type"), F.concat_ws("_", "name_a", F.lit("merged"), "name_b").alias("database_name"))
+
+
+def of_kinds(found: DataFrame, kinds: list[str]) -> DataFrame:
+    """Conflicts of some kinds, with their ids."""
+    return found.where(F.col("conflict_type").isin(kinds)).withColumn("id", conflict_id())
+
+
+def keyed_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, status of the rows of two frames that differ: only_a, only_b or changed (any other column)."""
+    rest = [c for c in a.columns if c not in keys]
+    side = lambda df, p: df.select(*keys, F.struct(F.lit(1).alias("here"), *rest).alias(p))
+    both = side(a, "a").join(side(b, "b"), keys, "full_outer")
+    status = F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
+    return both.select(*keys, status.alias("status")).where("status is not null")

@@ -21,65 +21,110 @@ def synonym_groups(columns: DataFrame) -> DataFrame:
 
 
 def fuzzy_pairs(values: DataFrame, name: str, key: list[str] | None = None, least: float = FUZZY) -> DataFrame:
-    """a, b, sim of distinct names a < b with least <= sim < 1.
+    """a, b, sim of distinct names a < b with least <= sim < 1; least is 0.75 or more.
 
-    Similar names differ by few letters, so lengths do too: an equi-join on the lengths that a name's partners can have, and on
-    a piece of the name that few edits must leave whole, replaces comparing all pairs.
+    d edits change at most 2 d of a name's pairs of neighbouring letters (the second occurrence of a pair counts as another one),
+    so names that are alike share most. A name is looked up by its rarest pairs only, so many that a partner must have one of
+    them (prefix filter): a row for about every second letter, and no comparing of all names.
     """
+    if least < FUZZY:
+        raise ValueError(f"least is {FUZZY} or more")
     key = key or []
     rows = values.select(*key, F.lower(name).alias("v")).where("v is not null and v != ''").distinct().withColumn("len", F.length("v"))
-    # d edits leave one of d + 1 equal pieces whole; longest partner of a name has len / least letters
-    edits = lambda n: F.floor(n * (1 - least)).cast("int")
-    lengths = F.sequence(F.col("len"), F.floor(F.col("len") / least).cast("int"))
-    small = rows.select(*key, F.col("v").alias("s"), F.col("len").alias("sl"), F.explode(lengths).alias("ll")).withColumn("d", edits(F.col("ll")))
-    cut = small.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
-    begin, end = F.floor(F.col("i") * F.col("sl") / (F.col("d") + 1)).cast("int"), F.floor((F.col("i") + 1) * F.col("sl") / (F.col("d") + 1)).cast("int")
-    pieces = cut.select(*key, "s", "sl", "ll", F.substr("s", begin + 1, end - begin).alias("piece"), begin.alias("at"), "d")
-    probes = pieces.select(*key, "s", "ll", "piece", F.explode(F.sequence(F.greatest(F.col("at") - F.col("d"), F.lit(0)), F.col("at") + F.col("d"))).alias("pos"), F.length("piece").alias("pl")).distinct()
-    big = rows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("len"))))
-    spans = probes.select("ll", "pl").distinct()
-    texts = big.join(spans, F.col("len") == F.col("ll")).where("pos + pl <= len").select(*key, "v", F.col("len").alias("ll"), "pos", F.substr("v", F.col("pos") + 1, F.col("pl")).alias("piece"), "pl").distinct()
-    found = probes.join(texts, [*key, "ll", "pos", "piece", "pl"]).where("s != v").select(*key, F.least("s", "v").alias("a"), F.greatest("s", "v").alias("b")).distinct()
+    grams = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.col("len") - 1, F.lit(1))))).select(*key, "v", "len", "i", F.substr("v", F.col("i"), F.lit(2)).alias("g"))
+    again = F.row_number().over(Window.partitionBy(*key, "v", "g").orderBy("i"))
+    grams = grams.select(*key, "v", "len", F.concat_ws("#", "g", again.cast("string")).alias("g"))
+    common = grams.groupBy(*key, "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # pairs shared with a partner of the longer length m at least: m - 1 - 2 * floor((1 - least) * m)
+    longest = F.floor(F.col("len") / least + 1e-9).cast("int")
+    need = F.array_min(F.transform(F.sequence(F.col("len"), longest), lambda m: m - 1 - 2 * F.floor(m * (1 - least) + 1e-9)))
+    own = Window.partitionBy(*key, "v")
+    ranked = grams.join(common, [*key, "g"]).withColumn("need", F.greatest(need, F.lit(1))).withColumn("has", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("c", "g")))
+    held = ranked.where("rank <= has - need + 1").select(*key, "g", "v", "len")
+    found = held.toDF(*key, "g", "a", "la").join(held.toDF(*key, "g", "b", "lb"), [*key, "g"]).where((F.col("a") < F.col("b")) & (F.least("la", "lb") >= least * F.greatest("la", "lb"))).select(*key, "a", "b").distinct()
     return found.withColumn("sim", names.similarity(F.col("a"), F.col("b"))).where(F.col("sim") >= least)
 
 
 def fuzzy_groups(columns: DataFrame, least: float = FUZZY) -> DataFrame:
-    """schema_id, group_no, table_name, column_name: pairs in (table, column) order, each joining the first group that has its first column.
+    """schema_id, group_no, meaning, suggestion, member_no, table_name, column_name, data_type, reason: pairs in (table, column)
+    order, each joining the first group that has its first column. A column that joins a group twice is listed twice. Of two pairs
+    with the same two tables and the same two names the first counts.
 
     The grouping depends on order, so a schema is folded in one task; it holds a schema's columns, never rows of data.
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[tuple[str, str]]] = []
+        groups: list[list[tuple]] = []
+        seen = set()
         for r in part.sort_values(["pos_a", "pos_b"]).itertuples():
-            own = next((g for g in groups if (r.table_a, r.column_a) in g), None)
+            key = tuple(sorted((r.table_a, r.column_a, r.table_b, r.column_b)))
+            if key in seen:
+                continue
+            seen.add(key)
+            why = lambda t, c: f'like "{t}.{c}" ({int(r.sim * 100 + 0.5)}%)'  # noqa: B023, E731
+            new = (r.table_b, r.column_b, r.type_b, why(r.table_a, r.column_a))
+            own = next((g for g in groups if any(m[:2] == (r.table_a, r.column_a) for m in g)), None)
             if own is None:
-                groups.append([(r.table_a, r.column_a), (r.table_b, r.column_b)])
-            elif (r.table_b, r.column_b) not in own:
-                own.append((r.table_b, r.column_b))
-        rows = [(part["schema_id"].iloc[0], k, t, c) for k, g in enumerate(groups) for t, c in g]
-        return pd.DataFrame(rows, columns=["schema_id", "group_no", "table_name", "column_name"])
-
-    pairs = fuzzy_pairs(columns, "column_name", ["schema_id"], least).select("schema_id", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")).select("schema_id", "p.x", "p.y")
+                groups.append([(r.table_a, r.column_a, r.type_a, why(r.table_b, r.column_b)), new])
+            else:
+                own.append(new)
+        rows = [(part["schema_id"].iloc[0], k, f"{g[0][1]} ~ {g[1][1]}", f'give "{g[0][1]}" and "{g[1][1]}" one name', n, *m) for k, g in enumerate(groups) for n, m in enumerate(g)]
+        return pd.DataFrame(rows, columns=["schema_id", "group_no", "meaning", "suggestion", "member_no", "table_name", "column_name", "data_type", "reason"])
+
+    pairs = fuzzy_pairs(columns, "column_name", ["schema_id"], least)
+    both = pairs.select("schema_id", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "sim"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "sim"))).alias("p")).select("schema_id", "p.*")
     own = columns.withColumn("pos", F.row_number().over(Window.partitionBy("schema_id").orderBy("table_name", "ordinal")))
-    side = lambda k, c: own.select("schema_id", F.lower("column_name").alias(c), F.col("table_name").alias(f"table_{k}"), F.col("column_name").alias(f"column_{k}"), F.col("pos").alias(f"pos_{k}"))
-    ordered = pairs.join(side("a", "x"), ["schema_id", "x"]).join(side("b", "y"), ["schema_id", "y"]).where("pos_a < pos_b")
-    return ordered.groupBy("schema_id").applyInPandas(fold, "schema_id string, group_no int, table_name string, column_name string")
+    side = lambda k, c: own.select("schema_id", F.lower("column_name").alias(c), F.col("table_name").alias(f"table_{k}"), F.col("column_name").alias(f"column_{k}"), F.col("data_type").alias(f"type_{k}"), F.col("pos").alias(f"pos_{k}"))
+    ordered = both.join(side("a", "x"), ["schema_id", "x"]).join(side("b", "y"), ["schema_id", "y"]).where("pos_a < pos_b")
+    return ordered.groupBy("schema_id").applyInPandas(fold, "schema_id string, group_no int, meaning string, suggestion string, member_no int, table_name string, column_name string, data_type string, reason string")
+
 
+def jaccard_pairs(items: DataFrame, group: str, item: str, least: float = 0.0) -> DataFrame:
+    """a, b, jaccard of groups a < b that share an item and are alike by ``least`` or more.
 
-def jaccard_pairs(items: DataFrame, group: str, item: str) -> DataFrame:
-    """a, b, jaccard of groups a < b that share an item, by an inverted index."""
+    With least > 0 groups are looked up by their rarest items only, so many that a partner must have one of them (prefix filter):
+    an item that all groups have makes no pairs.
+    """
     rows = items.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    shared = rows.toDF("a", "i").join(rows.toDF("b", "i"), "i").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    return shared.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+    sets = rows.groupBy("g").agg(F.collect_set("i").alias("s"))
+    if least > 0:
+        counts = rows.groupBy("i").agg(F.count(F.lit(1)).alias("c"))
+        own = Window.partitionBy("g")
+        ranked = rows.join(counts, "i").withColumn("n", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("c", "i")))
+        rows = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("g", "i")
+    met = rows.toDF("a", "i").join(rows.toDF("b", "i"), "i").where("a < b").select("a", "b").distinct()
+    both = met.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    found = both.select("a", "b", (F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))).alias("jaccard"))
+    return found.where(F.col("jaccard") >= least - 1e-9) if least > 0 else found
 
 
 def table_pairs(columns: DataFrame, least: float = TABLES) -> DataFrame:
-    """a, b, jaccard, name_sim, combined of similar tables. The names alone can't reach ``least``, so pairs share a column."""
+    """a, b, columns_a, columns_b, jaccard, name_sim, combined, suggestion of similar tables of a schema, the most alike first.
+
+    Names alone can't reach ``least``, so pairs share columns: at least the part that is missing when names are equal.
+    """
     named = columns.select("table_name", names.normal(F.col("column_name")).alias("c"))
-    found = jaccard_pairs(named, "table_name", "c").withColumn("name_sim", names.similarity(F.lower("a"), F.lower("b")))
-    return found.withColumn("combined", JACCARD_WEIGHT * F.col("jaccard") + NAME_WEIGHT * F.col("name_sim")).where(F.col("combined") >= least)
+    sizes = columns.groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+    found = jaccard_pairs(named, "table_name", "c", (least - NAME_WEIGHT) / JACCARD_WEIGHT).withColumn("name_sim", names.similarity(names.normal(F.col("a")), names.normal(F.col("b"))))
+    found = found.withColumn("combined", JACCARD_WEIGHT * F.col("jaccard") + NAME_WEIGHT * F.col("name_sim")).where(F.col("combined") >= least)
+    text = F.concat(F.lit('tables "'), "a", F.lit('" and "'), "b", F.lit('" are alike by '), F.floor(F.col("combined") * 100 + 0.5).cast("string"), F.lit("%"))
+    out = found.join(sizes.toDF("a", "columns_a"), "a").join(sizes.toDF("b", "columns_b"), "b")
+    return out.select("a", "b", "columns_a", "columns_b", "jaccard", "name_sim", "combined", text.alias("suggestion")).orderBy(F.desc("combined"), "a", "b")
+
+
+def duplicate_groups(columns: DataFrame) -> DataFrame:
+    """schema_id, meaning, suggestion, members (table.column of each), n: groups by meaning, then fuzzy ones; the largest first,
+    of equal ones those by meaning first, then in the order they were found."""
+    known = synonym_groups(columns)
+    place = F.row_number().over(Window.partitionBy("schema_id").orderBy("table_name", "ordinal"))
+    rows = known.join(columns.withColumn("pos", place).select("schema_id", "table_name", "column_name", "pos"), ["schema_id", "table_name", "column_name"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat_ws(".", "table_name", "column_name").alias("c")))), lambda s: s["c"])
+    order = F.array_position(F.array(*map(F.lit, names.SYNONYMS)), F.col("meaning"))
+    by_meaning = rows.groupBy("schema_id", "meaning", "canonical").agg(listed.alias("members"))
+    by_meaning = by_meaning.select("schema_id", "meaning", F.concat(F.lit('name all "'), "canonical", F.lit('": ['), F.array_join("members", ", "), F.lit("]")).alias("suggestion"), "members", F.lit(0).alias("kind"), order.cast("int").alias("at"))
+    fuzzy = fuzzy_groups(columns).groupBy("schema_id", "group_no", "meaning", "suggestion").agg(F.transform(F.sort_array(F.collect_list(F.struct("member_no", F.concat_ws(".", "table_name", "column_name").alias("c")))), lambda s: s["c"]).alias("members"))
+    both = by_meaning.unionByName(fuzzy.select("schema_id", "meaning", "suggestion", "members", F.lit(1).alias("kind"), F.col("group_no").alias("at")))
+    return both.withColumn("n", F.size("members")).orderBy("schema_id", F.desc("n"), "kind", "at").select("schema_id", "meaning", "suggestion", "members", "n")
 
 
 def consolidation_sql(groups: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lex, names
@@ -136,24 +136,44 @@ def rollback(sql: Column, known_type: Column | None = None, create_sql: Column |
     )
 
 
-def bounded(term: str) -> str:
-    """A term between ASCII word boundaries."""
-    import re
+WORD = r"([a-z0-9_]+)"
 
-    return rf"(?i)(^|[^A-Za-z0-9_]){re.escape(term)}([^A-Za-z0-9_]|$)"
+
+def stands(line: Column, term: Column) -> Column:
+    """Whether a term stands in a line between ASCII word boundaries, in whatever case."""
+    return F.rlike(F.lower(line), F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower(term), F.lit(r"\E(?![a-z0-9_])")))
 
 
 def dependency_scan(lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, path, line_no, usage, severity: the first line of each file that has a term (rows: term) as a word.
+    """term, path, line_no, usage, severity: the first line of each file that has a term (rows: term) as a word or words.
 
-    Lines are cut into words once and joined by word, so all terms are looked for in one pass.
+    Lines are cut into words once and joined by a term's first word, so all terms are looked for in one pass; terms of more
+    than a word are then looked for in the lines that have their first. Terms without any ASCII letter, digit or underscore are
+    looked for in all lines.
     """
-    words = lines.select("path", "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(r"([a-z0-9_]+)"), F.lit(1)))).alias("low"))
-    hits = words.join(terms.select("term", F.lower("term").alias("low")).distinct(), "low")
+    first_word = F.regexp_extract(F.lower("term"), WORD, 1)
+    wanted = terms.where("term is not null and term != ''").select("term", first_word.alias("word"), (F.lower("term") == first_word).alias("plain")).distinct()
+    words = lines.select("path", "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(1)))).alias("word"))
+    hits = words.join(wanted.where("word != ''"), "word").where(F.col("plain") | stands(F.col("line"), F.col("term"))).select("term", "path", "line_no", "line")
+    other = wanted.where("word = ''").select("term")
+    if not other.isEmpty():
+        hits = hits.unionByName(lines.join(other, F.contains(F.lower("line"), F.lower("term"))).select("term", "path", "line_no", "line"))
     first = hits.groupBy("term", "path").agg(F.min(F.struct("line_no", "line")).alias("x"))
     return first.select("term", "path", "x.line_no", F.substring(F.trim("x.line"), 1, 120).alias("usage"), dependency_severity(F.col("x.line")).alias("severity"))
 
 
+def dependencies_of(tables: DataFrame, lines: DataFrame, most: int | None = 50) -> DataFrame:
+    """table_name, path, line_no, usage, severity of tables' names and class names in code; at most so many, by path and line."""
+    terms = tables.select("table_name", F.explode(F.array_distinct(F.array("table_name", names.model_name(F.col("table_name"))))).alias("term")).distinct()
+    found = dependency_scan(lines, terms.select("term")).join(terms, "term").select("table_name", "path", "line_no", "usage", "severity").distinct()
+    return found if most is None else found.orderBy("path", "line_no", "table_name").limit(most)
+
+
+def batches(candidates: DataFrame, order: list[str], size: int = 20) -> DataFrame:
+    """candidates with batch, from 0: so many a batch, in order. For the few candidates of one statement."""
+    return candidates.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+
+
 def terms_of(tables: DataFrame) -> DataFrame:
     """term: table names and the class names derived from them."""
     return tables.select(F.explode(F.array("table_name", names.model_name(F.col("table_name")))).alias("term")).distinct()
@@ -165,7 +185,31 @@ def doc_drift(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.select("path", F.explode(lacking).alias("term"))
 
 
-def hover_text(score: Column, level: Column, found: Column, hints: Column) -> Column:
-    """A short report: a bar of ten cells, up to three risks and two suggestions."""
+#: Dimensions of confidence, in their order.
+DIMENSIONS = ["schema_impact", "app_dependencies", "data_risks", "doc_drift"]
+
+
+def lowest_confidence(frame: DataFrame) -> DataFrame:
+    """stmt_id, dimension, score, reason of the lowest score of each statement (rows stmt_id, dimension, score, reason), the first
+    of equal ones in the order of DIMENSIONS; other dimensions aside."""
+    at = F.array_position(F.array(*map(F.lit, DIMENSIONS)), F.col("dimension"))
+    one = frame.where(at > 0).groupBy("stmt_id").agg(F.min(F.struct("score", at.alias("at"), "dimension", "reason")).alias("x"))
+    return one.select("stmt_id", "x.dimension", "x.score", "x.reason")
+
+
+def confidence_line(label: Column, score: Column, reason: Column) -> Column:
+    """A bar of ten cells, the percentage and the reason's first 55 letters."""
+    pct = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(score + 0.5).cast("int")))
+    cells = F.floor(pct / 10 + 0.5).cast("int")
+    return F.concat(F.rpad(label, 18, " "), F.repeat(F.lit("#"), cells), F.repeat(F.lit("."), 10 - cells), F.lit("  "), F.lpad(pct.cast("string"), 3, " "), F.lit("%  "), F.substring(reason, 1, 55))
+
+
+def hover_text(score: Column, level: Column, found: Column, hints: Column, undo: Column | None = None, confidence: Column | None = None) -> Column:
+    """A short report: a bar of ten cells, up to three risks and two suggestions, and of an array of (sql, safety) up to two ways
+    back, their first lines; confidence: lines put below."""
     bar = F.concat(F.repeat(F.lit("#"), score), F.repeat(F.lit("."), F.lit(10) - score))
-    return F.concat_ws("\n", F.concat(F.lit("risk "), score, F.lit("/10 ["), bar, F.lit("] "), level), F.array_join(F.transform(F.slice(found, 1, 3), lambda r: F.concat(F.lit("- "), r["severity"], F.lit(": "), r["risk"])), "\n"), F.array_join(F.transform(F.slice(hints, 1, 2), lambda s: F.concat(F.lit("* "), s)), "\n"))
+    listed_ = lambda xs, n, f: F.nullif(F.array_join(F.transform(F.slice(xs, 1, n), f), "\n"), F.lit(""))
+    parts = [F.concat(F.lit("risk "), score, F.lit("/10 ["), bar, F.lit("] "), level), listed_(found, 3, lambda r: F.concat(F.lit("- "), r["severity"], F.lit(": "), r["risk"])), listed_(hints, 2, lambda s: F.concat(F.lit("* "), s))]
+    if undo is not None:
+        parts.append(listed_(undo, 2, lambda r: F.concat(F.lit("back ("), r["safety"], F.lit("): "), F.substring(F.element_at(F.split(r["sql"], "\n"), 1), 1, 90))))
+    return F.concat_ws("\n", *parts, *([confidence] if confidence is not None else []))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,48 +48,122 @@ def pattern_findings(statements: DataFrame, rules=PATTERN_RULES) -> DataFrame:
 
 
 def first_per_place(findings: DataFrame) -> DataFrame:
-    """The first finding of each (document, offset, code)."""
-    w = Window.partitionBy("doc_id", "start_offset", "code").orderBy("seq", "stmt_idx")
+    """The first finding of each (document, offset, code), by statement and then by rule."""
+    w = Window.partitionBy("doc_id", "start_offset", "code").orderBy("stmt_idx", "seq")
     return findings.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def unknown_tables(statements: DataFrame, tables: DataFrame) -> DataFrame:
-    """doc_id, stmt_idx, table_name named but not in the catalog; CTEs, CREATE and DROP IF EXISTS aside."""
+SCHEMA_RULES = {
+    "DBS-SCHEMA-001": ("error", "see whether the name is spelled right and the catalog is current"),
+    "DBS-SCHEMA-002": ("error", "see whether the name is spelled right and the catalog is current"),
+    "DBS-SCHEMA-003": ("error", "drop the foreign keys first"),
+    "DBS-SCHEMA-004": ("error", "alter the column that is there, or take another name"),
+    "DBS-SCHEMA-005": (None, "give a default, or add it nullable and backfill"),
+}
+_TABLE = r"[`\"]?(?:\w+[`\"]?\.[`\"]?)*(\w+)[`\"]?"
+
+
+def low_tables(tables: DataFrame, *more: str) -> DataFrame:
+    """table_name in lower case, one row a table; with the largest of other columns."""
+    return tables.groupBy(F.lower("table_name").alias("table_name")).agg(*[F.max(c).alias(c) for c in more] or [F.count(F.lit(1)).alias("n")]).select("table_name", *more)
+
+
+def used_tables(statements: DataFrame) -> DataFrame:
+    """doc_id, stmt_idx and the statement's columns with pos, table_name of every table named that is no CTE."""
     mask = F.col("parse_mask")
-    used = statements.where(~(lex.first_keyword(mask) == "CREATE") & ~mask.rlike(r"(?i)\bDROP\s+TABLE\s+IF\s+EXISTS\b")).select("doc_id", "stmt_idx", F.explode(F.array_except(lex.statement_tables(mask), lex.cte_names(mask))).alias("table_name"))
-    known = tables.select(F.lower("table_name").alias("table_name")).distinct()
-    return used.where(~F.col("table_name").isin(NO_TABLE)).join(known, "table_name", "left_anti").select("doc_id", "stmt_idx", "table_name")
+    return statements.select("*", F.posexplode(F.array_except(lex.statement_tables(mask), lex.cte_names(mask))).alias("pos", "table_name"))
+
+
+def offset_of(name: Column) -> Column:
+    """Where a name stands first in a statement's parse mask, counted in the document; the statement's start where it doesn't."""
+    before = F.regexp_instr(F.lower("parse_mask"), F.concat(F.lit(r"(?<![a-z0-9_])\Q"), name, F.lit(r"\E(?![a-z0-9_])")), F.lit(0))
+    return F.col("start_offset") + F.greatest(before - 1, F.lit(0))
+
+
+def finding(code: str, message: Column, start: Column, end: Column, seq: Column, severity: Column | None = None) -> list[Column]:
+    level, hint = SCHEMA_RULES[code]
+    return [F.lit(code).alias("code"), (F.lit(level) if severity is None else severity).alias("severity"), message.alias("message"), F.lit(hint).alias("suggestion"), start.cast("int").alias("start_offset"), end.cast("int").alias("end_offset"), (seq + int(code[-1]) * 100_000).cast("int").alias("seq")]
+
+
+def unknown_tables(statements: DataFrame, tables: DataFrame) -> DataFrame:
+    """table_name and the finding of tables named but not in the catalog; CTEs, CREATE and DROP IF EXISTS aside."""
+    mask = F.col("clause_mask")
+    checked = statements.where(~lex.first_keyword(mask).isin("CREATE", "COMMENT") & ~mask.rlike(r"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|VIEW|INDEX)\b") & ~mask.rlike(r"(?i)\bDROP\s+(?:TEMPORARY\s+)?TABLE\s+IF\s+EXISTS\b"))
+    used = used_tables(checked).where(~F.col("table_name").isin(NO_TABLE)).join(low_tables(tables), "table_name", "left_anti")
+    at = offset_of(F.col("table_name"))
+    return used.select("doc_id", "stmt_idx", "table_name", *finding("DBS-SCHEMA-001", F.concat(F.lit('no table "'), "table_name", F.lit('" in the catalog')), at, at + F.length("table_name"), F.col("pos")))
 
 
 def unknown_columns(statements: DataFrame, columns: DataFrame) -> DataFrame:
-    """doc_id, stmt_idx, table_name, column_name used but not in the statement's first known table."""
+    """table_name, column_name and the finding of columns used but not in the statement's first known table.
+
+    Of SELECT its list is looked at (not where it has a bare star), of UPDATE what it sets and its WHERE, of DELETE its WHERE, of
+    INSERT its list.
+    """
     mask = F.col("parse_mask")
-    verbs = statements.where(lex.first_keyword(mask).isin("SELECT", "INSERT", "UPDATE", "DELETE") & ~mask.rlike(r"(?i)\bSELECT\s+\*"))
-    known = columns.select(F.lower("table_name").alias("table_name")).distinct()
-    named = verbs.select("doc_id", "stmt_idx", "parse_mask", F.posexplode(lex.statement_tables(mask)).alias("pos", "table_name")).join(known, "table_name")
-    first = named.groupBy("doc_id", "stmt_idx").agg(F.min_by("table_name", "pos").alias("table_name"), F.first("parse_mask").alias("parse_mask"))
-    used = first.select("doc_id", "stmt_idx", "table_name", F.explode(F.array_distinct(F.concat(lex.select_columns(mask), lex.where_columns(mask), lex.set_columns(mask), lex.insert_columns(mask)))).alias("column_name"))
-    return used.join(columns.select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name")), ["table_name", "column_name"], "left_anti").select("doc_id", "stmt_idx", "table_name", "column_name")
+    verb = lex.first_keyword(F.col("clause_mask"))
+    verbs = statements.where(verb.isin("SELECT", "INSERT", "UPDATE", "DELETE") & ~mask.rlike(r"(?is)^\s*SELECT\s+(?:DISTINCT\s+)?(?:[^;]*?,\s*)?\*\s*(?:,|\bFROM\b)"))
+    known = low_tables(columns)
+    named = used_tables(verbs).join(known, "table_name")
+    first = named.groupBy("doc_id", "stmt_idx").agg(F.min(F.struct("pos", "table_name", "parse_mask", "start_offset", verb.alias("verb"))).alias("x")).select("doc_id", "stmt_idx", "x.table_name", "x.parse_mask", "x.start_offset", "x.verb")
+    what = F.when(F.col("verb") == "SELECT", lex.select_columns(mask)).when(F.col("verb") == "INSERT", lex.insert_columns(mask)).when(F.col("verb") == "DELETE", lex.where_columns(mask)).otherwise(F.array_distinct(F.concat(lex.set_columns(mask), lex.where_columns(mask))))
+    used = first.select("*", F.posexplode(what).alias("pos", "column_name")).where(~F.col("column_name").isin(NO_TABLE))
+    there = columns.select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name")).distinct()
+    rows = used.join(there, ["table_name", "column_name"], "left_anti")
+    at = offset_of(F.col("column_name"))
+    text = F.concat(F.lit('no column "'), "column_name", F.lit('" in table "'), "table_name", F.lit('"'))
+    return rows.select("doc_id", "stmt_idx", "table_name", "column_name", *finding("DBS-SCHEMA-002", text, at, at + F.length("column_name"), F.col("pos")))
+
+
+def altered(statements: DataFrame) -> DataFrame:
+    """Statements that alter a table, with its name."""
+    name = F.lower(F.regexp_extract("parse_mask", rf"(?i)\bALTER\s+TABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?{_TABLE}", 1))
+    return statements.where(lex.first_keyword(F.col("clause_mask")) == "ALTER").withColumn("table_name", name).where("table_name != ''")
 
 
 def fk_dependents(statements: DataFrame, columns: DataFrame) -> DataFrame:
-    """doc_id, stmt_idx, table_name, column_name, dependents: dropped columns that foreign keys point at."""
-    mask = F.col("parse_mask")
-    dropped = statements.select("doc_id", "stmt_idx", F.element_at(lex.statement_tables(mask), 1).alias("table_name"), F.lower(F.regexp_extract(mask, r"(?i)\bDROP\s+COLUMN\s+(?:IF\s+EXISTS\s+)?[`\"]?(\w+)", 1)).alias("column_name")).where("column_name != ''")
-    keys = columns.where("is_fk").select(F.lower("ref_table").alias("table_name"), F.lower("ref_column").alias("column_name"), F.concat_ws(".", F.col("table_name"), F.col("column_name")).alias("d"))
-    return dropped.join(keys, ["table_name", "column_name"]).groupBy("doc_id", "stmt_idx", "table_name", "column_name").agg(F.array_join(F.sort_array(F.collect_set("d")), ", ").alias("dependents"))
+    """table_name, column_name, dependents and the finding of dropped columns that foreign keys point at."""
+    drop = rf"(?i)\bALTER\s+TABLE\s+{_TABLE}\s+DROP\s+(?:COLUMN\s+)?(?:IF\s+EXISTS\s+)?[`\"]?(\w+)"
+    dropped = altered(statements).withColumn("column_name", F.lower(F.regexp_extract("parse_mask", drop, 2))).where("column_name != ''")
+    keys = columns.where("ref_table is not null and ref_column is not null").groupBy(F.lower("ref_table").alias("table_name"), F.lower("ref_column").alias("column_name")).agg(F.sort_array(F.collect_set(F.concat_ws(".", "table_name", "column_name"))).alias("d"))
+    rows = dropped.join(keys, ["table_name", "column_name"]).withColumn("dependents", F.array_join("d", ", "))
+    text = F.concat(F.lit('column "'), "table_name", F.lit("."), "column_name", F.lit('" is what '), F.size("d").cast("string"), F.lit(" foreign keys point at: "), "dependents")
+    return rows.select("doc_id", "stmt_idx", "table_name", "column_name", "dependents", *finding("DBS-SCHEMA-003", text, F.col("start_offset"), F.col("end_offset"), F.lit(0)))
 
 
 def duplicate_columns(statements: DataFrame, columns: DataFrame) -> DataFrame:
-    """doc_id, stmt_idx, table_name, column_name: columns added that are there already."""
-    mask = F.col("parse_mask")
-    added = statements.where(~mask.rlike(r"(?i)\bIF\s+NOT\s+EXISTS\b")).select("doc_id", "stmt_idx", F.element_at(lex.statement_tables(mask), 1).alias("table_name"), F.lower(F.regexp_extract(mask, r"(?i)\bADD\s+(?:COLUMN\s+)?(?!CONSTRAINT\b|PRIMARY\b|FOREIGN\b|UNIQUE\b|INDEX\b|KEY\b|CHECK\b)[`\"]?(\w+)", 1)).alias("column_name"))
-    known = columns.select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name"))
-    return added.where("column_name != ''").join(known, ["table_name", "column_name"], "left_semi").select("doc_id", "stmt_idx", "table_name", "column_name")
+    """table_name, column_name and the finding of columns added that are there already."""
+    new = F.lower(F.regexp_extract("parse_mask", r"(?i)\bADD\s+(?:COLUMN\s+)?(?!CONSTRAINT\b|PRIMARY\b|FOREIGN\b|UNIQUE\b|INDEX\b|KEY\b|CHECK\b)[`\"]?(\w+)[`\"]?\s+\w", 1))
+    added = altered(statements).where(~F.col("clause_mask").rlike(r"(?i)\bADD\s+(?:COLUMN\s+)?IF\s+NOT\s+EXISTS\b")).withColumn("column_name", new).where("column_name != ''")
+    known = columns.select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name")).distinct()
+    rows = added.join(known, ["table_name", "column_name"], "left_semi")
+    text = F.concat(F.lit('column "'), "column_name", F.lit('" is in table "'), "table_name", F.lit('" already'))
+    return rows.select("doc_id", "stmt_idx", "table_name", "column_name", *finding("DBS-SCHEMA-004", text, F.col("start_offset"), F.col("end_offset"), F.lit(0)))
 
 
 def not_null_without_default(statements: DataFrame, tables: DataFrame) -> DataFrame:
-    """doc_id, stmt_idx, table_name, severity: info where the table is known to be empty, else warning."""
+    """table_name and the finding: info where the table is known to be empty, else warning."""
     mask = F.col("clause_mask")
-    added = statements.where(mask.rlike(r"(?is)\bADD\b.*\bNOT\s+NULL\b") & ~lex.has_clause(mask, "DEFAULT")).select("doc_id", "stmt_idx", F.element_at(lex.statement_tables(F.col("parse_mask")), 1).alias("table_name"))
-    return added.join(tables.select(F.lower("table_name").alias("table_name"), "row_count"), "table_name", "left").select("doc_id", "stmt_idx", "table_name", F.when(F.col("row_count") == 0, "info").otherwise("warning").alias("severity"))
+    added = altered(statements).where(mask.rlike(r"(?i)\bNOT\s+NULL\b") & mask.rlike(r"(?i)\bADD\b") & ~lex.has_clause(mask, "DEFAULT"))
+    sizes = low_tables(tables, "row_count")
+    rows = added.join(sizes, "table_name", "left")
+    text = F.concat(F.lit('adds a required column without a default to "'), "table_name", F.lit('"'), F.coalesce(F.concat(F.lit(" of "), F.col("row_count").cast("string"), F.lit(" rows")), F.lit("")))
+    return rows.select("doc_id", "stmt_idx", "table_name", *finding("DBS-SCHEMA-005", text, F.col("start_offset"), F.col("end_offset"), F.lit(0), F.when(F.col("row_count") == 0, "info").otherwise("warning")))
+
+
+def schema_findings(statements: DataFrame, columns: DataFrame, tables: DataFrame) -> DataFrame:
+    """doc_id, stmt_idx and COLUMNS of all rules that ask a catalog: its columns, and its tables with row_count."""
+    every = columns.select("table_name").unionByName(tables.select("table_name"))
+    found = [unknown_tables(statements, every), unknown_columns(statements, columns), fk_dependents(statements, columns), duplicate_columns(statements, columns), not_null_without_default(statements, tables)]
+    return reduce(DataFrame.unionByName, [f.select("doc_id", "stmt_idx", *COLUMNS) for f in found])
+
+
+def diagnostics(statements: DataFrame, columns: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """All findings, those of patterns before those of the catalog in a statement, the first of each (document, offset, code).
+
+    Without a catalog only patterns are looked for. Each rule reads the statements, so persist them where they are costly to make.
+    """
+    found = pattern_findings(statements)
+    if columns is not None:
+        found = found.unionByName(schema_findings(statements, columns, tables if tables is not None else columns.select("table_name", F.lit(None).cast("long").alias("row_count"))))
+    return first_per_place(found)

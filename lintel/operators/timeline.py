@@ -24,3 +24,19 @@ def versus_previous(snapshots: DataFrame, key: list[str], order: str, value: str
     """snapshots with previous and change of a value, by key in order."""
     w = Window.partitionBy(*key).orderBy(order)
     return snapshots.withColumn("previous", F.lag(value).over(w)).withColumn("change", F.col(value) - F.coalesce("previous", F.lit(0)))
+
+
+def updated(history: DataFrame, before: DataFrame, after: DataFrame, schema_id: str, at, keep: int = KEEP) -> DataFrame:
+    """history (schema_id, snapshot_ts, change_count, columns) with the schema as it was before an update, and how many changes the
+    update made; the latest ``keep`` snapshots stay."""
+    names = ["table_name", "column_name", "ordinal", "data_type", "nullable"]
+    held = before.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("columns"))
+    snapshot = held.join(change_count(before, after), F.lit(True)).select(F.lit(schema_id).alias("schema_id"), F.lit(at).cast("timestamp").alias("snapshot_ts"), F.col("changes").cast("long").alias("change_count"), "columns")
+    return keep_latest(history.unionByName(snapshot), ["schema_id"], [F.desc("snapshot_ts")], keep)
+
+
+def report(history: DataFrame, many: int = 5) -> DataFrame:
+    """schema_id, snapshot_ts, tables, change_count, badge of snapshots, the newest first of each schema."""
+    n = F.size(F.array_distinct(F.transform("columns", lambda c: c["table_name"])))
+    badge = F.when(F.col("change_count") > many, "high").when(F.col("change_count") > 0, "medium").otherwise("low")
+    return history.select("schema_id", "snapshot_ts", n.alias("tables"), "change_count", badge.alias("badge")).orderBy("schema_id", F.desc("snapshot_ts"))

@@ -5,7 +5,7 @@ Statements are made from the rows of ``events`` by one expression that both engi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lex, names
@@ -116,24 +116,29 @@ def unknown_table(spark, d):
     return rules.unknown_tables(stm(spark, d), rows(spark, A)).select("doc_id", "table_name")
 
 
-@query(f"SELECT doc_id, 'products' AS table_name, 'cost' AS column_name FROM ({SYN}) WHERE sql LIKE 'UPDATE%'")
+WORD = "regexp_extract(sql, '{}\\s+(\\w+)', 1)"
+
+
+@query(f"SELECT doc_id, t AS table_name, c AS column_name FROM (SELECT doc_id, {WORD.format('UPDATE')} AS t, regexp_extract(replace(sql, 'SET price', 'SET cost'), 'SET (\\w+)', 1) AS c FROM ({SYN}) WHERE sql LIKE 'UPDATE%') WHERE t IN (SELECT table_name FROM {A}) AND NOT EXISTS (SELECT 1 FROM {A} k WHERE k.table_name = t AND k.column_name = c)")
 def unknown_column(spark, d):
     changed = stm(spark, d).withColumn("parse_mask", F.regexp_replace("parse_mask", "SET price", "SET cost"))
     return rules.unknown_columns(changed, rows(spark, A)).select("doc_id", "table_name", "column_name")
 
 
-@query(f"SELECT doc_id, 'users' AS table_name, 'phone' AS column_name, 'contacts.phone_ref' AS dependents FROM ({SYN}) WHERE sql LIKE '%DROP COLUMN phone'")
+@query(f"SELECT doc_id, t AS table_name, c AS column_name, string_agg(k.table_name || '.' || k.column_name, ', ' ORDER BY k.table_name || '.' || k.column_name) AS dependents FROM (SELECT doc_id, {WORD.format('TABLE')} AS t, {WORD.format('DROP COLUMN')} AS c FROM ({SYN}) WHERE sql LIKE '%DROP COLUMN%') JOIN {A} k ON k.ref_table = t AND k.ref_column = c GROUP BY 1, 2, 3")
 def fk_dependents(spark, d):
     return rules.fk_dependents(stm(spark, d), rows(spark, A)).select("doc_id", "table_name", "column_name", "dependents")
 
 
-@query(f"SELECT doc_id, 'users' AS table_name, 'age' AS column_name FROM ({SYN}) WHERE sql LIKE '%ADD COLUMN age%'")
+_KNOWN = f"(SELECT table_name, column_name FROM {A} UNION ALL SELECT table_name, 'age' FROM {A} WHERE column_name = 'email')"
+
+
+@query(f"SELECT doc_id, t AS table_name, c AS column_name FROM (SELECT doc_id, {WORD.format('TABLE')} AS t, {WORD.format('ADD COLUMN')} AS c FROM ({SYN}) WHERE sql LIKE '%ADD COLUMN%') WHERE EXISTS (SELECT 1 FROM {_KNOWN} k WHERE k.table_name = t AND k.column_name = c)")
 def duplicate_add_column(spark, d):
-    known = rows(spark, A).unionByName(rows(spark, A).where("column_name = 'email'").withColumn("column_name", F.lit("age")))
-    return rules.duplicate_columns(stm(spark, d), known).select("doc_id", "table_name", "column_name")
+    return rules.duplicate_columns(stm(spark, d), rows(spark, _KNOWN)).select("doc_id", "table_name", "column_name")
 
 
-@query(f"SELECT doc_id, 'users' AS table_name, 'warning' AS severity FROM ({SYN}) WHERE sql LIKE '%age INT NOT NULL'")
+@query(f"SELECT doc_id, t AS table_name, CASE WHEN row_count = 0 THEN 'info' ELSE 'warning' END AS severity FROM (SELECT doc_id, {WORD.format('TABLE')} AS t FROM ({SYN}) WHERE sql LIKE '%ADD%NOT NULL%' AND sql NOT LIKE '%DEFAULT%') LEFT JOIN {S} ON table_name = t")
 def not_null_by_rows(spark, d):
     return rules.not_null_without_default(stm(spark, d), rows(spark, S)).select("doc_id", "table_name", "severity")
 
@@ -158,7 +163,7 @@ _RANK = lambda c: f"list_position([{', '.join(repr(t) for t in names.GENERALITY)
 _PREF = lambda a, b: f"CASE WHEN {_RANK(a)} IS NULL OR {_RANK(a)} = 0 THEN {a} WHEN {_RANK(b)} IS NULL OR {_RANK(b)} = 0 THEN {b} WHEN {_RANK(a)} <= {_RANK(b)} THEN {a} ELSE {b} END"
 
 
-@query(f"SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, CASE WHEN a.data_type IS NULL THEN b.data_type WHEN b.data_type IS NULL THEN a.data_type ELSE {_PREF('a.data_type', 'b.data_type')} END AS data_type, coalesce(a.nullable, false) OR coalesce(b.nullable, false) AS nullable FROM {A} a FULL OUTER JOIN {B} b ON a.table_name = b.table_name AND a.column_name = b.column_name")
+@query(f"SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, CASE WHEN a.data_type IS NULL THEN b.data_type WHEN b.data_type IS NULL THEN a.data_type ELSE {_PREF('a.data_type', 'b.data_type')} END AS data_type, coalesce(a.nullable, false) OR coalesce(b.nullable, false) AS nullable, row_number() OVER (PARTITION BY coalesce(a.table_name, b.table_name) ORDER BY a.ordinal IS NULL, a.ordinal, b.ordinal) - 1 AS ordinal FROM {A} a FULL OUTER JOIN {B} b ON a.table_name = b.table_name AND a.column_name = b.column_name")
 def unified_schema(spark, d):
     return diff.unified(rows(spark, A), rows(spark, B))
 
@@ -172,10 +177,22 @@ def type_rules(spark, d):
     return rows(spark, TY).select("a", "b", names.type_family(a).alias("family"), names.preferred_type(a, b).alias("preferred"), names.type_compatibility(a, b).alias("level"))
 
 
-@query("SELECT o_orderkey, coalesce(a_price, b_price) AS price, coalesce(a_status, b_status) AS status FROM (SELECT o_orderkey, o_totalprice AS a_price, o_orderstatus AS a_status FROM orders WHERE o_orderkey % 3 <> 0) FULL OUTER JOIN (SELECT o_orderkey, -o_totalprice AS b_price, 'B' AS b_status FROM orders WHERE o_orderkey % 2 = 0) USING (o_orderkey)")
+_FIRST = "SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS n FROM orders WHERE o_orderkey % 3 <> 0"
+_SECOND = "SELECT o_orderkey, -o_totalprice AS price, CASE WHEN o_orderkey % 4 <> 0 THEN 'B' END AS status, -o_orderkey AS n FROM orders WHERE o_orderkey % 2 = 0"
+
+
+@query(f"SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN b.price ELSE a.price END AS price, CASE WHEN a.o_orderkey IS NULL THEN b.status ELSE a.status END AS status, coalesce(a.n, b.n) AS n FROM ({_FIRST}) a FULL OUTER JOIN ({_SECOND}) b ON a.o_orderkey = b.o_orderkey")
 def existing_wins_merge(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
-    return catalog.existing_wins(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").select("o_orderkey", (-F.col("price")).alias("price"), F.lit("B").alias("status")), ["o_orderkey"])
+    o = read(spark, d, "orders")
+    first, second = (spark.sql(q.replace("FROM orders", "FROM {o}"), o=o) for q in (_FIRST, _SECOND))
+    return catalog.existing_wins(first, second, ["o_orderkey"], fill=("n",))
+
+
+@query(f"SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'only_a' WHEN a.o_orderkey IS NULL THEN 'only_b' ELSE 'changed' END AS status FROM ({_FIRST}) a FULL OUTER JOIN ({_SECOND}) b ON a.o_orderkey = b.o_orderkey WHERE (a.price IS DISTINCT FROM b.price OR a.status IS DISTINCT FROM b.status OR a.n IS DISTINCT FROM b.n)")
+def keyed_diff(spark, d):
+    o = read(spark, d, "orders")
+    first, second = (spark.sql(q.replace("FROM orders", "FROM {o}"), o=o) for q in (_FIRST, _SECOND))
+    return diff.keyed_diff(first, second, ["o_orderkey"])
 
 
 @query(f"SELECT table_name, column_name FROM {A} WHERE table_name IN ('orders', 'users')")
@@ -231,11 +248,19 @@ def quick_fixes(spark, d):
     return syn(spark, d).select("doc_id", fixes.quick_fix(F.col("sql")).alias("fix"))
 
 
-@query("WITH t AS (SELECT n_name AS term FROM nation UNION ALL SELECT unnest(['the', 'von', 'elle', 'mente'])), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), h AS (SELECT term, CAST(doc_id AS STRING) AS path, line_no FROM l, t WHERE list_contains(regexp_extract_all(lower(line), '([a-z0-9_]+)'), lower(term))) SELECT term, path, min(line_no) AS line_no FROM h GROUP BY 1, 2")
+_TERMS = "SELECT n_name AS term FROM nation UNION SELECT unnest(['the', 'von', 'elle', 'mente', 'the the']) UNION SELECT array_to_string(list_slice(string_split(split_part(text, chr(10), 1), ' '), k, k + 1), ' ') FROM benchmark, (SELECT unnest([2]) AS k) WHERE len(string_split(split_part(text, chr(10), 1), ' ')) > 6"
+_HAS = "contains(lower(line), lower(term)) AND regexp_matches(lower(line), '(^|[^a-z0-9_])' || regexp_escape(lower(term)) || '([^a-z0-9_]|$)')"
+_SEV = "CASE WHEN regexp_matches(lower(line), 'delete|drop|truncate|remove') THEN 'critical' WHEN regexp_matches(lower(line), 'update|alter|modify|insert') THEN 'high' WHEN regexp_matches(lower(line), 'select|find|fetch|get|query') THEN 'medium' ELSE 'low' END"
+
+
+@query(f"WITH t AS ({_TERMS}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), h AS (SELECT term, CAST(doc_id AS STRING) AS path, line_no, line FROM l, t WHERE {_HAS}), x AS (SELECT term, path, min(line_no) AS line_no, arg_min(line, line_no) AS line FROM h GROUP BY 1, 2) SELECT term, path, line_no, {_SEV} AS severity FROM x")
 def dep_scan(spark, d):
     lines = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("k", "line")).select("path", (F.col("k") + 1).cast("long").alias("line_no"), "line")
-    terms = read(spark, d, "nation").select(F.col("n_name").alias("term")).union(spark.createDataFrame([(t,) for t in ("the", "von", "elle", "mente")], "term string"))
-    return impact.dependency_scan(lines, terms).select("term", "path", "line_no")
+    words = F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")
+    pairs = read(spark, d, "benchmark").where(F.size(words) > 6).select(F.explode(F.array(*[F.array_join(F.slice(words, k, 2), " ") for k in (2,)])).alias("term"))
+    fixed = spark.createDataFrame([(t,) for t in ("the", "von", "elle", "mente", "the the")], "term string")
+    terms = read(spark, d, "nation").select(F.col("n_name").alias("term")).union(fixed).union(pairs).distinct()
+    return impact.dependency_scan(lines, terms).select("term", "path", "line_no", "severity")
 
 
 @query("SELECT CAST(doc_id AS STRING) AS path, term FROM documents, (SELECT unnest(['users', 'that', 'und']) AS term) WHERE NOT contains(lower(text), term)")
@@ -264,10 +289,13 @@ def cache_hits(spark, d):
     return stream.cache_hits(read(spark, d, "events"), "user_id", "event_type", "ts", 3600).select("event_id", "hit")
 
 
-@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+_CODE = "CASE event_type WHEN 'error' THEN 'DBS-DESTRUCT-003' WHEN 'click' THEN 'DBS-PERF-002' WHEN 'view' THEN 'DBS-DESTRUCT-001' ELSE 'DBS-BREAK-001' END"
+
+
+@query(f"SELECT doc_id, code, start_offset, event_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, code, start_offset ORDER BY ts, event_id) AS rn FROM (SELECT user_id AS doc_id, {_CODE} AS code, event_id % 3 AS start_offset, ts, event_id FROM events)) WHERE rn = 1 AND code IN ('DBS-DESTRUCT-001', 'DBS-DESTRUCT-003')")
 def alert_once(spark, d):
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    return read(spark, d, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_type", "event_id")
+    found = read(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.expr(_CODE).alias("code"), (F.col("event_id") % 3).alias("start_offset"), "ts", "event_id")
+    return stream.alerts(found, "ts").select("doc_id", "code", "start_offset", "event_id")
 
 
 @query("""SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
@@ -279,3 +307,6 @@ def html_escape(spark, d):
 def embedded_sql(spark, d):
     line = F.concat(F.lit("db.run(`SELECT a FROM t WHERE u = ${u"), F.col("user_id"), F.lit("}`, \"DROP TABLE x\")"))
     return read(spark, d, "events").select("event_id", lex.embedded_sql(line).alias("sql"))
+
+
+from . import rich_queries  # noqa: E402, F401  adds its queries to those above

@@ -130,6 +130,58 @@ def typeorm(text: str) -> Iterator[tuple]:
                 yield row(table, option(args, "name") or prop, kind, option(args, "nullable") == "true" or opt == "?" or "DeleteDateColumn" in kinds, pk, default=option(args, "default"))
 
 
+def prisma_indexes(text: str) -> Iterator[tuple]:
+    """(table, index name, columns, unique) of @unique, @@unique and @@index, by the columns' mapped names."""
+    text = re.sub(r"//[^\n]*", "", text)
+    for m in re.finditer(r"\bmodel\s+(\w+)\s*\{(.*?)\n\s*\}", text, re.S):
+        body = m[2]
+        table = (re.search(r"@@map\(\s*\"([^\"]+)\"", body) or [None, m[1]])[1]
+        mapped = {f[1]: (re.search(r"@map\(\s*\"([^\"]+)\"", f[0]) or [None, f[1]])[1] for f in re.finditer(r"(?m)^\s*(\w+)\s+\w+.*$", body)}
+        for f in re.finditer(r"(?m)^\s*(\w+)\s+\w+.*(?<!@)@unique\b.*$", body):
+            yield table, f"uq_{table}_{mapped[f[1]]}", [mapped[f[1]]], True
+        for f in re.finditer(r"@@(unique|index)\(\s*(?:fields:\s*)?\[([^\]]*)\]([^\n]*)", body):
+            cols = [mapped.get(c, c) for c in re.findall(r"\w+", f[2])]
+            name = re.search(r"(?:map|name):\s*\"([^\"]+)\"", f[3])
+            yield table, name[1] if name else f"{'uq' if f[1] == 'unique' else 'idx'}_{table}_{'_'.join(cols)}", cols, f[1] == "unique"
+
+
+def django_indexes(text: str) -> Iterator[tuple]:
+    """(table, index name, columns, unique) of fields that are unique."""
+    text = re.sub(r"(?m)#[^\n]*$", "", text)
+    for m in re.finditer(r"(?m)^class\s+(\w+)\s*\([^)]*models\.Model[^)]*\)\s*:((?:\n(?:[ \t]+[^\n]*)?)*)", text):
+        table = option(m[2], "db_table") or plural(snake(m[1]))
+        for f in re.finditer(r"(?m)^[ \t]+(\w+)\s*=\s*models\.(\w+)\s*\(", m[2]):
+            args = nested(m[2], f.end() - 1)
+            if option(args, "unique") == "True":
+                name = option(args, "db_column") or (f[1] + "_id" if f[2] in ("ForeignKey", "OneToOneField") else f[1])
+                yield table, f"uq_{table}_{name}", [name], True
+
+
+def typeorm_indexes(text: str) -> Iterator[tuple]:
+    """(table, index name, columns, unique) of columns that are unique."""
+    text = re.sub(r"//[^\n]*|/\*.*?\*/", "", text, flags=re.S)
+    for m in re.finditer(r"@Entity\s*\(([^)]*)\)\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)[^{]*\{", text):
+        table = option(m[1], "name") or (re.search(r"['\"]([^'\"]+)['\"]", m[1]) or [None, plural(snake(m[2]))])[1]
+        for p in re.finditer(r"@Column\s*\(([^()]*)\)\s*(?:readonly\s+)?(\w+)[?!]?\s*:", nested(text, m.end() - 1)):
+            if option(p[1], "unique") == "true":
+                name = option(p[1], "name") or p[2]
+                yield table, f"uq_{table}_{name}", [name], True
+
+
+INDEXES = {"prisma": prisma_indexes, "django": django_indexes, "typeorm": typeorm_indexes}
+
+
+def model_indexes(files: DataFrame, schema_id: str = "models") -> DataFrame:
+    """schema_id, table_name, index_name, columns, is_unique of model files (path, text, kind)."""
+
+    def parse(frames):
+        for f in frames:
+            rows = [(schema_id, *r) for text, kind in zip(f["text"], f["kind"]) for r in INDEXES[kind](text)]
+            yield pd.DataFrame(rows, columns=["schema_id", "table_name", "index_name", "columns", "is_unique"])
+
+    return files.select("text", "kind").mapInPandas(parse, "schema_id string, table_name string, index_name string, columns array<string>, is_unique boolean")
+
+
 PARSERS = {"prisma": prisma, "django": django, "typeorm": typeorm}
 
 

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import logging
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONNECT_SECONDS, QUERY_SECONDS = 5, 30
+log = logging.getLogger("lintel")
+
+
+def redacted(url: str) -> str:
+    """A connection string as it may be logged: without its password."""
+    return re.sub(r"(?i)(//[^/:@\s]+:)[^@/\s]*@|(\b(?:password|pwd)=)[^&;\s]*", lambda m: f"{m[1]}***@" if m[1] else f"{m[2]}***", url)
 
 POSTGRES = {
     "columns": "select table_name, column_name, ordinal_position as ordinal, data_type, is_nullable, column_default from information_schema.columns where table_schema = '{schema}'",
@@ -48,3 +57,16 @@ def spark_catalog(spark: SparkSession, database: str = "default") -> DataFrame:
     out = spark.createDataFrame(rows, "schema_id string, table_name string, column_name string, ordinal int, data_type string, nullable boolean")
     none = F.lit(None).cast("string")
     return out.select("*", F.lit(False).alias("is_pk"), F.lit(False).alias("is_fk"), none.alias("ref_table"), none.alias("ref_column"), none.alias("default_value"))
+
+
+def load_or(spark: SparkSession, db_type: str, url: str, schema: str, stored: tuple[DataFrame, DataFrame], **options: str) -> tuple[DataFrame, DataFrame]:
+    """(columns, tables) of a live database, or the stored ones where it can't be reached; what is not supported stays an error."""
+    try:
+        columns, tables = load(spark, db_type, url, schema, **options)
+        columns.limit(1).collect()
+        return columns, tables
+    except NotImplementedError:
+        raise
+    except Exception as e:  # whatever a driver raises: no driver, no network, no permission
+        log.warning("no live catalog from %s, stored one taken: %s", redacted(url), redacted(str(e))[:300])
+        return stored

@@ -29,11 +29,12 @@ def prisma_schemas(spark: SparkSession, root: str) -> DataFrame:
     return text_files(spark, root, "schema.prisma")
 
 
-def model_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, text, kind (django or typeorm) of model files of bounded size, told by their content."""
+def model_files(spark: SparkSession, root: str, most_chars: int | None = MOST_MODEL_CHARS) -> DataFrame:
+    """path, text, kind (django or typeorm) of model files, told by their content; larger ones than most_chars aside (None: all)."""
     kind = F.when(F.col("text").rlike(r"models\.Model\b"), "django").when(F.col("text").rlike(r"@Entity\b"), "typeorm")
     both = text_files(spark, root, "*.py").unionByName(text_files(spark, root, "*.ts"))
-    return both.where(F.length("text") <= MOST_MODEL_CHARS).withColumn("kind", kind).where("kind is not null").dropDuplicates(["path"])
+    sized = both if most_chars is None else both.where(F.length("text") <= most_chars)
+    return sized.withColumn("kind", kind).where("kind is not null").dropDuplicates(["path"])
 
 
 def code_lines(spark: SparkSession, root: str, pattern: str = "*.{ts,js,py,java,rb,go,cs}") -> DataFrame:
@@ -68,3 +69,14 @@ def write_json(report: DataFrame, path: str) -> None:
 def replace_by_document(findings: DataFrame, path: str) -> None:
     """Findings, one folder per document, each replaced as a whole."""
     findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+
+
+def save_state(columns: DataFrame, history: DataFrame, path: str) -> None:
+    """The current catalog and its history, each as a table in a folder of its own."""
+    for name, df in (("current", columns), ("history", history)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(columns, history) as saved."""
+    return spark.read.parquet(f"{path}/current"), spark.read.parquet(f"{path}/history")

@@ -15,8 +15,12 @@ def debounced(events: DataFrame, key: str, ts: str, gap: str, late: str = "1 hou
 
 
 def alerts(findings: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
-    """The alarming findings, each (document, code, offset) once within the watermark."""
-    return findings.where(F.col("code").isin(rules.MODAL)).withWatermark(ts, late).dropDuplicatesWithinWatermark(["doc_id", "code", "start_offset"])
+    """The alarming findings, each (document, code, offset) once: in a stream within the watermark, else its first by time."""
+    alarming, key = findings.where(F.col("code").isin(rules.MODAL)), ["doc_id", "code", "start_offset"]
+    if findings.isStreaming:
+        return alarming.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
+    rest = [c for c in findings.columns if c not in (*key, ts)]
+    return alarming.groupBy(key).agg(F.min(F.struct(ts, *rest)).alias("x")).select(*key, *[F.col(f"x.{c}").alias(c) for c in (ts, *rest)]).select(findings.columns)
 
 
 def cache_hits(requests: DataFrame, key: str, text: str, ts: str, seconds: int = 10) -> DataFrame:
