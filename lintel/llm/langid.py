@@ -26,7 +26,7 @@ from .common import chosen, slices
 
 #: Documents of a language that the model is learned from, in expectation (chosen by a hash of id and text), and of all
 #: languages together; the longest text learned from; how many languages are learned, the most frequent.
-FIT_DOCS, FIT_ALL, FIT_CHARS, FIT_LANGS = 300, 6000, 100_000, 500
+FIT_DOCS, FIT_ALL, FIT_CHARS, FIT_LANGS = 300, 6000, 20_000, 500
 EM_ROUNDS = 4
 SMOOTHING = 0.02
 #: Words whose scores a worker remembers, and the longest word (bytes) it remembers.

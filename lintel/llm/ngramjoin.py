@@ -49,7 +49,7 @@ LEAST_BITS, MOST_BITS, CHUNK = 16, 21, 1024
 #: Members of a block whose pairs are all looked at; larger blocks are resolved by hubs. And of a block of members that differ
 #: from a hub, where most pairs are told apart by their places.
 DIRECT, APART = 32, 256
-#: Parts that the members of a hub with many are dealt into.
+#: Parts that the members of a hub with many, and the tasks' sketches, are dealt into.
 SALTS = 64
 #: Percent of a set that prefixes are longer by.
 EXTRA = 4
@@ -114,16 +114,21 @@ def digests(docs: DataFrame, k: int, bits: int) -> DataFrame:
 
 
 def frequency_levels(rows: DataFrame, bits: int) -> bytes:
-    """A byte per counter: how often its count doubles the mean. 2 ** bits bytes come to the driver."""
+    """A byte per counter: how often its count doubles the mean. 2 ** bits bytes come to the driver.
+
+    Tasks' sketches are added in two steps, so that no task holds a chunk of all of them.
+    """
 
     def add(part: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.uint64)
         for blob in part["counts"].to_pylist():
-            total += np.frombuffer(blob, np.uint32)
+            total += np.frombuffer(blob, np.uint32 if len(blob) == 4 * CHUNK else np.uint64)
         return pa.table({"chunk": [part["chunk"][0].as_py()], "counts": [total.tobytes()]}, pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
 
     counts = np.zeros(1 << bits, np.uint64)
-    for r in rows.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
+    some = rows.where("chunk is not null").select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(SALTS)).alias("part"))
+    some = some.groupBy("chunk", "part").applyInArrow(add, "chunk int, counts binary")
+    for r in some.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
         counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint64)
     mean = max(1.0, float(counts.mean()))
     return np.floor(np.log2(np.maximum(counts / mean, 1.0))).astype(np.uint8).tobytes()

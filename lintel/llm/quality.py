@@ -27,7 +27,7 @@ from .common import chosen, slices
 
 #: Rated documents fitted on, in expectation (chosen by a hash of doc_id), and the longest text fitted on, which bound what
 #: comes to the driver; hashed weights; grades; passes over the sample.
-FIT_DOCS, FIT_CHARS, BITS, GRADES, EPOCHS = 8000, 100_000, 17, 3, 12
+FIT_DOCS, FIT_CHARS, BITS, GRADES, EPOCHS = 8000, 20_000, 17, 3, 12
 RATE, L2, SEED = 0.35, 1e-6, 5
 #: Least tail probability P(grade >= TAIL_GRADE) of a selected document.
 TAIL_GRADE, SELECT = 1, 0.5

@@ -38,6 +38,38 @@ def test_registered():
     assert got == list(range(1, 11))
 
 
+#: Names that operators use for columns of their own.
+NAMES = ["rows", "node", "n", "label", "hub", "gid", "key", "salt", "shard", "row", "cell", "score", "size", "rate", "copies", "number", "chance", "path", "seq", "offset", "piece", "start", "spans", "labels", "media", "feature", "grade", "selected", "host", "tokens", "token", "weight", "rank", "query_id", "payload_digest", "text_key", "chunk"]
+
+
+def with_names(df):
+    return df.select("*", *[F.lit(k).alias(n) for k, n in enumerate(NAMES) if n not in df.columns])
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_other_columns_change_nothing(spark, documents, odd, name):
+    """Nulls, repeats, blank and long texts, once more beside columns that are named as operators name theirs."""
+    docs = documents.limit(60).unionByName(odd.drop("score"))
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(40)
+    pages = pages.unionByName(pages.limit(9)).unionByName(pages.limit(3).withColumn("page_id", F.lit(None))).unionByName(pages.limit(3).withColumn("html", F.lit(None)).withColumn("url", F.lit(None)))
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    marks = spark.read.parquet(f"{SF}/labels.parquet")
+    run = {
+        "op1": lambda f: langid.identify(f(docs)),
+        "op2": lambda f: warc.archive(f(pages)),
+        "op3": lambda f: vptree.search(f(vectors), f(vectors).where("vec_id % 20 = 0")),
+        "op4": lambda f: licenses.scan(f(docs)),
+        "op5": lambda f: mixing.taken(f(docs)),
+        "op6": lambda f: packing.pack(f(docs)).drop("sequence_id", "offset"),
+        "op7": lambda f: urlfilter.judge(f(pages)),
+        "op8": lambda f: media.describe(f(docs)).drop("keyframes"),
+        "op9": lambda f: ngramjoin.components(f(docs)),
+        "op10": lambda f: quality.classify(f(docs), f(marks)),
+    }[name]
+    plain, beside = (collections.Counter(map(tuple, run(f).collect())) for f in (lambda df: df, with_names))
+    assert plain == beside and sum(plain.values()) > 0
+
+
 # 1
 
 
