@@ -2,7 +2,8 @@
 
 A document is the set of its distinct k-word shingles (the whole word sequence where it is shorter). Two documents link when
 the Jaccard similarity of their sets is at least ``percent`` / 100. ``components`` gives one row per row of the input with the
-smallest id reachable by links; ``links`` gives links between sets, enough of them to connect all that is linked.
+smallest id reachable by links; ``links`` gives links between sets, enough of them to connect all that is linked, and
+``all_links`` every one.
 
 How it works, on all rows and exactly (up to collisions of 64-bit hashes of shingles and 128-bit hashes of sets):
 
@@ -229,14 +230,15 @@ def level_blocks(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     return small, staged(found.where(F.col("size") > DIRECT).select("hub_gid", "gid").distinct(), "large")
 
 
-def group_pairs(small: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """ga, gb of the pairs of groups in small blocks that sizes and shared prefix shingles leave; each small group with itself."""
+def group_pairs(small: DataFrame, groups: DataFrame, percent: int, most: int = DIRECT) -> DataFrame:
+    """ga, gb of the pairs of groups in small blocks that sizes and shared prefix shingles leave; each group of 2 to ``most``
+    members with itself."""
     left, right = (small.select("key", F.col("gid").alias("g" + k), F.col("n").alias("n" + k), F.col("low").alias("l" + k)) for k in "ab")
     met = left.join(right, "key").where((F.col("ga") < F.col("gb")) & ~(F.col("la") & F.col("lb")) & fits("na", "nb", percent)).select("ga", "gb").distinct()
     a, b = (groups.select(F.col("gid").alias("g" + k), F.col("n").alias("n" + k), F.col("prefix").alias("p" + k)) for k in "ab")
     least = 1 + F.floor(F.least("na", "nb") * EXTRA / 100)
     kept = met.join(a, "ga").join(b, "gb").where(F.size(F.array_intersect("pa", "pb")) >= least).select("ga", "gb")
-    return kept.unionByName(groups.where(F.col("members").between(2, DIRECT)).select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
+    return kept.unionByName(groups.where(F.col("members").between(2, most)).select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
 
 
 def member_pairs(pairs: DataFrame, groups: DataFrame, heads: DataFrame) -> DataFrame:
@@ -385,12 +387,18 @@ def named(docs: DataFrame, k: int) -> tuple[DataFrame, bytes]:
     return found.where("chunk is null").select("doc_id", "text_key", "n_shingles", "node"), frequency_levels(found, bits)
 
 
-def links(docs: DataFrame, rows: DataFrame, levels: bytes, k: int, percent: int) -> DataFrame:
-    """a, b: links between nodes of docs (rows and levels as named() gives them); enough to connect all that is linked."""
+def grouped(docs: DataFrame, rows: DataFrame, levels: bytes, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, doc_id, text_key of one row of each node; heads_of() docs; their groups)."""
     first = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
     names = staged(first.select("node", "x.doc_id", "x.text_key"), "names")
     heads = staged(heads_of(docs, k, percent, levels), "heads")
-    groups = staged(heads.groupBy("gid", "n").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix")), "groups")
+    groups = heads.groupBy("gid", "n").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix"))
+    return names, heads, staged(groups, "groups")
+
+
+def links(docs: DataFrame, rows: DataFrame, levels: bytes, k: int, percent: int) -> DataFrame:
+    """a, b: links between nodes of docs (rows and levels as named() gives them); enough to connect all that is linked."""
+    names, heads, groups = grouped(docs, rows, levels, k, percent)
     small, large = level_blocks(groups, percent)
     found, pairs = starred(large, groups, heads, docs, names, k, percent)
     pairs.append(member_pairs(group_pairs(small, groups, percent), groups, heads))
@@ -401,6 +409,19 @@ def links(docs: DataFrame, rows: DataFrame, levels: bytes, k: int, percent: int)
     return reduce(DataFrame.unionByName, found)
 
 
+def all_links(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(every link (a, b) between nodes, a < b; doc_id, n_shingles, node of every row): no hubs, so the work grows with the number
+    of links, which in a group of near copies can be the square of its size. Rows of one node are linked too."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, levels = named(docs, k)
+    names, heads, groups = grouped(docs, rows, levels, k, percent)
+    blocks = postings(groups, percent).select(F.col("token").alias("key"), "gid", "n", F.lit(False).alias("low"))
+    pairs = member_pairs(group_pairs(staged(blocks, "blocks"), groups, percent, 1 << 62), groups, heads)
+    left = staged(screened(pairs, heads, percent), "screened")
+    sets = sets_of(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, names, k)
+    return verified(left, sets, percent), rows.select("doc_id", "n_shingles", "node")
+
+
 def labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, n_shingles, node of every row; node, label, rows of nodes that have several rows or links).
 

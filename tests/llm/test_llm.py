@@ -568,6 +568,14 @@ def test_join_matches_brute_force(spark, k, percent):
     assert got == want
     kept = {r["doc_id"] for r in ngramjoin.one_of_each(df, k, percent).collect()}
     assert kept == {d for d, (_, c) in want.items() if c == d}
+    links, members = ngramjoin.all_links(df, k, percent)
+    sets = {}
+    for d, t in rows:
+        found = ngramjoin.shingles(t, k)
+        if len(found):
+            sets[ngramjoin.name_of(found)] = set(found.tolist())
+    every = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in links.collect()} == every and members.count() == len(rows)
 
 
 @pytest.mark.parametrize("k,percent,direct", [(3, 90, 2), (5, 80, 5)])
