@@ -137,6 +137,8 @@ def rollback(sql: Column, known_type: Column | None = None, create_sql: Column |
 
 
 WORD = r"([a-z0-9_]+)"
+#: Lists of terms up to this long are broadcast (some 10 MB), so that words needn't be shuffled; longer ones are joined by shuffle.
+BROADCAST_TERMS = 100_000
 
 
 def stands(line: Column, term: Column) -> Column:
@@ -153,6 +155,8 @@ def dependency_scan(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """
     first_word = F.regexp_extract(F.lower("term"), WORD, 1)
     wanted = terms.where("term is not null and term != ''").select("term", first_word.alias("word"), (F.lower("term") == first_word).alias("plain")).distinct()
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
     words = lines.select("path", "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(1)))).alias("word"))
     hits = words.join(wanted.where("word != ''"), "word").where(F.col("plain") | stands(F.col("line"), F.col("term"))).select("term", "path", "line_no", "line")
     other = wanted.where("word = ''").select("term")
