@@ -30,8 +30,8 @@ from .common import new_folder, open_store, staged
 NEAREST, EVERY, SHARD, BLOCK, LEAF = 20, 20, 4096, 512, 128
 #: Vectors for each cell's vantage point, and the most of these: a sample that each task holds.
 CELL, MOST_CELLS = 512, 4096
-#: Lists of tree files up to this length are broadcast.
-BROADCAST_SHARDS = 20_000
+#: Lists of files up to this length are broadcast.
+BROADCAST_FILES = 20_000
 #: Production factor; see the README for the recall measured.
 FACTOR = 6.0
 #: Scores this much below the k-th (relative to the norms) are still computed exactly.
@@ -182,17 +182,22 @@ def usable(vectors: DataFrame) -> DataFrame:
     return known.where(~broken & F.exists("embedding", lambda x: x != 0))
 
 
-def matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length, none of them null, as rows."""
+    if not len(column):
+        return np.zeros((0, 0))
+    one = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return one.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def saved(folder: str, data: bytes) -> str:
+    """The name of a new file in a folder."""
     store, base = open_store(folder)
     store.create_dir(base)
-    path = f"{base}/{uuid.uuid4().hex}.npz"
-    with store.open_output_stream(path, compression=None) as out:
+    name = uuid.uuid4().hex
+    with store.open_output_stream(f"{base}/{name}.npz", compression=None) as out:
         out.write(data)
-    return path
+    return name
 
 
 class Cells:
@@ -274,44 +279,59 @@ def search_one(part: DataFrame, asked: DataFrame, k: int, factor: float, shard:
 
     def index(rows: pa.Table) -> pa.Table:
         tree = Tree.build(rows["row"].to_numpy(), rows["vec_id"].to_numpy(), matrix(rows["embedding"]), top)
-        return pa.table({"shard": [rows["shard"][0].as_py()], "path": [saved(folder, tree.dump())]}, pa.schema([("shard", pa.int64()), ("path", pa.string())]))
+        return pa.table({"shard": [rows["shard"][0].as_py()], "tree": [saved(folder, tree.dump())]}, pa.schema([("shard", pa.int64()), ("tree", pa.string())]))
 
     place = spark.createDataFrame([(int(c), int(cells.first[c]), int(cells.shards[c])) for c in np.flatnonzero(cells.shards)], "cell long, first long, shards long")
     sharded = dealt.join(F.broadcast(place), "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("row"), "shards"))
-    trees = staged(sharded.select("shard", "row", "vec_id", "embedding").groupBy("shard").applyInArrow(index, "shard long, path string"), "trees")
+    trees = staged(sharded.select("shard", "row", "vec_id", "embedding").groupBy("shard").applyInArrow(index, "shard long, tree string"), "trees")
+
+    asked_n = asked.count()
+    blocks = max(1, -(-asked_n // block))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+
+    def gather(rows: pa.Table) -> pa.Table:
+        rows, out = rows.sort_by("query_id"), io.BytesIO()
+        np.savez(out, ids=rows["query_id"].to_numpy(), own=rows["own"].to_numpy(), vectors=matrix(rows["embedding"]))
+        return pa.table({"block": [rows["block"][0].as_py()], "ask": [saved(folder, out.getvalue())]}, pa.schema([("block", pa.int64()), ("ask", pa.string())]))
+
+    asks = staged(asked.groupBy("block").applyInArrow(gather, "block long, ask string"), "asks")
 
     def sent(first: bool):
         def run(batches):
             own = shared.value
             for b in batches:
                 q, least = matrix(b.column(2)), b.column(3).to_numpy(zero_copy_only=False)
+                if not len(q):
+                    continue
                 if first:
                     visit = np.zeros((len(q), len(own.shards)), bool)
                     visit[np.arange(len(q)), own.of_queries(q)[0]] = True
                 else:
                     visit = own.others(q, least, factor)
                 for c in np.flatnonzero(visit.any(0)):
-                    who = b.take(pa.array(np.flatnonzero(visit[:, c])))
+                    who = b.select(["query_id", "block", "least"]).take(pa.array(np.flatnonzero(visit[:, c])))
                     for s in range(own.first[c], own.first[c] + own.shards[c]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(who.num_rows, s)), *who.columns], ["shard", "query_id", "own", "embedding", "least"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(who.num_rows, s)), *who.columns], ["shard", "query_id", "block", "least"])
 
         return run
 
     def look(rows: pa.Table) -> pa.Table:
-        store, _ = open_store(folder)
-        tree = Tree.load(store.open_input_stream(rows["path"][0].as_py(), compression=None).read())
-        ids = rows["query_id"].to_numpy()
-        found = tree.search(rows["own"].to_numpy(), matrix(rows["embedding"]), k, factor, rows["least"].to_numpy())
+        store, base = open_store(folder)
+        read = lambda c: store.open_input_stream(f"{base}/{rows[c][0].as_py()}.npz", compression=None).read()
+        tree, z = Tree.load(read("tree")), np.load(io.BytesIO(read("ask")))
+        at = np.searchsorted(z["ids"], rows["query_id"].to_numpy())
+        found = tree.search(z["own"][at], z["vectors"][at], k, factor, rows["least"].to_numpy())
         who, rank = np.nonzero(found.score > -np.inf)
-        return pa.table({"query_id": ids[who], "vec_id": found.near[who, rank], "score": found.score[who, rank]}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+        return pa.table({"query_id": z["ids"][at][who], "vec_id": found.near[who, rank], "score": found.score[who, rank]}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_FILES else df
+    paths, questions = few(trees, cells.shards.sum()), few(asks, blocks)
 
     def searched(queries: DataFrame, first: bool) -> DataFrame:
-        tasks = queries.select("query_id", "own", "embedding", "least").mapInArrow(sent(first), "shard long, query_id long, own long, embedding array<double>, least double")
-        blocks = max(1, -(-asked_n // block))
-        return tasks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).join(paths, "shard").groupBy("shard", "block").applyInArrow(look, "query_id long, vec_id long, score double")
+        """Of a query and a shard only ids are shuffled; a task reads the shard's tree and the block's queries."""
+        tasks = queries.select("query_id", "block", "embedding", "least").mapInArrow(sent(first), "shard long, query_id long, block long, least double")
+        return tasks.join(paths, "shard").join(questions, "block").groupBy("shard", "block").applyInArrow(look, "query_id long, vec_id long, score double")
 
-    asked_n = asked.count()
-    paths = F.broadcast(trees) if cells.shards.sum() <= BROADCAST_SHARDS else trees
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     none = F.lit(-float("inf"))
