@@ -142,8 +142,9 @@ BROADCAST_TERMS = 100_000
 
 
 def stands(line: Column, term: Column) -> Column:
-    """Whether a term stands in a line between ASCII word boundaries, in whatever case."""
-    return F.rlike(F.lower(line), F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower(term), F.lit(r"\E(?![a-z0-9_])")))
+    """Whether a term stands in a line between ASCII word boundaries, in whatever case. The pattern is tried only where the line
+    contains the term at all."""
+    return F.contains(F.lower(line), F.lower(term)) & F.rlike(F.lower(line), F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower(term), F.lit(r"\E(?![a-z0-9_])")))
 
 
 def dependency_scan(lines: DataFrame, terms: DataFrame) -> DataFrame:
