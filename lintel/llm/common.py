@@ -7,8 +7,10 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -125,6 +127,58 @@ def chosen(docs: DataFrame, column: str, make: Callable[[], Callable[[list], lis
     return docs.mapInArrow(run, docs.schema)
 
 
+#: Bits of a Bloom filter: least, most (32 MB), for each key; bytes of a chunk of one.
+LEAST_FILTER_BITS, MOST_FILTER_BITS, BITS_A_KEY, FILTER_CHUNK = 16, 28, 16, 8192
+
+
+class Bloom:
+    """A Bloom filter of 64-bit hashes, two bits a key; of bounded size, so with very many keys it may take all."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.mask = table, np.uint64(8 * len(table) - 1)
+
+    @staticmethod
+    def bits(hashes: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        return hashes & mask, (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) & mask
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in self.bits(hashes, self.mask):
+            out &= (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+    def shared(self, spark: SparkSession):
+        return spark.sparkContext.broadcast(self)
+
+
+def bloom_of(keys: DataFrame, column: str) -> Bloom:
+    """A filter of a column of longs of a staged table. Tasks' bits are united in two steps; 2 ** MOST_FILTER_BITS bits at most
+    come to the driver."""
+    size = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (BITS_A_KEY * keys.count() - 1).bit_length()))
+    kind = "chunk int, part int, bits binary"
+
+    def run(batches):
+        table = np.zeros(1 << size >> 3, np.uint8)
+        for b in batches:
+            for at in Bloom.bits(b.column(0).to_numpy().view(np.uint64), np.uint64((1 << size) - 1)):
+                np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        held = [k for k in range(0, len(table), FILTER_CHUNK) if table[k : k + FILTER_CHUNK].any()]
+        blobs = [table[k : k + FILTER_CHUNK].tobytes() for k in held]
+        yield pa.RecordBatch.from_arrays([pa.array([k // FILTER_CHUNK for k in held], pa.int32()), pa.array([zlib.crc32(x) % 64 for x in blobs], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "bits"])
+
+    def unite(part: pa.Table) -> pa.Table:
+        bits = np.zeros(FILTER_CHUNK, np.uint8)
+        for blob in part["bits"].to_pylist():
+            bits |= np.frombuffer(blob, np.uint8)
+        return pa.table({"chunk": part["chunk"].slice(0, 1), "part": part["part"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    rows = keys.select(column).mapInArrow(run, kind).groupBy("chunk", "part").applyInArrow(unite, kind).groupBy("chunk").applyInArrow(unite, kind)
+    out = np.zeros(1 << size >> 3, np.uint8)
+    for r in rows.collect():
+        out[r["chunk"] * FILTER_CHUNK : (r["chunk"] + 1) * FILTER_CHUNK] = np.frombuffer(r["bits"], np.uint8)
+    return Bloom(out)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
