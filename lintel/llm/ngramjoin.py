@@ -16,11 +16,8 @@ How it works, on all rows and exactly (up to collisions of 64-bit hashes of shin
    of the others all but so many of the rarest are left out (prefix filter again). What is left are blocks of groups.
 4. In blocks of at most DIRECT members pairs of groups are formed and filtered by size and shared prefix; those that stay are
    expanded into pairs of members, screened by histograms and verified on the sets.
-5. In a larger block, one member is the hub, and all others are compared with it alone: who links is linked by that star. For
-   the rest, let R(x) be the shingles in which x and the hub differ. If x doesn't link with the hub but does with y, then R(x)
-   and R(y) overlap, by a least number that follows from their sizes. So the block parts into smaller ones by the rarest
-   shingles of the R's (prefix filter on the differences), which go back to 4 or 5. Each step is linear in a block's members:
-   near copies of one text differ from it by few shingles, which few of them share.
+5. In a larger block, one member is the hub, and all others are compared with it alone: who links is linked by that star. What
+   is left is told by the shingles in which members differ from the hub, without their sets (see ``families``).
 
 Null and blank texts have an empty set and link with nothing; each is its own component. A null doc_id takes part like others,
 but gives a component no name: the component of rows without any id is null. Rows that repeat a doc_id are each judged by
@@ -40,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import families
 from .common import forget, free, heavy, joined, slices, staged
 
 K, PERCENT = 3, 90
@@ -47,9 +45,8 @@ K, PERCENT = 3, 90
 BROADCAST_KEYS = 500_000
 #: The sketch has as many counters as documents, within these powers of two.
 LEAST_BITS, MOST_BITS, CHUNK = 16, 21, 1024
-#: Members of a block whose pairs are all looked at; larger blocks are resolved by hubs. And of a block of members that differ
-#: from a hub, where most pairs are told apart by their places.
-DIRECT, APART = 32, 256
+#: Members of a block whose pairs are all looked at; larger blocks are resolved by hubs.
+DIRECT = 32
 #: Parts that the members of a hub with many, and the tasks' sketches, are dealt into.
 SALTS = 64
 #: Percent of a set that prefixes are longer by.
@@ -280,22 +277,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def least_shared(nx: int, nh: int, rx: int, linked: bool, percent: int) -> int:
-    """Least overlap of R(x) with R(y) over all y that link with x where one of the two doesn't link with the hub.
-
-    nx, nh: sizes of x and the hub; rx: size of R(x). Sets link when their symmetric difference is at most c times the sum of
-    their sizes, c = (100 - percent) / (100 + percent), and that of x and y is the one of R(x) and R(y).
-    """
-    c, d = 100 - percent, 100 + percent
-    if linked:  # then |R(y)| > c (ny + nh)
-        return max(1, (d * rx + c * (nh - nx)) // (2 * d) + 1)
-    ny = np.arange(needed(nx, percent), 100 * nx // percent + 1)
-    least = np.maximum(np.maximum(1, np.abs(ny - nh)), rx - c * (nx + ny) // d)  # of |R(y)|
-    return max(1, int((-(-(d * (rx + least) - c * (nx + ny)) // (2 * d))).min()))
-
-
 def differences(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """hub, node, n, linked, least, r of met (hub, node): the shingles r that one of both has, and least_shared of them.
+    """block, node, n, linked, r of met (hub, node): the shingles r that one of both has, and whether the two link.
 
     Members of the few hubs that have many are dealt out by a salt, and those hubs' sets repeated for each.
     """
@@ -311,72 +294,50 @@ def differences(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
                 r = np.setxor1d(x, h, assume_unique=True)
                 linked = (100 + percent) * len(r) <= (100 - percent) * (len(x) + len(h))
-                rows.append((hub, node, len(x), linked, least_shared(len(x), len(h), len(r), linked, percent), r.view(np.int64)))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["hub", "node", "n", "linked", "least", "r"])
+                rows.append((hub, node, len(x), linked, r.view(np.int64)))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["block", "node", "n", "linked", "r"])
 
     both = dealt.join(sets.select("node", F.col("shingles").alias("x")), "node").join(right, ["hub", "salt"])
-    return both.select("hub", "node", "x", "h").mapInArrow(run, "hub binary, node binary, n long, linked boolean, least long, r array<long>")
-
+    return both.select("hub", "node", "x", "h").mapInArrow(run, "block binary, node binary, n long, linked boolean, r array<long>")
 
-def parted(apart: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, met) of the smaller blocks that differences leave, each with a member not linked to the hub: pairs (a, b) of
-    blocks of at most APART members, and the members of larger ones with their new hub.
 
-    Of a linked pair the rarest shingle that both differences have stands so far from the end of each that enough may follow
-    (positional filter); pairs are formed only where that holds.
-    """
-    tokens = apart.select("hub", "node", "n", "linked", "least", F.size("r").alias("odd"), F.explode("r").alias("token"))
-    live = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("linked")).alias("loose")).where("c > 1 and loose > 0").drop("loose")
-    own = Window.partitionBy("hub", "node")
-    ranked = tokens.join(live, ["hub", "token"]).withColumn("has", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("c", "token")))
-    rest = (F.col("has") - F.col("rank") + 1).alias("rest")
-    rows = staged(ranked.where("rank <= has - least + 1").select(F.xxhash64("hub", "token").alias("key"), "node", "n", "linked", "odd", rest), "parted")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("linked")).alias("loose"), F.min(F.struct("odd", "node")).alias("hub")).where("size > 1 and loose > 0")
-    blocks = staged(joined(rows, staged(sizes.select("key", "size", F.col("hub.node").alias("hub")), "sizes"), "key", "size"), "blocks")
-    small = blocks.where(F.col("size") <= APART)
-    x, y = (small.select("key", *[F.col(c).alias(c + k) for c in ("node", "n", "linked", "odd", "rest")]) for k in "ab")
-    c, d = 100 - percent, 100 + percent
-    enough = 2 * d * F.least("resta", "restb") >= d * (F.col("odda") + F.col("oddb")) - c * (F.col("na") + F.col("nb"))
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("nodea") < F.col("nodeb")) & ~(F.col("linkeda") & F.col("linkedb")) & fits("na", "nb", percent) & enough)
-    pairs = staged(met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), "pairs")
-    met = staged(blocks.where((F.col("size") > APART) & (F.col("node") != F.col("hub"))).select("hub", "node").distinct(), "met")
-    forget(rows, blocks)
-    return pairs, met
-
-
-def starred(large: DataFrame, groups: DataFrame, heads: DataFrame, docs: DataFrame, names: DataFrame, k: int, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(links, pairs) of large blocks: links (a, b) of members with hubs, and pairs (a, b) of small blocks still to be verified."""
-    links, pairs = [], []
+def starred(large: DataFrame, groups: DataFrame, heads: DataFrame, docs: DataFrame, names: DataFrame, k: int, percent: int) -> list[DataFrame]:
+    """Links (a, b) of large blocks: of members with hubs, and of those that their differences from the hub tell."""
     hubs = groups.select(F.col("gid").alias("hub_gid"), F.col("node").alias("hub"))
     met = staged(large.join(hubs, "hub_gid").join(heads.select("gid", "node"), "gid").where("node != hub").select("hub", "node"), "met")
     if met.isEmpty():
-        return links, pairs
+        return []
     sets = sets_of(met.select("node").union(met.select("hub")).distinct(), docs, names, k)
-    while not met.isEmpty():
-        apart = staged(differences(met, sets, percent), "apart")
-        links.append(staged(apart.where("linked").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")), "stars"))
-        more, met = parted(apart, percent)
-        pairs.append(more)
-        forget(apart)
-    forget(sets)
-    return links, pairs
+    apart = staged(differences(met, sets, percent), "apart")
+    stars = staged(apart.where("linked").select(F.least("block", "node").alias("a"), F.greatest("block", "node").alias("b")), "stars")
+    open_ = apart.groupBy("block").agg(F.count_if(~F.col("linked")).alias("loose"), F.count(F.lit(1)).alias("m")).where("loose > 0 and m > 1")
+    found = [stars, *families.resolved(joined(apart, staged(open_, "open"), "block", "m").select("block", "node", "n", "linked", "r"), percent)]
+    forget(met, sets, apart)
+    return found
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable, of every node in edges (a, b). Minimum labels with pointer jumping."""
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").where("node != other").distinct(), "links")
-    labels = staged(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels")
+    degrees = staged(both.groupBy("node").agg(F.min("other").alias("label"), F.count(F.lit(1)).alias("edges")), "degrees")
+    labels = staged(degrees.select("node", F.least("label", "node").alias("label")), "labels")
+    hot = staged(heavy(degrees, "edges").select("node"), "hot")  # hubs of large stars: their edges go to no single task
+    star = both.join(F.broadcast(hot.withColumnRenamed("node", "other")), "other", "left_semi")
+    plain = both.join(F.broadcast(hot.withColumnRenamed("node", "other")), "other", "left_anti")
+    forget(degrees)
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        names = labels.select(F.col("node").alias("other"), F.col("label").alias("near"))
+        near = plain.join(names, "other").unionByName(star.join(F.broadcast(names.join(F.broadcast(hot.withColumnRenamed("node", "other")), "other", "left_semi")), "other"))
+        near = near.groupBy("node").agg(F.min("near").alias("near"))
         lower = labels.select("node", "label").join(near, "node").select("node", F.least("label", "near").alias("lower"), F.col("label").alias("was"))
         jumped = lower.join(labels.select(F.col("node").alias("lower"), F.col("label").alias("beyond")), "lower", "left")
         jumped = staged(jumped.select("node", F.least("lower", F.coalesce("beyond", "lower")).alias("label"), "was"), "labels")
         forget(labels)
         labels = jumped
         if labels.where("label != was").isEmpty():
-            forget(both)
+            forget(both, hot)
             return labels.select("node", "label")
 
 
@@ -400,9 +361,8 @@ def links(docs: DataFrame, rows: DataFrame, levels: bytes, k: int, percent: int)
     """a, b: links between nodes of docs (rows and levels as named() gives them); enough to connect all that is linked."""
     names, heads, groups = grouped(docs, rows, levels, k, percent)
     small, large = level_blocks(groups, percent)
-    found, pairs = starred(large, groups, heads, docs, names, k, percent)
-    pairs.append(member_pairs(group_pairs(small, groups, percent), groups, heads))
-    left = staged(screened(reduce(DataFrame.unionByName, pairs), heads, percent), "screened")
+    found = starred(large, groups, heads, docs, names, k, percent)
+    left = staged(screened(member_pairs(group_pairs(small, groups, percent), groups, heads), heads, percent), "screened")
     sets = sets_of(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, names, k)
     found.append(staged(verified(left, sets, percent), "verified"))
     forget(sets, left, heads, groups, names)
