@@ -38,15 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, new_folder, open_store, remove, slices, small_batches, staged
+from .common import bloom_of, joined, new_folder, open_store, remove, slices, small_batches, staged
 
 LEAST, SHORTEST = 3, 20
 #: Shards of an index, keys that a shard's first filter has room for, salts of the documents of a shard.
 SHARDS, SHARD_KEYS, SALTS = 64, 1 << 12, 16
 #: Documents for which an index made in one go gets a shard.
 DOCUMENTS = 1 << 16
-#: Dropped lines up to this number are broadcast to the documents (some 20 MB), more are joined by shuffle.
-BROADCAST_LINES = 200_000
 #: Slots of a bucket, and moves before a filter counts as full.
 SLOTS, MOVES = 4, 500
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -280,41 +278,59 @@ class LineIndex:
         found = joined(rows, staged(hot, "hot"), "key", "holders")
         return found.where(~F.col("doc_id").eqNullSafe(F.col("largest"))).select("doc_id", "text_key", "key").distinct()
 
-    def cleaned(self, docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
-        """doc_id, n_lines, n_dropped, kept_sha256, kept of every row of docs, by the index as it is.
+    def cleaned(self, docs: DataFrame, references: DataFrame | None = None, texts: bool = True) -> DataFrame:
+        """doc_id, n_lines, n_dropped, kept_sha256, and with texts kept, of every row of docs, by the index as it is.
 
-        references: what insert() gave for docs; else they are made from the texts.
+        references: what insert() gave for docs; else they are made from the texts. Documents that surely lose nothing, by a
+        Bloom filter of those that do, are done in the scan; of the others the texts are shuffled to their dropped keys.
         """
         if references is None:
             references = lines_of(docs, self.shortest, self.shards)
-        drops = self.hot_lines(references)
-        drops = staged(drops.groupBy("doc_id", "text_key").agg(F.collect_list("key").alias("keys"), F.count(F.lit(1)).alias("n")), "drops")
-        few = (drops.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_LINES
-        right = drops.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "keys")
-        left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-        rows = left.join(F.broadcast(right) if few else right, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")), "left")
-        shortest = self.shortest
+        drops = self.hot_lines(references).groupBy("doc_id", "text_key").agg(F.collect_list("key").alias("keys"))
+        drops = staged(drops.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.xxhash64("doc_id", "text_key").alias("who"), "keys"), "drops")
+        may, shortest = bloom_of(drops, "who").shared(self.spark), self.shortest
+        told = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string"
+
+        def scan(batches):
+            for b in slices(batches):
+                keep = may.value.has(b.column(2).to_numpy().view(np.uint64))
+                rows = []
+                for lost, doc, key, text in zip(keep.tolist(), *(b.column(c).to_pylist() for c in (0, 1, 3))):
+                    rows.append((*(result(doc, text, (), shortest, texts) if not lost else (doc, None, None, None, None)), key, text if lost else None))
+                yield batch(rows, f"{told}, text_key long, text string")
 
-        def run(batches):
+        def judge(batches):
             for b in slices(batches):
-                out = []
-                for doc, text, keys in zip(*(b.column(c).to_pylist() for c in range(3))):
-                    lines = (text or "").encode("utf-8").split(b"\n")
-                    gone = frozenset(keys or ())
-                    kept = [x for x in lines if key_of(x, shortest) not in gone] if gone else lines
-                    data = b"\n".join(kept)
-                    out.append((doc, len(lines), len(lines) - len(kept), hashlib.sha256(data).hexdigest(), data.decode("utf-8")))
-                cols = list(zip(*out)) if out else [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"])
-
-        return rows.select("doc_id", "text", "keys").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string")
+                rows = []
+                for *done, text, keys in zip(*(b.column(c).to_pylist() for c in range(7))):
+                    rows.append(tuple(done) if done[1] is not None else result(done[0], text, frozenset(keys or ()), shortest, texts))
+                yield batch(rows, told)
+
+        left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+        left = left.select("doc_id", "text_key", F.xxhash64("doc_id", "text_key").alias("who"), "text").mapInArrow(scan, f"{told}, text_key long, text string")
+        rows = left.join(drops, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")), "left")
+        out = rows.select(*[x.split()[0] for x in told.split(", ")], "text", "keys").mapInArrow(judge, told)
+        return out if texts else out.drop("kept")
 
     def drop(self) -> None:
         """Deletes the index."""
         remove(self.spark, self.folder)
 
 
+def result(doc: int | None, text: str | None, gone: frozenset | tuple, shortest: int, texts: bool) -> tuple:
+    """doc_id, n_lines, n_dropped, kept_sha256, kept of a text that loses the lines with these keys."""
+    lines = (text or "").encode("utf-8").split(b"\n")
+    kept = [x for x in lines if key_of(x, shortest) not in gone] if gone else lines
+    data = b"\n".join(kept)
+    return doc, len(lines), len(lines) - len(kept), hashlib.sha256(data).hexdigest(), data.decode("utf-8") if texts else None
+
+
+def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    cols = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "string" else pa.int64()) for c, k in zip(cols, kinds)], list(names))
+
+
 def read_filter(folder: str, generation: int, shard: int) -> Cuckoo:
     """A shard's filter, read by a task from the shared store."""
     fs, path = open_store(f"{folder}/generation={generation}")
@@ -326,4 +342,4 @@ def deduplicated(docs: DataFrame, least: int = LEAST, shortest: int = SHORTEST)
     """doc_id, n_lines, n_dropped, kept_sha256 of every row of docs: an index of all of them, applied to them."""
     shards = min(65536, max(SHARDS, 1 << (docs.count() // DOCUMENTS).bit_length()))
     index = LineIndex(docs.sparkSession, least, shortest, shards)
-    return index.cleaned(docs, index.insert(docs)).drop("kept")
+    return index.cleaned(docs, index.insert(docs), texts=False)
