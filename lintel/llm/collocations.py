@@ -42,9 +42,11 @@ from .common import Bloom, bloom_of, joined, slices, staged
 
 SHORTEST, LONGEST, LEAST, PERCENT, TOP = 2, 3, 10, 50, 2000
 #: Bytes of text hashed at a time; fingerprints that a task sorts at a time; rows that it gives out at a time.
-CHUNK, BLOCK, GIVEN = 1 << 19, 1 << 21, 100_000
+CHUNK, BLOCK, GIVEN = 1 << 19, 3 << 19, 100_000
 #: Longest words in the matrices; longer ones are hashed one by one.
 WIDEST = 64
+#: Words of the longest phrases that pointers have room for.
+MOST_WORDS = 255
 #: Parts of a lang whose best phrases are found first.
 PARTS = 64
 #: Of bytes: A-Z lower-cased, ends of pieces to \n, tabs to spaces.
@@ -212,51 +214,62 @@ def frequent(texts: DataFrame, levels: list[int], filters: dict[int, Bloom], lea
     return bloom_of(staged(rows.select("print"), "prints"), "print")
 
 
-POINTED = "print long, n int, f long, check long, text_key long, at long"
+POINTED = "print long, f long, check int, text_key long, place long"
 
 
 def pointed(texts: DataFrame, filters: dict[int, Bloom], least: int, hash_: tuple[int, int]) -> DataFrame:
     """print, n, f, low, high, text_key, at of frequent fingerprints: exact count, range of the second hash, an occurrence. The
     phrase of no words (n = 0) stands once for every word."""
     known = {n: f.shared(texts.sparkSession) for n, f in filters.items()}
+    names = [x.split()[0] for x in POINTED.split(", ")]
 
     def merged(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        prints, n, f, check, key, at = (np.concatenate(c) for c in zip(*held))
+        prints, check, key, place = (np.concatenate([h[k] for h in held]) for k in range(4))
+        held.clear()
         order = np.argsort(prints, kind="stable")
         prints, check = prints[order], check[order]
         first = np.flatnonzero(np.concatenate([[True], (prints[1:] != prints[:-1]) | (check[1:] != check[:-1])]))
-        sums = np.add.reduceat(f[order], first)
-        cols = (prints[first].view(np.int64), n[order][first], sums, check[first].view(np.int64), key[order][first], at[order][first])
+        sums = np.diff(np.append(first, len(prints)))
+        at = order[first]
+        cols = (prints[first].view(np.int64), sums, check[first], key[at], place[at])
         for k in range(0, len(first), GIVEN):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + GIVEN]) for c in cols], [x.split()[0] for x in POINTED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + GIVEN]) for c in cols], names)
 
     def run(batches):
-        of, second, held, size = Hash(*hash_), Hash(hash_[0] + 1), [], 0
+        of, second, held, size, whole = Hash(*hash_), Hash(hash_[0] + 1), [], 0, {}
         for b in slices(batches):
             keys = b.column(2).to_numpy()
             for part in Grams(b.column(0).to_pylist(), b.column(1).to_pylist(), max(known)):
                 words, checks = part.words(of), part.words(second)
                 docs, counts = np.unique(part.doc[part.carried :], return_counts=True)
                 none, langs = np.zeros(len(docs), np.uint64), part.langs[docs]
-                held.append((of.named(none, 0, langs), np.zeros(len(docs), np.int32), counts.astype(np.int64), second.named(none, 0, langs), keys[docs], np.zeros(len(docs), np.int64)))
+                for print_, check, key, f in zip(of.named(none, 0, langs).view(np.int64), halved(second.named(none, 0, langs)), keys[docs], counts):
+                    whole.setdefault((int(print_), int(check)), [0, int(key)])[0] += int(f)
                 for n, known_n in known.items():
                     if len(words) < n:
                         continue
                     prints = of.grams(words, n, part.lang)
                     at = np.flatnonzero(part.whole(n) & known_n.value.has(prints))
                     doc = part.doc[at]
-                    held.append((prints[at], np.full(len(at), n, np.int32), np.ones(len(at), np.int64), second.grams(checks, n, part.lang)[at], keys[doc], part.at[at] - part.begin[doc]))
+                    held.append((prints[at], halved(second.grams(checks, n, part.lang)[at]), keys[doc], (part.at[at] - part.begin[doc]) * (MOST_WORDS + 1) + n))
                     size += len(at)
                 if size > BLOCK:
                     yield from merged(held)
-                    held, size = [], 0
-        if held:
+                    size = 0
+        if size:
             yield from merged(held)
+        rows = [(p, f, c, key, 0) for (p, c), (f, key) in whole.items()]
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 2 else pa.int64()) for k, x in enumerate(cols)], names)
+
+    sums = (F.sum("f").alias("f"), F.min("check").alias("low"), F.max("check").alias("high"), F.min("text_key").alias("text_key"), F.min_by("place", "text_key").alias("place"))
+    rows = texts.mapInArrow(run, POINTED).groupBy("print").agg(*sums).where(F.col("f") >= least)
+    n = F.pmod("place", F.lit(MOST_WORDS + 1))
+    return staged(rows.withColumn("n", n.cast("int")).withColumn("at", F.expr(f"place div {MOST_WORDS + 1}")).drop("place"), "pointed")
+
 
-    rows = texts.mapInArrow(run, POINTED).groupBy("print").agg(
-        F.sum("f").alias("f"), F.min("check").alias("low"), F.max("check").alias("high"), F.min("text_key").alias("text_key"), F.min_by("at", "text_key").alias("at"), F.min_by("n", "text_key").alias("n")
-    )
-    return staged(rows.where(F.col("f") >= least), "pointed")
+def halved(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def cut_out(text: bytes, at: int, n: int) -> bytes:
@@ -395,8 +408,8 @@ def best_of(rows: DataFrame, top: int) -> DataFrame:
 
 def collocations(docs: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, least: int = LEAST, percent: int = PERCENT, top: int = TOP, bits: int = 64) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each lang's best phrases."""
-    if not 2 <= shortest <= longest:
-        raise ValueError("phrases of two words at least")
+    if not 2 <= shortest <= longest <= MOST_WORDS:
+        raise ValueError(f"phrases of two to {MOST_WORDS} words")
     found = phrases(docs, longest, least, bits).withColumn("key", F.concat("lang", F.lit("\n"), "phrase"))
     candidates = staged(scored(found, shortest, longest), "candidates")
     around = outshone(candidates, shortest, longest)
