@@ -38,9 +38,9 @@ BUCKETS, LEAST, MOST = 10_000, 1, 1
 #: Words that a document needs to be drawn; percent of such documents that are drawn; prefix of the hashed id.
 WORDS, PERCENT, SEED = 20, 10, "2024"
 #: Features that a task remembers, and their bytes.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 16_000_000
+REMEMBERED, REMEMBERED_BYTES = 60_000, 4_000_000
 #: Longest features that go through the matrices; features, and bytes of a text, taken at a time.
-WIDEST, STEP, CHUNK = 256, 100_000, 1 << 20
+WIDEST, STEP, CHUNK = 256, 30_000, 1 << 19
 #: Bytes of words: letters (A-Z lower-cased), digits, all beyond ASCII; others are spaces.
 _WORD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
