@@ -5,7 +5,10 @@ Inner products become distances: with M the largest norm, vectors get one more c
 a bounded sample of vantage points; the cell of each is one shard, or several by hash where it is large, and each shard is a
 tree of vantage points. A query first searches its own cell. Other cells, and then branches of their trees, are passed over
 when factor * (their least distance by the triangle inequality) exceeds the distance of the k-th neighbour found so far; no
-task is made for a cell that all queries pass over. Factor 1 gives exact search; larger factors pass over more.
+task is made for a cell that all queries pass over. Factor 1 gives exact search; larger factors pass over more. Recall at a
+factor falls as tables grow, so unless one is given, a sample of at most ``PILOT`` queries is searched with each of ``FACTORS``, and
+the largest that finds at least ``recall`` of the neighbours found with factor 1 is taken for all (factor 1 itself where there are
+no more queries than that). It is given in the column ``factor``.
 
 Vectors that are null, zero or hold null or non-finite components, that have no id or no component take no part. A query meets
 only vectors of its own length, since no others have an inner product with it. Repeated rows are candidates each, so is every
@@ -32,8 +35,8 @@ NEAREST, EVERY, SHARD, BLOCK, LEAF = 20, 20, 4096, 512, 128
 CELL, MOST_CELLS = 512, 4096
 #: Lists of files up to this length are broadcast.
 BROADCAST_FILES = 20_000
-#: Production factor; see the README for the recall measured.
-FACTOR = 6.0
+#: Factors tried on a sample of queries, the number of these (a bound), and the recall that the chosen factor reaches on them.
+FACTORS, PILOT, RECALL = (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0), 96, 0.95
 #: Scores this much below the k-th (relative to the norms) are still computed exactly.
 SLACK = 1e-9
 
@@ -228,18 +231,19 @@ class Cells:
         home = np.where(self.shards > 0, d, np.inf).argmin(1)
         return home, np.maximum((d - d.min(1)[:, None]) / 2, d - self.radius) - 1e-9 * (1 + d)
 
-    def others(self, q: np.ndarray, least_score: np.ndarray, factor: float) -> np.ndarray:
-        """[query, cell]: cells besides the home cell that a query can't pass over."""
+    def others(self, q: np.ndarray, least_score: np.ndarray, factor: np.ndarray) -> np.ndarray:
+        """[query, cell]: cells besides the home cell that a query, each with its factor, can't pass over."""
         home, least = self.of_queries(q)
         slack = SLACK * np.sqrt((q * q).sum(1)) * self.top
         reach = np.sqrt(np.maximum((q * q).sum(1) + self.top**2 - 2 * (least_score - slack), 0))
-        visit = ~(factor * least > reach[:, None]) & (self.shards > 0)
+        visit = ~(factor[:, None] * least > reach[:, None]) & (self.shards > 0)
         visit[np.arange(len(q)), home] = False
         return visit
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, factor: float = FACTOR, shard: int = SHARD, block: int = BLOCK, cell: int = CELL) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found of each query; queries are rows of vectors' form."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, factor: float | None = None, shard: int = SHARD, block: int = BLOCK, cell: int = CELL, recall: float = RECALL) -> DataFrame:
+    """query_id, rank, vec_id, score, factor of the k nearest found of each query; queries are rows of vectors' form. Without a
+    factor one is chosen that reaches the recall on a sample, for vectors of each length on their own."""
     part = staged(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
     first = staged(usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     own = first.join(part.withColumnRenamed("embedding", "e"), "vec_id", "left").groupBy("vec_id", "embedding").agg(F.min(F.when(F.col("e") == F.col("embedding"), F.col("row"))).alias("own"))
@@ -248,14 +252,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, factor: flo
     found = None
     for d in sizes:
         same = F.size("embedding") == d
-        one = search_one(part.where(same), asked.where(same), k, factor, shard, block, cell)
+        one = search_one(part.where(same), asked.where(same), k, factor, shard, block, cell, recall)
         found = one if found is None else found.unionByName(one)
     if found is None:
-        found = asked.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
+        found = asked.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(1.0).alias("factor"))
     return found
 
 
-def search_one(part: DataFrame, asked: DataFrame, k: int, factor: float, shard: int, block: int, cell: int) -> DataFrame:
+def search_one(part: DataFrame, asked: DataFrame, k: int, factor: float | None, shard: int, block: int, cell: int, recall: float) -> DataFrame:
     """The search over vectors of one length: trees are files in the shared folder, a task searches one for a block of queries."""
     spark = part.sparkSession
     folder = new_folder(spark, "vptree")
@@ -265,7 +269,7 @@ def search_one(part: DataFrame, asked: DataFrame, k: int, factor: float, shard:
     points = part.orderBy(F.xxhash64("row", F.lit("cells")), "row").limit(max(1, min(MOST_CELLS, n // cell))).select("embedding").collect()
     cells = Cells(np.array([p["embedding"] for p in points]).reshape(len(points), -1), top) if points else None
     if cells is None:
-        return asked.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
+        return asked.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(1.0).alias("factor")).limit(0)
 
     def deal(batches):
         for b in batches:
@@ -300,42 +304,56 @@ def search_one(part: DataFrame, asked: DataFrame, k: int, factor: float, shard:
         def run(batches):
             own = shared.value
             for b in batches:
-                q, least = matrix(b.column(2)), b.column(3).to_numpy(zero_copy_only=False)
+                q = matrix(b.column(2))
+                least, factors = (b.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
                 if not len(q):
                     continue
                 if first:
                     visit = np.zeros((len(q), len(own.shards)), bool)
                     visit[np.arange(len(q)), own.of_queries(q)[0]] = True
                 else:
-                    visit = own.others(q, least, factor)
+                    visit = own.others(q, least, factors)
                 for c in np.flatnonzero(visit.any(0)):
-                    who = b.select(["query_id", "block", "least"]).take(pa.array(np.flatnonzero(visit[:, c])))
+                    who = b.select(["query_id", "block", "least", "factor"]).take(pa.array(np.flatnonzero(visit[:, c])))
                     for s in range(own.first[c], own.first[c] + own.shards[c]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(who.num_rows, s)), *who.columns], ["shard", "query_id", "block", "least"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(who.num_rows, s)), *who.columns], ["shard", "query_id", "block", "least", "factor"])
 
         return run
 
     def look(rows: pa.Table) -> pa.Table:
         store, base = open_store(folder)
         read = lambda c: store.open_input_stream(f"{base}/{rows[c][0].as_py()}.npz", compression=None).read()
-        tree, z = Tree.load(read("tree")), np.load(io.BytesIO(read("ask")))
+        tree, z, at_factor = Tree.load(read("tree")), np.load(io.BytesIO(read("ask"))), rows["factor"][0].as_py()
         at = np.searchsorted(z["ids"], rows["query_id"].to_numpy())
-        found = tree.search(z["own"][at], z["vectors"][at], k, factor, rows["least"].to_numpy())
+        found = tree.search(z["own"][at], z["vectors"][at], k, at_factor, rows["least"].to_numpy())
         who, rank = np.nonzero(found.score > -np.inf)
-        return pa.table({"query_id": z["ids"][at][who], "vec_id": found.near[who, rank], "score": found.score[who, rank]}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+        return pa.table({"query_id": z["ids"][at][who], "factor": np.full(len(who), at_factor), "vec_id": found.near[who, rank], "score": found.score[who, rank]}, pa.schema([("query_id", pa.int64()), ("factor", pa.float64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     few = lambda df, n: F.broadcast(df) if n <= BROADCAST_FILES else df
     paths, questions = few(trees, cells.shards.sum()), few(asks, blocks)
 
     def searched(queries: DataFrame, first: bool) -> DataFrame:
         """Of a query and a shard only ids are shuffled; a task reads the shard's tree and the block's queries."""
-        tasks = queries.select("query_id", "block", "embedding", "least").mapInArrow(sent(first), "shard long, query_id long, block long, least double")
-        return tasks.join(paths, "shard").join(questions, "block").groupBy("shard", "block").applyInArrow(look, "query_id long, vec_id long, score double")
+        tasks = queries.select("query_id", "block", "embedding", "least", "factor").mapInArrow(sent(first), "shard long, query_id long, block long, least double, factor double")
+        return tasks.join(paths, "shard").join(questions, "block").groupBy("shard", "block", "factor").applyInArrow(look, "query_id long, factor double, vec_id long, score double")
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id", "factor").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "factor")
     none = F.lit(-float("inf"))
-    home = staged(ranked(searched(asked.withColumn("least", none), True)), "home")
-    kth = home.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    more = searched(asked.join(kth, "query_id", "left").withColumn("least", F.coalesce("least", none)), False)
-    return ranked(home.drop("rank").unionByName(more))
+
+    def answers(queries: DataFrame) -> DataFrame:
+        """The best k of queries, each with its factor: from the home cell first, then from cells that these don't rule out."""
+        home = staged(ranked(searched(queries.withColumn("least", none), True)), "home")
+        kth = home.where(F.col("rank") == k).select("query_id", "factor", F.col("score").alias("least"))
+        more = searched(queries.join(kth, ["query_id", "factor"], "left").withColumn("least", F.coalesce("least", none)), False)
+        return ranked(home.drop("rank").unionByName(more))
+
+    if factor is None:
+        factor = 1.0
+        if asked_n > PILOT:
+            pilot = asked.where("block = 0").orderBy(F.xxhash64("query_id", F.lit("pilot"))).limit(PILOT)
+            tried = staged(answers(pilot.withColumn("factor", F.explode(F.array(*map(F.lit, FACTORS))))), "pilot")
+            true = tried.where("factor = 1").select("query_id", "vec_id")
+            hits = {r["factor"]: r["count"] for r in tried.join(true, ["query_id", "vec_id"]).groupBy("factor").count().collect()}  # a row a factor
+            factor = max(f for f in FACTORS if hits.get(f, 0) >= recall * hits.get(1.0, 0))
+    return answers(asked.withColumn("factor", F.lit(float(factor))))

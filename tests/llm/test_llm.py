@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lintel.llm import langid, licenses, media, mixing, ngramjoin, packing, quality, queries, urlfilter, vptree, warc
+from lintel.llm import collocations, families, langid, licenses, linededup, media, mixing, ngramjoin, packing, quality, queries, resampling, urlfilter, vptree, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -35,7 +35,7 @@ def documents(spark):
 
 def test_registered():
     got = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert got == list(range(1, 11))
+    assert got == list(range(1, 14))
 
 
 #: Names that operators use for columns of their own.
@@ -46,7 +46,7 @@ def with_names(df):
     return df.select("*", *[F.lit(k).alias(n) for k, n in enumerate(NAMES) if n not in df.columns])
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13"])
 def test_other_columns_change_nothing(spark, documents, odd, name):
     """Nulls, repeats, blank and long texts, once more beside columns that are named as operators name theirs."""
     docs = documents.limit(60).unionByName(odd.drop("score"))
@@ -65,6 +65,9 @@ def test_other_columns_change_nothing(spark, documents, odd, name):
         "op8": lambda f: media.describe(f(docs)).drop("keyframes"),
         "op9": lambda f: ngramjoin.components(f(docs)),
         "op10": lambda f: quality.classify(f(docs), f(marks)),
+        "op11": lambda f: resampling.resample(f(docs), f(spark.read.parquet(f"{SF}/benchmark.parquet"))),
+        "op12": lambda f: collocations.collocations(f(docs), least=3),
+        "op13": lambda f: linededup.deduplicated(f(docs)),
     }[name]
     plain, beside = (collections.Counter(map(tuple, run(f).collect())) for f in (lambda df: df, with_names))
     assert plain == beside and sum(plain.values()) > 0
@@ -211,10 +214,15 @@ def test_search_with_repeated_ids_and_lengths(spark):
 
 
 def test_production_factor_recall(spark):
+    """The factor that is chosen on a sample of the queries, over all of them; a higher recall wants a smaller one."""
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     asked = v.where(F.col("vec_id") % 20 == 0)
-    near = [{(r["query_id"], r["vec_id"]) for r in vptree.search(v, asked, factor=f).collect()} for f in (1.0, vptree.FACTOR)]
-    assert len(near[0] & near[1]) / len(near[0]) >= 0.9
+    exact, chosen = (vptree.search(v, asked, factor=f).select("query_id", "vec_id", "factor").collect() for f in (1.0, None))
+    near = [{(r["query_id"], r["vec_id"]) for r in rows} for rows in (exact, chosen)]
+    assert len(near[0] & near[1]) / len(near[0]) >= 0.93 and len({r["factor"] for r in chosen}) == 1 and chosen[0]["factor"] > 1
+    assert vptree.search(v, asked, recall=1.0).first()["factor"] <= chosen[0]["factor"]
+    few = asked.limit(vptree.PILOT // 2)
+    assert vptree.search(v, few).first()["factor"] == 1.0
 
 
 # 4
@@ -578,8 +586,8 @@ def test_join_matches_brute_force(spark, k, percent):
     assert {(bytes(r["a"]), bytes(r["b"])) for r in links.collect()} == every and members.count() == len(rows)
 
 
-@pytest.mark.parametrize("k,percent,direct", [(3, 90, 2), (5, 80, 5)])
-def test_hubs_match_brute_force(spark, monkeypatch, k, percent, direct):
+@pytest.mark.parametrize("k,percent,direct,local", [(3, 90, 2, 1_000_000), (5, 80, 5, 400)])
+def test_hubs_match_brute_force(spark, monkeypatch, k, percent, direct, local):
     """Blocks of more than a few members go to hubs: copies of a base with few to many words changed, chains of copies of copies,
     and unlike texts that have one passage in common."""
     rng = random.Random(k + direct)
@@ -597,7 +605,8 @@ def test_hubs_match_brute_force(spark, monkeypatch, k, percent, direct):
     rows += [" ".join([*passage, *(f"u{rng.randint(0, 10**6)}" for _ in range(rng.choice([0, 1, 2, 5, 40])))]) for _ in range(60)]
     rows = list(enumerate(rows))
     monkeypatch.setattr(ngramjoin, "DIRECT", direct)
-    monkeypatch.setattr(ngramjoin, "APART", direct)
+    monkeypatch.setattr(families, "DIRECT", direct)
+    monkeypatch.setattr(families, "LOCAL", local)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()}
     assert got == brute_components(rows, k, percent)
 
