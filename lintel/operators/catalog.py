@@ -10,12 +10,21 @@ from pyspark.sql import functions as F
 COLUMNS = "schema_id string, table_name string, column_name string, ordinal int, data_type string, nullable boolean, is_pk boolean, is_fk boolean, ref_table string, ref_column string, default_value string"
 
 
+def schema_keys(df: DataFrame) -> list[str]:
+    """What names a table: schema_id where a frame has it, and table_name."""
+    return [c for c in ("schema_id", "table_name") if c in df.columns]
+
+
 def pruned(columns: DataFrame, names: DataFrame) -> DataFrame:
-    """Columns of the named tables (lower-cased table_name) and of the tables their foreign keys point at."""
+    """Columns of the named tables (table_name in whatever case; of one schema where names have a schema_id) and of the tables of
+    their schema that their foreign keys point at."""
+    own = [c for c in schema_keys(columns) if c != "table_name"]
     low = columns.withColumn("low", F.lower("table_name"))
-    named = names.select(F.lower("table_name").alias("low")).distinct()
-    targets = low.join(named, "low", "left_semi").where("is_fk and ref_table is not null").select(F.lower("ref_table").alias("low"))
-    return low.join(named.union(targets).distinct(), "low", "left_semi").drop("low")
+    given = [c for c in own if c in names.columns]
+    named = names.select(*given, F.lower("table_name").alias("low")).distinct()
+    hit = low.join(named, [*given, "low"], "left_semi")
+    targets = hit.where("is_fk and ref_table is not null").select(*own, F.lower("ref_table").alias("low"))
+    return low.join(hit.select(*own, "low").union(targets).distinct(), [*own, "low"], "left_semi").drop("low")
 
 
 def pruned_live(live: DataFrame, stored: DataFrame, names: DataFrame) -> DataFrame:
@@ -57,6 +66,11 @@ def summary(columns: DataFrame, history: DataFrame | None = None) -> DataFrame:
     return counts.join(history.groupBy("schema_id").agg(F.max("snapshot_ts").alias("last_updated")), "schema_id", "left")
 
 
+def counted(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, row_count of DataFrames."""
+    return union_all([df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count") for t, df in tables.items()])
+
+
 def inventory(spark: SparkSession, tables: dict[str, DataFrame], schema_id: str) -> DataFrame:
     """Columns frame of the schemas of DataFrames, with one name for each kind of type."""
     rows = [(schema_id, t, f.name, k, f.dataType.simpleString().split("(")[0].replace("timestamp_ntz", "timestamp"), f.nullable) for t, df in tables.items() for k, f in enumerate(df.schema)]
@@ -64,10 +78,13 @@ def inventory(spark: SparkSession, tables: dict[str, DataFrame], schema_id: str)
 
 
 def context_text(columns: DataFrame, tables: DataFrame) -> DataFrame:
-    """table_name, text: a line that describes each table and its columns."""
+    """schema_id (where columns have it), table_name, text: a line that describes each table and its columns."""
+    key = schema_keys(columns)
+    sized = [c for c in key if c in tables.columns]
     one = F.concat(F.col("column_name"), F.lit(" "), F.col("data_type"), F.when(~F.col("nullable"), " NOT NULL").otherwise(""), F.when(F.col("is_pk"), " PK").otherwise(""), F.when(F.col("is_fk"), F.concat(F.lit(" FK->"), F.coalesce("ref_table", F.lit("?")), F.lit("."), F.coalesce("ref_column", F.lit("?")))).otherwise(""))
-    body = columns.groupBy("table_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", one.alias("d")))), lambda s: s["d"]), ", ").alias("body"))
-    return body.join(tables.select("table_name", "row_count"), "table_name", "left").select("table_name", F.concat(F.col("table_name"), F.when(F.col("row_count").isNotNull(), F.concat(F.lit(" ("), F.format_number("row_count", 0), F.lit(" rows)"))).otherwise(""), F.lit(": ["), F.col("body"), F.lit("]")).alias("text"))
+    body = columns.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", one.alias("d")))), lambda s: s["d"]), ", ").alias("body"))
+    rows = F.when(F.col("row_count").isNotNull(), F.concat(F.lit(" ("), F.format_number("row_count", 0), F.lit(" rows)"))).otherwise("")
+    return body.join(tables.select(*sized, "row_count"), sized, "left").select(*key, F.concat(F.col("table_name"), rows, F.lit(": ["), F.col("body"), F.lit("]")).alias("text"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

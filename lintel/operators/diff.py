@@ -75,10 +75,13 @@ def enriched(found: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def reconciliation_script(found: DataFrame) -> DataFrame:
-    """One row: the SQL of all conflicts in order, a comment before each."""
+    """phase, table_name, script: the SQL of each table's conflicts in order, a comment before each. The scripts run in the order
+    of phase (tables of the first schema, of the second, then changes) and table_name; no row holds more than a table's."""
     line = F.concat(F.lit("-- "), F.col("conflict_type"), F.lit(": "), F.concat_ws(".", "table_name", "column_name"), F.lit("\n"), F.col("reconciliation_sql"))
-    order = F.struct(F.when(F.col("emit_pos") < 0, F.col("emit_pos")).otherwise(0).alias("o"), "table_name", "emit_pos", F.coalesce("column_name", F.lit("")).alias("c"), line.alias("line"))
-    return found.agg(F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda s: s["line"]), "\n\n").alias("script"))
+    phase = F.when(F.col("emit_pos") < 0, F.col("emit_pos") + 2).otherwise(2).cast("int")
+    order = F.struct("emit_pos", F.coalesce("column_name", F.lit("")).alias("c"), line.alias("line"))
+    script = F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda s: s["line"]), "\n\n")
+    return found.groupBy(phase.alias("phase"), "table_name").agg(script.alias("script"))
 
 
 def unified(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -102,6 +105,28 @@ def of_kinds(found: DataFrame, kinds: list[str]) -> DataFrame:
     return found.where(F.col("conflict_type").isin(kinds)).withColumn("id", conflict_id())
 
 
+def renamed(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
+    """table_name, column_a, column_b, likeness: columns of shared tables that only one side has, matched as renamed.
+
+    Likeness is 0.5 of the names' similarity, 0.3 where the types merge, and 0.2 less with the distance of their places. In each
+    round every column offers itself to its most alike free partner, and mutual offers match; so a table's matching is that of
+    taking the most alike pairs first (ties by names). A table's columns meet only those of the same table.
+    """
+    both = joined(a, b)
+    side = lambda p, q: both.where(f"in_{q} is null").select("table_name", F.col("column_name").alias(f"column_{p}"), F.col(f"type_{p}").alias(f"type_{p}"), F.col(f"ord_{p}").alias(f"ord_{p}"))
+    pairs = side("a", "b").join(side("b", "a"), "table_name")
+    near = 0.2 / (1 + F.abs(F.col("ord_a") - F.col("ord_b")))
+    like = 0.5 * names.similarity(names.normal(F.col("column_a")), names.normal(F.col("column_b"))) + F.when(names.merge_compatible(F.col("type_a"), F.col("type_b")), 0.3).otherwise(0.0) + near
+    pairs = pairs.select("table_name", "column_a", "column_b", F.round(like, 9).alias("likeness")).where(F.col("likeness") >= least)
+    order = F.struct((-F.col("likeness")).alias("l"), "column_a", "column_b")
+    listed = pairs.groupBy("table_name").agg(F.sort_array(F.collect_list(order)).alias("offers"))
+    # taking from a sorted list each pair whose columns are still free is what the rounds come to
+    free = lambda taken, o: ~F.exists(taken, lambda t: (t["column_a"] == o["column_a"]) | (t["column_b"] == o["column_b"]))
+    none = F.array().cast("array<struct<l:double,column_a:string,column_b:string>>")
+    matched = F.aggregate("offers", none, lambda taken, o: F.when(free(taken, o), F.concat(taken, F.array(o))).otherwise(taken))
+    return listed.select("table_name", F.explode(matched).alias("m")).select("table_name", "m.column_a", "m.column_b", (-F.col("m.l")).alias("likeness"))
+
+
 def keyed_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """keys, status of the rows of two frames that differ: only_a, only_b or changed (any other column)."""
     rest = [c for c in a.columns if c not in keys]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lex, names
+from . import textindex
 
 #: (severity, test on text). Patterns, caps and weights are fixed values.
 RISKS = [
@@ -136,33 +137,13 @@ def rollback(sql: Column, known_type: Column | None = None, create_sql: Column |
     )
 
 
-WORD = r"([a-z0-9_]+)"
-#: Lists of terms up to this long are broadcast (some 10 MB), so that words needn't be shuffled; longer ones are joined by shuffle.
-BROADCAST_TERMS = 100_000
-
-
-def stands(line: Column, term: Column) -> Column:
-    """Whether a term stands in a line between ASCII word boundaries, in whatever case. The pattern is tried only where the line
-    contains the term at all."""
-    return F.contains(F.lower(line), F.lower(term)) & F.rlike(F.lower(line), F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower(term), F.lit(r"\E(?![a-z0-9_])")))
-
-
-def dependency_scan(lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, path, line_no, usage, severity: the first line of each file that has a term (rows: term) as a word or words.
-
-    Lines are cut into words once and joined by a term's first word, so all terms are looked for in one pass; terms of more
-    than a word are then looked for in the lines that have their first. Terms without any ASCII letter, digit or underscore are
-    looked for in all lines.
-    """
-    first_word = F.regexp_extract(F.lower("term"), WORD, 1)
-    wanted = terms.where("term is not null and term != ''").select("term", first_word.alias("word"), (F.lower("term") == first_word).alias("plain")).distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    words = lines.select("path", "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(1)))).alias("word"))
-    hits = words.join(wanted.where("word != ''"), "word").where(F.col("plain") | stands(F.col("line"), F.col("term"))).select("term", "path", "line_no", "line")
-    other = wanted.where("word = ''").select("term")
-    if not other.isEmpty():
-        hits = hits.unionByName(lines.join(other, F.contains(F.lower("line"), F.lower("term"))).select("term", "path", "line_no", "line"))
+def dependency_scan(lines: DataFrame, terms: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """term, path, line_no, usage, severity: the first line of each file that has a term (rows: term) as a word or words; terms
+    without any ASCII letter, digit or underscore are looked for anywhere in a line. index: one built from the lines before."""
+    if index is None:
+        wordless = ~F.rlike(F.lower("term"), F.lit(textindex.WORD))
+        index = textindex.build(lines, other=not terms.where(wordless & (F.trim("term") != "")).isEmpty())
+    hits = textindex.find(index, terms)
     first = hits.groupBy("term", "path").agg(F.min(F.struct("line_no", "line")).alias("x"))
     return first.select("term", "path", "x.line_no", F.substring(F.trim("x.line"), 1, 120).alias("usage"), dependency_severity(F.col("x.line")).alias("severity"))
 

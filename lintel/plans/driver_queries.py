@@ -1,6 +1,8 @@
 """Registered queries of the engine and their SQL counterparts.
 
-Statements are made from the rows of ``events`` by one expression that both engines read; catalogs are small VALUES relations.
+Statements are made from the rows of ``events`` by one expression that both engines read, and so are two catalogs from the rows of
+``part``: a table for every 20 parts, and a second version of it in which tables and columns have other names, types or rules. The
+small VALUES catalog serves the statements, which name its tables.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lex, names
-from ..operators import catalog, diff, dupes, fixes, impact, rules, timeline
+from ..operators import catalog, diff, dupes, fixes, impact, rules, textindex, timeline
 from ..streaming import stream
 
 SYN = """SELECT event_id AS doc_id, user_id, CASE event_type
@@ -21,17 +23,29 @@ SYN = """SELECT event_id AS doc_id, user_id, CASE event_type
   WHEN 2 THEN 'ALTER TABLE users RENAME COLUMN mail TO email' WHEN 3 THEN 'ALTER TABLE users ADD COLUMN note INT NOT NULL DEFAULT 0'
   ELSE 'INSERT INTO invoices (id, total) VALUES (1, 2)' END END AS sql FROM events"""
 CAT_A = "('a','users','id',0,'INTEGER',false,true,false,NULL,NULL),('a','users','phone',1,'VARCHAR(20)',true,false,false,NULL,NULL),('a','users','email',2,'VARCHAR(50)',true,false,false,NULL,NULL),('a','orders','id',0,'INTEGER',false,true,false,NULL,NULL),('a','orders','user_id',1,'INTEGER',false,false,true,'users','id'),('a','orders','total',2,'DECIMAL(10,2)',true,false,false,NULL,NULL),('a','products','id',0,'INTEGER',false,true,false,NULL,NULL),('a','products','price',1,'INTEGER',true,false,false,NULL,NULL),('a','sessions','id',0,'UUID',false,true,false,NULL,NULL),('a','contacts','phone_ref',0,'VARCHAR(20)',true,false,true,'users','phone')"
-CAT_B = "('b','users','id',0,'BIGINT',false,true,false,NULL,NULL),('b','users','mobile',1,'TEXT',true,false,false,NULL,NULL),('b','users','email',2,'TEXT',false,false,false,NULL,NULL),('b','orders','id',0,'INTEGER',false,true,false,NULL,NULL),('b','orders','user_id',1,'TEXT',false,false,true,'users','id'),('b','orders','total',2,'DOUBLE',true,false,false,NULL,NULL),('b','inventory','id',0,'INTEGER',false,true,false,NULL,NULL)"
 CAT_COLS = "schema_id, table_name, column_name, ordinal, data_type, nullable, is_pk, is_fk, ref_table, ref_column"
 SIZES = "('users',50000),('orders',2000000),('products',200000),('sessions',50),('audit_log',0)"
-TYPES = "('varchar(10)','text'),('integer','float'),('integer','json'),('uuid','text'),('bigint','smallint'),('blob','bytea'),('timestamp','date'),('money','xml'),('text','integer'),('DECIMAL(10,2)','numeric')"
 
 
 def vals(body: str, cols: str) -> str:
     return f"(SELECT * FROM (VALUES {body}) AS v({cols}))"
 
 
-A, B, S, TY = vals(CAT_A, CAT_COLS), vals(CAT_B, CAT_COLS), vals(SIZES, "table_name, row_count"), vals(TYPES, "a, b")
+A, S = vals(CAT_A, CAT_COLS), vals(SIZES, "table_name, row_count")
+
+#: Columns made from parts: the name's words and place, but for keys and words of one meaning in the first places.
+_T, _K20 = "CAST(floor(p_partkey / 20) AS BIGINT)", "CAST(p_partkey % 20 AS INT)"
+_COLUMN = f"""CASE {_K20} WHEN 0 THEN 'id' WHEN 1 THEN 'owner_id' WHEN 2 THEN CASE p_size % 3 WHEN 0 THEN 'phone' WHEN 1 THEN 'mobile' ELSE 'Cell' END
+ WHEN 3 THEN CASE p_size % 2 WHEN 0 THEN 'email' ELSE 'e_mail' END WHEN 4 THEN CASE p_size % 2 WHEN 0 THEN 'price' ELSE 'total' END
+ WHEN 5 THEN CASE p_size % 4 WHEN 0 THEN 'mobile_number' ELSE 'extra' END ELSE replace(p_name, ' ', '_') || '_' || CAST({_K20} AS STRING) END"""
+_KIND = lambda n: "CASE " + " ".join(f"WHEN ({n}) % 12 = {k} THEN '{t}'" for k, t in enumerate(("INTEGER", "BIGINT", "VARCHAR(20)", "text", "DOUBLE", "DECIMAL(10,2)", "uuid", "TIMESTAMP", "json", "smallint", "Character Varying", "float"))) + " END"
+PART_A = f"""(SELECT 'a' AS schema_id, 'tbl_' || CAST({_T} AS STRING) AS table_name, {_COLUMN} AS column_name, {_K20} AS ordinal, CASE {_K20} WHEN 0 THEN 'INTEGER' ELSE {_KIND("p_size")} END AS data_type,
+ {_K20} > 0 AND p_size % 3 > 0 AS nullable, {_K20} = 0 AS is_pk, {_K20} = 1 AS is_fk, CASE {_K20} WHEN 1 THEN 'tbl_' || CAST(CAST(floor({_T} / 2) AS BIGINT) AS STRING) END AS ref_table, CASE {_K20} WHEN 1 THEN 'id' END AS ref_column FROM part)"""
+PART_B = f"""(SELECT 'b' AS schema_id, CASE WHEN {_T} % 7 = 3 THEN 'new_' ELSE 'tbl_' END || CAST({_T} AS STRING) AS table_name, {_COLUMN} || CASE WHEN p_size % 5 = 2 AND {_K20} > 5 THEN '_v2' ELSE '' END AS column_name, {_K20} AS ordinal,
+ CASE {_K20} WHEN 0 THEN 'BIGINT' ELSE {_KIND("p_size + p_partkey % 3")} END AS data_type, {_K20} > 0 AND p_size % 4 > 0 AS nullable, {_K20} = 0 AS is_pk, {_K20} = 1 AS is_fk, CASE {_K20} WHEN 1 THEN 'tbl_' || CAST({_T} AS STRING) END AS ref_table, CASE {_K20} WHEN 1 THEN 'id' END AS ref_column FROM part)"""
+PART_ROWS = f"(SELECT 'tbl_' || CAST({_T} AS STRING) AS table_name, CAST(sum(p_partkey) * 1000 AS BIGINT) AS row_count FROM part WHERE {_T} % 3 > 0 GROUP BY 1)"
+BOTH = f"(SELECT * FROM {PART_A} UNION ALL SELECT * FROM {PART_B})"
+TY = f"(SELECT DISTINCT {_KIND('p_size')} AS a, {_KIND('p_size + p_partkey')} AS b FROM part)"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -54,6 +68,11 @@ def rows(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {sql}")
 
 
+def made(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    """Rows that an expression over part makes."""
+    return spark.sql(f"SELECT * FROM {sql.replace('FROM part', 'FROM {part}')}", part=read(spark, d, "part"))
+
+
 def syn(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     return spark.sql(SYN.replace("FROM events", "FROM {e}"), e=e)
@@ -143,15 +162,15 @@ def not_null_by_rows(spark, d):
     return rules.not_null_without_default(stm(spark, d), rows(spark, S)).select("doc_id", "table_name", "severity")
 
 
-_FULL = f"(SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, a.data_type AS ta, b.data_type AS tb, a.nullable AS na, b.nullable AS nb FROM {A} a FULL OUTER JOIN {B} b ON a.table_name = b.table_name AND a.column_name = b.column_name WHERE coalesce(a.table_name, b.table_name) IN (SELECT table_name FROM {A}) AND coalesce(a.table_name, b.table_name) IN (SELECT table_name FROM {B}))"
+_FULL = f"(SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, a.data_type AS ta, b.data_type AS tb, a.nullable AS na, b.nullable AS nb, a.ordinal AS oa, b.ordinal AS ob FROM {PART_A} a FULL OUTER JOIN {PART_B} b ON a.table_name = b.table_name AND a.column_name = b.column_name WHERE coalesce(a.table_name, b.table_name) IN (SELECT table_name FROM {PART_A}) AND coalesce(a.table_name, b.table_name) IN (SELECT table_name FROM {PART_B}))"
 _BASE = "trim(regexp_replace(lower({}), '\\([^)]*\\)', ''))"
 _GROUP = lambda c: "CASE WHEN " + " WHEN ".join(f"{_BASE.format(c)} IN ({', '.join(repr(t) for t in g)}) THEN '{k}'" for k, g in enumerate(names.MERGE_GROUPS)) + f" ELSE {_BASE.format(c)} END"
-_DIFF = f"SELECT table_name, NULL AS column_name, 'missing_table' AS conflict_type FROM (SELECT DISTINCT table_name FROM {A} WHERE table_name NOT IN (SELECT table_name FROM {B}) UNION ALL SELECT DISTINCT table_name FROM {B} WHERE table_name NOT IN (SELECT table_name FROM {A})) UNION ALL SELECT table_name, column_name, 'missing_column' FROM {_FULL} WHERE ta IS NULL OR tb IS NULL UNION ALL SELECT table_name, column_name, 'type_mismatch' FROM {_FULL} WHERE {_GROUP('ta')} <> {_GROUP('tb')} UNION ALL SELECT table_name, column_name, 'nullable_difference' FROM {_FULL} WHERE na <> nb"
+_DIFF = f"SELECT table_name, NULL AS column_name, 'missing_table' AS conflict_type FROM (SELECT DISTINCT table_name FROM {PART_A} WHERE table_name NOT IN (SELECT table_name FROM {PART_B}) UNION ALL SELECT DISTINCT table_name FROM {PART_B} WHERE table_name NOT IN (SELECT table_name FROM {PART_A})) UNION ALL SELECT table_name, column_name, 'missing_column' FROM {_FULL} WHERE ta IS NULL OR tb IS NULL UNION ALL SELECT table_name, column_name, 'type_mismatch' FROM {_FULL} WHERE {_GROUP('ta')} <> {_GROUP('tb')} UNION ALL SELECT table_name, column_name, 'nullable_difference' FROM {_FULL} WHERE na <> nb"
 
 
 @query(_DIFF)
 def schema_diff(spark, d):
-    return diff.conflicts(rows(spark, A), rows(spark, B)).select("table_name", "column_name", "conflict_type")
+    return diff.conflicts(made(spark, d, PART_A), made(spark, d, PART_B)).select("table_name", "column_name", "conflict_type")
 
 
 @query(f"SELECT conflict_type, count(*) AS n FROM ({_DIFF}) GROUP BY 1")
@@ -163,9 +182,9 @@ _RANK = lambda c: f"list_position([{', '.join(repr(t) for t in names.GENERALITY)
 _PREF = lambda a, b: f"CASE WHEN {_RANK(a)} IS NULL OR {_RANK(a)} = 0 THEN {a} WHEN {_RANK(b)} IS NULL OR {_RANK(b)} = 0 THEN {b} WHEN {_RANK(a)} <= {_RANK(b)} THEN {a} ELSE {b} END"
 
 
-@query(f"SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, CASE WHEN a.data_type IS NULL THEN b.data_type WHEN b.data_type IS NULL THEN a.data_type ELSE {_PREF('a.data_type', 'b.data_type')} END AS data_type, coalesce(a.nullable, false) OR coalesce(b.nullable, false) AS nullable, row_number() OVER (PARTITION BY coalesce(a.table_name, b.table_name) ORDER BY a.ordinal IS NULL, a.ordinal, b.ordinal) - 1 AS ordinal FROM {A} a FULL OUTER JOIN {B} b ON a.table_name = b.table_name AND a.column_name = b.column_name")
+@query(f"SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, CASE WHEN a.data_type IS NULL THEN b.data_type WHEN b.data_type IS NULL THEN a.data_type ELSE {_PREF('a.data_type', 'b.data_type')} END AS data_type, coalesce(a.nullable, false) OR coalesce(b.nullable, false) AS nullable, row_number() OVER (PARTITION BY coalesce(a.table_name, b.table_name) ORDER BY a.ordinal IS NULL, a.ordinal, b.ordinal) - 1 AS ordinal FROM {PART_A} a FULL OUTER JOIN {PART_B} b ON a.table_name = b.table_name AND a.column_name = b.column_name")
 def unified_schema(spark, d):
-    return diff.unified(rows(spark, A), rows(spark, B))
+    return diff.unified(made(spark, d, PART_A), made(spark, d, PART_B))
 
 
 _FAM = lambda c: "CASE WHEN " + " WHEN ".join(f"{_BASE.format(c)} IN ({', '.join(repr(t) for t in g)}) THEN '{k}'" for k, g in names.FAMILIES.items()) + " ELSE 'unknown' END"
@@ -174,7 +193,7 @@ _FAM = lambda c: "CASE WHEN " + " WHEN ".join(f"{_BASE.format(c)} IN ({', '.join
 @query(f"SELECT a, b, {_FAM('a')} AS family, {_PREF('a', 'b')} AS preferred, CASE WHEN lower(a) = lower(b) OR {_FAM('a')} = {_FAM('b')} THEN 'compatible' WHEN ({_FAM('a')}) || '>' || ({_FAM('b')}) IN ({', '.join(repr(x + '>' + y) for x, y in names.CASTABLE)}) THEN 'castable' ELSE 'incompatible' END AS level FROM {TY}")
 def type_rules(spark, d):
     a, b = F.col("a"), F.col("b")
-    return rows(spark, TY).select("a", "b", names.type_family(a).alias("family"), names.preferred_type(a, b).alias("preferred"), names.type_compatibility(a, b).alias("level"))
+    return made(spark, d, TY).select("a", "b", names.type_family(a).alias("family"), names.preferred_type(a, b).alias("preferred"), names.type_compatibility(a, b).alias("level"))
 
 
 _FIRST = "SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS n FROM orders WHERE o_orderkey % 3 <> 0"
@@ -195,9 +214,13 @@ def keyed_diff(spark, d):
     return diff.keyed_diff(first, second, ["o_orderkey"])
 
 
-@query(f"SELECT table_name, column_name FROM {A} WHERE table_name IN ('orders', 'users')")
+_NAMED = f"(SELECT DISTINCT lower('TBL_' || CAST(user_id AS STRING)) AS t FROM events)"
+
+
+@query(f"WITH c AS (SELECT * FROM {BOTH}), n AS (SELECT schema_id, t FROM {_NAMED}, (SELECT DISTINCT schema_id FROM c)), w AS (SELECT * FROM n UNION SELECT c.schema_id, ref_table FROM c JOIN n ON c.schema_id = n.schema_id AND c.table_name = n.t WHERE is_fk) SELECT c.schema_id, table_name, column_name FROM c JOIN w ON w.schema_id = c.schema_id AND w.t = c.table_name")
 def pruned_catalog(spark, d):
-    return catalog.pruned(rows(spark, A), spark.createDataFrame([("Orders",)], "table_name string")).select("table_name", "column_name")
+    named = read(spark, d, "events").select(F.concat(F.lit("TBL_"), F.col("user_id").cast("string")).alias("table_name")).distinct()
+    return catalog.pruned(made(spark, d, BOTH), named).select("schema_id", "table_name", "column_name")
 
 
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name || '--' || p_brand || '!'), '[^a-z0-9]+', '_', 'g'), '_') AS norm, CASE WHEN lower(p_type) LIKE '%s' AND lower(p_type) NOT LIKE '%ss' THEN p_type WHEN regexp_matches(lower(p_type), '[^aeiou]y$') THEN p_type[:-2] || 'ies' WHEN regexp_matches(lower(p_type), '(s|sh|ch|x|z)$') THEN p_type || 'es' ELSE p_type || 's' END AS plural, lower(regexp_replace(regexp_replace('My' || p_type, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z\\d])([A-Z])', '\\1_\\2', 'g')) AS snake FROM part")
@@ -213,19 +236,30 @@ def fuzzy_pairs(spark, d):
     return dupes.fuzzy_pairs(read(spark, d, "part"), "p_name")
 
 
-@query("WITH s AS (SELECT DISTINCT p_brand AS g, p_name AS i FROM part), n AS (SELECT g, count(*) AS c FROM s GROUP BY 1) SELECT x.g AS a, y.g AS b, count(*)::double / (any_value(p.c) + any_value(q.c) - count(*)) AS jaccard FROM s x JOIN s y ON x.i = y.i AND x.g < y.g JOIN n p ON p.g = x.g JOIN n q ON q.g = y.g GROUP BY 1, 2")
+@query("WITH s AS (SELECT DISTINCT p_brand AS g, p_name AS i FROM part), n AS (SELECT g, count(*) AS c FROM s GROUP BY 1) SELECT x.g AS a, y.g AS b, count(*)::double / (any_value(p.c) + any_value(q.c) - count(*)) AS jaccard FROM s x JOIN s y ON x.i = y.i AND x.g < y.g JOIN n p ON p.g = x.g JOIN n q ON q.g = y.g GROUP BY 1, 2 HAVING count(*)::double / (any_value(p.c) + any_value(q.c) - count(*)) >= 0.4")
 def jaccard_groups(spark, d):
-    return dupes.jaccard_pairs(read(spark, d, "part"), "p_brand", "p_name")
+    return dupes.jaccard_pairs(read(spark, d, "part"), "p_brand", "p_name", 0.4)
+
+
+_MEANT = "CASE WHEN lower(column_name) IN ('phone', 'mobile', 'cell', 'mobile_number') THEN 'phone' WHEN column_name IN ('email', 'e_mail') THEN 'email' WHEN column_name IN ('total', 'price') THEN 'amount' END"
+_SYNONYMS = f"(SELECT schema_id, m AS meaning, table_name, column_name, data_type FROM (SELECT *, count(*) OVER (PARTITION BY schema_id, m) AS n FROM (SELECT *, {_MEANT} AS m FROM {BOTH}) WHERE m IS NOT NULL) WHERE n >= 2)"
 
 
-@query(f"SELECT schema_id, m AS meaning, table_name, column_name FROM (SELECT *, count(*) OVER (PARTITION BY schema_id, m) AS n FROM (SELECT *, CASE WHEN column_name IN ('phone', 'mobile') THEN 'phone' WHEN column_name = 'email' THEN 'email' WHEN column_name IN ('total', 'price') THEN 'amount' END AS m FROM (SELECT * FROM {A} UNION ALL SELECT * FROM {B})) WHERE m IS NOT NULL) WHERE n >= 2")
+@query(f"SELECT schema_id, meaning, table_name, column_name FROM {_SYNONYMS}")
 def synonym_groups(spark, d):
-    return dupes.synonym_groups(rows(spark, A).unionByName(rows(spark, B))).select("schema_id", "meaning", "table_name", "column_name")
+    return dupes.synonym_groups(made(spark, d, BOTH)).select("schema_id", "meaning", "table_name", "column_name")
 
 
-@query("""SELECT 'amount' AS meaning, 'ALTER TABLE "orders" RENAME COLUMN "total" TO "amount";' || chr(10) || 'ALTER TABLE "products" RENAME COLUMN "price" TO "amount";' AS up_sql, 'high' AS risk_level""")
+_RENAME = "'ALTER TABLE \"' || table_name || '\" RENAME COLUMN \"' || column_name || '\" TO \"' || k || '\";'"
+_FOLD = "'UPDATE \"' || table_name || '\" SET \"' || k || '\" = COALESCE(\"' || k || '\", \"' || column_name || '\");' || chr(10) || 'ALTER TABLE \"' || table_name || '\" DROP COLUMN \"' || column_name || '\";'"
+
+
+@query(f"""WITH s AS (SELECT *, CASE meaning WHEN 'phone' THEN 'phone_number' ELSE meaning END AS k FROM {_SYNONYMS}),
+    w AS (SELECT *, row_number() OVER (PARTITION BY schema_id, meaning, table_name ORDER BY column_name <> k, column_name) AS rn FROM s),
+    u AS (SELECT *, CASE WHEN rn > 1 THEN {_FOLD} WHEN column_name <> k THEN {_RENAME} END AS up FROM w)
+    SELECT schema_id, meaning, string_agg(up, chr(10) ORDER BY table_name, rn > 1, column_name) AS up_sql, count(DISTINCT table_name) AS tables, CASE WHEN count(DISTINCT table_name) > 1 THEN 'high' ELSE 'medium' END AS risk_level FROM u GROUP BY schema_id, meaning""")
 def migration_sql(spark, d):
-    return dupes.consolidation_sql(dupes.synonym_groups(rows(spark, A))).select("meaning", "up_sql", "risk_level")
+    return dupes.consolidation_sql(dupes.synonym_groups(made(spark, d, BOTH))).select("schema_id", "meaning", "up_sql", "tables", "risk_level")
 
 
 _SCORE = "(least(2.0::double * (CASE WHEN sql LIKE 'DROP %' THEN 1 WHEN sql LIKE '%DROP COLUMN%' THEN 1 WHEN sql LIKE '%RENAME COLUMN%' THEN 1 WHEN sql LIKE '%NOT NULL' THEN 1 WHEN sql LIKE 'DELETE%' THEN 1 WHEN sql LIKE 'TRUNCATE%' THEN 1 ELSE 0 END), 4) + CASE WHEN sql LIKE '% orders %' THEN 0.5::double ELSE 0 END + CASE WHEN (sql LIKE 'DELETE%' OR sql LIKE 'UPDATE%') AND sql NOT LIKE '%WHERE%' THEN 2 ELSE 0 END + CASE WHEN sql LIKE '%DROP COLUMN%' THEN 1 ELSE 0 END) * CASE WHEN sql LIKE '% orders %' THEN 1.5::double WHEN sql LIKE '%products%' THEN 1.25 WHEN sql LIKE '% users%' THEN 1.1 ELSE 1 END"
@@ -248,21 +282,37 @@ def quick_fixes(spark, d):
     return syn(spark, d).select("doc_id", fixes.quick_fix(F.col("sql")).alias("fix"))
 
 
-_TERMS = "SELECT n_name AS term FROM nation UNION SELECT unnest(['the', 'von', 'elle', 'mente', 'the the']) UNION SELECT array_to_string(list_slice(string_split(split_part(text, chr(10), 1), ' '), k, k + 1), ' ') FROM benchmark, (SELECT unnest([2]) AS k) WHERE len(string_split(split_part(text, chr(10), 1), ' ')) > 6"
-_HAS = "contains(lower(line), lower(term)) AND regexp_matches(lower(line), '(^|[^a-z0-9_])' || regexp_escape(lower(term)) || '([^a-z0-9_]|$)')"
+_FIXED = ("the", "von", "elle", "mente", "the the", "é", "ü", "ñ", "ß", "@", "!")
+_TERMS = f"SELECT n_name AS term FROM nation UNION SELECT unnest({list(_FIXED)}) UNION SELECT w[2] || ' ' || w[3] FROM (SELECT string_split(unnest(string_split(text, chr(10))), ' ') AS w FROM benchmark) WHERE len(w) > 3"
+_HAS = "contains(lower(line), lower(term)) AND (NOT regexp_matches(lower(term), '[a-z0-9_]') OR regexp_matches(lower(line), '(^|[^a-z0-9_])' || regexp_escape(lower(term)) || '([^a-z0-9_]|$)'))"
 _SEV = "CASE WHEN regexp_matches(lower(line), 'delete|drop|truncate|remove') THEN 'critical' WHEN regexp_matches(lower(line), 'update|alter|modify|insert') THEN 'high' WHEN regexp_matches(lower(line), 'select|find|fetch|get|query') THEN 'medium' ELSE 'low' END"
 
 
 @query(f"WITH t AS ({_TERMS}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), h AS (SELECT term, CAST(doc_id AS STRING) AS path, line_no, line FROM l, t WHERE {_HAS}), x AS (SELECT term, path, min(line_no) AS line_no, arg_min(line, line_no) AS line FROM h GROUP BY 1, 2) SELECT term, path, line_no, {_SEV} AS severity FROM x")
 def dep_scan(spark, d):
     lines = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("k", "line")).select("path", (F.col("k") + 1).cast("long").alias("line_no"), "line")
-    words = F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")
-    pairs = read(spark, d, "benchmark").where(F.size(words) > 6).select(F.explode(F.array(*[F.array_join(F.slice(words, k, 2), " ") for k in (2,)])).alias("term"))
-    fixed = spark.createDataFrame([(t,) for t in ("the", "von", "elle", "mente", "the the")], "term string")
+    words = F.split("line", " ")
+    pairs = read(spark, d, "benchmark").select(F.explode(F.split("text", "\n")).alias("line")).where(F.size(words) > 3).select(F.array_join(F.slice(words, 2, 2), " ").alias("term"))
+    fixed = spark.createDataFrame([(t,) for t in _FIXED], "term string")
     terms = read(spark, d, "nation").select(F.col("n_name").alias("term")).union(fixed).union(pairs).distinct()
     return impact.dependency_scan(lines, terms).select("term", "path", "line_no", "severity")
 
 
+_WORDS_OF = "regexp_extract_all(lower(coalesce(line, '')), '[a-z0-9_]+')"
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"
+
+
+@query(f"WITH l AS (SELECT doc_id, line_no, {_WORDS_OF} AS w FROM ({_LINES})), p AS (SELECT doc_id, line_no, k - 1 AS start, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS term FROM l, range(1, 20000) r(k) WHERE k <= len(w) - 2), b AS (SELECT {_WORDS_OF} AS w FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark)), t AS (SELECT DISTINCT w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS term FROM b, range(1, 20000) r(k) WHERE k <= len(w) - 2) SELECT term, CAST(doc_id AS STRING) AS path, line_no, start FROM p JOIN t USING (term)")
+def phrase_places(spark, d):
+    """Where documents have three words that stand together in benchmark, by the positions of an index without lines."""
+    lines = lambda name, key: read(spark, d, name).select(F.col(key).cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("k", "line")).select("path", (F.col("k") + 1).cast("long").alias("line_no"), "line")
+    index = textindex.build(lines("documents", "doc_id"), keep=False, other=False)
+    w = textindex.words(F.lower("line"))
+    threes = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.array_join(F.slice("w", k, 3), " "))
+    terms = lines("benchmark", "item_id").select(w.alias("w")).where(F.size("w") > 2).select(F.explode(threes).alias("term"))
+    return textindex.phrases(index, terms).select("term", "path", "line_no", F.col("start").cast("long").alias("start"))
+
+
 @query("SELECT CAST(doc_id AS STRING) AS path, term FROM documents, (SELECT unnest(['users', 'that', 'und']) AS term) WHERE NOT contains(lower(text), term)")
 def doc_drift(spark, d):
     return impact.doc_drift(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), ["users", "that", "und"])

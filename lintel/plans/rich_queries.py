@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lex, names
 from ..operators import catalog, diff, dupes, impact, rules
 from . import ddl, orm, reports
-from .driver_queries import _DIFF, _FULL, _GROUP, _PREF, CAT_A, CAT_COLS, ORACLES, SYN, WORD, A, B, S, query, read, rows, syn, vals
+from .driver_queries import _DIFF, _FULL, _GROUP, _PREF, CAT_A, CAT_COLS, ORACLES, PART_A, PART_B, PART_ROWS, SYN, WORD, BOTH, S, made, query, read, rows, syn, vals
 
 #: Statements whose names are in the catalog below for some k only.
 RICH = """SELECT event_id AS doc_id, event_id % 8 AS kind, CAST(user_id % 4 AS STRING) AS k, CASE event_id % 8
@@ -156,13 +156,19 @@ def model_names(spark, d):
     return read(spark, d, "part").select("p_partkey", names.model_name(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.expr(_END))).alias("model"))
 
 
-_BRANDS = "(SELECT DISTINCT p_brand AS g, lower(p_name) AS i FROM part WHERE p_partkey % 3 = 0 OR p_brand < 'Brand#3')"
+_NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_')"
 
 
-@query(f"WITH s AS {_BRANDS}, n AS (SELECT g, count(*) AS c FROM s GROUP BY 1), p AS (SELECT x.g AS a, y.g AS b, count(*)::double / (any_value(p.c) + any_value(q.c) - count(*)) AS jaccard, any_value(p.c) AS columns_a, any_value(q.c) AS columns_b FROM s x JOIN s y ON x.i = y.i AND x.g < y.g JOIN n p ON p.g = x.g JOIN n q ON q.g = y.g GROUP BY 1, 2), z AS (SELECT *, 1 - levenshtein(regexp_replace(lower(a), '[^a-z0-9]+', '_', 'g'), regexp_replace(lower(b), '[^a-z0-9]+', '_', 'g'))::double / greatest(length(a), length(b)) AS name_sim FROM p) SELECT a, b, columns_a, columns_b, jaccard, name_sim FROM z WHERE 0.7::double * jaccard + 0.3::double * name_sim >= 0.6")
+_WORDS = "(SELECT DISTINCT p_type AS schema_id, p_brand AS table_name, w AS column_name FROM (SELECT p_type, p_brand, split_part(p_name, ' ', 1) AS w FROM part UNION ALL SELECT p_type, p_brand, split_part(p_name, ' ', 2) FROM part))"
+
+
+@query(f"""WITH c AS (SELECT schema_id, table_name, {_NORM.format('column_name')} AS c FROM {_WORDS}), s AS (SELECT DISTINCT * FROM c), n AS (SELECT schema_id, table_name, count(*) AS k FROM c GROUP BY 1, 2), z AS (SELECT schema_id, table_name, count(*) AS k FROM s GROUP BY 1, 2),
+    p AS (SELECT x.schema_id, x.table_name AS a, y.table_name AS b, count(*) AS met FROM s x JOIN s y ON x.schema_id = y.schema_id AND x.c = y.c AND x.table_name < y.table_name GROUP BY 1, 2, 3),
+    j AS (SELECT p.schema_id, a, b, met::double / (za.k + zb.k - met) AS jaccard, na.k AS columns_a, nb.k AS columns_b, 1 - levenshtein({_NORM.format('a')}, {_NORM.format('b')})::double / greatest(length(a), length(b)) AS name_sim FROM p
+        JOIN z za ON za.schema_id = p.schema_id AND za.table_name = a JOIN z zb ON zb.schema_id = p.schema_id AND zb.table_name = b JOIN n na ON na.schema_id = p.schema_id AND na.table_name = a JOIN n nb ON nb.schema_id = p.schema_id AND nb.table_name = b)
+    SELECT schema_id, a, b, columns_a, columns_b, jaccard, name_sim FROM j WHERE 0.7::double * jaccard + 0.3::double * name_sim >= 0.6""")
 def table_similarity(spark, d):
-    brands = read(spark, d, "part").where("p_partkey % 3 = 0 OR p_brand < 'Brand#3'").select(F.col("p_brand").alias("table_name"), F.lower("p_name").alias("column_name")).distinct()
-    return dupes.table_pairs(brands).select("a", "b", "columns_a", "columns_b", "jaccard", "name_sim")
+    return dupes.table_pairs(made(spark, d, _WORDS)).select("schema_id", "a", "b", "columns_a", "columns_b", "jaccard", "name_sim")
 
 
 def part_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -180,8 +186,9 @@ def fuzzy_groups(spark, d):
 
 @query()
 def duplicate_groups(spark, d):
-    named = rows(spark, A).unionByName(rows(spark, B)).select("schema_id", "table_name", "column_name", "ordinal", "data_type")
-    return dupes.duplicate_groups(named.unionByName(part_catalog(spark, d)))
+    words = F.element_at(F.array(*map(F.lit, ["phone", "mobile", "email", "e_mail", "price", "total", "notes"])), F.col("p_size") % 7 + 1)
+    meant = read(spark, d, "part").select(F.lit("meant").alias("schema_id"), F.lower("p_brand").alias("table_name"), words.alias("column_name"), (F.col("p_size") % 7).alias("ordinal"), F.lit("TEXT").alias("data_type")).distinct()
+    return dupes.duplicate_groups(meant.unionByName(part_catalog(spark, d)))
 
 
 _SHOP = "\"Shop_' || CAST(s_suppkey AS STRING) || '\""
@@ -259,49 +266,79 @@ def model_unique_columns(spark, d):
 _CREATE = "SELECT table_name, 'CREATE TABLE IF NOT EXISTS ' || table_name || ' (' || chr(10) || string_agg('  ' || column_name || ' ' || data_type || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END || CASE WHEN is_pk THEN ' PRIMARY KEY' ELSE '' END, ',' || chr(10) ORDER BY ordinal) || chr(10) || ');' AS sql FROM {} GROUP BY table_name"
 
 
-@query(f"SELECT table_name, NULL AS column_name, sql FROM ({_CREATE.format(A)}) WHERE table_name NOT IN (SELECT table_name FROM {B}) UNION ALL SELECT table_name, NULL, sql FROM ({_CREATE.format(B)}) WHERE table_name NOT IN (SELECT table_name FROM {A}) UNION ALL SELECT table_name, column_name, 'ALTER TABLE ' || table_name || ' ADD COLUMN ' || column_name || ' ' || coalesce(ta, tb) || ';' FROM {_FULL} WHERE ta IS NULL OR tb IS NULL UNION ALL SELECT table_name, column_name, 'ALTER TABLE ' || table_name || ' ALTER COLUMN ' || column_name || ' TYPE ' || {_PREF('ta', 'tb')} || ' USING ' || column_name || '::' || {_PREF('ta', 'tb')} || ';' FROM {_FULL} WHERE {_GROUP('ta')} <> {_GROUP('tb')} UNION ALL SELECT table_name, column_name, 'ALTER TABLE ' || table_name || ' ALTER COLUMN ' || column_name || ' DROP NOT NULL;' FROM {_FULL} WHERE na <> nb")
+@query(f"SELECT table_name, NULL AS column_name, sql FROM ({_CREATE.format(PART_A)}) WHERE table_name NOT IN (SELECT table_name FROM {PART_B}) UNION ALL SELECT table_name, NULL, sql FROM ({_CREATE.format(PART_B)}) WHERE table_name NOT IN (SELECT table_name FROM {PART_A}) UNION ALL SELECT table_name, column_name, 'ALTER TABLE ' || table_name || ' ADD COLUMN ' || column_name || ' ' || coalesce(ta, tb) || ';' FROM {_FULL} WHERE ta IS NULL OR tb IS NULL UNION ALL SELECT table_name, column_name, 'ALTER TABLE ' || table_name || ' ALTER COLUMN ' || column_name || ' TYPE ' || {_PREF('ta', 'tb')} || ' USING ' || column_name || '::' || {_PREF('ta', 'tb')} || ';' FROM {_FULL} WHERE {_GROUP('ta')} <> {_GROUP('tb')} UNION ALL SELECT table_name, column_name, 'ALTER TABLE ' || table_name || ' ALTER COLUMN ' || column_name || ' DROP NOT NULL;' FROM {_FULL} WHERE na <> nb")
 def reconciliation_sql(spark, d):
-    return diff.conflicts(rows(spark, A), rows(spark, B)).select("table_name", "column_name", F.col("reconciliation_sql").alias("sql"))
+    return diff.conflicts(made(spark, d, PART_A), made(spark, d, PART_B)).select("table_name", "column_name", F.col("reconciliation_sql").alias("sql"))
+
+
+_STEPS = f"""SELECT 0 AS phase, 0 AS pos, 'missing_table' AS what, table_name, '' AS c, sql FROM ({_CREATE.format(PART_A)}) WHERE table_name NOT IN (SELECT table_name FROM {PART_B})
+ UNION ALL SELECT 1, 0, 'missing_table', table_name, '', sql FROM ({_CREATE.format(PART_B)}) WHERE table_name NOT IN (SELECT table_name FROM {PART_A})
+ UNION ALL SELECT 2, CASE WHEN ta IS NULL THEN 1000000 + ob ELSE oa * 2 END, 'missing_column', table_name, column_name, 'ALTER TABLE ' || table_name || ' ADD COLUMN ' || column_name || ' ' || coalesce(ta, tb) || ';' FROM {_FULL} WHERE ta IS NULL OR tb IS NULL
+ UNION ALL SELECT 2, oa * 2, 'type_mismatch', table_name, column_name, 'ALTER TABLE ' || table_name || ' ALTER COLUMN ' || column_name || ' TYPE ' || {_PREF('ta', 'tb')} || ' USING ' || column_name || '::' || {_PREF('ta', 'tb')} || ';' FROM {_FULL} WHERE {_GROUP('ta')} <> {_GROUP('tb')}
+ UNION ALL SELECT 2, oa * 2 + 1, 'nullable_difference', table_name, column_name, 'ALTER TABLE ' || table_name || ' ALTER COLUMN ' || column_name || ' DROP NOT NULL;' FROM {_FULL} WHERE na <> nb"""
+
+
+@query(f"SELECT phase, table_name, string_agg('-- ' || what || ': ' || table_name || CASE WHEN c = '' THEN '' ELSE '.' || c END || chr(10) || sql, chr(10) || chr(10) ORDER BY pos, c) AS script FROM ({_STEPS}) GROUP BY phase, table_name")
+def reconciliation_scripts(spark, d):
+    """Each table's script: comments, statements and their order."""
+    return diff.reconciliation_script(diff.conflicts(made(spark, d, PART_A), made(spark, d, PART_B)))
+
+
+_LIKE = f"round(0.5::double * (1 - levenshtein({_NORM.format('x.column_name')}, {_NORM.format('y.column_name')})::double / greatest(length({_NORM.format('x.column_name')}), length({_NORM.format('y.column_name')}))) + CASE WHEN {_GROUP('x.ta')} = {_GROUP('y.tb')} THEN 0.3::double ELSE 0 END + 0.2::double / (1 + abs(x.oa - y.ob)), 9)"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT * FROM {_FULL}), x AS (SELECT * FROM f WHERE tb IS NULL), y AS (SELECT * FROM f WHERE ta IS NULL),
+    p AS (SELECT table_name, column_a, column_b, likeness, row_number() OVER (PARTITION BY table_name ORDER BY likeness DESC, column_a, column_b) AS rn FROM (SELECT x.table_name, x.column_name AS column_a, y.column_name AS column_b, {_LIKE} AS likeness FROM x JOIN y ON x.table_name = y.table_name) WHERE likeness >= 0.5),
+    walk AS (SELECT DISTINCT table_name, 0::BIGINT AS rn, []::VARCHAR[] AS a, []::VARCHAR[] AS b FROM p
+        UNION ALL SELECT p.table_name, p.rn, CASE WHEN list_contains(a, column_a) OR list_contains(b, column_b) THEN a ELSE list_append(a, column_a) END, CASE WHEN list_contains(a, column_a) OR list_contains(b, column_b) THEN b ELSE list_append(b, column_b) END
+        FROM walk JOIN p ON p.table_name = walk.table_name AND p.rn = walk.rn + 1),
+    done AS (SELECT table_name, a, b FROM walk QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY rn DESC) = 1),
+    m AS (SELECT table_name, unnest(a) AS column_a, unnest(b) AS column_b FROM done)
+    SELECT m.table_name, m.column_a, m.column_b, p.likeness FROM m JOIN p ON p.table_name = m.table_name AND p.column_a = m.column_a AND p.column_b = m.column_b""")
+def renamed_columns(spark, d):
+    return diff.renamed(made(spark, d, PART_A), made(spark, d, PART_B))
 
 
 @query(f"SELECT table_name, column_name, conflict_type, table_name || '::' || coalesce(column_name, '') || '::' || conflict_type AS id FROM ({_DIFF}) WHERE conflict_type IN ('type_mismatch', 'missing_table')")
 def conflict_ids(spark, d):
-    return diff.of_kinds(diff.conflicts(rows(spark, A), rows(spark, B)), ["type_mismatch", "missing_table"]).select("table_name", "column_name", "conflict_type", "id")
+    return diff.of_kinds(diff.conflicts(made(spark, d, PART_A), made(spark, d, PART_B)), ["type_mismatch", "missing_table"]).select("table_name", "column_name", "conflict_type", "id")
 
 
 @query(f"SELECT table_name, column_name FROM {_FULL} WHERE lower(replace(ta, ' ', '')) <> lower(replace(tb, ' ', ''))")
 def strict_type_mismatch(spark, d):
-    return diff.conflicts(rows(spark, A), rows(spark, B), strict_types=True).where("conflict_type = 'type_mismatch'").select("table_name", "column_name")
+    return diff.conflicts(made(spark, d, PART_A), made(spark, d, PART_B), strict_types=True).where("conflict_type = 'type_mismatch'").select("table_name", "column_name")
 
 
 @query(f"SELECT conflict_type, n, CASE WHEN sum(n) OVER () > 5 THEN 'high' ELSE 'medium' END AS badge FROM (SELECT conflict_type, count(*) AS n FROM ({_DIFF}) GROUP BY 1)")
 def merge_report(spark, d):
-    return reports.merge(diff.conflicts(rows(spark, A), rows(spark, B)))
+    return reports.merge(diff.conflicts(made(spark, d, PART_A), made(spark, d, PART_B)))
 
 
-@query(f"SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, CASE WHEN a.table_name IS NULL THEN b.data_type ELSE a.data_type END AS data_type, CASE WHEN a.table_name IS NULL THEN b.ref_table ELSE a.ref_table END AS ref_table, 'merged' AS source FROM {A} a FULL OUTER JOIN {B} b ON a.table_name = b.table_name AND a.column_name = b.column_name")
+@query(f"SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, CASE WHEN a.table_name IS NULL THEN b.data_type ELSE a.data_type END AS data_type, CASE WHEN a.table_name IS NULL THEN b.ref_table ELSE a.ref_table END AS ref_table, 'merged' AS source FROM {PART_A} a FULL OUTER JOIN {PART_B} b ON a.table_name = b.table_name AND a.column_name = b.column_name")
 def live_wins_columns(spark, d):
     none = spark.createDataFrame([], "table_name string, index_name string, name string, raw string, row_count long")
-    one = lambda c: {"columns": rows(spark, c).drop("schema_id"), "tables": none.select("table_name", "row_count"), "indexes": none.select("table_name", "index_name"), "constraints": none.select("table_name", "name", "raw")}
-    return catalog.live_wins(one(A), one(B))["columns"].select("table_name", "column_name", "data_type", "ref_table", "source")
+    one = lambda c: {"columns": made(spark, d, c).drop("schema_id"), "tables": none.select("table_name", "row_count"), "indexes": none.select("table_name", "index_name"), "constraints": none.select("table_name", "name", "raw")}
+    return catalog.live_wins(one(PART_A), one(PART_B))["columns"].select("table_name", "column_name", "data_type", "ref_table", "source")
 
 
-@query(f"SELECT table_name, table_name || coalesce(' (' || format('{{:,}}', any_value(row_count)) || ' rows)', '') || ': [' || string_agg(column_name || ' ' || data_type || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END || CASE WHEN is_pk THEN ' PK' ELSE '' END || CASE WHEN is_fk THEN ' FK->' || ref_table || '.' || ref_column ELSE '' END, ', ' ORDER BY ordinal) || ']' AS text FROM {A} LEFT JOIN {S} USING (table_name) GROUP BY table_name")
+@query(f"SELECT schema_id, table_name, table_name || coalesce(' (' || format('{{:,}}', any_value(row_count)) || ' rows)', '') || ': [' || string_agg(column_name || ' ' || data_type || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END || CASE WHEN is_pk THEN ' PK' ELSE '' END || CASE WHEN is_fk THEN ' FK->' || ref_table || '.' || ref_column ELSE '' END, ', ' ORDER BY ordinal) || ']' AS text FROM {BOTH} LEFT JOIN {PART_ROWS} USING (table_name) GROUP BY schema_id, table_name")
 def schema_context(spark, d):
-    return catalog.context_text(rows(spark, A), rows(spark, S))
+    return catalog.context_text(made(spark, d, BOTH), made(spark, d, PART_ROWS))
 
 
-@query(f"SELECT schema_id, count(DISTINCT table_name) AS tables, count(*) AS columns FROM (SELECT * FROM {A} UNION ALL SELECT * FROM {B}) GROUP BY 1")
+@query(f"SELECT schema_id, count(DISTINCT table_name) AS tables, count(*) AS columns FROM (SELECT * FROM {PART_A} UNION ALL SELECT * FROM {PART_B}) GROUP BY 1")
 def catalog_summary(spark, d):
-    return catalog.summary(rows(spark, A).unionByName(rows(spark, B)))
+    return catalog.summary(made(spark, d, PART_A).unionByName(made(spark, d, PART_B)))
 
 
 _OWN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in _OWN)
 
 
-@query(f"SELECT table_name, column_name, CAST(ordinal_position - 1 AS INT) AS ordinal, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS data_type FROM information_schema.columns WHERE table_name IN {_OWN}")
+@query(f"SELECT table_name, column_name, CAST(ordinal_position - 1 AS INT) AS ordinal, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS data_type, row_count FROM information_schema.columns JOIN ({_COUNTS}) USING (table_name)")
 def schema_catalog(spark, d):
-    return catalog.inventory(spark, {t: read(spark, d, t) for t in _OWN}, "driver").select("table_name", "column_name", "ordinal", "data_type")
+    tables = {t: read(spark, d, t) for t in _OWN}
+    return catalog.inventory(spark, tables, "driver").join(catalog.counted(tables), "table_name").select("table_name", "column_name", "ordinal", "data_type", "row_count")
 
 
 _ID = "CAST(event_id AS STRING)"

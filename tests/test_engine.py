@@ -215,7 +215,9 @@ def test_fuzzy_groups_match_a_loop(spark):
 def test_table_pairs_match_all_pairs(spark):
     rng = random.Random(4)
     tables = {f"t{i:02d}_{rng.choice(['order', 'orders', 'user'])}": {"id", *rng.sample([f"c{k}" for k in range(9)], rng.randint(1, 7))} for i in range(30)}
-    df = spark.createDataFrame([(t, c) for t, cs in tables.items() for c in cs], "table_name string, column_name string")
+    # another schema whose tables have the same names and other columns changes nothing
+    rows = [("s", t, c) for t, cs in tables.items() for c in cs] + [("other", t, f"x{i}_{k}") for i, t in enumerate(tables) for k in range(3)]
+    df = spark.createDataFrame(rows, "schema_id string, table_name string, column_name string")
     sim = {(r["x"], r["y"]): r["s"] for r in spark.createDataFrame([(a, b) for a in tables for b in tables if a < b], "x string, y string").select("x", "y", names.similarity(F.col("x"), F.col("y")).alias("s")).collect()}
     want = {}
     for (a, b), s in sim.items():
@@ -223,10 +225,44 @@ def test_table_pairs_match_all_pairs(spark):
         if 0.7 * j + 0.3 * s >= 0.6:
             want[a, b] = round(0.7 * j + 0.3 * s, 9)
     got = dupes.table_pairs(df).collect()
-    assert {(r["a"], r["b"]): round(r["combined"], 9) for r in got} == want and want
+    assert {(r["a"], r["b"]): round(r["combined"], 9) for r in got} == want and want and {r["schema_id"] for r in got} == {"s"}
     assert [r["combined"] for r in got] == sorted((r["combined"] for r in got), reverse=True)
 
 
+def test_schemas_are_kept_apart(spark):
+    cols = "schema_id string, table_name string, column_name string, ordinal int, data_type string, nullable boolean, is_pk boolean, is_fk boolean, ref_table string, ref_column string"
+    row = lambda s, t, c, fk=None: (s, t, c, 0, "TEXT", True, False, fk is not None, fk, None)
+    df = spark.createDataFrame([row("s1", "u", "email"), row("s1", "u", "email_address"), row("s2", "u", "mail"), row("s2", "v", "mail", "u"), row("s1", "v", "x")], cols)
+    ups = {r["schema_id"]: r["up_sql"] for r in dupes.consolidation_sql(dupes.synonym_groups(df)).collect()}
+    assert 'COALESCE("email", "email_address")' in ups["s1"] and "COALESCE" not in ups["s2"] and ups["s2"].count("RENAME") == 2
+    named = spark.createDataFrame([("V",)], "table_name string")
+    assert {(r["schema_id"], r["table_name"]) for r in catalog.pruned(df, named).collect()} == {("s1", "v"), ("s2", "v"), ("s2", "u")}
+    one = spark.createDataFrame([("s1", "V")], "schema_id string, table_name string")
+    assert {(r["schema_id"], r["table_name"]) for r in catalog.pruned(df, one).collect()} == {("s1", "v")}
+    sizes = spark.createDataFrame([("s2", "u", 1200)], "schema_id string, table_name string, row_count long")
+    texts = {(r["schema_id"], r["table_name"]): r["text"] for r in catalog.context_text(df, sizes).collect()}
+    assert texts["s2", "u"] == "u (1,200 rows): [mail TEXT]" and texts["s1", "u"].startswith("u: [email TEXT")
+
+
+def test_renames_match_a_loop(spark):
+    """Against taking the most alike pair of all that are left, again and again."""
+    rng, kinds = random.Random(3), ["INT", "BIGINT", "TEXT", "JSON"]
+    word = lambda: "_".join(rng.choice(["user", "users", "mail", "total", "sum", "id", "at"]) for _ in range(rng.randint(1, 2)))
+    sides = [{t: {f"{word()}{rng.randint(0, 3)}": (rng.choice(kinds), k) for k in range(6)} for t in "pqr"} for _ in "ab"]
+    a, b = (spark.createDataFrame([(t, c, kind, True, pos) for t, cols in side.items() for c, (kind, pos) in cols.items()], "table_name string, column_name string, data_type string, nullable boolean, ordinal int") for side in sides)
+    sim = {(r["x"], r["y"]): r["s"] for r in spark.createDataFrame([(x, y) for t in "pqr" for x in sides[0][t] for y in sides[1][t]], "x string, y string").select("x", "y", names.similarity(F.col("x"), F.col("y")).alias("s")).distinct().collect()}
+    want = set()
+    for t in "pqr":
+        left, right = ({c: v for c, v in sides[k][t].items() if c not in sides[1 - k][t]} for k in (0, 1))
+        like = lambda x, y: round(0.5 * sim[x, y] + (0.3 if left[x][0] == right[y][0] or {left[x][0], right[y][0]} == {"INT", "BIGINT"} else 0) + 0.2 / (1 + abs(left[x][1] - right[y][1])), 9)  # noqa: B023, E731
+        while offers := sorted((-like(x, y), x, y) for x in left for y in right if like(x, y) >= 0.5):
+            score, x, y = offers[0]
+            want.add((t, x, y, -score))
+            del left[x], right[y]
+    got = {(r["table_name"], r["column_a"], r["column_b"], r["likeness"]) for r in diff.renamed(a, b).collect()}
+    assert got == want and len(want) > 4
+
+
 def test_expanded_star(spark):
     cols = spark.createDataFrame([("users", "fname", 0), ("users", "lname", 1), ("products", "name", 0)], "table_name string, column_name string, ordinal int")
     star = spark.createDataFrame([("d", 0, "SELECT * FROM users", "SELECT * FROM users", "SELECT * FROM users")], "doc_id string, stmt_idx int, sql string, clause_mask string, parse_mask string")
@@ -315,10 +351,14 @@ def test_json_blocks(spark):
     assert [tuple(r) for r in df.select(lex.json_block(F.col("t")), lex.json_block(F.col("t"), array=True)).collect()] == [('{"a": 1}', '{"a": 1}'), ('{"a": {}}', None), ("{}", "[1, {}]"), (None, "[1, 2]"), (None, None)]
 
 
+CAT_B = "('b','users','id',0,'BIGINT',false,true,false,NULL,NULL),('b','users','mobile',1,'TEXT',true,false,false,NULL,NULL),('b','users','email',2,'TEXT',false,false,false,NULL,NULL),('b','orders','id',0,'INTEGER',false,true,false,NULL,NULL),('b','orders','user_id',1,'TEXT',false,false,true,'users','id'),('b','orders','total',2,'DOUBLE',true,false,false,NULL,NULL),('b','inventory','id',0,'INTEGER',false,true,false,NULL,NULL)"
+
+
 def test_diff_script_and_enrichment(spark):
-    a, b = (driver_queries.rows(spark, x) for x in (driver_queries.A, driver_queries.B))
+    a, b = (driver_queries.rows(spark, x) for x in (driver_queries.A, driver_queries.vals(CAT_B, driver_queries.CAT_COLS)))
     found = diff.conflicts(a, b)
-    script = diff.reconciliation_script(found).first()["script"]
+    parts = diff.reconciliation_script(found).orderBy("phase", "table_name").collect()
+    script = "\n\n".join(r["script"] for r in parts)
     assert script.count("-- ") == found.count() and "CREATE TABLE IF NOT EXISTS inventory" in script
     r = spark.createDataFrame([("users::mobile::missing_column", 0.9, "rename", "same data", ["a", "b", "c", "d"])], "id string, confidence double, resolution string, reason string, files array<string>")
     text = diff.enriched(found, r).where("column_name = 'mobile'").first()["suggestion"]
