@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEEP = 50
@@ -26,6 +26,23 @@ def versus_previous(snapshots: DataFrame, key: list[str], order: str, value: str
     return snapshots.withColumn("previous", F.lag(value).over(w)).withColumn("change", F.col(value) - F.coalesce("previous", F.lit(0)))
 
 
+def table_sizes(columns: Column) -> Column:
+    """Map of table_name to its number of columns, from an array of (table_name, column_name)."""
+    names = F.array_sort(F.array_distinct(F.transform(columns, lambda c: c["table_name"])))
+    return F.map_from_arrays(names, F.transform(names, lambda t: F.size(F.filter(columns, lambda c: c["table_name"] == t))))
+
+
+def changes(updates: DataFrame, keep: int = KEEP) -> DataFrame:
+    """schema_id, snapshot_ts, change_count, tables, held of every update (schema_id, snapshot_ts, columns: the whole schema after
+    it): the batch form of streaming.state.tracked."""
+    w = Window.partitionBy("schema_id").orderBy("snapshot_ts")
+    sized = updates.withColumn("now", table_sizes(F.col("columns"))).withColumn("was", F.coalesce(F.lag("now").over(w), F.create_map().cast("map<string,int>")))
+    both = F.array_union(F.map_keys("now"), F.map_keys("was"))
+    one = lambda t: F.when(F.map_contains_key("now", t) & F.map_contains_key("was", t), F.abs(F.try_element_at("now", t) - F.try_element_at("was", t))).otherwise(1)
+    n = F.aggregate(F.transform(both, one), F.lit(0), lambda a, x: a + x)
+    return sized.select("schema_id", "snapshot_ts", n.cast("long").alias("change_count"), F.size("now").cast("long").alias("tables"), F.least(F.row_number().over(w), F.lit(keep)).cast("long").alias("held"))
+
+
 def updated(history: DataFrame, before: DataFrame, after: DataFrame, schema_id: str, at, keep: int = KEEP) -> DataFrame:
     """history (schema_id, snapshot_ts, change_count, columns) with the schema as it was before an update, and how many changes the
     update made; the latest ``keep`` snapshots stay."""

@@ -324,6 +324,20 @@ def timeline_changes(spark, d):
     return timeline.versus_previous(per, ["event_type"], "day", "n").select("day", "event_type", "n", "change")
 
 
+def updates(spark: SparkSession, d: str) -> DataFrame:
+    """An update of a schema for each event: two tables, named and sized by the event."""
+    e = read(spark, d, "events")
+    table = lambda name, n: F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(name.alias("table_name"), F.concat(F.lit("c"), k.cast("string")).alias("column_name")))
+    own, other = table(F.col("event_type"), (F.col("event_id") % 4).cast("int")), table(F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")), (F.col("event_id") % 5).cast("int"))
+    return e.select(F.col("user_id").cast("string").alias("schema_id"), F.col("ts").cast("timestamp").alias("snapshot_ts"), F.concat(own, other).alias("columns"))
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS STRING) AS schema_id, ts AS snapshot_ts, event_type AS a, event_id % 4 + 1 AS na, event_id % 3 AS b, event_id % 5 + 1 AS nb, row_number() OVER w AS held, lag(event_type) OVER w AS pa, lag(event_id % 4 + 1) OVER w AS pna, lag(event_id % 3) OVER w AS pb, lag(event_id % 5 + 1) OVER w AS pnb FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+    SELECT schema_id, epoch_us(snapshot_ts) AS at, CASE WHEN pa IS NULL THEN 1 WHEN pa = a THEN abs(na - pna) ELSE 2 END + CASE WHEN pb IS NULL THEN 1 WHEN pb = b THEN abs(nb - pnb) ELSE 2 END AS change_count, 2 AS tables, least(held, 50) AS held FROM e""")
+def schema_changes(spark, d):
+    return timeline.changes(updates(spark, d)).select("schema_id", F.unix_micros("snapshot_ts").alias("at"), "change_count", "tables", "held")
+
+
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 50")
 def history_keep_50(spark, d):
     return timeline.keep_latest(read(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id")
