@@ -112,6 +112,17 @@ def test_size_factor_and_score(spark):
     assert got == {1: (3, "low"), 2: (4, "medium"), 3: (7, "high"), 4: (1, "low")}
 
 
+def test_replay_reads_nested_and_qualified():
+    """Parentheses in comments and defaults, blanks in literals, schemas, lists of tables."""
+    rows = lambda sql: [r[1:6] + r[10:] for r in ddl.replay([sql]).rows("s")]
+    assert rows("CREATE TABLE t (a INT) ENGINE=InnoDB COMMENT='x (y)'") == [("t", "a", 0, "INT", True, None)]
+    got = rows("CREATE TABLE t (a INT DEFAULT (1+(2*3)) NOT NULL, b TEXT DEFAULT 'x  y',\n c TIMESTAMP  DEFAULT now(3), d int default -1)")
+    assert [(r[1], r[3], r[5]) for r in got] == [("a", "INT", "(1+(2*3))"), ("b", "TEXT", "'x  y'"), ("c", "TIMESTAMP", "now(3)"), ("d", "INT", "-1")]
+    assert [r[:2] for r in rows("CREATE TABLE s1.t (a INT); CREATE TABLE s2.t (b INT)")] == [("s1.t", "a"), ("s2.t", "b")]
+    assert [r[:2] for r in rows("CREATE TABLE s1.t (a INT); CREATE TABLE s2.t (b INT); ALTER TABLE s2.t ADD COLUMN z TEXT; DROP TABLE s1.t")] == [("t", "b"), ("t", "z")]
+    assert [r[0] for r in rows("CREATE TABLE a (x INT); CREATE TABLE b (x INT); CREATE TABLE c (x INT); DROP TABLE IF EXISTS a, b CASCADE")] == ["c"]
+
+
 def test_replay_over_files():
     cat = ddl.replay(
         [
@@ -120,7 +131,7 @@ def test_replay_over_files():
             "ALTER TABLE users DROP COLUMN phone; ALTER TABLE users RENAME COLUMN email TO mail; ALTER TABLE t RENAME TO s; ALTER TABLE users ALTER COLUMN first_name TYPE VARCHAR(9) USING x; ALTER TABLE nothing ADD COLUMN z INT; ALTER TABLE s MODIFY COLUMN a BIGINT NOT NULL; DROP TABLE IF EXISTS gone",
         ]
     )
-    users, s = cat.tables["users"], cat.tables["s"]
+    users, s = cat.find("users"), cat.find("s")
     assert [c.name for c in users.columns.values()] == ["id", "created_at", "first_name", "mail"]
     assert users.columns["created_at"].type == "TIMESTAMP" and users.columns["created_at"].default == "NOW()"
     assert users.columns["id"].pk and not users.columns["id"].nullable and users.columns["first_name"].type == "VARCHAR(9)"
