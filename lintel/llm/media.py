@@ -105,56 +105,128 @@ def walk(data, start: int = 0, end: int | None = None, above: tuple[bytes, ...]
         at = stop
 
 
+def numbers(data, at: int, stop: int, count: int, kind: str = "I") -> list:
+    """So many numbers (or tuples of them) from a byte on; of a table cut short, those that are there."""
+    one = struct.calcsize(">" + kind)
+    count = max(0, min(count, (stop - at) // one))
+    found = struct.iter_unpack(">" + kind, data[at : at + count * one])
+    return [x[0] for x in found] if len(kind) == 1 else list(found)
+
+
+def number(data, at: int, stop: int, kind: str = "I") -> int:
+    """One number, 0 where the box ends before."""
+    return (numbers(data, at, stop, 1, kind) or [0])[0]
+
+
 def probe(data) -> list[dict]:
     """Of each track: codec, timescale, duration (the samples' times added up, or the head's where no table gives times), times
-    as (sample, start, time of each) of runs of samples, samples as (offset, size), and keyframes as sample numbers from 0."""
+    as (sample, start, time of each) of runs of samples, samples as (offset, size), and keyframes as sample numbers from 0.
+
+    Samples of fragments (moof boxes) follow those of the movie's own tables, each with the time that its fragment gives. A box
+    or table cut short counts as far as it goes; tables of samples without chunks give no samples; what is no ISO file has no
+    tracks. Composition times and edit lists move no bytes and are not read.
+    """
     tracks: list[dict] = []
+    defaults: dict[int, tuple[int, int, int]] = {}  # track: time, size, flags of samples
+    moof, base, each, owner = 0, 0, (0, 0, 0), None
     for path, at, stop in walk(data):
         kind = path[-1]
         if kind == b"trak":
-            tracks.append({"codec": "", "timescale": 0, "duration": 0, "sizes": [], "chunks": [], "runs": [], "times": [], "keys": None})
-            continue
-        if not tracks or b"trak" not in path:
-            continue
-        t = tracks[-1]
-        if kind == b"mdhd":
-            t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-        elif kind == b"stsd" and stop >= at + 16:
-            t["codec"] = bytes(data[at + 12 : at + 16]).decode("latin-1")
-        elif kind == b"stsz":
-            same, n = struct.unpack_from(">II", data, at + 4)
-            t["sizes"] = [same] * n if same else list(struct.unpack_from(f">{n}I", data, at + 12))
-        elif kind in (b"stco", b"co64", b"stss"):
-            (n,) = struct.unpack_from(">I", data, at + 4)
-            numbers = struct.unpack_from(f">{n}{'Q' if kind == b'co64' else 'I'}", data, at + 8)
-            if kind == b"stss":
-                t["keys"] = [k - 1 for k in numbers]
+            tracks.append({"id": 0, "codec": "", "timescale": 0, "duration": 0, "sizes": [], "chunks": [], "runs": [], "times": [], "keys": None, "more": []})
+        elif kind == b"moof":
+            moof = at - (8 if bytes(data[at - 4 : at]) == kind else 16)
+        elif kind == b"trex":
+            t, _, time, size, flags = (numbers(data, at + 4, stop, 5) + [0] * 5)[:5]
+            defaults[t] = (time, size, flags)
+        elif kind == b"tfhd":
+            flags, t = number(data, at, stop) & 0xFFFFFF, number(data, at + 4, stop)
+            owner, each, base, k = next((x for x in tracks if x["id"] == t), None), defaults.get(t, (0, 0, 0)), moof, at + 8
+            if flags & 1:
+                base, k = number(data, k, stop, "Q"), k + 8
+            k += 4 * bool(flags & 2)
+            given = list(each)
+            for j, bit in enumerate((8, 16, 32)):
+                if flags & bit:
+                    given[j], k = number(data, k, stop), k + 4
+            each = tuple(given)
+            if owner is not None:
+                owner["next"] = base
+        elif kind == b"trun" and owner is not None:
+            flags, n, k = number(data, at, stop) & 0xFFFFFF, number(data, at + 4, stop), at + 8
+            if flags & 1:
+                offset, k = base + number(data, k, stop, "i"), k + 4
             else:
-                t["chunks"] = list(numbers)
-        elif kind == b"stts":
-            (n,) = struct.unpack_from(">I", data, at + 4)
-            first = start = 0
-            for count, each in struct.iter_unpack(">II", data[at + 8 : at + 8 + 8 * n]):
-                t["times"].append((first, start, each))
-                first, start = first + count, start + count * each
-            if n:
-                t["ticks"] = start
-        elif kind == b"stsc":
-            (n,) = struct.unpack_from(">I", data, at + 4)
-            t["runs"] = [struct.unpack_from(">III", data, at + 8 + 12 * k)[:2] for k in range(n)]
+                offset = owner.get("next", base)
+            first = None
+            if flags & 4:
+                first, k = number(data, k, stop), k + 4
+            fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+            rows = numbers(data, k, stop, n * len(fields)) if fields else []
+            for i in range(len(rows) // len(fields) if fields else min(n, len(data))):
+                own = dict(zip(fields, rows[i * len(fields) : (i + 1) * len(fields)]))
+                time, size = own.get(0x100, each[0]), own.get(0x200, each[1])
+                mark = first if first is not None and i == 0 else own.get(0x400, each[2])
+                owner["more"].append((offset, size, time, not mark & 0x10000))
+                offset += size
+            owner["next"] = offset
+        elif not tracks or b"trak" not in path:
+            continue
+        else:
+            read_table(tracks[-1], kind, data, at, stop)
     for t in tracks:
         t["duration"] = t.pop("ticks", t["duration"])
         t["samples"] = list(placed(t["sizes"], t["chunks"], t["runs"]))
-        if t["keys"] is None:  # no table: every sample is a keyframe
-            t["keys"] = range(len(t["sizes"]))
+        keys = range(len(t["samples"])) if t["keys"] is None else [k for k in t["keys"] if 0 <= k < len(t["samples"])]  # no table: every sample is one
+        if more := t.pop("more"):
+            keys, start = [*keys, *(len(t["samples"]) + i for i, x in enumerate(more) if x[3])], t["duration"]
+            for offset, size, time, _ in more:
+                t["times"].append((len(t["samples"]), start, time))
+                t["samples"].append((offset, size))
+                start += time
+            t["duration"] = start
+        t["keys"] = keys
+        t.pop("next", None)
     return tracks
 
 
+def read_table(t: dict, kind: bytes, data, at: int, stop: int) -> None:
+    """A box below a track."""
+    if kind == b"tkhd":
+        t["id"] = number(data, at + (20 if stop > at and data[at] == 1 else 12), stop)
+    elif kind == b"mdhd":
+        long = stop > at and data[at] == 1
+        t["timescale"], t["duration"] = number(data, at + (20 if long else 12), stop), number(data, at + (24 if long else 16), stop, "Q" if long else "I")
+    elif kind == b"stsd" and stop >= at + 16:
+        t["codec"] = bytes(data[at + 12 : at + 16]).decode("latin-1")
+    elif kind == b"stsz":
+        same, n = number(data, at + 4, stop), number(data, at + 8, stop)
+        t["sizes"] = [same] * min(n, len(data)) if same else numbers(data, at + 12, stop, n)
+    elif kind == b"stz2":
+        bits, n = number(data, at + 7, stop, "B"), number(data, at + 8, stop)
+        if bits == 4:
+            t["sizes"] = [x for b in numbers(data, at + 12, stop, (n + 1) // 2, "B") for x in (b >> 4, b & 15)][:n]
+        elif bits in (8, 16):
+            t["sizes"] = numbers(data, at + 12, stop, n, "B" if bits == 8 else "H")
+    elif kind in (b"stco", b"co64"):
+        t["chunks"] = numbers(data, at + 8, stop, number(data, at + 4, stop), "Q" if kind == b"co64" else "I")
+    elif kind == b"stss":
+        t["keys"] = [k - 1 for k in numbers(data, at + 8, stop, number(data, at + 4, stop))]
+    elif kind == b"stts":
+        first = start = 0
+        for count, time in numbers(data, at + 8, stop, number(data, at + 4, stop), "II"):
+            t["times"].append((first, start, time))
+            first, start = first + count, start + count * time
+        if first:
+            t["ticks"] = start
+    elif kind == b"stsc":
+        t["runs"] = [x[:2] for x in numbers(data, at + 8, stop, number(data, at + 4, stop), "III")]
+
+
 def placed(sizes: list[int], chunks: list[int], runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """(offset, size) of each sample."""
     k = run = 0
-    for number, offset in enumerate(chunks, 1):
-        while run + 1 < len(runs) and runs[run + 1][0] <= number:
+    for nth, offset in enumerate(chunks if runs else (), 1):
+        while run + 1 < len(runs) and runs[run + 1][0] <= nth:
             run += 1
         for size in sizes[k : k + runs[run][1]]:
             yield offset, size
@@ -206,7 +278,8 @@ def stored(docs: DataFrame) -> DataFrame:
 def described(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, keyframes of stored() rows.
 
-    keyframes has (offset, size, seconds) of every keyframe, in order.
+    keyframes has (offset, size, seconds) of every keyframe, in order. Of several tracks the payload is that of one after the other,
+    and so are feature (parted by " | ") and keyframes; what has no track has an empty payload and feature.
     """
 
     def rows(batches):
@@ -214,11 +287,12 @@ def described(media: DataFrame) -> DataFrame:
             out = []
             for doc, n_bytes, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 data = memoryview(media.as_buffer())
-                (track,) = probe(data)
-                back = payload_of(data, track)
-                out.append((doc, n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(track), [dict(zip(("offset", "size", "seconds"), f)) for f in keyframes(track)]))
-            frames = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("seconds", pa.float64())]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), frames)
+                tracks = probe(data)
+                back = b"".join(payload_of(data, t) for t in tracks)
+                frames = [dict(zip(("offset", "size", "seconds"), f)) for t in tracks for f in keyframes(t)]
+                out.append((doc, n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), " | ".join(map(feature, tracks)), frames))
+            shape = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("seconds", pa.float64())]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), shape)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "keyframes"])
 
     return media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes array<struct<offset: bigint, size: bigint, seconds: double>>")

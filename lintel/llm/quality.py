@@ -9,7 +9,8 @@ gradient descent from a bounded sample of rated documents.
 Null or empty text has no features: score 0, so it gets the thresholds' own probabilities, and is not selected. Unrated
 documents are judged alike. Rows of labels with a null rating or unknown document are ignored; of several ratings of a
 document the lowest counts, and of several texts of one id the smallest is learned from. With no ratings, every non-empty text
-is selected. A null doc_id is carried; repeated rows are judged alike; very long texts are judged whole. Other columns are
+is selected. A null doc_id is carried; repeated rows are judged alike; very long texts are judged whole. Ties change nothing:
+probabilities are compared with bounds, not ranked. Other columns are
 ignored by ``classify`` and carried by ``good``, whatever their names. An empty table gives an empty result.
 """
 
@@ -49,7 +50,7 @@ class Features:
         """(index of the word, index of its shape)."""
         found = self.memo.get(w)
         if found is None:
-            shape = _RUN.sub(rb"\1", w[:64].translate(_SHAPE))
+            shape = _RUN.sub(rb"\1", w.translate(_SHAPE))
             found = (zlib.crc32(b"w" + w.lower().strip(b".,;:!?")) & self.mask, zlib.crc32(b"s" + shape) & self.mask)
             if len(self.memo) > 200_000:
                 self.memo.clear()

@@ -112,6 +112,11 @@ def normalise(stream, out, index, rewrite: Callable[[int, dict[str, str], bytes]
         at += len(packed)
 
 
+def named(page: int | None, path: str, seq: int) -> str:
+    """What names a record: its page, the archive that it was first written to, and its place there."""
+    return f"{page}:{path.rsplit('/', 1)[-1].removesuffix('.warc.gz')}:{seq}"
+
+
 def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages as monolithic archives; path, seq, page_id, payload_bytes, payload_digest of every record."""
 
@@ -130,7 +135,7 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
                     sink, engine = store.open_output_stream(path, compression=None), zlib.compressobj(6, zlib.DEFLATED, GZIP)
                 payload = (html or "").encode("utf-8")
                 digest = hashlib.sha256(payload).hexdigest()
-                sink.write(engine.compress(record("response", f"{page}:{seq}", target_uri(url), http(payload), WARC_Payload_Digest=f"sha256:{digest}")))
+                sink.write(engine.compress(record("response", named(page, path, seq), target_uri(url), http(payload), WARC_Payload_Digest=f"sha256:{digest}")))
                 rows.append((path, seq, page, len(payload), digest))
                 size += len(payload)
                 seq += 1
@@ -144,7 +149,7 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def revisits(listed: DataFrame) -> DataFrame:
-    """listed with refers_to and is_revisit. The first record of each digest is found by a partial aggregate; digests that much
+    """listed with refers_to, first_path, first_seq (the record that one revisits) and is_revisit. The first record of each digest is found by a partial aggregate; digests that much
     of all records have are joined by broadcast."""
     order = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "path", "seq")
     large = listed.where(F.col("payload_bytes") >= LEAST_REVISIT)
@@ -154,7 +159,7 @@ def revisits(listed: DataFrame) -> DataFrame:
     again = F.col("n").isNotNull() & ~((F.col("path") == F.col("first_path")) & (F.col("seq") == F.col("first_seq")))
     small = listed.where(F.col("payload_bytes") < LEAST_REVISIT)
     none = F.lit(None).cast("long")
-    return both.select(*listed.columns, F.when(again, F.col("first_id")).alias("refers_to"), again.alias("is_revisit")).unionByName(small.select(*listed.columns, none.alias("refers_to"), F.lit(False).alias("is_revisit")))
+    return both.select(*listed.columns, F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_path")).alias("first_path"), F.when(again, F.col("first_seq")).alias("first_seq"), again.alias("is_revisit")).unionByName(small.select(*listed.columns, none.alias("refers_to"), none.cast("string").alias("first_path"), none.alias("first_seq"), F.lit(False).alias("is_revisit")))
 
 
 def normalise_archives(decided: DataFrame, folder: str) -> DataFrame:
@@ -164,17 +169,18 @@ def normalise_archives(decided: DataFrame, folder: str) -> DataFrame:
         store, base = open_store(folder)
         store.create_dir(base)
         part = part.sort_by("seq")
-        ids, sizes, digests, refers, again = (part[c].to_pylist() for c in ("page_id", "payload_bytes", "payload_digest", "refers_to", "is_revisit"))
+        ids, refers, paths, seqs, again = (part[c].to_pylist() for c in ("page_id", "refers_to", "first_path", "first_seq", "is_revisit"))
+        raw = part["path"][0].as_py()
         path = f"{base}/{uuid.uuid4().hex}.warc.gz"
 
         def rewrite(k, heads, block):
             head, _, payload = block.partition(b"\r\n\r\n")
             more = {"WARC_Payload_Digest": heads["WARC-Payload-Digest"], "WARC_Payload_Length": str(len(payload))}
             if again[k]:
-                return record("revisit", f"{ids[k]}:{k}", heads["WARC-Target-URI"], head + b"\r\n\r\n", WARC_Profile=PROFILE, WARC_Refers_To=f"<urn:lintel:{refers[k]}>", **more)
-            return record("response", f"{ids[k]}:{k}", heads["WARC-Target-URI"], block, **more)
+                return record("revisit", named(ids[k], raw, k), heads["WARC-Target-URI"], head + b"\r\n\r\n", WARC_Profile=PROFILE, WARC_Refers_To=f"<urn:lintel:{named(refers[k], paths[k], seqs[k])}>", **more)
+            return record("response", named(ids[k], raw, k), heads["WARC-Target-URI"], block, **more)
 
-        with store.open_input_stream(part["path"][0].as_py(), compression=None) as src, store.open_output_stream(path, compression=None) as out, store.open_output_stream(path.removesuffix(".warc.gz") + ".idx", compression=None) as index:
+        with store.open_input_stream(raw, compression=None) as src, store.open_output_stream(path, compression=None) as out, store.open_output_stream(path.removesuffix(".warc.gz") + ".idx", compression=None) as index:
             rows = [(path, at, n) for at, n, _ in normalise(src, out, index, rewrite)]
         return pa.table({"path": [r[0] for r in rows], "offset": [r[1] for r in rows], "length": [r[2] for r in rows]}, pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 

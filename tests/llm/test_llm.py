@@ -171,6 +171,27 @@ def test_warc_round_trip(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_archives_name_what_they_refer_to(spark, tmp_path):
+    """Every revisit's WARC-Refers-To is the id of a response in some archive; the sidecar index and the table agree."""
+    rows = [(k, f"http://x/{k}", f"<p>{'same text again ' * 20}{k % 3}</p>") for k in range(40)] + [(5, "http://x/5", "<p>short</p>"), (None, None, "<p>" + "y" * 200)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    raw, done = f"file://{tmp_path}/raw", f"file://{tmp_path}/done"
+    index = warc.normalise_archives(warc.revisits(warc.write_monolithic(pages, raw)), done).collect()
+    kinds, refers, sidecars = {}, [], set()
+    for path in {r["path"] for r in index}:
+        data = open(path, "rb").read()
+        for line in open(path.removesuffix(".warc.gz") + ".idx").read().splitlines():
+            ident, at, n = line.split(" ")
+            ((heads, _),) = warc.records([zlib.decompress(data[int(at) : int(at) + int(n)], warc.GZIP)])
+            assert heads["WARC-Record-ID"] == ident and ident not in kinds
+            kinds[ident] = heads["WARC-Type"]
+            sidecars.add((path, int(at), int(n)))
+            if "WARC-Refers-To" in heads:
+                refers.append(heads["WARC-Refers-To"])
+    assert sidecars == {(r["path"], r["offset"], r["length"]) for r in index} and len(kinds) == len(rows)
+    assert len(refers) == 38 and all(kinds[i] == "response" for i in refers)
+
+
 def test_normaliser_keeps_records():
     raw = [warc.record("response", f"{k}:0", "http://x/", warc.http(bytes([k]) * k)) for k in range(0, 200, 7)]
     whole = warc.member(b"".join(raw[:10])) + warc.member(b"".join(raw[10:]))
@@ -536,6 +557,38 @@ def test_times_come_from_their_table():
     assert t["duration"] == 4 * 3 + 6 * 5 and [media.time_of(t, k) for k in (0, 3, 4, 9)] == [0, 9, 12, 37]
 
 
+def test_containers_cut_short_are_read_as_far_as_they_go():
+    data = media.write(bytes(range(64)) * 40)
+    (whole,) = media.probe(data)
+    for cut in range(len(data)):
+        tracks = media.probe(data[:cut])
+        assert len(tracks) <= 1
+        for t in tracks:
+            assert t["samples"] == whole["samples"][: len(t["samples"])] and set(t["keys"]) <= set(range(len(t["samples"])))
+            media.feature(t), media.payload_of(data[:cut], t), media.keyframes(t)
+
+
+def test_tracks_fragments_and_short_sizes(spark):
+    """No track and two of them; fragments with sizes, times and sync marks of their own or by default; tables of 4-bit sizes."""
+    full, box = media.full, media.box
+    trak = lambda n, stbl=b"": box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, n), bytes(60)), box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, 1000, 0)), box(b"minf", box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"abcd", bytes(8))), stbl))))
+    trex = lambda n, size: full(b"trex", struct.pack(">IIIII", n, 1, 20, size, 0x10000))
+    short = full(b"stz2", bytes(3), b"\x04", struct.pack(">I", 3), b"\x53\x20") + media.table(b"stco", ">I", [(3,)]) + media.table(b"stsc", ">III", [(1, 3, 1)])
+    head = box(b"ftyp", b"iso5", bytes(4)) + box(b"moov", trak(1), trak(2, short), box(b"mvex", trex(1, 7), trex(2, 9)))
+    traf = lambda n, base, *run: box(b"traf", full(b"tfhd", struct.pack(">I", n)), *run)
+    sized = full(b"trun", struct.pack(">IiI", 3, 500, 0), struct.pack(">6I", 10, 4, 10, 5, 30, 6), flags=0x1 | 0x4 | 0x100 | 0x200)
+    plain = full(b"trun", struct.pack(">I", 2))
+    moof = box(b"moof", full(b"mfhd", bytes(4)), traf(1, 0, sized, plain), traf(2, 0, full(b"trun", struct.pack(">Ii", 2, 900), flags=1)))
+    one, two = media.probe(head + moof)
+    at = len(head)
+    assert one["samples"] == [(at + 500, 4), (at + 504, 5), (at + 509, 6), (at + 515, 7), (at + 522, 7)] and list(one["keys"]) == [0] and one["duration"] == 90
+    assert [media.time_of(one, k) for k in range(5)] == [0, 10, 20, 50, 70]
+    assert two["samples"] == [(3, 5), (8, 3), (11, 2), (at + 900, 9), (at + 909, 9)] and two["codec"] == "abcd"
+    odd = spark.createDataFrame([(1, 0, bytearray(b"")), (2, 5, bytearray(b"none at all")), (3, 9, bytearray(head + moof + bytes(2000)))], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in media.described(odd).collect()}
+    assert got[1]["payload_bytes"] == got[2]["payload_bytes"] == 0 and got[2]["feature"] == "" and got[3]["payload_bytes"] == 29 + 28 and got[3]["feature"].count("codec=abcd") == 2
+
+
 # 9
 
 
@@ -690,7 +743,7 @@ def test_grades_match_a_loop(spark, documents, odd):
     for doc, text in docs.select("doc_id", "text").collect():
         words, score = (text or "").encode().split(), 0.0
         own = [zlib.crc32(b"w" + w.lower().strip(b".,;:!?")) & mask for w in words]
-        shape = [zlib.crc32(b"s" + re.sub(rb"(.)\1+", rb"\1", w[:64].translate(quality._SHAPE), flags=re.S)) & mask for w in words]
+        shape = [zlib.crc32(b"s" + re.sub(rb"(.)\1+", rb"\1", w.translate(quality._SHAPE), flags=re.S)) & mask for w in words]
         if words:
             values = {k: min(1, 0.25 + n / len(words)) for k, n in collections.Counter(own).items()}
             score = sum(link.weights[k] * v for k, v in values.items()) + sum(link.weights[k] * math.sqrt(n / len(words)) for k, n in collections.Counter(shape).items())
