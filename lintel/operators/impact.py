@@ -46,7 +46,10 @@ def non_breaking(sql: Column) -> Column:
 
 def risks(sql: Column) -> Column:
     """Array of (severity, risk)."""
-    op = lex.operation(sql)
+    return found_risks(sql, lex.operation(sql))
+
+
+def found_risks(sql: Column, op: Column) -> Column:
     return F.array_compact(F.array(*[F.when(t(sql, op), F.struct(F.lit(sev).alias("severity"), F.lit(n).alias("risk"))) for sev, n, t in RISKS]))
 
 
@@ -97,19 +100,25 @@ def analyze(statements: DataFrame, columns: DataFrame, tables: DataFrame, depend
 
     dependencies: (term, severity) rows; drift: (term) rows, counted for the tables that a statement names.
     """
-    sql = F.col("sql")
-    used = statements.select("stmt_id", F.explode_outer(lex.parsed_tables(sql)).alias("table_name"))
-    rows = used.join(tables.select("table_name", "row_count"), "table_name", "left").groupBy("stmt_id").agg(F.max(F.coalesce("row_count", F.lit(0))).alias("max_rows"))
-    out = statements.join(rows, "stmt_id", "left").join(cascades(statements, columns), "stmt_id", "left")
-    for frame, name, total in ((dependencies, "n_deps", F.count_if(F.col("severity") == "critical") if dependencies is not None else None), (drift, "n_docs", F.count(F.lit(1)))):
-        if frame is None:
-            out = out.withColumn(name, F.lit(0))
-        else:
-            out = out.join(used.join(frame.withColumnRenamed("term", "table_name"), "table_name").groupBy("stmt_id").agg(total.alias(name)), "stmt_id", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = out.withColumn("breaking", breaking(sql)).withColumn("non_breaking", non_breaking(sql)).withColumn("risks", risks(sql)).withColumn("factor", size_factor(zero("max_rows")))
-    out = out.withColumn("score", risk_score(F.size("breaking"), zero("n_cascade"), zero("n_deps"), count_risks(sql, "critical"), count_risks(sql, "high"), zero("n_docs"), F.col("factor")))
-    return out.withColumn("level", risk_level(F.col("score"))).withColumn("suggestions", suggestions(F.col("breaking"), F.col("risks"), zero("n_deps"), F.col("score")))
+    used = statements.select("stmt_id", F.explode(lex.parsed_tables(F.col("sql"))).alias("table_name"))
+    keys = columns.where("is_fk and ref_table is not null").groupBy("table_name").agg(F.count(F.lit(1)).alias("keys"))
+    facts = tables.groupBy("table_name").agg(F.max("row_count").alias("row_count")).join(keys, "table_name", "full_outer")
+    counts = {"n_cascade": F.sum("keys"), "max_rows": F.max("row_count"), "n_deps": None, "n_docs": None}
+    for frame, name, total in ((dependencies, "n_deps", F.count_if(F.col("severity") == "critical")), (drift, "n_docs", F.count(F.lit(1)))):
+        if frame is not None:
+            own = frame.withColumnRenamed("term", "table_name").groupBy("table_name").agg(total.alias(name))
+            facts = facts.join(own, "table_name", "full_outer")
+            counts[name] = F.sum(name)
+    # what is known of a table is one row; a statement's tables meet it once
+    met = used.join(facts, "table_name").groupBy("stmt_id").agg(*[c.alias(n) for n, c in counts.items() if c is not None])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)) if counts[c] is not None else F.lit(0)
+    out = statements.join(met, "stmt_id", "left").select(*statements.columns, *[zero(n).alias(n) for n in counts])
+    out = out.withColumn("op", lex.operation(F.col("sql")))
+    op, sql = F.col("op"), F.col("sql")
+    out = out.withColumns({"breaking": listed([(n, t(sql, op)) for n, t in BREAKING]), "non_breaking": listed([("add_column", (op == "ALTER") & sql.rlike(r"(?i)ADD\s+COLUMN"))]), "risks": found_risks(sql, op), "factor": size_factor(F.col("max_rows"))})
+    of = lambda severity: F.size(F.filter("risks", lambda r: r["severity"] == severity))
+    out = out.withColumn("score", risk_score(F.size("breaking"), F.col("n_cascade"), F.col("n_deps"), of("critical"), of("high"), F.col("n_docs"), F.col("factor")))
+    return out.withColumn("level", risk_level(F.col("score"))).withColumn("suggestions", suggestions(F.col("breaking"), F.col("risks"), F.col("n_deps"), F.col("score"))).drop("op")
 
 
 def rollback(sql: Column, known_type: Column | None = None, create_sql: Column | None = None) -> Column:

@@ -30,6 +30,32 @@ def merge(conflicts: DataFrame) -> DataFrame:
     return n.select("conflict_type", "n", F.when(total > MANY_CONFLICTS, "high").otherwise("medium").alias("badge"))
 
 
+def overview(findings: DataFrame, keys: list[str], sets: list[list[str]], kinds: list[str]) -> DataFrame:
+    """keys, level, n, errors, warnings, infos and a column for each kind (a part of the code), of findings with code and severity:
+    totals of every set of keys, in one pass. level names the set's keys, or says all."""
+    severities = [F.count_if(F.col("severity") == x).alias(f"{x}s") for x in ("error", "warning", "info")]
+    of_kinds = [F.count_if(F.col("code").contains(f"-{k}")).alias(k.lower()) for k in kinds]
+    # the grouping column itself is null in totals, so what is counted reads a copy
+    rows = findings.withColumns({f"__{k}": F.col(k) for k in keys})
+    grouped = rows.groupingSets([[F.col(f"__{k}") for k in s] for s in sets], *[F.col(f"__{k}") for k in keys])
+    mark = F.concat(*[F.grouping(f"__{k}").cast("string") for k in keys])
+    level = F.lit(None).cast("string")
+    for s in sets:
+        level = F.when(F.col("mark") == "".join("0" if k in s else "1" for k in keys), " and ".join(s) or "all").otherwise(level)
+    out = grouped.agg(mark.alias("mark"), F.count(F.lit(1)).alias("n"), *severities, *of_kinds)
+    return out.select(*[F.col(f"__{k}").alias(k) for k in keys], level.alias("level"), "n", "errors", "warnings", "infos", *[k.lower() for k in kinds])
+
+
+def duplicates(groups: DataFrame) -> DataFrame:
+    """schema_id, meaning, level (group, schema, all), groups, columns, most_tables, badge of groups of columns with one meaning
+    (dupes.synonym_groups), with totals."""
+    each = groups.groupBy("schema_id", "meaning").agg(F.count(F.lit(1)).alias("columns"), F.countDistinct("table_name").alias("tables"))
+    cols = [F.col("schema_id"), F.col("meaning")]
+    out = each.groupingSets([[], cols[:1], cols], *cols).agg((F.grouping("schema_id") + F.grouping("meaning")).alias("mark"), F.count(F.lit(1)).alias("groups"), F.sum("columns").alias("columns"), F.max("tables").alias("most_tables"))
+    level = F.when(F.col("mark") == 2, "all").when(F.col("mark") == 1, "schema").otherwise("group")
+    return out.select("schema_id", "meaning", level.alias("level"), "groups", "columns", "most_tables", F.when(F.col("most_tables") > 1, "high").otherwise("medium").alias("badge"))
+
+
 def cell(value: Column) -> Column:
     return F.concat(F.lit("<td>"), lex.html_escape(F.coalesce(value.cast("string"), F.lit(""))), F.lit("</td>"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lex, names
 from ..operators import catalog, diff, dupes, impact, rules
 from . import ddl, orm, reports
-from .driver_queries import _DIFF, _FULL, _GROUP, _PREF, CAT_A, CAT_COLS, ORACLES, PART_A, PART_B, PART_ROWS, SYN, WORD, BOTH, S, made, query, read, rows, syn, vals
+from .driver_queries import _DIFF, _FULL, _GROUP, _PREF, CAT_A, CAT_COLS, ORACLES, PART_A, PART_B, PART_ROWS, SYN, WORD, _MEANT, BOTH, S, made, query, read, rows, syn, vals
 
 #: Statements whose names are in the catalog below for some k only.
 RICH = """SELECT event_id AS doc_id, event_id % 8 AS kind, CAST(user_id % 4 AS STRING) AS k, CASE event_id % 8
@@ -122,8 +122,8 @@ def data_risks(spark, d):
 
 @query(f"WITH l AS ({_LISTS}) " + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS hint FROM l WHERE {t}" for n, t in _HINTS.items()))
 def suggestions(spark, d):
-    sql = F.col("sql")
-    return listed(spark, d).select("doc_id", F.explode(impact.suggestions(impact.breaking(sql), impact.risks(sql), F.abs("doc_id") % 9, F.abs("doc_id") % 11)).alias("hint"))
+    known = listed(spark, d).withColumns({"breaking": impact.breaking(F.col("sql")), "risks": impact.risks(F.col("sql"))})
+    return known.select("doc_id", F.explode(impact.suggestions(F.col("breaking"), F.col("risks"), F.abs("doc_id") % 9, F.abs("doc_id") % 11)).alias("hint"))
 
 
 @query("SELECT event_id, CASE WHEN n > 1000000 THEN 1.5::double WHEN n > 100000 THEN 1.25 WHEN n > 10000 THEN 1.1 ELSE 1 END AS factor, CASE WHEN s >= 8 THEN 'critical' WHEN s >= 6 THEN 'high' WHEN s >= 4 THEN 'medium' ELSE 'low' END AS level FROM (SELECT event_id, event_id * event_id AS n, 1 + event_id % 10 AS s FROM events)")
@@ -374,6 +374,28 @@ def impact_report(spark, d):
     return reports.impact(done, none).where("section in ('breaking', 'risks')").select(F.col("stmt_id").alias("doc_id"), "section", F.col("text").alias("item"))
 
 
+_SEEN = f"SELECT CAST(e.ts AS DATE) AS day, e.event_type AS source, f.code, f.severity FROM (WITH r AS ({RICH}) {_RICH_FOUND}) f JOIN events e ON e.event_id = f.doc_id"
+_KINDS = ("DESTRUCT", "SCHEMA", "PERF", "BREAK")
+
+
+@query(f"""SELECT CAST(day AS VARCHAR) AS day, source, code, CASE WHEN grouping(day, source, code) = 7 THEN 'all' WHEN grouping(day, source, code) = 3 THEN 'day' WHEN grouping(day, source, code) = 5 THEN 'source' WHEN grouping(day, source, code) = 6 THEN 'code' ELSE 'day and source' END AS level,
+    count(*) AS n, {', '.join(f"count(*) FILTER (severity = '{x}') AS {x}s" for x in ('error', 'warning', 'info'))}, {', '.join(f"count(*) FILTER (code LIKE 'DBS-{k}%') AS {k.lower()}" for k in _KINDS)}
+    FROM ({_SEEN}) GROUP BY GROUPING SETS ((), (day), (source), (code), (day, source))""")
+def findings_overview(spark, d):
+    """Findings of all statements, with totals at each level and a column for each severity and kind."""
+    found = full_diagnostics(spark, d)
+    seen = read(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.to_date("ts").alias("day"), F.col("event_type").alias("source"))
+    out = reports.overview(found.join(seen, "doc_id"), ["day", "source", "code"], [[], ["day"], ["source"], ["code"], ["day", "source"]], list(_KINDS))
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"""WITH s AS (SELECT schema_id, m AS meaning, table_name FROM (SELECT *, {_MEANT} AS m FROM {BOTH}) WHERE m IS NOT NULL), g AS (SELECT schema_id, meaning, count(*) AS columns, count(DISTINCT table_name) AS tables FROM s GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT schema_id, meaning, CASE WHEN grouping(schema_id, meaning) = 3 THEN 'all' WHEN grouping(schema_id, meaning) = 1 THEN 'schema' ELSE 'group' END AS level, count(*) AS groups, CAST(sum(columns) AS BIGINT) AS columns, CAST(max(tables) AS BIGINT) AS most_tables, CASE WHEN max(tables) > 1 THEN 'high' ELSE 'medium' END AS badge
+    FROM g GROUP BY GROUPING SETS ((), (schema_id), (schema_id, meaning))""")
+def duplicates_report(spark, d):
+    return reports.duplicates(dupes.synonym_groups(made(spark, d, BOTH)))
+
+
 @query("SELECT p_partkey, '<tr><td>' || p_partkey || '</td><td>a&lt;' || p_name || '&gt;&amp;</td></tr>' AS html FROM part")
 def html_report(spark, d):
     shown = read(spark, d, "part").select("p_partkey", F.concat(F.lit("a<"), "p_name", F.lit(">&")).alias("p_name"))
