@@ -140,7 +140,7 @@ def parsed_columns(sql: Column) -> Column:
 
 
 def cte_names(mask: Column) -> Column:
-    return F.when(first_keyword(mask) == "WITH", F.transform(_found(mask, r"(?i)([A-Za-z_]\w*)\s+AS\s*\("), F.lower)).otherwise(F.array().cast("array<string>"))
+    return F.when(first_keyword(mask) == "WITH", F.transform(_found(mask, r"(?i)([A-Za-z_]\w*)(?:\s*\([^()]*\)\s*|\s+)AS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?\("), F.lower)).otherwise(F.array().cast("array<string>"))
 
 
 def statement_tables(mask: Column) -> Column:

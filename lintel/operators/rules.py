@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lex
+from . import scopes
 
 #: (code, pattern, severity, message, suggestion, only without WHERE and LIMIT). Codes and patterns are fixed values.
 PATTERN_RULES = [
@@ -151,19 +152,27 @@ def not_null_without_default(statements: DataFrame, tables: DataFrame) -> DataFr
     return rows.select("doc_id", "stmt_idx", "table_name", *finding("DBS-SCHEMA-005", text, F.col("start_offset"), F.col("end_offset"), F.lit(0), F.when(F.col("row_count") == 0, "info").otherwise("warning")))
 
 
-def schema_findings(statements: DataFrame, columns: DataFrame, tables: DataFrame) -> DataFrame:
-    """doc_id, stmt_idx and COLUMNS of all rules that ask a catalog: its columns, and its tables with row_count."""
+def nested_columns(statements: DataFrame, columns: DataFrame) -> DataFrame:
+    """table_name, column_name and the finding of every use of a column that its table hasn't, subqueries and aliases resolved."""
+    rows = scopes.unknown_columns(statements, columns).withColumnsRenamed({"start_offset": "from_", "end_offset": "to_"})
+    text = F.concat(F.lit('no column "'), "column_name", F.lit('" in table "'), "table_name", F.lit('"'))
+    return rows.select("doc_id", "stmt_idx", "table_name", "column_name", *finding("DBS-SCHEMA-002", text, F.col("from_"), F.col("to_"), F.col("from_") % 100_000))
+
+
+def schema_findings(statements: DataFrame, columns: DataFrame, tables: DataFrame, nested: bool = False) -> DataFrame:
+    """doc_id, stmt_idx and COLUMNS of all rules that ask a catalog: its columns, and its tables with row_count. With nested, columns
+    are resolved in subqueries and by aliases; else by the statement's first known table."""
     every = columns.select("table_name").unionByName(tables.select("table_name"))
-    found = [unknown_tables(statements, every), unknown_columns(statements, columns), fk_dependents(statements, columns), duplicate_columns(statements, columns), not_null_without_default(statements, tables)]
+    found = [unknown_tables(statements, every), (nested_columns if nested else unknown_columns)(statements, columns), fk_dependents(statements, columns), duplicate_columns(statements, columns), not_null_without_default(statements, tables)]
     return reduce(DataFrame.unionByName, [f.select("doc_id", "stmt_idx", *COLUMNS) for f in found])
 
 
-def diagnostics(statements: DataFrame, columns: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+def diagnostics(statements: DataFrame, columns: DataFrame | None = None, tables: DataFrame | None = None, nested: bool = False) -> DataFrame:
     """All findings, those of patterns before those of the catalog in a statement, the first of each (document, offset, code).
 
     Without a catalog only patterns are looked for. Each rule reads the statements, so persist them where they are costly to make.
     """
     found = pattern_findings(statements)
     if columns is not None:
-        found = found.unionByName(schema_findings(statements, columns, tables if tables is not None else columns.select("table_name", F.lit(None).cast("long").alias("row_count"))))
+        found = found.unionByName(schema_findings(statements, columns, tables if tables is not None else columns.select("table_name", F.lit(None).cast("long").alias("row_count")), nested))
     return first_per_place(found)

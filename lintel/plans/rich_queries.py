@@ -374,6 +374,43 @@ def impact_report(spark, d):
     return reports.impact(done, none).where("section in ('breaking', 'risks')").select(F.col("stmt_id").alias("doc_id"), "section", F.col("text").alias("item"))
 
 
+#: Nested statements: aliases, correlated and derived queries, a CTE with a list of columns. col_k and tbl_k are there for some k.
+NESTED = """SELECT event_id AS doc_id, event_id % 5 AS kind, CAST(user_id % 4 AS STRING) AS k, CASE event_id % 5
+ WHEN 0 THEN 'SELECT u.id, u.col_' || CAST(user_id % 4 AS STRING) || ' FROM users AS u WHERE EXISTS (SELECT 1 FROM orders o WHERE o.user_id = u.id AND o.col_' || CAST(user_id % 4 AS STRING) || ' > 2)'
+ WHEN 1 THEN 'SELECT phone FROM users WHERE id IN (SELECT user_id FROM orders WHERE email = 3 AND gone_' || CAST(user_id AS STRING) || ' = 1)'
+ WHEN 2 THEN 'WITH r(a, b) AS (SELECT id, col_' || CAST(user_id % 4 AS STRING) || ' FROM orders) SELECT r.a, r.zz, p.lost FROM r JOIN products p ON p.id = r.b'
+ WHEN 3 THEN 'SELECT x.any FROM (SELECT total, nothing AS any FROM orders) x JOIN users u ON u.id = x.total WHERE u.total = 1'
+ ELSE 'UPDATE users SET phone = (SELECT p.price FROM products p WHERE p.id = users.id AND p.col_' || CAST(user_id % 4 AS STRING) || ' = 1), email = 2 WHERE col_' || CAST(user_id % 4 AS STRING) || ' = 3' END AS sql FROM events"""
+
+
+def _uses(kind: int, table: str, column: str, where: str = "true", last: bool = False) -> str:
+    at = f"length(sql) - strpos(reverse(sql), reverse({column})) - length({column}) + 1" if last else f"strpos(sql, {column}) - 1"
+    return f"SELECT doc_id, '{table}' AS table_name, {column} AS column_name, CAST({at} AS INT) AS start_offset FROM n WHERE kind = {kind} AND {where}"
+
+
+_COL = "'col_' || k"
+_NESTED_FOUND = " UNION ALL ".join(
+    [
+        _uses(0, "users", _COL, f"NOT {_have(chr(39) + 'users' + chr(39), _COL)}"),
+        _uses(0, "orders", _COL, f"NOT {_have(chr(39) + 'orders' + chr(39), _COL)}", last=True),
+        _uses(1, "orders", "regexp_extract(sql, 'gone_[0-9]+')"),
+        _uses(2, "orders", _COL, f"NOT {_have(chr(39) + 'orders' + chr(39), _COL)}"),
+        _uses(2, "products", "'lost'"),
+        _uses(3, "orders", "'nothing'"),
+        _uses(3, "users", "'total'", last=True),
+        _uses(4, "products", _COL, f"NOT {_have(chr(39) + 'products' + chr(39), _COL)}"),
+        _uses(4, "users", _COL, f"NOT {_have(chr(39) + 'users' + chr(39), _COL)}", last=True),
+    ]
+)
+
+
+@query(f"WITH n AS ({NESTED}) SELECT doc_id, table_name, column_name, start_offset FROM ({_NESTED_FOUND})")
+def nested_columns(spark, d):
+    e = read(spark, d, "events")
+    statements = lex.split_statements(spark.sql(NESTED.replace("FROM events", "FROM {e}"), e=e))
+    return rules.nested_columns(statements, rows(spark, RA)).select("doc_id", "table_name", "column_name", "start_offset")
+
+
 _SEEN = f"SELECT CAST(e.ts AS DATE) AS day, e.event_type AS source, f.code, f.severity FROM (WITH r AS ({RICH}) {_RICH_FOUND}) f JOIN events e ON e.event_id = f.doc_id"
 _KINDS = ("DESTRUCT", "SCHEMA", "PERF", "BREAK")
 
