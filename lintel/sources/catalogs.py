@@ -63,7 +63,8 @@ def load_or(spark: SparkSession, db_type: str, url: str, schema: str, stored: tu
     """(columns, tables) of a live database, or the stored ones where it can't be reached; what is not supported stays an error."""
     try:
         columns, tables = load(spark, db_type, url, schema, **options)
-        columns.limit(1).collect()
+        columns, tables = columns.cache(), tables.cache()  # read here and once, so that a failure of either part is seen
+        columns.count(), tables.count()
         return columns, tables
     except NotImplementedError:
         raise
