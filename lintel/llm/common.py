@@ -37,8 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders made in the shared one by this driver and not deleted yet.
+_MADE: set[str] = set()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lintel-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lintel-{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes every folder that operators of this driver have staged; how many there were. To be called once their results have
+    been written elsewhere: until then results read from these folders."""
+    made = sorted(_MADE)
+    for path in made:
+        remove(spark, path)
+    return len(made)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -84,6 +99,7 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _MADE.discard(path)
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -245,6 +245,21 @@ def test_index_is_reversible(spark, hard, monkeypatch):
     index.drop()
 
 
+def test_staged_folders_go(spark, hard, tmp_path):
+    """clean_up() leaves nothing of a run in the shared folder, once its result is written."""
+    import os
+
+    from lintel.llm import common
+
+    common.clean_up(spark)
+    root = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    linededup.deduplicated(hard).write.parquet(str(tmp_path / "out"))
+    made = set(os.listdir(root)) - before
+    assert len(made) >= 3 and common.clean_up(spark) >= 3 and not made & set(os.listdir(root))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == hard.count()
+
+
 # 9: families
 
 
