@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lex, names
+from ..functions.lineage import cut
 from . import textindex
 
 #: (severity, test on text). Patterns, caps and weights are fixed values.
@@ -165,8 +166,18 @@ def dependencies_of(tables: DataFrame, lines: DataFrame, most: int | None = 50)
 
 
 def batches(candidates: DataFrame, order: list[str], size: int = 20) -> DataFrame:
-    """candidates with batch, from 0: so many a batch, in order. For the few candidates of one statement."""
-    return candidates.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+    """candidates with batch, from 0: so many a batch, in order. Each part of a range partitioning numbers its own rows, and the parts'
+    sizes, of which there are as many as parts, give the offsets; no task sorts all rows."""
+    dealt = cut(candidates.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    before, offsets = 0, []
+    for r in dealt.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row a partition
+        offsets.append((r["part"], before))
+        before += r["count"]
+    known = dealt.sparkSession.createDataFrame(offsets, "__part long, __before long")
+    both = dealt.withColumn("__part", part).join(F.broadcast(known), "__part")
+    place = F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)
+    return both.select(*candidates.columns, F.floor(place / size).cast("int").alias("batch"))
 
 
 def terms_of(tables: DataFrame) -> DataFrame:

@@ -272,9 +272,10 @@ def risk_score(spark, d):
     return done.select(F.col("stmt_id").alias("doc_id"), "score", "level")
 
 
-@query(f"SELECT doc_id, CASE WHEN sql LIKE 'DROP %' THEN '-- take a backup first' WHEN sql LIKE '%DROP COLUMN%' THEN 'ALTER TABLE users ADD COLUMN phone TEXT;' WHEN sql LIKE '%ADD COLUMN age%' THEN 'ALTER TABLE users DROP COLUMN age;' WHEN sql LIKE '%ADD COLUMN note%' THEN 'ALTER TABLE users DROP COLUMN note;' WHEN sql LIKE '%RENAME%' THEN 'ALTER TABLE users RENAME COLUMN email TO mail;' WHEN sql LIKE 'DELETE%' OR sql LIKE 'TRUNC%' THEN '-- take a backup first' END AS undo FROM ({SYN})")
+@query(f"SELECT doc_id, CASE WHEN sql LIKE 'DROP %' THEN '-- take a backup first' WHEN sql LIKE '%DROP COLUMN%' THEN 'ALTER TABLE users ADD COLUMN phone TEXT;' WHEN sql LIKE '%ADD COLUMN age%' THEN 'ALTER TABLE users DROP COLUMN age;' WHEN sql LIKE '%ADD COLUMN note%' THEN 'ALTER TABLE users DROP COLUMN note;' WHEN sql LIKE '%RENAME%' THEN 'ALTER TABLE users RENAME COLUMN email TO mail;' WHEN sql LIKE 'DELETE%' OR sql LIKE 'TRUNC%' THEN '-- take a backup first' END AS undo, CASE WHEN sql LIKE 'DROP %' OR sql LIKE 'DELETE%' OR sql LIKE 'TRUNC%' THEN 'destructive' WHEN sql LIKE '%DROP COLUMN%' THEN 'manual_review' WHEN sql LIKE 'ALTER%' THEN 'safe' END AS safety FROM ({SYN})")
 def rollback_sql(spark, d):
-    return syn(spark, d).select("doc_id", impact.rollback(F.col("sql"))["sql"].alias("undo"))
+    back = impact.rollback(F.col("sql"))
+    return syn(spark, d).select("doc_id", back["sql"].alias("undo"), back["safety"].alias("safety"))
 
 
 @query(f"SELECT doc_id, CASE WHEN (sql LIKE 'DELETE%' OR sql LIKE 'UPDATE%') AND sql NOT LIKE '%WHERE%' THEN sql || ' WHERE 1 = 0 /* TODO: add real predicate */' WHEN sql LIKE 'DROP TABLE%' THEN 'ALTER TABLE audit_log ADD COLUMN deleted_at TIMESTAMP NULL' WHEN sql LIKE '% NOT NULL%' THEN replace(sql, ' NOT NULL', '') END AS fix FROM ({SYN})")
