@@ -33,12 +33,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
 
-def build(lines: DataFrame, keep: bool = True, other: bool = True) -> DataFrame:
+def build(lines: DataFrame, keep: bool = True, other: bool = True, positions: bool = True) -> DataFrame:
     """token, path, line_no, position (of a word; null for other tokens) of lines (path, line_no, line); with keep also the line,
-    without other words alone, for terms that all have one. Lines of null have no tokens."""
+    without other words alone, for terms that all have one; without positions a word once a line. Lines of null have no tokens."""
     held = ["path", "line_no", *(["line"] if keep else [])]
     low = lines.where("line is not null").select(*held, F.lower("line").alias("low"))
-    named = low.select(*held, F.posexplode(words(F.col("low"))).alias("position", "token"))
+    if positions:
+        named = low.select(*held, F.posexplode(words(F.col("low"))).alias("position", "token"))
+    else:
+        named = low.select(*held, F.lit(None).cast("int").alias("position"), F.explode(F.array_distinct(words(F.col("low")))).alias("token"))
     if not other:
         return named.select("token", *held, "position")
     rest = low.select(*held, F.lit(None).cast("int").alias("position"), F.explode(pieces(F.col("low"))).alias("token"))
@@ -60,19 +63,24 @@ def bounded(line: Column, term: Column) -> Column:
     return F.contains(F.lower(line), F.lower(term)) & F.rlike(F.lower(line), F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower(term), F.lit(r"\E(?![a-z0-9_])")))
 
 
-def find(index: DataFrame, terms: DataFrame) -> DataFrame:
+def find(index: DataFrame, terms: DataFrame, once: bool = False) -> DataFrame:
     """term, path, line_no, line of every line of the index (built with lines) that has a term (rows: term).
 
-    Terms with a word stand between word boundaries, others anywhere. The frequencies of the terms' tokens are counted first.
+    Terms with a word stand between word boundaries, others anywhere. The frequencies of the terms' tokens are counted first; with
+    once, for an index that is made for this lookup alone, terms are looked up by their longest token instead, where they are few
+    enough to be broadcast.
     """
     wanted = tokens_of(terms)
     few = wanted.count() <= BROADCAST_TERMS
     hint = F.broadcast if few else (lambda df: df)
-    counts = index.join(hint(wanted.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    if once and few:
+        counts = wanted.select("token").distinct().withColumn("n", -F.length("token"))
+    else:
+        counts = index.join(hint(wanted.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(counts, "token", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("x"))
     all_words = words(F.lower("term"))
     single = F.coalesce((F.size(all_words) == 1) & (F.element_at(all_words, 1) == F.lower("term")), F.lit(False))
-    asked = cut(rarest.where("x.n > 0").select("term", "x.token", "x.n", single.alias("single"), (F.size(all_words) > 0).alias("named")))
+    asked = cut(rarest.where("x.n != 0").select("term", "x.token", "x.n", single.alias("single"), (F.size(all_words) > 0).alias("named")))
     rows = index.select("token", "path", "line_no", "line")
     if few:
         met = rows.join(F.broadcast(asked), "token")
@@ -106,6 +114,8 @@ def phrases(index: DataFrame, terms: DataFrame) -> DataFrame:
     placed = index.where("position is not null").select("token", "path", "line_no", "position")
     few = each.count() <= BROADCAST_TERMS
     hint = F.broadcast if few else (lambda df: df)
+    if few:  # no other words matter
+        placed = placed.join(F.broadcast(each.select("token").distinct()), "token", "left_semi")
     counts = placed.join(hint(each.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = each.join(counts, "token", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "token", "w")).alias("x"))
     asked = cut(rarest.where("x.n > 0").select("term", "x.token", "x.n", "x.at", "x.w"))
