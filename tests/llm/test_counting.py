@@ -252,11 +252,9 @@ def test_staged_folders_go(spark, hard, tmp_path):
     from lintel.llm import common
 
     common.clean_up(spark)
-    root = common.shared_dir(spark).removeprefix("file://")
-    before = set(os.listdir(root))
     linededup.deduplicated(hard).write.parquet(str(tmp_path / "out"))
-    made = set(os.listdir(root)) - before
-    assert len(made) >= 3 and common.clean_up(spark) >= 3 and not made & set(os.listdir(root))
+    made = [p.removeprefix("file://") for p in common._MADE]
+    assert len(made) >= 3 and all(map(os.path.exists, made)) and common.clean_up(spark) == len(made) and not any(map(os.path.exists, made))
     assert spark.read.parquet(str(tmp_path / "out")).count() == hard.count()
 
 
