@@ -237,9 +237,9 @@ def fuzzy_pairs(spark, d):
     return dupes.fuzzy_pairs(read(spark, d, "part"), "p_name")
 
 
-@query("WITH s AS (SELECT DISTINCT p_brand AS g, p_name AS i FROM part), n AS (SELECT g, count(*) AS c FROM s GROUP BY 1) SELECT x.g AS a, y.g AS b, count(*)::double / (any_value(p.c) + any_value(q.c) - count(*)) AS jaccard FROM s x JOIN s y ON x.i = y.i AND x.g < y.g JOIN n p ON p.g = x.g JOIN n q ON q.g = y.g GROUP BY 1, 2 HAVING count(*)::double / (any_value(p.c) + any_value(q.c) - count(*)) >= 0.4")
+@query("WITH s AS (SELECT DISTINCT p_brand AS g, p_name AS i FROM part), n AS (SELECT g, count(*) AS c FROM s GROUP BY 1) SELECT x.g AS a, y.g AS b, count(*)::double / (any_value(p.c) + any_value(q.c) - count(*)) AS jaccard FROM s x JOIN s y ON x.i = y.i AND x.g < y.g JOIN n p ON p.g = x.g JOIN n q ON q.g = y.g GROUP BY 1, 2 HAVING count(*)::double / (any_value(p.c) + any_value(q.c) - count(*)) >= 0.1")
 def jaccard_groups(spark, d):
-    return dupes.jaccard_pairs(read(spark, d, "part"), "p_brand", "p_name", 0.4)
+    return dupes.jaccard_pairs(read(spark, d, "part"), "p_brand", "p_name", 0.1)
 
 
 _MEANT = "CASE WHEN lower(column_name) IN ('phone', 'mobile', 'cell', 'mobile_number') THEN 'phone' WHEN column_name IN ('email', 'e_mail') THEN 'email' WHEN column_name IN ('total', 'price') THEN 'amount' END"
