@@ -42,3 +42,24 @@ def test_columns_belong_to_the_innermost_source(found, k):
     for r in found:
         sql = CASES[r["doc_id"]][0]
         assert sql[r["start_offset"] : r["end_offset"]].lower() == r["column_name"]
+
+
+def test_tokens_become_no_rows(spark):
+    """A statement is read where it stands: no windows, and no shuffle but of what the joins leave and of the catalog."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('SELECT u.id, u.c', id, ' FROM users u WHERE EXISTS (SELECT 1 FROM orders o WHERE o.id = u.id AND bad = 1)') AS sql")
+    cat = spark.createDataFrame([(t, c) for t, cs in TABLES.items() for c in cs], "table_name string, column_name string")
+    found = scopes.unknown_columns(lex.split_statements(docs), cat)
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan and "collect_list" not in plan
+    got = {(r["doc_id"], r["table_name"], r["column_name"]) for r in found.collect()}
+    assert got == {(k, "users", f"c{k}") for k in range(40)} | {(k, "orders", "bad") for k in range(40)}
+
+
+def test_unbalanced_and_long_statements(spark):
+    """Parentheses that close nothing or stay open; a list of many values and a select list of many names."""
+    many = ", ".join(f"c{k}" for k in range(3000))
+    docs = spark.createDataFrame([(0, "SELECT a) FROM users u) JOIN orders o ON u.id = o.id, orgs g WHERE g.b = 1"), (1, "SELECT id FROM users WHERE id IN (SELECT user_id FROM orders WHERE x = (SELECT 1"), (2, f"SELECT {many} FROM users"), (3, f"DELETE FROM users WHERE y IN ({', '.join(map(str, range(20000)))})")], "doc_id long, sql string")
+    cat = spark.createDataFrame([(t, c) for t, cs in TABLES.items() for c in cs], "table_name string, column_name string")
+    got = sorted((r["doc_id"], r["table_name"], r["column_name"]) for r in scopes.unknown_columns(lex.split_statements(docs), cat).collect())
+    assert (0, "orgs", "b") in got
+    assert (1, "orders", "x") in got and (3, "users", "y") in got and sum(k == 2 for k, _, _ in got) == 3000
