@@ -90,6 +90,27 @@ def find(index: DataFrame, terms: DataFrame, once: bool = False) -> DataFrame:
     return met.where(has).select("term", "path", "line_no", "line").distinct()
 
 
+def places(lines: DataFrame, terms: DataFrame) -> DataFrame:
+    """What phrases() finds, straight from lines (path, line_no, line): for a lookup that needs no index afterwards.
+
+    The lines are read twice, once to count the terms' words and once to look terms up by their rarest word; the words around a place
+    are then compared in the line itself, so that nothing of the lines is written or shuffled but the counts. Terms with more words in
+    all than BROADCAST_TERMS go by an index.
+    """
+    low = terms.where("term is not null").select("term").distinct().select("term", words(F.lower("term")).alias("w")).where(F.size("w") > 0)
+    each = cut(low.select("term", "w", F.posexplode("w").alias("at", "token")))
+    if each.count() > BROADCAST_TERMS:
+        return phrases(cut(build(lines, keep=False, other=False)), terms)
+    worded = lines.where("line is not null").select("path", "line_no", words(F.lower("line")).alias("words"))
+    used = F.broadcast(each.select("token").distinct())
+    counts = worded.select(F.explode("words").alias("token")).join(used, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(counts, "token").groupBy("term", "w").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "at", "token")).alias("x"))
+    asked = cut(rarest.where("met = size(w)").select("term", "w", "x.at", "x.token"))  # a term with a word that no line has is nowhere
+    placed = worded.select("path", "line_no", "words", F.posexplode("words").alias("position", "token"))
+    met = placed.join(F.broadcast(asked), "token").where("position >= at").withColumn("start", F.col("position") - F.col("at"))
+    return met.where(F.slice("words", F.col("start") + 1, F.size("w")) == F.col("w")).select("term", "path", "line_no", "start")
+
+
 def dealt(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """rows joined with lookups by shuffle; rows and lookups of hot tokens are dealt by a salt."""
     uses = asked.select("token", "n").distinct()

@@ -70,3 +70,19 @@ def test_scan_takes_the_first_line(spark, lines):
                 want[t, p] = min(n, want.get((t, p), n))
     assert got == again == want
     assert impact.dependency_scan(lines.limit(0), terms).count() == 0 and impact.dependency_scan(lines, terms.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bound", [textindex.BROADCAST_TERMS, 0])
+def test_places_without_an_index(spark, lines, monkeypatch, bound):
+    """The same places as by an index, with terms that share words, repeat one, or have a word that no line has; no sort-merge join."""
+    monkeypatch.setattr(textindex, "BROADCAST_TERMS", bound)
+    rng = random.Random(4)
+    rows = [re.findall("[a-z0-9_]+", line.lower()) for _, _, line in lines.collect() if line is not None]
+    some = {" ".join(w[i : i + k]) for w in rng.sample(rows, 60) if w for k in (1, 2, 5) for i in [rng.randrange(len(w))]} | {"the absentword", "the the", "", "é"}
+    terms = spark.createDataFrame([(t,) for t in some] + [(None,)], "term string")
+    found = textindex.places(lines, terms)
+    want = textindex.phrases(textindex.build(lines, keep=False, other=False), terms)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) > 100 and sorted(got) == sorted(tuple(r) for r in want.collect())
+    if bound:
+        assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
