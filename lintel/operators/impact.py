@@ -150,11 +150,10 @@ def rollback(sql: Column, known_type: Column | None = None, create_sql: Column |
 def dependency_scan(lines: DataFrame, terms: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """term, path, line_no, usage, severity: the first line of each file that has a term (rows: term) as a word or words; terms
     without any ASCII letter, digit or underscore are looked for anywhere in a line. index: one built from the lines before."""
-    once = index is None
-    if once:
-        wordless = ~F.rlike(F.lower("term"), F.lit(textindex.WORD))
-        index = textindex.build(lines, other=not terms.where(wordless & (F.trim("term") != "")).isEmpty(), positions=False)
-    hits = textindex.find(index, terms, once)
+    if index is None:
+        hits = textindex.scan(lines, terms)
+    else:
+        hits = textindex.find(index, terms)
     first = hits.groupBy("term", "path").agg(F.min(F.struct("line_no", "line")).alias("x"))
     return first.select("term", "path", "x.line_no", F.substring(F.trim("x.line"), 1, 120).alias("usage"), dependency_severity(F.col("x.line")).alias("severity"))
 

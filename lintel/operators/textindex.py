@@ -19,6 +19,8 @@ WORD, OTHER = r"[a-z0-9_]+", r"[^a-z0-9_]+"
 #: Lookups up to this number are broadcast to the index (some 10 MB); more are joined by shuffle. There, a token with over one in
 #: so many of the looked-up rows is hot, and dealt into so many parts.
 BROADCAST_TERMS, HOT, PARTS = 100_000, 500, 16
+#: Terms without a word up to this number are held against every line.
+FEW = 100
 
 
 def pieces(text: Column) -> Column:
@@ -63,6 +65,29 @@ def bounded(line: Column, term: Column) -> Column:
     return F.contains(F.lower(line), F.lower(term)) & F.rlike(F.lower(line), F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower(term), F.lit(r"\E(?![a-z0-9_])")))
 
 
+def scan(lines: DataFrame, terms: DataFrame) -> DataFrame:
+    """What find() finds, straight from lines (path, line_no, line): for a lookup that needs no index afterwards.
+
+    Each line is read once: its words meet the terms, which are looked up by their longest word, and terms without a word are held
+    against it. More terms than BROADCAST_TERMS, or than FEW without a word, go by an index.
+    """
+    own = terms.where("term is not null").select("term", F.lower("term").alias("low"), words(F.lower("term")).alias("w")).where(F.length(F.trim("term")) > 0).distinct()
+    named = cut(own.select("term", "w", F.explode("w").alias("token")).groupBy("term").agg(F.max(F.struct(F.length("token").alias("n"), "token"))["token"].alias("token"), ((F.max(F.size("w")) == 1) & (F.max("token") == F.lower("term"))).alias("single")))
+    wordless = [r["term"] for r in own.where("size(w) = 0").limit(FEW + 1).select("term").collect()]
+    if len(wordless) > FEW or named.count() > BROADCAST_TERMS:
+        return find(build(lines, other=bool(wordless), positions=False), terms, once=True)
+    low = lines.where("line is not null").select("path", "line_no", "line", F.lower("line").alias("low"))
+    # a word is a struct with its term unknown; a term without a word needs no lookup
+    asked = F.transform(F.array_distinct(words(F.col("low"))), lambda t: F.struct(t.alias("token"), F.lit(None).cast("string").alias("term")))
+    if wordless:
+        there = F.filter(F.array(*map(F.lit, wordless)), lambda t: F.contains(F.col("low"), F.lower(t)))
+        asked = F.concat(asked, F.transform(there, lambda t: F.struct(F.lit("").alias("token"), t.alias("term"))))
+    each = low.select("path", "line_no", "line", F.explode(asked).alias("x")).select("path", "line_no", "line", "x.token", F.col("x.term").alias("free"))
+    known = named.unionByName(lines.sparkSession.createDataFrame([(None, "", True)], named.schema))
+    met = each.join(F.broadcast(known), "token").where(F.col("single") | bounded(F.col("line"), F.col("term")))
+    return met.select(F.coalesce("free", "term").alias("term"), "path", "line_no", "line")
+
+
 def find(index: DataFrame, terms: DataFrame, once: bool = False) -> DataFrame:
     """term, path, line_no, line of every line of the index (built with lines) that has a term (rows: term).
 

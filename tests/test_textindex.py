@@ -86,3 +86,17 @@ def test_places_without_an_index(spark, lines, monkeypatch, bound):
     assert len(got) > 100 and sorted(got) == sorted(tuple(r) for r in want.collect())
     if bound:
         assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("bound", "few"), [(textindex.BROADCAST_TERMS, textindex.FEW), (textindex.BROADCAST_TERMS, 2), (0, textindex.FEW)])
+def test_scan_reads_lines_once(spark, lines, monkeypatch, bound, few):
+    """A scan without an index finds what brute force finds, whichever way it takes; the usual one reads the lines in one branch."""
+    monkeypatch.setattr(textindex, "BROADCAST_TERMS", bound)
+    monkeypatch.setattr(textindex, "FEW", few)
+    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
+    found = textindex.scan(lines, terms)
+    want = {(t, p, n) for t in TERMS if t for p, n, line in lines.collect() if line is not None and stands(t, line)}
+    assert {(r["term"], r["path"], r["line_no"]) for r in found.collect()} == want and len(want) > 20
+    if bound and few > 2:
+        tree = impact.dependency_scan(lines, terms)._jdf.queryExecution().executedPlan().toString()
+        assert tree.count("parquet") <= 2 and "NestedLoop" not in tree
