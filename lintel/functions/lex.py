@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tokens of SQL text: comments, strings, quoted names, dollar-quoted bodies, runs of plain characters, single characters.
 TOKEN = (
     r"--[^\n]*|/\*[\s\S]*?(?:\*/|\z)|[EeNn]?'(?:''|\\[\s\S]?|[^'\\])*+(?:'|\z)|\"(?:\"\"|[^\"])*+(?:\"|\z)"
-    r"|`(?:``|[^`])*+(?:`|\z)|(\$(?:[A-Za-z_]\w*)?\$)[\s\S]*?(?:\1|\z)|[^-/EeNn'\"`$]+|[\s\S]"
+    r"|`(?:``|[^`])*+(?:`|\z)|(\$(?:[A-Za-z_]\w*)?\$)[\s\S]*?(?:\1|\z)|(?:[^-/EeNn'\"`$]++|[EeNn](?!')|-(?!-)|/(?!\*))++|[\s\S]"
 )
 #: Statement verbs; words that are never tables; words that are never columns. Fixed values.
 OPERATIONS = ["SELECT", "INSERT", "UPDATE", "DELETE", "ALTER", "DROP", "CREATE", "TRUNCATE"]
@@ -38,8 +41,8 @@ def _masks(text: Column) -> Column:
     hidden = r"^(?:--|/\*|[EeNn]?'|\$(?:[A-Za-z_]\w*)?\$)"
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     masked = F.transform(tokens, lambda t: F.when(t.rlike(hidden), F.struct(_blank(t).alias("c"), _blank(t).alias("p"))).when(t.rlike(r'^["`]'), F.struct(_blank(t).alias("c"), t.alias("p"))).otherwise(F.struct(t.alias("c"), t.alias("p"))))
-    part = lambda f: F.array_join(F.transform(masked, lambda s: s[f]), "")
-    return F.when(text.rlike(r"['\"`$]|--|/\*"), F.struct(part("c").alias("clause"), part("p").alias("parse"))).otherwise(F.struct(text.alias("clause"), text.alias("parse")))
+    both = F.transform(F.array(masked), lambda m: F.struct(F.array_join(m["c"], "").alias("clause"), F.array_join(m["p"], "").alias("parse")))  # an array of one, so that tokens are cut once
+    return F.when(text.rlike(r"['\"`$]|--|/\*"), both[0]).otherwise(F.struct(text.alias("clause"), text.alias("parse")))
 
 
 def clause_mask(text: Column) -> Column:
@@ -104,8 +107,14 @@ def first_keyword(sql: Column) -> Column:
     return F.upper(F.regexp_extract(sql, r"^\s*(\w+)", 1))
 
 
+def mentions(text: Column, *words: str) -> Column:
+    """Whether any of the words (in upper case) is in a text in whatever case, as a part of a word too: far cheaper than a pattern, so
+    asked before one that needs it."""
+    return reduce(or_, [F.contains(F.upper(text), F.lit(w)) for w in words])
+
+
 def has_clause(mask: Column, word: str) -> Column:
-    return mask.rlike(rf"(?i)\b{word}\b")
+    return mentions(mask, word) & mask.rlike(rf"(?i)\b{word}\b")
 
 
 def operation(sql: Column) -> Column:
@@ -145,11 +154,12 @@ def cte_names(mask: Column) -> Column:
 
 def statement_tables(mask: Column) -> Column:
     """Lower-cased tables of a statement: FROM/JOIN, INSERT INTO, UPDATE, DELETE FROM, ALTER/DROP/TRUNCATE TABLE."""
+    named = lambda words, pattern: F.when(mentions(mask, *words), _found(mask, pattern)).otherwise(F.array().cast("array<string>"))
     found = F.concat(
-        _found(mask, rf"(?i)\b(?:FROM|JOIN)\s+{_NAME}"),
-        _found(mask, rf"(?i)\bINSERT\s+(?:IGNORE\s+|LOW_PRIORITY\s+)?INTO\s+{_NAME}"),
-        _found(mask, rf"(?i)^\s*UPDATE\s+(?:LOW_PRIORITY\s+|DELAYED\s+|QUICK\s+)?{_NAME}"),
-        _found(mask, rf"(?i)\b(?:ALTER|DROP|TRUNCATE)\s+TABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?{_NAME}"),
+        named(["FROM", "JOIN"], rf"(?i)\b(?:FROM|JOIN)\s+{_NAME}"),
+        named(["INSERT"], rf"(?i)\bINSERT\s+(?:IGNORE\s+|LOW_PRIORITY\s+)?INTO\s+{_NAME}"),
+        named(["UPDATE"], rf"(?i)^\s*UPDATE\s+(?:LOW_PRIORITY\s+|DELAYED\s+|QUICK\s+)?{_NAME}"),
+        named(["TABLE"], rf"(?i)\b(?:ALTER|DROP|TRUNCATE)\s+TABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?{_NAME}"),
     )
     return F.array_distinct(F.transform(found, lambda t: F.lower(bare(t))))
 
