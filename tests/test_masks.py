@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lintel.functions import lex
+from lintel.functions.lineage import spread
 from lintel.operators import rules
 
 #: Tokens as they were cut before: plain text parted at every letter that might begin a string.
@@ -39,3 +40,13 @@ def test_rules_fire_in_any_case(spark):
     for _, pattern in [(r[0], r[1]) for r in rules.PATTERN_RULES] + more:
         got = {r["t"] for r in docs.where(rules.fires(F.col("t"), pattern, False)).collect()}
         assert got == {t for t in texts if re.search(pattern, t, re.I | re.A)}
+
+
+def test_statements_of_a_small_file_are_judged_by_several_tasks(spark):
+    """findings_overview and full_diagnostics deal their statements to all cores, and adaptive plans keep them so."""
+    from lintel.plans import rich_queries
+
+    found = rich_queries.full_diagnostics(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    docs = spread(spark.range(200).coalesce(1), "id")
+    assert docs.select(F.spark_partition_id().alias("p")).distinct().count() > 1
